@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from cohortwave.llm import exact_dedup, packing, secrets, token_counts
+from cohortwave.llm import exact_dedup, packing, secrets, simhash, substring_dedup, token_counts
 
 MODULES = {
     "op2_exact_dedup": exact_dedup,
+    "op3_simhash": simhash,
     "op4_secret_scan": secrets,
     "op7_token_counts": token_counts,
     "op9_packing": packing,
+    "op10_substring_dedup": substring_dedup,
 }
 QUERIES = {name: module.query for name, module in MODULES.items()}
 ORACLES = {name: module.SQL for name, module in MODULES.items() if hasattr(module, "SQL")}
