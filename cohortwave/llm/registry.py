@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from cohortwave.llm import exact_dedup, packing, secrets, simhash, substring_dedup, token_counts
+from cohortwave.llm import exact_dedup, main_text, packing, pii, secrets, simhash, substring_dedup, token_counts, toxicity
 
 MODULES = {
+    "op1_pii": pii,
     "op2_exact_dedup": exact_dedup,
     "op3_simhash": simhash,
     "op4_secret_scan": secrets,
+    "op5_toxicity": toxicity,
     "op7_token_counts": token_counts,
+    "op8_main_text": main_text,
     "op9_packing": packing,
     "op10_substring_dedup": substring_dedup,
 }
