@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortwave.llm import exact_dedup, main_text, packing, pii, secrets, simhash, substring_dedup, token_counts, toxicity
+from cohortwave.llm import decontamination, exact_dedup, main_text, packing, pii, secrets, simhash, substring_dedup, token_counts, toxicity
 
 MODULES = {
     "op1_pii": pii,
@@ -10,6 +10,7 @@ MODULES = {
     "op3_simhash": simhash,
     "op4_secret_scan": secrets,
     "op5_toxicity": toxicity,
+    "op6_decontamination": decontamination,
     "op7_token_counts": token_counts,
     "op8_main_text": main_text,
     "op9_packing": packing,
