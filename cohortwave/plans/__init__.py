@@ -1,0 +1 @@
+"""Queries of the library's operators on the driver's tables, with SQL for the same rows."""
