@@ -21,8 +21,9 @@ from cohortwave.llm.base import ASCII_SPACE, Powers, WordScanner, chunks, ranged
 
 WIDTH = 50
 GRAM = 8
-#: Distinct strings of a bucket beyond which its windows are counted apart, each a row of its own.
-HOT_BUCKET = 200
+#: Distinct strings of a bucket (about 2 MB of words, 100,000 windows to sort) beyond which its windows are counted
+#: apart, each a row of its own.
+HOT_BUCKET = 5_000
 
 OCCURRENCE = "doc_id long, start int, n int, mh long, p1 long, p2 long"
 WINDOWS = "mh long, p1 long, p2 long, off int, n int, least long"
