@@ -13,12 +13,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwave.llm.base import checkpointed, table, texts
+from cohortwave.llm.base import ASCII_SPACE, Powers, WordScanner, checkpointed, chunks, mix, ranged_hash, table, texts
 from cohortwave.llm.components import connected_components
 
 SHINGLE = 3
@@ -27,8 +26,15 @@ RADIUS = 2
 #: A group of more fingerprints is dealt once more by a third block of equal bits, so it stays within 2**21 members.
 LARGE_GROUP = 4096
 FANOUT = 8
-#: Up to so many fingerprints are compared in one matrix.
+#: Up to so many fingerprints are compared in one matrix; groups of up to TINY are compared all groups at once.
 SMALL = 48
+TINY = 6
+#: Bins of the shingle sketch that similar_documents() verifies links with, and its defaults: five-word shingles,
+#: estimated Jaccard similarity (standard error about 0.04) from which two documents are near-duplicates.
+BINS = 100
+WORD_RADIUS = 5
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.78
 
 
 def bit_votes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, int]:
@@ -126,17 +132,53 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def group_classes(values: np.ndarray, radius: int = RADIUS, block: int = 512) -> np.ndarray:
-    """For distinct values, the smallest position of the class that links of at most radius bits join."""
-    labels = np.arange(len(values))
+def group_pairs(values: np.ndarray, radius: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions of values at most radius bits apart, a block of searches at a time."""
     if len(values) <= SMALL:
-        a, b = np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= radius, 1))
-        return join_labels(labels, a, b)
+        yield np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= radius, 1))
+        return
     index = GrayIndex(values)
     for at in range(0, len(values), block):
         q, v = index.within(values[at : at + block], radius)
-        labels = join_labels(labels, q + at, v)
-    return labels
+        yield q + at, v
+
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of rows of shingle sketches (0: empty bin)."""
+    used = ((a != 0) | (b != 0)).sum(axis=1)
+    same = ((a == b) & (a != 0)).sum(axis=1)
+    return np.where(used == 0, 1.0, (same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255))
+
+
+def spanning_links(bounds: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that join all rows linked within groups fps[bounds[i]:bounds[i + 1]]; fewer than there are rows."""
+    labels, sizes = np.arange(len(fps)), np.diff(bounds)
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal labels
+        if sketches is not None and len(a):
+            open_ = labels[a] != labels[b]
+            a, b = a[open_], b[open_]
+            good = [sketch_similarity(sketches[a[i : i + 50_000]], sketches[b[i : i + 50_000]]) >= similarity for i in range(0, len(a), 50_000)]
+            keep = np.concatenate([*good, np.zeros(0, bool)])
+            a, b = a[keep], b[keep]
+        if len(a):
+            labels = join_labels(labels, a, b)
+
+    small = sizes <= TINY
+    ends = np.repeat(np.where(small, bounds[1:], bounds[:-1]), sizes)
+    row = np.arange(len(fps))
+    for step in range(1, TINY):
+        a = row[row + step < ends]
+        if not len(a):
+            break
+        near = np.bitwise_count(fps[a] ^ fps[a + step]) <= radius
+        take(a[near], a[near] + step)
+    for i in np.flatnonzero(~small):
+        for a, b in group_pairs(fps[bounds[i] : bounds[i + 1]], radius):
+            take(a + bounds[i], b + bounds[i])
+    moved = np.flatnonzero(labels != row)
+    return moved, labels[moved]
 
 
 def masks_of(radius: int) -> list[int]:
@@ -158,55 +200,100 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, large: int = LARGE_GROUP) -> DataFrame:
-    """Spanning links (a, b) between representatives of distinct fingerprints (columns fp, rep) within radius bits."""
+def links(distinct: DataFrame, radius: int = RADIUS, large: int = LARGE_GROUP, similarity: float | None = None) -> DataFrame:
+    """Spanning links (a, b) between representatives of distinct fingerprints (columns fp, rep) within radius bits.
+
+    With a similarity, distinct has a column sketch too, and only links whose sketches agree as much count.
+    """
+    more = [] if similarity is None else ["sketch"]
     masks = masks_of(radius)
     keyed = lambda ms, base: F.array(*[F.struct(F.lit(base + i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(ms)])
-    dealt = distinct.select("fp", "rep", F.explode(keyed(masks, 0)).alias("g")).select("fp", "rep", "g.t", "g.key")
-    sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > large)
+    dealt = distinct.select("fp", "rep", *more, F.explode(keyed(masks, 0)).alias("g")).select("fp", "rep", *more, "g.t", "g.key")
+    sizes = distinct.select(F.explode(keyed(masks, 0)).alias("g")).groupBy("g.t", "g.key").agg(F.count("*").alias("n")).where(F.col("n") > large)
     marked = dealt.join(sizes, ["t", "key"], "left")
     again = F.lit(None)
     for i, m in enumerate(masks):
         again = F.when(F.col("t") == i, keyed(refined(m, radius), 1000 + 100 * i)).otherwise(again)
-    finer = marked.where("n is not null").select("fp", "rep", F.explode(again).alias("g")).select("fp", "rep", "g.t", "g.key")
-    groups = marked.where("n is null").select("fp", "rep", "t", "key").unionByName(finer)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def linked(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            t, key = part["t"].to_numpy(), part["key"].to_numpy()
-            cut = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-            bounds = np.concatenate(([0], cut, [len(part)]))
-            fps, reps = part["fp"].to_numpy("int64").view(np.uint64), part["rep"].to_numpy("int64")
-            out_a, out_b = [], []
-            for i in np.flatnonzero(np.diff(bounds) > 1):
-                lo, hi = bounds[i], bounds[i + 1]
-                order = np.argsort(reps[lo:hi], kind="stable")
-                own = reps[lo:hi][order]
-                labels = group_classes(fps[lo:hi][order], radius)
-                moved = np.flatnonzero(labels != np.arange(hi - lo))
-                out_a.append(own[moved])
-                out_b.append(own[labels[moved]])
-            if out_a:
-                yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-        held: list[pd.DataFrame] = []
+    finer = marked.where("n is not null").select("fp", "rep", *more, F.explode(again).alias("g")).select("fp", "rep", *more, "g.t", "g.key")
+    groups = marked.where("n is null").select("fp", "rep", *more, "t", "key").unionByName(finer)
+
+    def linked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(held)
+        t, key, fps, reps = (part.column(c).to_numpy() for c in ("t", "key", "fp", "rep"))
+        sketches = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS) if more else None
+        cut = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
+        a, b = spanning_links(np.concatenate(([0], cut, [len(t)])), fps.view(np.uint64), radius, sketches, similarity or 0.0)
+        return pa.record_batch([pa.array(reps[a]), pa.array(reps[b])], names=["a", "b"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            last = (batch["t"].iloc[-1], batch["key"].iloc[-1])
-            tail = int(((batch["t"] == last[0]) & (batch["key"] == last[1])).to_numpy()[::-1].argmin()) if not ((batch["t"] == last[0]) & (batch["key"] == last[1])).all() else len(batch)
-            if tail == len(batch):
-                if held and (held[-1]["t"].iloc[-1], held[-1]["key"].iloc[-1]) != last:
-                    yield from linked(pd.concat(held))
-                    held = []
+            t, key = batch.column("t").to_numpy(), batch.column("key").to_numpy()
+            if held and (t[0] != last[0] or key[0] != last[1]):
+                yield linked(held)
+                held = []
+            last = (t[-1], key[-1])
+            other = np.flatnonzero((t != last[0]) | (key != last[1]))
+            if len(other):  # the last group may go on in the next batch
+                yield linked([*held, batch.slice(0, int(other[-1]) + 1)])
+                held = [batch.slice(int(other[-1]) + 1)]
+            else:
                 held.append(batch)
-                continue
-            yield from linked(pd.concat([*held, batch.iloc[: len(batch) - tail]]))
-            held = [batch.iloc[len(batch) - tail :]]
         if held:
-            yield from linked(pd.concat(held))
+            yield linked(held)
+
+    return groups.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(search, "a long, b long")
+
+
+def word_fingerprints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(doc_id, fp, sketch): SimHash of a document's distinct words, and a one-permutation sketch of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner, powers = WordScanner(ASCII_SPACE, lower=True), Powers(0xD6E8FEB86659FD93)
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for lo, hi, data, offsets in chunks(batch.column("text")):
+                at, _, _, h = scanner.scan(data, offsets)
+                fps, sketches = np.zeros(hi - lo, np.uint64), np.zeros((hi - lo, BINS), np.uint8)
+                for i in range(hi - lo):
+                    words = h[at[i] : at[i + 1]]
+                    if not len(words):
+                        continue
+                    own = np.unique(words)
+                    votes = np.unpackbits(own.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+                    fps[i] = np.packbits(votes * 2 > len(own)).view(np.uint64)[0]
+                    width = min(shingle, len(words))
+                    first = np.arange(len(words) - width + 1)
+                    grams = np.unique(ranged_hash(words, first, first + width, powers))
+                    bins = (grams % np.uint64(BINS)).astype(np.int64)
+                    order = np.argsort(bins, kind="stable")  # the least hash of each bin comes first
+                    head = order[np.concatenate(([True], bins[order][1:] != bins[order][:-1]))]
+                    sketches[i, bins[head]] = 1 + (mix(grams[head]) % np.uint64(255)).astype(np.uint8)
+                yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(fps.view(np.int64)), pa.array([s.tobytes() for s in sketches], pa.binary())], names=["doc_id", "fp", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, fp long, sketch binary")
+
+
+def similar_documents(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = WORD_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, component_id, for near-duplicates by word shingles.
+
+    SimHashes of distinct words find the candidates (a few edited words change few of their bits, where they change
+    many bits of a SimHash of shingles); the Gray-order index searches them; sketches of the shingles decide.
+    Null, empty and blank texts are alike; other rows as in near_duplicates().
+    """
+    rows = checkpointed(word_fingerprints(texts(docs, id_col, text_col), shingle))
+    distinct = checkpointed(rows.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep")))
+    parts = connected_components(links(distinct, radius, similarity=similarity))
+    named = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("fp", "sketch", F.coalesce("component", "rep").alias("component_id"))
+    return rows.join(named, ["fp", "sketch"]).select("doc_id", "component_id")
+
 
-    return groups.repartition("t", "key").sortWithinPartitions("t", "key").mapInPandas(search, "a long, b long")
+def drop_similar(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay when one document of each group of near-duplicates does: that of the smallest id."""
+    kept = similar_documents(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
