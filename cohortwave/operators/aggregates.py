@@ -11,3 +11,315 @@ from cohortwave.functions.scalar import binary_entropy, safe_corr
 def region_series(channels: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Exact median over the channels of a region, as ``s``."""
     return channels.groupBy(*keys).agg(F.median(value).alias("s"))
+
+
+def session_targets(trials: DataFrame, keys: list[str], rt: str = "rt") -> DataFrame:
+    x = F.col(rt)
+    return trials.groupBy(*keys).agg(F.count(x).alias("n"), F.median(x).alias("median_rt"), F.avg(x).alias("mean_rt"), F.avg(F.try_divide(F.lit(1.0), x)).alias("mean_speed"), F.stddev_samp(x).alias("sd_rt"))
+
+
+def paired_targets(sessions: DataFrame, key: str, base: str, pert: str) -> DataFrame:
+    """Median difference and log ratios of two sessions of a subject, with the reason where one is lacking."""
+    pick = lambda c, s: F.max(F.when(F.col("session") == s, F.col(c)))
+    p = sessions.groupBy(key).agg(pick("median_rt", base).alias("m0"), pick("median_rt", pert).alias("m1"), pick("mean_speed", base).alias("v0"), pick("mean_speed", pert).alias("v1"))
+    reason = F.when(F.col("m0").isNull(), "no_baseline").when(F.col("m1").isNull(), "no_perturbation").when((F.col("m0") <= 0) | (F.col("m1") <= 0), "nonpositive")
+    ok = reason.isNull()
+    return p.select(key, F.when(ok, F.col("m1") - F.col("m0")).alias("delta_median"), F.when(ok, F.ln("m1") - F.ln("m0")).alias("y_rt"), F.when(ok, F.ln("v0") - F.ln("v1")).alias("y_speed"), ok.alias("computed"), F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+def level_and_dispersion(series: DataFrame, keys: list[str], s: str = "s") -> DataFrame:
+    return series.groupBy(*keys).agg(F.count(s).alias("n"), F.avg(s).alias("m"), F.stddev_samp(s).alias("j"))
+
+
+def relative_power_features(bands: DataFrame, channel_keys: list[str], region_keys: list[str], names: list[str]) -> DataFrame:
+    """q = band / total; mean and SD over epochs per channel, then their mean over the channels of a region."""
+    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    q = bands.select(*channel_keys, *[F.try_divide(F.col(n), total).alias(n) for n in names])
+    per = q.groupBy(*channel_keys).agg(*[F.avg(n).alias(f"{n}_mean") for n in names], *[F.stddev_samp(n).alias(f"{n}_sd") for n in names])
+    return per.groupBy(*region_keys).agg(*[F.avg(f"{n}_{k}").alias(f"{n}_{k}") for n in names for k in ("mean", "sd")])
+
+
+def floor_audit(bands: DataFrame, keys: list[str], names: list[str], eps: float) -> DataFrame:
+    """Per band: values at or below the floor, range and mean; and the identity that shares sum to one."""
+    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    aggs = [x for n in names for x in (F.count_if(F.col(n) <= eps).alias(f"{n}_floor"), F.min(n).alias(f"{n}_min"), F.max(n).alias(f"{n}_max"), F.avg(n).alias(f"{n}_mean"))]
+    return bands.groupBy(*keys).agg(F.count("*").alias("n"), *aggs, F.max(F.abs(sum((F.try_divide(F.col(n), total) for n in names[1:]), F.try_divide(F.col(names[0]), total)) - 1)).alias("identity_error"))
+
+
+def percentile_summary(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+    s = df.groupBy(*keys).agg(F.count(x).alias("n"), q.alias("q"))
+    at = lambda i: F.when(F.col("n") >= 2, F.get("q", F.lit(i)))
+    return s.select(*keys, "n", at(0).alias("low"), at(1).alias("p25"), at(2).alias("median"), at(3).alias("p75"), at(4).alias("high"), (at(3) - at(1)).alias("iqr"))
+
+
+def absolute_disagreement(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    d = F.abs(F.col(a) - F.col(b))
+    return pairs.groupBy(*keys).agg(F.count(d).alias("n"), F.median(d).alias("median_abs"), F.avg(d).alias("mean_abs"), F.percentile(d, F.lit(0.9)).alias("p90_abs"))
+
+
+def normalized_disagreement(pairs: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
+    """Median absolute difference over the reference IQR (column iqr); NULL where the IQR isn't positive."""
+    d = absolute_disagreement(pairs, keys).join(reference.select(*keys, "iqr"), keys, "left")
+    return d.withColumn("nmae", F.col("median_abs") / F.when(F.col("iqr") > 0, F.col("iqr")))
+
+
+def bland_altman(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    p = pairs.select(*keys, (F.col(a) - F.col(b)).alias("d"), ((F.col(a) + F.col(b)) / 2).alias("m"))
+    q = lambda x: F.percentile("d", F.lit(x))
+    s = p.groupBy(*keys).agg(F.count("d").alias("n"), F.avg("d").alias("bias"), F.stddev_samp("d").alias("sd"), F.median("d").alias("median_diff"), q(0.025).alias("p2_5"), q(0.975).alias("p97_5"), F.regr_slope("d", "m").alias("slope"), safe_corr("d", "m").alias("r"))
+    return s.withColumn("lower", F.col("bias") - 1.96 * F.col("sd")).withColumn("upper", F.col("bias") + 1.96 * F.col("sd"))
+
+
+def icc_2_1(ratings: DataFrame, keys: list[str], target: str, rater: str, value: str) -> DataFrame:
+    """Two-way random, absolute agreement, single measure; complete targets only (same number of raters)."""
+    w = Window.partitionBy(*keys)
+    r = ratings.where(F.col(value).isNotNull())
+    per_target = Window.partitionBy(*keys, target)
+    r = r.withColumn("_k", F.count("*").over(per_target)).withColumn("_kmax", F.max("_k").over(w)).where("_k = _kmax")
+    rows = r.groupBy(*keys, target).agg(F.avg(value).alias("tm"), F.count("*").alias("k"))
+    cols = r.groupBy(*keys, rater).agg(F.avg(value).alias("rm"), F.count("*").alias("n"))
+    ss_rows = rows.groupBy(*keys).agg((F.var_pop("tm") * F.count("*") * F.max("k")).alias("ssr"), F.count("*").alias("n"), F.max("k").alias("k"))
+    ss_cols = cols.groupBy(*keys).agg((F.var_pop("rm") * F.count("*") * F.max("n")).alias("ssc"))
+    ss_all = r.groupBy(*keys).agg((F.var_pop(value) * F.count("*")).alias("sst"))
+    m = ss_rows.join(ss_cols, keys).join(ss_all, keys).where("n > 1 and k > 1")
+    msr, msc = F.col("ssr") / (F.col("n") - 1), F.col("ssc") / (F.col("k") - 1)
+    mse = (F.col("sst") - F.col("ssr") - F.col("ssc")) / ((F.col("n") - 1) * (F.col("k") - 1))
+    icc = (msr - mse) / F.nullif(msr + (F.col("k") - 1) * mse + F.col("k") * (msc - mse) / F.col("n"), F.lit(0.0))
+    return m.select(*keys, "n", "k", icc.alias("icc"), F.try_divide(msr, mse).alias("f"))
+
+
+def variance_components(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
+    """One-way ANOVA estimator; a negative between-variance is zero."""
+    g = df.where(F.col(value).isNotNull()).groupBy(*keys, group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count("*")).alias("ss"))
+    s = g.groupBy(*keys).agg(F.count("*").alias("groups"), F.sum("n").alias("total"), F.sum("ss").alias("ssw"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("s2"), F.sum(F.col("n") * F.col("mean")).alias("s1"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    msw = F.col("ssw") / F.nullif(F.col("total") - F.col("groups"), F.lit(0))
+    msb = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("total")) / F.nullif(F.col("groups") - 1, F.lit(0))
+    n0 = (F.col("total") - F.col("nn") / F.col("total")) / F.nullif(F.col("groups") - 1, F.lit(0))
+    v = s.select(*keys, "groups", "total", msw.alias("within"), F.greatest((msb - msw) / n0, F.lit(0.0)).alias("between"))
+    return v.withColumn("share", F.try_divide(F.col("between"), F.col("between") + F.col("within")))
+
+
+def sign_stability(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    zero = (F.col(a) == 0) | (F.col(b) == 0)
+    s = pairs.groupBy(*keys).agg(F.count_if(~zero).alias("n"), F.count_if(zero).alias("n_zero"), F.count_if(~zero & (F.signum(a) == F.signum(b))).alias("n_same"))
+    return s.withColumn("agreement", F.try_divide(F.col("n_same"), F.col("n")))
+
+
+def average_rank(df: DataFrame, keys: list[str], x: str, name: str = "rank") -> DataFrame:
+    """Ranks from 1, ties averaged; NULL values have no rank."""
+    part = Window.partitionBy(*keys, F.col(x).isNull())
+    tie = Window.partitionBy(*keys, F.col(x))
+    return df.withColumn(name, F.when(F.col(x).isNotNull(), F.rank().over(part.orderBy(x)) + (F.count("*").over(tie) - 1) / 2.0))
+
+
+def spearman(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    """Rank correlation with averaged ties; NULL below three pairs or where a side is constant."""
+    full = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ranked = average_rank(average_rank(full, keys, a, "ra"), keys, b, "rb")
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr("ra", "rb").alias("rho")).withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
+
+
+def classification_metrics(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p", threshold: float = 0.5) -> DataFrame:
+    """Accuracy, balanced accuracy, F1 and AUC (rank sum, ties averaged); NULL where a class is absent."""
+    yes = F.col(p) >= threshold
+    one = F.col(y) == 1
+    ranked = average_rank(pred, keys, p, "_rank")
+    c = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(one & yes).alias("tp"), F.count_if(~one & yes).alias("fp"), F.count_if(one & ~yes).alias("fn"), F.count_if(~one & ~yes).alias("tn"), F.sum(F.when(one, F.col("_rank"))).alias("_sum"))
+    pos, neg = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
+    return c.select(
+        *keys, "n", "tp", "fp", "fn", "tn", ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"), ((F.try_divide(F.col("tp"), pos) + F.try_divide(F.col("tn"), neg)) / 2).alias("balanced_accuracy"),
+        F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"), F.try_divide(F.col("_sum") - pos * (pos + 1) / 2.0, pos * neg).alias("auc"),
+    )
+
+
+def binned_auc(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """Pooled AUC over any number of rows: counts of distinct scores first, then a running sum over these."""
+    h = pred.groupBy(*keys, p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = h.select(*keys, "pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("area")).groupBy(*keys).agg(F.sum("area").alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return s.select(*keys, F.try_divide(F.col("area"), F.col("pos") * F.col("neg")).alias("auc"))
+
+
+def subject_macro(pred: DataFrame, keys: list[str], subject: str, y: str = "y", p: str = "p") -> DataFrame:
+    return classification_metrics(pred, [*keys, subject], y, p).groupBy(*keys).agg(F.count("balanced_accuracy").alias("n_subjects"), F.avg("balanced_accuracy").alias("macro"))
+
+
+def batch_stats(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """Marginal and conditional entropy, dominant share, confidence and accuracies of each batch."""
+    yes, one = F.col(p) >= 0.5, F.col(y) == 1
+    s = pred.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(p).alias("q1"), F.avg(binary_entropy(F.col(p))).alias("h_cond"), F.avg(F.greatest(F.col(p), 1 - F.col(p))).alias("mean_max_conf"), F.avg(yes.cast("int")).alias("pred_positive"),
+        F.avg(one.cast("int")).alias("true_positive_share"), F.avg((yes == one).cast("int")).alias("accuracy"), F.avg(F.when(one, yes.cast("int"))).alias("_s1"), F.avg(F.when(~one, (~yes).cast("int"))).alias("_s0"),
+    )
+    return s.withColumns({"h_marg": binary_entropy(F.col("q1")), "dominant": F.greatest(F.col("pred_positive"), 1 - F.col("pred_positive")), "balanced_accuracy": (F.col("_s1") + F.col("_s0")) / 2}).drop("_s0", "_s1")
+
+
+def quartile_summary(batches: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Mean over the first and last quarter of a stream's batches; undefined below four batches."""
+    w = Window.partitionBy(*keys)
+    r = batches.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    first, last = F.col("_i") < F.floor(F.col("_n") / 4), F.col("_i") >= F.ceil(3 * F.col("_n") / 4)
+    s = r.groupBy(*keys).agg(F.max("_n").alias("n_batches"), F.avg(F.when(first, F.col(value))).alias("first"), F.avg(F.when(last, F.col(value))).alias("last"))
+    ok = F.col("n_batches") >= 4
+    return s.select(*keys, "n_batches", F.when(ok, F.col("first")).alias("first"), F.when(ok, F.col("last")).alias("last"), F.when(ok, F.col("last") - F.col("first")).alias("delta"))
+
+
+def hierarchical_summary(metrics: DataFrame, model: str, seed: str, subject: str, value: str) -> DataFrame:
+    """Grand mean, SD of subject means and of seed means per model; complete: every subject has every seed."""
+    by_subject = metrics.groupBy(model, subject).agg(F.avg(value).alias("m")).groupBy(model).agg(F.avg("m").alias("grand_mean"), F.stddev_samp("m").alias("sd_subjects"), F.count("*").alias("n_subjects"))
+    by_seed = metrics.groupBy(model, seed).agg(F.avg(value).alias("m")).groupBy(model).agg(F.stddev_samp("m").alias("sd_seeds"), F.count("*").alias("n_seeds"))
+    cells = metrics.groupBy(model).agg(F.count_distinct(subject, seed).alias("cells"))
+    return by_subject.join(by_seed, model).join(cells, model).withColumn("complete", F.col("cells") == F.col("n_subjects") * F.col("n_seeds")).drop("cells")
+
+
+def arm_deltas(metrics: DataFrame, subject: str, arm: str, value: str, source: str, arms: list[str]) -> DataFrame:
+    """Mean over seeds per subject and arm, as differences to the source arm."""
+    w = metrics.groupBy(subject).pivot(arm, [source, *arms]).agg(F.avg(value))
+    return w.select(subject, F.col(source).alias("source"), *[(F.col(a) - F.col(source)).alias(f"delta_{a}") for a in arms])
+
+
+def delta_summary(df: DataFrame, keys: list[str], delta: str) -> DataFrame:
+    d = F.col(delta)
+    q = lambda x: F.percentile(d, F.lit(x))
+    return df.groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.median(d).alias("median"), F.stddev_samp(d).alias("sd"), q(0.25).alias("q1"), q(0.75).alias("q3"), (q(0.75) - q(0.25)).alias("iqr"), F.count_if(d > 0).alias("improved"), F.count_if(d < 0).alias("harmed"), F.count_if(d == 0).alias("tied"))
+
+
+def count_rollup(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.rollup(*keys).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+def distinct_audit(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    d = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct(column).alias("n_distinct"))
+    return d.withColumn("all_distinct", F.col("n_rows") == F.col("n_distinct"))
+
+
+def channel_moments(epochs: DataFrame, keys: list[str], samples: str = "samples") -> DataFrame:
+    """Sums and squares over the samples of all rows of a group: mergeable, so folds are totals minus parts."""
+    x = F.transform(samples, lambda v: v.cast("double"))
+    rows = epochs.select(*keys, F.size(x).alias("n"), F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("s"), F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v).alias("ss"))
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+
+
+def fit_channel_scaler(epochs: DataFrame, subject: str, channel: list[str], samples: str = "samples") -> DataFrame:
+    """Leave-one-subject-out mean and SD per channel: total sums minus the held-out subject's. Variance floor 1e-12."""
+    own = channel_moments(epochs, [subject, *channel], samples)
+    w = Window.partitionBy(*channel) if channel else Window.partitionBy(F.lit(1))
+    rest = {c: (F.sum(c).over(w) - F.col(c)) for c in ("n", "s", "ss")}
+    left = own.select(subject, *channel, *[e.alias(c) for c, e in rest.items()]).where("n > 0")
+    mean = F.col("s") / F.col("n")
+    return left.select(subject, *channel, "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(1e-12))).alias("sd"))
+
+
+def padding_mask(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return cells.groupBy(*keys).agg(F.bool_and(F.col(value) == 0).alias("padding"), F.count("*").alias("n"))
+
+
+def window_inventory(windows: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
+    """Windows of every planned cell, eligible from two on; planned cells without any have zero."""
+    n = windows.groupBy(*keys).agg(F.count("*").alias("n_windows"))
+    return plan.join(n, keys, "left").select(*keys, F.coalesce("n_windows", F.lit(0)).alias("n_windows"), (F.coalesce("n_windows", F.lit(0)) >= 2).alias("eligible"))
+
+
+def shape_stats(df: DataFrame, keys: list[str], group: str, x: str) -> DataFrame:
+    """Population skewness and excess kurtosis, and the pooled SD within groups."""
+    all_ = df.groupBy(*keys).agg(F.count(x).alias("n"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurtosis"))
+    within = df.groupBy(*keys, group).agg(F.var_samp(x).alias("v")).groupBy(*keys).agg(F.sqrt(F.avg("v")).alias("within_sd"))
+    return all_.join(within, keys)
+
+
+def approximate_reliability(df: DataFrame, keys: list[str], y: str, se: str) -> DataFrame:
+    r = df.groupBy(*keys).agg(F.count(y).alias("n"), (1 - F.avg(F.col(se) * F.col(se)) / F.nullif(F.var_samp(y), F.lit(0.0))).alias("r"))
+    return r.select(*keys, "n", F.when(F.col("n") >= 3, F.greatest(F.col("r"), F.lit(0.0))).alias("reliability"))
+
+
+def split_halves(trials: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return trials.withColumn("half", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) % 2)
+
+
+def spearman_brown(r: Column) -> Column:
+    return F.try_divide(2 * r, 1 + r)
+
+
+def one_sample_effect(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    s = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
+    se = F.col("sd") / F.sqrt("n")
+    return s.select(*keys, "n", "mean", "sd", F.try_divide(F.col("mean"), se).alias("t"), F.try_divide(F.col("mean"), F.col("sd")).alias("dz"), (F.col("mean") - 1.96 * se).alias("lower"), (F.col("mean") + 1.96 * se).alias("upper"))
+
+
+def wilcoxon_signed_rank(pairs: DataFrame, keys: list[str], d: str) -> DataFrame:
+    """Signed rank sums with averaged ties, zeros dropped, and the normal deviate with the tie correction."""
+    r = average_rank(pairs.where(F.col(d) != 0).withColumn("_abs", F.abs(d)), keys, "_abs", "_rank")
+    ties = r.groupBy(*keys, "_abs").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
+    s = r.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col(d) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(d) < 0, F.col("_rank")).otherwise(0.0)).alias("w_minus")).join(ties, keys)
+    n = F.col("n")
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
+    return s.select(*keys, "n", "w_plus", "w_minus", F.try_divide(F.col("w_plus") - n * (n + 1) / 4.0, sd).alias("z"))
+
+
+def lane_metrics(samples: DataFrame, keys: list[str], order: str, x: str, limit: float) -> DataFrame:
+    """Mean, median and P90 of |x|, SD, RMS, share outside the limit, and excursions (entries into the outside)."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    out = F.abs(x) > limit
+    s = samples.withColumn("_out", out).withColumn("_enter", out & ~F.coalesce(F.lag(out).over(w), F.lit(False)))
+    a = F.abs(x)
+    return s.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(a).alias("mean_abs"), F.median(a).alias("median_abs"), F.percentile(a, F.lit(0.9)).alias("p90_abs"), F.stddev_samp(x).alias("sdlp"), F.sqrt(F.avg(F.col(x) * F.col(x))).alias("rms"), F.avg(F.col("_out").cast("int")).alias("share_out"), F.count_if("_enter").alias("excursions"))
+
+
+def response_targets(df: DataFrame, keys: list[str], latency: str, bound: float) -> DataFrame:
+    """Speed and medians of latencies; unanswered (NULL) ones count as the bound in the censored forms."""
+    c = F.coalesce(F.least(F.col(latency), F.lit(bound)), F.lit(bound))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count(latency).alias("n_answered"), F.avg(F.try_divide(F.lit(1.0), F.col(latency))).alias("mean_speed"), F.median(latency).alias("median_latency"), F.median(c).alias("median_censored"), F.avg(c).alias("mean_censored"))
+
+
+def ols_time_on_task(df: DataFrame, keys: list[str], subject: str, t: str, y: str) -> DataFrame:
+    """Slope of y on t with a fixed effect for each subject: both centred within subjects."""
+    w = Window.partitionBy(*keys, subject)
+    c = df.select(*keys, subject, (F.col(t) - F.avg(t).over(w)).alias("x"), (F.col(y) - F.avg(y).over(w)).alias("z"))
+    s = c.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(subject).alias("subjects"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("z")).alias("sxz"), F.sum(F.col("z") * F.col("z")).alias("szz"))
+    slope = F.try_divide(F.col("sxz"), F.col("sxx"))
+    sse = F.col("szz") - slope * F.col("sxz")
+    df_ = F.col("n") - F.col("subjects") - 1
+    return s.select(*keys, "n", "subjects", slope.alias("slope"), (1 - F.try_divide(sse, F.col("szz"))).alias("r2_within"), F.when(df_ > 0, F.try_divide(slope * F.col("sxz"), sse / df_)).alias("f"))
+
+
+def selection_stability(selections: DataFrame, keys: list[str], fold: str, items: str) -> DataFrame:
+    """Jaccard similarity of the subsets chosen in every pair of folds, per group."""
+    a = selections.select(*keys, F.col(fold).alias("fa"), F.array_distinct(items).alias("sa"))
+    b = selections.select(*keys, F.col(fold).alias("fb"), F.array_distinct(items).alias("sb"))
+    j = a.join(b, keys).where("fa < fb").withColumn("j", F.try_divide(F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))))
+    distinct = selections.groupBy(*keys).agg(F.count_distinct(F.array_sort(F.array_distinct(items))).alias("n_subsets"))
+    return j.groupBy(*keys).agg(F.count("*").alias("pairs"), F.avg("j").alias("mean"), F.min("j").alias("low"), F.median("j").alias("median")).join(distinct, keys)
+
+
+def regression_scores(pred: DataFrame, keys: list[str], y: str, p: str, m0: str) -> DataFrame:
+    """R, RMSE, RMSE over target SD, Q2 and MAE skill against the reference prediction m0."""
+    e, e0 = F.col(y) - F.col(p), F.col(y) - F.col(m0)
+    s = pred.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr(y, p).alias("r"), F.sqrt(F.avg(e * e)).alias("rmse"), F.stddev_samp(y).alias("sd"), F.sum(e * e).alias("sse"), F.sum(e0 * e0).alias("sse0"), F.avg(F.abs(e)).alias("mae"), F.avg(F.abs(e0)).alias("mae0"))
+    return s.select(*keys, "n", "r", "rmse", F.try_divide(F.col("rmse"), F.col("sd")).alias("rmse_over_sd"), (1 - F.try_divide(F.col("sse"), F.col("sse0"))).alias("q2"), "mae", (1 - F.try_divide(F.col("mae"), F.col("mae0"))).alias("mae_skill"))
+
+
+def qc_report(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Named checks over the whole table: each a pair of aggregates, violations that fail and violations that warn."""
+    aggs = [F.struct(F.lit(n).alias("name"), F.coalesce(bad, F.lit(0)).cast("long").alias("failures"), F.coalesce(warn, F.lit(0)).cast("long").alias("warnings")) for n, (bad, warn) in checks.items()]
+    rows = df.agg(F.array(*aggs).alias("c")).select(F.inline("c"))
+    return rows.withColumn("verdict", F.when(F.col("failures") > 0, "FAIL").when(F.col("warnings") > 0, "WARN").otherwise("PASS"))
+
+
+def number_check(claims: DataFrame, evidence: DataFrame, key: str, digits: int) -> DataFrame:
+    """claims and evidence (key, value): equal after rounding; claims without evidence fail."""
+    j = claims.select(key, F.col("value").alias("claimed")).join(evidence.select(key, F.col("value").alias("found")), key, "left")
+    return j.withColumn("ok", F.coalesce(F.round("claimed", digits) == F.round("found", digits), F.lit(False)))
+
+
+def lag_autocorrelation(df: DataFrame, keys: list[str], order: str, x: str, lag: int = 1) -> DataFrame:
+    w = Window.partitionBy(*keys)
+    c = df.select(*keys, order, (F.col(x) - F.avg(x).over(w)).alias("c")).withColumn("p", F.lag("c", lag).over(w.orderBy(order)))
+    s = c.groupBy(*keys).agg(F.count("c").alias("n"), F.sum(F.col("c") * F.col("p")).alias("num"), F.sum(F.col("c") * F.col("c")).alias("den"))
+    return s.select(*keys, "n", F.try_divide(F.col("num"), F.col("den")).alias("acf"))
+
+
+def response_profile(df: DataFrame, keys: list[str], latency: str, side: str, slow: float) -> DataFrame:
+    x = F.col(latency)
+    q = lambda p: F.percentile(x, F.lit(p))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.median(x).alias("median"), (q(0.75) - q(0.25)).alias("iqr"), F.try_divide(F.stddev_samp(x), F.avg(x)).alias("cv"), q(0.95).alias("p95"), F.avg((x > slow).cast("int")).alias("share_slow"), F.avg(x.isNull().cast("int")).alias("share_missed"), (F.median(F.when(F.col(side) == 0, x)) - F.median(F.when(F.col(side) == 1, x))).alias("left_minus_right"))

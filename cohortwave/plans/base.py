@@ -12,13 +12,15 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None, *ctes: str) -> Callable[[Query], Query]:
-    """Register a query; ctes are put before its SQL."""
+def register(name: str, sql: str | None = None, *ctes: str, rnd: str = "", digits: int = 6) -> Callable[[Query], Query]:
+    """Register a query; ctes are put before its SQL. Columns named in rnd are rounded on both sides."""
+    columns = rnd.split()
 
     def put(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[name] = (lambda spark, d: f(spark, d).withColumns({c: F.round(c, digits) for c in columns})) if columns else f
         if sql:
-            ORACLES[name] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql.strip()
+            body = f"WITH {', '.join(ctes)} {sql.strip()}" if ctes else sql.strip()
+            ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) AS {c}' for c in columns)}) FROM ({body})" if columns else body
         return f
 
     return put
