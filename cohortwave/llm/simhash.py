@@ -25,6 +25,8 @@ SEED = 42
 RADIUS = 2
 #: A group of more fingerprints is dealt once more by a third block of equal bits, so it stays within 2**21 members.
 LARGE_GROUP = 4096
+#: Most keys of such groups that are broadcast (a few MB); more are joined by a shuffle.
+BROADCAST_KEYS = 50_000
 FANOUT = 8
 #: Up to so many fingerprints are compared in one matrix; groups of up to TINY are compared all groups at once.
 SMALL = 48
@@ -210,12 +212,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, large: int = LARGE_GROUP, s
     keyed = lambda ms, base: F.array(*[F.struct(F.lit(base + i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(ms)])
     dealt = distinct.select("fp", "rep", *more, F.explode(keyed(masks, 0)).alias("g")).select("fp", "rep", *more, "g.t", "g.key")
     sizes = distinct.select(F.explode(keyed(masks, 0)).alias("g")).groupBy("g.t", "g.key").agg(F.count("*").alias("n")).where(F.col("n") > large)
-    marked = dealt.join(sizes, ["t", "key"], "left")
-    again = F.lit(None)
-    for i, m in enumerate(masks):
-        again = F.when(F.col("t") == i, keyed(refined(m, radius), 1000 + 100 * i)).otherwise(again)
-    finer = marked.where("n is not null").select("fp", "rep", *more, F.explode(again).alias("g")).select("fp", "rep", *more, "g.t", "g.key")
-    groups = marked.where("n is null").select("fp", "rep", *more, "t", "key").unionByName(finer)
+    sizes = checkpointed(sizes)
+    n_large = sizes.count()
+    groups = dealt.select("fp", "rep", *more, "t", "key")
+    if n_large:  # most corpora have no such group, and then nothing needs a join
+        marked = dealt.join(F.broadcast(sizes) if n_large <= BROADCAST_KEYS else sizes, ["t", "key"], "left")
+        again = F.lit(None)
+        for i, m in enumerate(masks):
+            again = F.when(F.col("t") == i, keyed(refined(m, radius), 1000 + 100 * i)).otherwise(again)
+        finer = marked.where("n is not null").select("fp", "rep", *more, F.explode(again).alias("g")).select("fp", "rep", *more, "g.t", "g.key")
+        groups = marked.where("n is null").select("fp", "rep", *more, "t", "key").unionByName(finer)
 
     def linked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         part = pa.Table.from_batches(held)
