@@ -105,7 +105,8 @@ def test_similar_documents_against_brute_force(documents, clashing):
             rows.append((i, " ".join(edited(rng, words, 0.006 if c else 0))))
             truth.setdefault(g, []).append(i)
     rows += [(900, None), (901, ""), (902, "x"), (903, "two words"), (904, "two other"), (905, "long " * 50_000)]
-    shingles = {i: {tuple((t or "").lower().split()[a : a + 5]) for a in range(max(1, len((t or "").split()) - 4))} for i, t in rows}
+    words_of = {i: (t or "").lower().split() for i, t in rows}
+    shingles = {i: {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} for i, w in words_of.items()}
     for docs in (clashing(rows),):
         got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
         assert len(got) == len(rows)
