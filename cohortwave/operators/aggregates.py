@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwave.functions.scalar import binary_entropy, safe_corr
+from cohortwave.functions.tails import f_p_value, f_quantile_column, normal_p_value, t_p_value
 
 
 def region_series(channels: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -71,8 +72,8 @@ def bland_altman(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b")
     return s.withColumn("lower", F.col("bias") - 1.96 * F.col("sd")).withColumn("upper", F.col("bias") + 1.96 * F.col("sd"))
 
 
-def icc_2_1(ratings: DataFrame, keys: list[str], target: str, rater: str, value: str) -> DataFrame:
-    """Two-way random, absolute agreement, single measure; complete targets only (same number of raters)."""
+def icc_mean_squares(ratings: DataFrame, keys: list[str], target: str, rater: str, value: str) -> DataFrame:
+    """Mean squares of targets, raters and error (n, k, msr, msc, mse); complete targets only (same number of raters)."""
     w = Window.partitionBy(*keys)
     r = ratings.where(F.col(value).isNotNull())
     per_target = Window.partitionBy(*keys, target)
@@ -85,8 +86,28 @@ def icc_2_1(ratings: DataFrame, keys: list[str], target: str, rater: str, value:
     m = ss_rows.join(ss_cols, keys).join(ss_all, keys).where("n > 1 and k > 1")
     msr, msc = F.col("ssr") / (F.col("n") - 1), F.col("ssc") / (F.col("k") - 1)
     mse = (F.col("sst") - F.col("ssr") - F.col("ssc")) / ((F.col("n") - 1) * (F.col("k") - 1))
-    icc = (msr - mse) / F.nullif(msr + (F.col("k") - 1) * mse + F.col("k") * (msc - mse) / F.col("n"), F.lit(0.0))
-    return m.select(*keys, "n", "k", icc.alias("icc"), F.try_divide(msr, mse).alias("f"))
+    return m.select(*keys, "n", "k", msr.alias("msr"), msc.alias("msc"), mse.alias("mse"))
+
+
+def icc_2_1(ratings: DataFrame, keys: list[str], target: str, rater: str, value: str) -> DataFrame:
+    """Two-way random, absolute agreement, single measure."""
+    msr, msc, mse, n, k = (F.col(c) for c in ("msr", "msc", "mse", "n", "k"))
+    icc = (msr - mse) / F.nullif(msr + (k - 1) * mse + k * (msc - mse) / n, F.lit(0.0))
+    return icc_mean_squares(ratings, keys, target, rater, value).select(*keys, "n", "k", icc.alias("icc"), F.try_divide(msr, mse).alias("f"))
+
+
+def icc_interval(ratings: DataFrame, keys: list[str], target: str, rater: str, value: str, level: float = 0.95) -> DataFrame:
+    """ICC(2,1) with its F-based interval and the p value of the targets' F test."""
+    msr, msc, mse, n, k, icc = (F.col(c) for c in ("msr", "msc", "mse", "n", "k", "icc"))
+    r = icc_mean_squares(ratings, keys, target, rater, value).withColumn("icc", (msr - mse) / F.nullif(msr + (k - 1) * mse + k * (msc - mse) / n, F.lit(0.0)))
+    a, b = k * icc / F.nullif(n * (1 - icc), F.lit(0.0)), 1 + k * icc * (n - 1) / F.nullif(n * (1 - icc), F.lit(0.0))
+    v = F.try_divide(F.pow(a * msc + b * mse, F.lit(2.0)), F.pow(a * msc, F.lit(2.0)) / (k - 1) + F.pow(b * mse, F.lit(2.0)) / ((n - 1) * (k - 1)))
+    p = F.lit(0.5 + level / 2)
+    r = r.withColumn("_v", v).withColumn("_fl", f_quantile_column(p, n - 1, F.col("_v"))).withColumn("_fu", f_quantile_column(p, F.col("_v"), n - 1))
+    rest = k * msc + (k * n - k - n) * mse
+    lower = F.try_divide(n * (msr - F.col("_fl") * mse), F.col("_fl") * rest + n * msr)
+    upper = F.try_divide(n * (F.col("_fu") * msr - mse), rest + n * F.col("_fu") * msr)
+    return r.select(*keys, "n", "k", "icc", lower.alias("lower"), upper.alias("upper"), f_p_value(F.try_divide(msr, mse), n - 1, (n - 1) * (k - 1)).alias("p"))
 
 
 def variance_components(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
@@ -247,6 +268,16 @@ def one_sample_effect(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return s.select(*keys, "n", "mean", "sd", F.try_divide(F.col("mean"), se).alias("t"), F.try_divide(F.col("mean"), F.col("sd")).alias("dz"), (F.col("mean") - 1.96 * se).alias("lower"), (F.col("mean") + 1.96 * se).alias("upper"))
 
 
+def with_t_test(effects: DataFrame) -> DataFrame:
+    """one_sample_effect() rows with the two-sided p value of t."""
+    return effects.withColumn("p", t_p_value(F.col("t"), F.col("n") - 1))
+
+
+def with_normal_test(ranked: DataFrame) -> DataFrame:
+    """wilcoxon_signed_rank() rows with the two-sided normal p value."""
+    return ranked.withColumn("p", normal_p_value(F.col("z")))
+
+
 def wilcoxon_signed_rank(pairs: DataFrame, keys: list[str], d: str) -> DataFrame:
     """Signed rank sums with averaged ties, zeros dropped, and the normal deviate with the tie correction."""
     r = average_rank(pairs.where(F.col(d) != 0).withColumn("_abs", F.abs(d)), keys, "_abs", "_rank")

@@ -464,3 +464,22 @@ def a38(spark, d):
 )
 def a42(spark, d):
     return agg.response_profile(latencies(spark, d), ["event_type"], "l", "side", 5.0)
+
+
+# tail probabilities: no SQL; tests hold the tails against numeric integration
+
+
+@register("a10_icc_interval")
+def a10b(spark, d):
+    r = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("target"), F.col("l_linenumber").alias("rater"), F.col("l_returnflag").alias("g")).agg(F.avg("l_quantity").alias("v"))
+    return agg.icc_interval(r, ["g"], "target", "rater", "v")
+
+
+@register("a29_t_test")
+def a29b(spark, d):
+    return agg.with_t_test(agg.one_sample_effect(pairs(spark, d).select("user_id", (F.col("a") - F.col("b")).alias("x")), ["user_id"], "x"))
+
+
+@register("a30_wilcoxon_p_value")
+def a30b(spark, d):
+    return agg.with_normal_test(agg.wilcoxon_signed_rank(pairs(spark, d).select("user_id", F.round((F.col("a") - F.col("b")) / 5).alias("d")), ["user_id"], "d"))

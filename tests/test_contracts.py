@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortwave.functions import scalar, spectral
+from cohortwave.functions import scalar, spectral, tails
 from cohortwave.operators import aggregates as agg
 from cohortwave.operators import clean, models, pairing, windows
 from cohortwave.sources import tables
@@ -236,3 +236,35 @@ def test_waveform_blobs(spark):
 def test_bounded_tables_refuse_more(spark):
     with pytest.raises(ValueError, match="subjects"):
         models.small_table(spark.range(11).withColumnRenamed("id", "s"), ["s"], most=10)
+
+
+def test_tails_against_numeric_integration(spark):
+    import math
+
+    def t_density(x, df):
+        return np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / np.sqrt(df * np.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+
+    grid = np.linspace(-2.1, 2.1, 400_001)
+    for df in (3, 10, 80):
+        assert float(tails.t_two_sided(np.asarray([2.1]), np.asarray([df]))[0]) == pytest.approx(1 - np.trapezoid(t_density(grid, df), grid), abs=1e-8)
+    for d1, d2 in ((1, 7), (4, 9), (30, 50), (200, 3)):
+        x = tails.f_quantile(np.asarray([0.975]), d1, d2)
+        assert float(tails.f_upper(x, d1, d2)[0]) == pytest.approx(0.025, abs=1e-10)
+    assert float(tails.f_upper(np.asarray([2.1**2]), 1, 10)[0]) == pytest.approx(float(tails.t_two_sided(np.asarray([2.1]), 10)[0]))
+    assert float(tails.normal_two_sided(np.asarray([1.959963984540054]))[0]) == pytest.approx(0.05)
+    df = spark.createDataFrame([(1.0, 3.0), (None, 3.0), (0.0, 3.0)], "t double, df double")
+    p = [r.p for r in df.select(tails.t_p_value(F.col("t"), F.col("df")).alias("p")).collect()]
+    assert p[0] == pytest.approx(0.391002, abs=1e-6) and p[1] is None and p[2] == pytest.approx(1)
+
+
+def test_icc_interval_brackets_and_matches_a_plain_anova(spark):
+    rng = np.random.default_rng(8)
+    target, rater = rng.standard_normal(40) * 2, np.asarray([0.0, 0.3, -0.2])
+    x = target[:, None] + rater + rng.standard_normal((40, 3))
+    df = spark.createDataFrame([("g", t, r, float(x[t, r])) for t in range(40) for r in range(3)], "g string, t int, r int, v double")
+    got = agg.icc_interval(df, ["g"], "t", "r", "v").first()
+    msr = 3 * x.mean(1).var(ddof=1)
+    msc = 40 * x.mean(0).var(ddof=1)
+    mse = ((x - x.mean(1, keepdims=True) - x.mean(0) + x.mean()) ** 2).sum() / 78
+    assert got.icc == pytest.approx((msr - mse) / (msr + 2 * mse + 3 * (msc - mse) / 40))
+    assert 0.5 < got.lower < got.icc < got.upper < 1 and got.p < 1e-6
