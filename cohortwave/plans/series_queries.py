@@ -478,20 +478,29 @@ def a40(spark, d):
 @register(
     "a41_protocol_grid_audit",
     """, m AS (SELECT user_id, label, window_index, avg(s) AS m FROM pw GROUP BY 1, 2, 3), a AS (SELECT label, user_id, count(*) AS n FROM m GROUP BY 1, 2), e AS (SELECT label, count(*) FILTER (n >= 2) AS eligible, count(*) AS sessions FROM a GROUP BY 1),
-    p AS (SELECT x.label, median(abs(x.m - y.m)) AS median_abs FROM m x JOIN m y ON x.user_id = y.user_id AND x.label = y.label AND x.window_index < y.window_index GROUP BY 1), i AS (SELECT quantile_cont(f, 0.75) - quantile_cont(f, 0.25) AS iqr FROM (SELECT user_id, avg(s) AS f FROM us GROUP BY 1))
-    SELECT label, sessions, eligible, median_abs / iqr AS nmae FROM e JOIN p USING (label), i""",
+    q AS (SELECT x.label, x.user_id, x.m AS a, y.m AS b FROM m x JOIN m y ON x.user_id = y.user_id AND x.label = y.label AND x.window_index < y.window_index), p AS (SELECT label, median(abs(a - b)) AS median_abs FROM q GROUP BY 1),
+    rk AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY a) + (count(*) OVER (PARTITION BY label, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY label ORDER BY b) + (count(*) OVER (PARTITION BY label, b) - 1) / 2.0 AS rb FROM q), rh AS (SELECT label, corr(ra, rb) AS rho FROM rk GROUP BY 1),
+    i AS (SELECT quantile_cont(f, 0.75) - quantile_cont(f, 0.25) AS iqr FROM (SELECT user_id, avg(s) AS f FROM us GROUP BY 1)), po AS (SELECT label, user_id, arg_max(m, window_index) - arg_min(m, window_index) AS d FROM m GROUP BY 1, 2 HAVING count(*) >= 2), dz AS (SELECT label, abs(avg(d) / stddev_samp(d)) AS abs_dz FROM po GROUP BY 1),
+    g AS (SELECT user_id, avg(s) AS f FROM us GROUP BY 1), gm AS (SELECT avg(f) AS gm FROM g), sg AS (SELECT m.label, avg(CAST(sign(m.m - gm) = sign(f - gm) AS INTEGER)) AS sign_agreement FROM m JOIN g USING (user_id), gm WHERE window_index = 0 GROUP BY 1)
+    SELECT label, sessions, eligible, median_abs / iqr AS nmae, rho, abs_dz, sign_agreement FROM e JOIN p USING (label) JOIN rh USING (label) JOIN dz USING (label) JOIN sg USING (label), i""",
     EVENTS,
     USER,
     PROTOCOL_SQL,
-    rnd="nmae",
+    rnd="nmae rho abs_dz sign_agreement",
 )
 def a41(spark, d):
+    """Per protocol: eligibility, disagreement and rank correlation of window pairs, position effect, sign against the whole session."""
     m = protocol_means(spark, d)
     n = m.groupBy("label", "user_id").agg(F.count("*").alias("n")).groupBy("label").agg(F.count("*").alias("sessions"), F.count_if(F.col("n") >= 2).alias("eligible"))
-    diff = agg.absolute_disagreement(pair.window_pairs(m, ["label", "user_id"], "m"), ["label"])
+    pairs = pair.window_pairs(m, ["label", "user_id"], "m")
+    diff, rho = agg.absolute_disagreement(pairs, ["label"]).select("label", "median_abs"), agg.spearman(pairs, ["label"]).select("label", "rho")
+    position = win.position_values(m, ["label", "user_id"], "m").groupBy("label").agg(F.abs(F.avg("late_minus_early") / F.stddev_samp("late_minus_early")).alias("abs_dz"))
     full = user_series(spark, d).groupBy("user_id").agg(F.avg("s").alias("f"))
-    iqr = full.agg((F.percentile("f", F.lit(0.75)) - F.percentile("f", F.lit(0.25))).alias("iqr"))
-    return n.join(diff, "label").join(F.broadcast(iqr)).select("label", "sessions", "eligible", (F.col("median_abs") / F.col("iqr")).alias("nmae"))
+    whole = full.agg((F.percentile("f", F.lit(0.75)) - F.percentile("f", F.lit(0.25))).alias("iqr"), F.avg("f").alias("gm"))
+    first = m.where("window_index = 0").join(full, "user_id").join(F.broadcast(whole)).select("label", (F.col("m") - F.col("gm")).alias("a"), (F.col("f") - F.col("gm")).alias("b"))
+    sign = agg.sign_stability(first, ["label"]).select("label", F.col("agreement").alias("sign_agreement"))
+    j = n.join(diff, "label").join(rho, "label").join(position, "label").join(sign, "label").join(F.broadcast(whole))
+    return j.select("label", "sessions", "eligible", (F.col("median_abs") / F.col("iqr")).alias("nmae"), "rho", "abs_dz", "sign_agreement")
 
 
 @register(
