@@ -17,8 +17,8 @@ import numpy as np
 
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
-#: Pieces remembered by a worker; beyond it the memory starts anew, so it stays under about 100 MB.
-REMEMBERED = 300_000
+#: Pieces remembered by a worker; beyond it the memory starts anew, so it stays under about 60 MB.
+REMEMBERED = 200_000
 JSON, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 LOOSE = re.compile(r"\s |^ | $")
 

@@ -165,8 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     if not totals["toxic"] or not open_rows:
         return none
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")  # at most labelled + unlabelled ids
-    found = distinct_words(docs.join(F.broadcast(ids), "doc_id", "left_semi")).collect()
-    words = {r["doc_id"]: np.frombuffer(r["words"], np.uint64) for r in found}
+    words = {r["doc_id"]: np.frombuffer(r["words"], np.uint64) for r in distinct_words(docs.join(F.broadcast(ids), "doc_id", "left_semi")).collect()}
     positive = [words[i] for i, (t, _) in sorted(chosen.items()) if t == 1 and i in words]
     free = [words[i] for i, (_, u) in sorted(chosen.items()) if u and i in words]
     if not positive or not free:
