@@ -327,18 +327,63 @@ def iaaft(v: np.ndarray, rng: np.random.Generator, rounds: int = 50) -> np.ndarr
     return out
 
 
+def by_group(df: DataFrame, keys: list[str], order: list[str], compute: Callable[[tuple, dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """compute(key, columns as arrays) for every group: grouped rows stream through one worker per partition.
+
+    For very many small groups, where an Arrow batch for each would cost more than the work in it. A group's rows are
+    held together, so groups must fit in a task; the partitioning is by all keys.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def results(frame: pd.DataFrame, bounds: np.ndarray) -> Iterator[pd.DataFrame]:
+            arrays = {c: frame[c].to_numpy() for c in frame.columns}
+            rows = []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                rows += compute(tuple(arrays[k][lo] for k in keys), {c: v[lo:hi] for c, v in arrays.items()})
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            fresh = np.zeros(len(batch), bool)
+            for k in keys:
+                v = batch[k].to_numpy()
+                fresh[1:] |= v[1:] != v[:-1]
+            starts = np.flatnonzero(fresh)
+            if held and any(held[-1][k].iloc[-1] != batch[k].iloc[0] for k in keys):
+                whole = pd.concat(held, ignore_index=True)
+                yield from results(whole, np.asarray([0, len(whole)]))
+                held = []
+            if len(starts):
+                head = pd.concat([*held, batch.iloc[: starts[0]]], ignore_index=True)
+                yield from results(head, np.asarray([0, len(head)]))
+                yield from results(batch, starts)
+                held = [batch.iloc[starts[-1] :]]
+            else:
+                held.append(batch)
+        if held:
+            whole = pd.concat(held, ignore_index=True)
+            yield from results(whole, np.asarray([0, len(whole)]))
+
+    # a stated number of partitions: few bytes with much work in them would otherwise be merged into one task
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def blockwise_iaaft(series: DataFrame, keys: list[str], order: str, x: str, k: int, seed: int) -> DataFrame:
     """k surrogates of every block (keys end with the block), each block on its own."""
     fields = dict(series.dtypes)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        i = int(part["replicate"].iloc[0])
-        rng = np.random.default_rng(seed_of(seed, i, *[part[c].iloc[0] for c in keys]))
-        return part[[*keys, "replicate", order]].assign(surrogate=iaaft(part[x].to_numpy(float), rng))
+    def surrogate(key: tuple, c: dict[str, np.ndarray]) -> list[tuple]:
+        rng = np.random.default_rng(seed_of(seed, int(key[-1]), *key[:-1]))
+        return [(*key, o, float(v)) for o, v in zip(c[order].tolist(), iaaft(c[x].astype(float), rng), strict=True)]
 
     copies = series.select(*keys, order, x).dropna().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return copies.groupBy(*keys, "replicate").applyInPandas(run, ", ".join(f"{c} {fields[c]}" for c in keys) + f", replicate int, {order} {fields[order]}, surrogate double")
+    return by_group(copies, [*keys, "replicate"], [order], surrogate, ", ".join(f"{c} {fields[c]}" for c in keys) + f", replicate int, {order} {fields[order]}, surrogate double")
 
 
 def fold_scores(y: np.ndarray, pred: np.ndarray) -> tuple[float | None, float]:
@@ -349,20 +394,18 @@ def fold_scores(y: np.ndarray, pred: np.ndarray) -> tuple[float | None, float]:
 def per_block_fold(series: DataFrame, key: str, fit: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple], columns: list[str], y: str, extra: str) -> DataFrame:
     """fit(train x, train y, train blocks, test x, test y) for each (participant, left-out block), in a task of its own."""
     kind = dict(series.dtypes)[key]
-    names = ["key", "fold", "n_train", "n_test", *[c.split()[0] for c in extra.split(", ")]]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        fold = part["fold"].iloc[0]
-        test = (part["block"] == fold).to_numpy()
-        x, t = part[columns].to_numpy(float), part[y].to_numpy(float)
+    def one(group: tuple, c: dict[str, np.ndarray]) -> list[tuple]:
+        test = c["block"] == group[1]
+        x, t = np.stack([c[n].astype(float) for n in columns], 1), c[y].astype(float)
         if test.all() or (~test).sum() <= 3:
-            return pd.DataFrame(columns=names)
-        return pd.DataFrame([(part[key].iloc[0], fold, int((~test).sum()), int(test.sum()), *fit(x[~test], t[~test], part["block"].to_numpy()[~test], x[test], t[test]))], columns=names)
+            return []
+        return [(group[0], group[1], int((~test).sum()), int(test.sum()), *fit(x[~test], t[~test], c["block"][~test], x[test], t[test]))]
 
     rows = series.select(key, "block", *columns, y).dropna()
     blocks = rows.groupBy(key).agg(F.collect_set("block").alias("folds"))
     copies = rows.join(blocks, key).withColumn("fold", F.explode("folds")).drop("folds")
-    return copies.groupBy(key, "fold").applyInPandas(run, f"key {kind}, fold long, n_train long, n_test long, {extra}")
+    return by_group(copies, [key, "fold"], ["block", *columns, y], one, f"key {kind}, fold long, n_train long, n_test long, {extra}")
 
 
 def block_cv_pca_ols(series: DataFrame, key: str, columns: list[str], y: str, least: float = 0.01) -> DataFrame:
