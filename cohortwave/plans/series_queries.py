@@ -386,6 +386,7 @@ def p14(spark, d):
     SB,
     SPAN,
     rnd="mean_driving mean_gap gap_fraction scale_ratio",
+    digits=9,
 )
 def a45(spark, d):
     return pair.mask_audit(masked(spark, d), ["user_id"], "s")
@@ -510,6 +511,7 @@ def a41(spark, d):
     EVENTS,
     USER,
     rnd="mean",
+    digits=9,
 )
 def a43(spark, d):
     us = user_series(spark, d)
