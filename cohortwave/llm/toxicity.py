@@ -77,9 +77,12 @@ def distinct_words(docs: DataFrame) -> DataFrame:
 
 def select_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> np.ndarray:
     """Sorted hashes of the words whose document shares in the two sets differ most surely."""
-    keys, inverse = np.unique(np.concatenate([*positive, *unlabelled, np.zeros(0, np.uint64)]), return_inverse=True)
-    cut = sum(map(len, positive))
-    p, u = np.bincount(inverse[:cut], minlength=len(keys)), np.bincount(inverse[cut:], minlength=len(keys))
+    none = np.zeros(0, np.uint64)
+    (pk, pc), (uk, uc) = (np.unique(np.concatenate([*docs, none]), return_counts=True) for docs in (positive, unlabelled))
+    keys = np.union1d(pk, uk)
+    p, u = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    p[np.searchsorted(keys, pk)] = pc
+    u[np.searchsorted(keys, uk)] = uc
     a, b = max(1, len(positive)), max(1, len(unlabelled))
     share = (p + u + 1) / (a + b + 2)
     sure = np.abs(p / a - u / b) / np.sqrt(share * (1 - share + 1e-9) * (1 / a + 1 / b))
