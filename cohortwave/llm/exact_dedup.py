@@ -69,16 +69,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         won = ids.join(asked, "digest").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1").collect()
         heavy = spark.createDataFrame([tuple(r) for r in won], schema)
     split = ids.join(F.broadcast(heavy), "digest", "left")
-    rest = split.where("keep_id is null").select("doc_id", "digest")
+    rest = split.where("group_size is null").select("doc_id", "digest")
     groups = rest.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    found = split.where("keep_id is not null").select("doc_id", "keep_id", "group_size", "digest").unionByName(rest.join(groups, "digest").select("doc_id", "keep_id", "group_size", "digest"))
+    found = split.where("group_size is not null").select("doc_id", "keep_id", "group_size", "digest").unionByName(rest.join(groups, "digest").select("doc_id", "keep_id", "group_size", "digest"))
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    """The rows of docs that stay, with their columns.
+
+    A text that only rows without an id hold keeps one of them; where another row with that text has an id, none.
+    """
+    found = exact_duplicates(docs)
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    alone = found.where("doc_id is null and keep_id is null").select("text_sha256")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    nameless = docs.where(docs["doc_id"].isNull()).select(F.sha2(F.coalesce(docs["text"], F.lit("")), 256).alias("digest"), row)
+    nameless = nameless.join(alone, nameless["digest"] == alone["text_sha256"], "left_semi").groupBy("digest").agg(F.first("row").alias("row")).select("row.*")
+    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").unionByName(nameless)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

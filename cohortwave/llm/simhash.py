@@ -297,9 +297,14 @@ def similar_documents(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarit
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay when one document of each group of near-duplicates does: that of the smallest id."""
-    kept = similar_documents(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    """The rows of docs that stay when one document of each group of near-duplicates does: that of the smallest id.
+
+    Rows without an id come after all that have one, in an order of their texts' hashes; those of one text stay or go together.
+    """
+    order = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    number = F.coalesce(F.col("doc_id").cast("long"), order)
+    kept = similar_documents(docs.select(number.alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, number == F.col("kept_id"), "left_semi")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

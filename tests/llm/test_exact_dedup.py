@@ -46,3 +46,11 @@ def test_dropping_keeps_columns(documents):
     left = exact_dedup.drop_exact_duplicates(documents(ROWS))
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in left.collect()} == {i for i, v in brute(ROWS).items() if v[2]}
+
+
+def test_rows_without_an_id_stay_where_no_other_row_has_their_text(documents):
+    rows = [(1, "a"), (2, "a"), (None, "a"), (None, "alone"), (None, "twice"), (None, "twice"), (3, None), (None, "")]
+    for copies in (1, 400):  # the second finds "twice" as a frequent digest
+        left = exact_dedup.drop_exact_duplicates(documents([*rows, *[(None, "twice")] * copies]))
+        assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(2, "a"), (3, None), (None, "alone"), (None, "twice")], key=str)

@@ -121,3 +121,11 @@ def test_similar_documents_against_brute_force(documents, clashing):
     left = simhash.drop_similar(documents(rows))
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"] and left.count() == len(set(got.values()))
     assert simhash.similar_documents(documents([])).count() == 0
+
+
+def test_rows_without_an_id_stay_unless_near_another(documents):
+    words = [f"w{i}" for i in range(200)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(7, " ".join(words)), (None, near), (None, "nothing like the other rows at all"), (None, "v " * 50), (None, None), (9, "")]
+    left = simhash.drop_similar(documents(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([rows[0], rows[2], rows[3], rows[5]], key=str)
