@@ -33,6 +33,47 @@ def test_short_paths_lose_to_long_ones():
     assert main_text.main_text(page) == f"{LONG.strip()} {LONG.strip()} Yes."
 
 
+def neutral(paragraphs, menu=12):
+    """No article, no telling class: a menu, a teaser, a text column with a subheading, a strip of captions, a last line."""
+    links = "".join(f"<div class=k2><a href='/{i}'>item {i}</a></div>" for i in range(menu))
+    column = "".join(f"<p>{p}</p>" for p in paragraphs[:2]) + "<h2>Half way</h2>" + "".join(f"<p>{p}</p>" for p in paragraphs[2:])
+    captions = "".join(f"<div class=k6>Picture {i}</div>" for i in range(6))
+    return f"<body><div class=k1>{links}</div><div class=k3>See it all</div><div class=k4>{column}</div><div class=k5>{captions}</div><div class=k7>Made with care since 1990</div></body>"
+
+
+def test_ratio_alone_decides():
+    paragraphs = [f"{LONG}Part {i}." for i in range(5)]
+    page = main_text.Page(neutral(paragraphs))
+    assert {b.element.factor for b in page.blocks} == {main_text.NEUTRAL}
+    assert main_text.main_text(neutral(paragraphs)) == " ".join([*paragraphs[:2], "Half way", *paragraphs[2:]])
+    assert len(page.blocks) - int(main_text.chosen(page.blocks).sum()) >= 20
+
+
+def test_ratio_also_decides_inside_an_article():
+    teasers = "".join(f"<div class=k{i}>{i} more</div>" for i in range(8))
+    assert main_text.main_text(f"<article><p>{LONG}</p><p>{LONG}</p><section>{teasers}</section></article>") == f"{LONG.strip()} {LONG.strip()}"
+
+
+def test_ratio_removes_blocks_of_the_given_pages():
+    import pyarrow.parquet as pq
+
+    removed = 0
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist():
+        blocks = main_text.Page(page).blocks
+        removed += len(blocks) - int(main_text.chosen(blocks).sum())
+    assert removed > 100
+
+
+def test_deeply_nested_pages_in_linear_time():
+    import time
+
+    n = 100_000
+    began = time.process_time()
+    assert main_text.main_text("<div>" * n + LONG + "</div>" * n) == LONG.strip()
+    assert main_text.main_text("<p><li>" + "<h2>x</q></ul>" * n) == " ".join("x" * n)
+    assert time.process_time() - began < 30
+
+
 def test_operator(spark):
     rows = [(i, f"u{i}", page, "x") for i, (page, _) in enumerate(CASES)] + [(100, None, None, "x"), (101, "u", "<p>" * 20_000 + "deep", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
