@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortwave.llm.base import table, texts, written
-from cohortwave.llm.tokens import RANKS, Encoder, tokenizer_path
+from cohortwave.llm.tokens import RANKS, encoder, tokenizer_path
 
 WINDOW = 1024
 TIERS = (256, 512, 1024)
@@ -28,6 +28,8 @@ END_ID = 0
 STEP_WINDOWS = 64
 #: Pieces per hash bucket that one task ranks, about.
 BUCKET_ROWS = 20_000
+#: Buckets whose counts are summed in one task.
+SHELF = 1_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step long"
@@ -38,17 +40,18 @@ def pieces(docs: DataFrame, window: int = WINDOW, ranks_path: str | None = None,
     ranks_path = ranks_path or tokenizer_path(RANKS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(ranks_path), np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
-            out: list[tuple[int, int, int, int, int]] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
-                total = len(ids) // 4
-                for at in range(0, total, window):
-                    part = ids[4 * at : 4 * (at + window)]
-                    out.append((doc, at, len(part) // 4, zlib.crc32(part), total))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for lo, hi, ids, at in encoder(ranks_path).rows(batch.column("text")):
+                closed = np.insert(ids, at[1:], END_ID).astype("<u4", copy=False)
+                at = at + np.arange(hi - lo + 1)
+                total = np.diff(at)
+                per_doc = -(-total // window)
+                row = np.repeat(np.arange(hi - lo), per_doc)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * window
+                length = np.minimum(window, total[row] - start)
+                raw, first = memoryview(closed).cast("B"), 4 * (at[row] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+                yield pa.record_batch([batch.column("doc_id").take(pa.array(lo + row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[row])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return texts(docs, id_col, text_col).mapInArrow(cut, PIECE)
 
@@ -111,6 +114,18 @@ def placements(plan: list[tuple[int, int, dict[int, int]]], step_windows: int =
     return {length: tuple(np.asarray(c, np.int64) for c in zip(*r, strict=True)) for length, r in runs.items()}, steps
 
 
+def bucket_bases(counts: DataFrame, shelf: int = SHELF) -> DataFrame:
+    """(length, bucket, base): rows of the length in all buckets before. counts: length, bucket, n.
+
+    Sums go over shelves of so many buckets first, then over the buckets of a shelf, so no task reads every bucket of a length.
+    """
+    shelved = counts.withColumn("shelf", F.floor(F.col("bucket") / shelf))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    shelves = shelved.groupBy("length", "shelf").agg(F.sum("n").alias("n")).select("length", "shelf", F.coalesce(F.sum("n").over(earlier("length").orderBy("shelf")), F.lit(0)).alias("shelf_base"))
+    inside = shelved.withColumn("inside", F.coalesce(F.sum("n").over(earlier("length", "shelf").orderBy("bucket")), F.lit(0)))
+    return inside.join(shelves, ["length", "shelf"]).select("length", "bucket", (F.col("shelf_base") + F.col("inside")).alias("base"))
+
+
 def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window, step.
 
@@ -123,9 +138,10 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, ranks_path: str | None
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     where, steps = placements(packing_plan(histogram, tiers))
     buckets = max(8, sum(histogram.values()) // BUCKET_ROWS)
-    ranked = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).withColumn("at", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1)
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut.groupBy("length", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
+    ranked = cut.select("*", bucket).withColumn("at", own)
+    bases = bucket_bases(cut.groupBy("length", bucket).agg(F.count("*").alias("n")))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,21 +22,32 @@ def ids(text):
     return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
-def ours(text):
-    return np.frombuffer(OURS.encode(text or ""), "<u4").tolist()
+def columns(texts):
+    """The same from whole columns: ids of each text, and their counts."""
+    column = pa.array(texts, pa.string())
+    found = [ids[a:b].tolist() for _, _, ids, at in OURS.rows(column) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert OURS.counts(column).tolist() == list(map(len, found))
+    return found
 
 
 def test_same_ids_as_the_library():
-    for text in ODD:
-        assert ours(text) == ids(text), repr(text)
-    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist():
-        assert ours(text) == ids(text)
+    texts = [*ODD, *(t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist())]
+    want = [ids(t) for t in texts]
+    assert [OURS.encode(t).tolist() for t in texts] == want
+    for _ in range(2):  # with and without remembered pieces
+        assert columns(texts) == want
+    assert columns(texts[3:][::-1]) == want[3:][::-1]
+    OURS.forget()
+    assert columns(texts[:1]) == want[:1]
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab'sé1 \n\t \x1c　.,<|>")), max_size=30))
 def test_same_ids_on_random_text(text):
-    assert ours(text) == ids(text)
+    texts = [text, text[::-1], f"{text} {text}", " " + text]
+    want = [ids(t) for t in texts]
+    assert columns(texts) == want
+    assert [OURS.encode(t).tolist() for t in texts] == want
 
 
 ROWS = [*enumerate(ODD), (50, None), *[(100 + i, "same words here") for i in range(40)]]
@@ -87,3 +99,9 @@ def test_plan_places_every_length_with_little_padding():
             placed[length] += many * n
     assert placed == histogram
     assert sum(length * n for length, n in histogram.items()) / room > 0.995
+
+
+def test_bucket_bases_over_many_shelves(spark):
+    rows = [(length, b, (b * 7 + length) % 5 + 1) for length in (3, 1024) for b in range(37) if b % 6]
+    got = packing.bucket_bases(spark.createDataFrame(rows, "length long, bucket long, n long"), shelf=4).collect()
+    assert sorted(map(tuple, got)) == sorted((length, b, sum(n for k, c, n in rows if k == length and c < b)) for length, b, _ in rows)
