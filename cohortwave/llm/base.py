@@ -50,6 +50,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds more than this share of all rows is heavy. At most 1 / HEAVY keys can be, whatever the data.
+HEAVY = 1 / 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n") -> DataFrame:
+    """Inner join of rows with groups: one row a key, `size` the number of rows that hold it.
+
+    Groups of heavy keys, 1 / HEAVY at most, are broadcast, so that the rows of one key never meet in one task; the rest is shuffled.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    heavy = F.col(size) > total * HEAVY
+    hot = F.broadcast(groups.where(heavy))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(~heavy), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 row offsets; nulls are empty."""
     if column.null_count:

@@ -1,7 +1,8 @@
 """Token counts through a digest cache: only distinct texts that no earlier run has counted are encoded.
 
 Key of the cache: SHA-256 of the text (null as empty, otherwise unchanged, since counts depend on every byte) and of
-the tokenizer file. A copy of a text, in this run or an earlier one, costs a join instead of an encoding.
+the tokenizer file. A copy of a text, in this run or an earlier one, costs a join instead of an encoding; digests of very
+many rows are joined by a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwave.llm.base import shared_dir, table, texts
-from cohortwave.llm.tokens import JSON, RANKS, Encoder, tokenizer_path, tokenizer_version
+from cohortwave.llm.base import join_groups, shared_dir, table, texts, written
+from cohortwave.llm.tokens import JSON, RANKS, encoder, tokenizer_path, tokenizer_version
 
 TOKEN_LIMIT = 512
 CACHE = "digest string, version string, n_tokens long"
@@ -41,16 +42,16 @@ def token_counts(docs: DataFrame, cache_path: str, limit: int = TOKEN_LIMIT, id_
     rows = texts(docs, id_col, text_col).withColumn("digest", F.sha2("text", 256))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks_path)
         for batch in batches:
-            n = [len(encoder.encode(t)) // 4 for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "version", "n_tokens"])
+            n = encoder(ranks_path).counts(batch.column("text"))
+            yield pa.record_batch([batch.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n)], names=["digest", "version", "n_tokens"])
 
     # the duplicates go before the shuffle as well as after it, so a large group of copies sends one text per task
     misses = rows.select("digest", "text").dropDuplicates(["digest"]).join(cached_counts(spark, cache_path, version), "digest", "left_anti")
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
-    counted = cached_counts(spark, cache_path, version)
-    return rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(counted, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    narrow = written(rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    counted = cached_counts(spark, cache_path, version).join(narrow.groupBy("digest").agg(F.count("*").alias("n")), "digest")
+    return join_groups(narrow, counted, ["digest"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
