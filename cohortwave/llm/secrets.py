@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.
 MIN_VALUE = 6
 #: Labelled rows of either class that the Markov models are fitted on, at most (documents with the least hash of their id).
 SAMPLE_DOCS = 5_000
+#: Matches whose places are summed up together.
+RUN = 256
 #: Mean log-likelihood ratio per character step, in nats, above which a token is random.
 THRESHOLD = 0.75
 SMOOTHING = 0.1
@@ -35,21 +38,48 @@ SMOOTHING = 0.1
 PRIOR_PAIRS = 20
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is computed once, also where body's own functions use it for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def spans_of(text: Column, kind: str, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, end, kind, hit>>, in code points."""
+    """Leftmost non-overlapping matches as array<struct<start, end, kind, hit>>, in code points.
+
+    Starts are running sums of the lengths before: within runs of RUN matches first, then over the runs, so that
+    the work stays in proportion to a text's matches.
+    """
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = F.transform(hits, lambda hit, i: F.struct(F.length(F.get(between, i)).alias("gap"), hit.alias("hit")))
-    kind_col = F.lit(kind)
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,hit:string>>)")
+    span = "struct<start:int,end:int,kind:string,hit:string>"
+    empty = F.expr(f"cast(array() as array<{span}>)")
 
     def advance(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), kind_col.alias("kind"), x["hit"].alias("hit")))
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("hit")))
         return F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found"))
 
-    found = F.aggregate(step, F.struct(F.lit(0).alias("at"), empty.alias("found")), advance, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    def append(acc: Column, run: Column) -> Column:
+        one = F.array(F.struct(acc["at"].alias("base"), run["found"].alias("found")))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["runs"], one).alias("runs"))
+
+    def placed(run: Column) -> Column:
+        return F.transform(run["found"], lambda s: F.struct((s["start"] + run["base"]).alias("start"), (s["end"] + run["base"]).alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit")))
+
+    def located(steps: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int")), lambda j: F.slice(steps, j * RUN + 1, F.lit(RUN)))
+        summed = F.transform(runs, lambda run: F.aggregate(run, F.struct(F.lit(0).alias("at"), empty.alias("found")), advance))
+        none = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<struct<base:int,found:array<{span}>>>)").alias("runs"))
+        return F.flatten(F.transform(F.aggregate(summed, none, append, lambda acc: acc["runs"]), placed))
+
+    paired = bound(between, lambda gaps: F.transform(hits, lambda hit, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), hit.alias("hit"))))
+    return F.when(text.rlike(pattern), bound(paired, located)).otherwise(empty)
+
+
+def apart_from(span: Column, starts: Column, ends: Column) -> Column:
+    """Whether a span meets none of the others, which are in order and don't overlap: of those that start before its end, only the last can."""
+    count = F.aggregate(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), F.lit(0), lambda k, step: F.when((k + step <= F.size(starts)) & (F.get(starts, k + step - 1) < span["end"]), k + step).otherwise(k))
+    return bound(count, lambda k: (k == 0) | (F.get(ends, k - 1) <= span["start"]))
 
 
 def value_of(span: Column) -> Column:
@@ -71,15 +101,18 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
     merged = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).cast("int").alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"))) for k, _ in KINDS])
     out = out.withColumn("base", F.array_sort(merged))
     tokens = spans_of(F.col("text"), "random", TOKEN)
-    apart = F.filter(tokens, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    mixed = F.filter(apart, lambda t: unlabelled(t["hit"]))
-    return out.withColumn("tokens", mixed)
+    apart = F.filter(tokens, lambda t: unlabelled(t["hit"]))
+    for kind, _ in KINDS:  # spans of one kind don't overlap
+        meets = lambda found, kind=kind: bound(F.transform(kind, lambda s: s["start"]), lambda starts: bound(F.transform(kind, lambda s: s["end"]), lambda ends: F.filter(found, lambda t: apart_from(t, starts, ends))))
+        apart = F.when(F.size(kind) > 0, meets(apart)).otherwise(apart)
+    return out.withColumn("tokens", apart)
 
 
 def steps(token: Column) -> Column:
     """Indices of a token's character pairs in a square table over ALPHABET; characters outside have index 0."""
-    at = lambda i: F.greatest(F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1, F.lit(0))
-    return F.when(F.length(token) > 1, F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: at(i) * len(ALPHABET) + at(i + 1))).otherwise(F.array().cast("array<int>"))
+    at = F.transform(F.split(token, ""), lambda c: F.greatest(F.instr(F.lit(ALPHABET), c) - 1, F.lit(0)))
+    pairs = bound(at, lambda codes: F.transform(F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0))), lambda code, i: F.get(codes, i) * len(ALPHABET) + code))
+    return F.when(F.length(token) > 1, pairs).otherwise(F.array().cast("array<int>"))
 
 
 def fit_ratio(docs: DataFrame, found: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:

@@ -30,6 +30,30 @@ def test_base_spans_against_brute_force(documents, clashing):
         assert got == {i: brute(t) for i, t in rows}
 
 
+def brute_tokens(text):
+    """Long mixed tokens that meet no base span."""
+    base = [tuple(map(int, b.split(":")[1:])) for b in brute(text).split(",") if b]
+    found = [m for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    return [(m.start(), m.end()) for m in found if not any(a < m.end() and m.start() < b for a, b in base)]
+
+
+def test_tokens_apart_from_base_spans(documents):
+    rng = random.Random(9)
+    parts = ["token=", "secret: ", " ", "\n", "a1" * 12, "AKIA" + "B2" * 10, "Zx9_" * 6, "é", "=", "password=abc", "f" * 30, "key-value-1-" * 3]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 60)))) for i in range(300)]
+    got = {r.doc_id: [(t.start, t.end) for t in r.tokens] for r in secrets.with_base_spans(documents(rows).select("doc_id", "text")).collect()}
+    assert got == {i: brute_tokens(t) for i, t in rows}
+
+
+def test_very_many_hits_and_a_very_long_token(documents):
+    """Work grows with the hits, not with their square: 100,000 of them in one text, and a token of a million characters."""
+    n = 100_000
+    many = " ".join(f"token=abc{i:05d}" for i in range(n))
+    rows = [(1, many), (1, many), (2, " ".join(f"Ab{i:06d}xyzQRSTUVWxyz9" for i in range(n)) + " token=abc12345"), (3, "Zq8j" * 250_000)]
+    got = secrets.secret_spans(documents(rows)).selectExpr("doc_id", "size(base) as n", "get(base, size(base) - 1).start as last", "size(added) as added").collect()
+    assert sorted((r.doc_id, r.n, r["last"]) for r in got) == [(1, n, len(many) - 14), (1, n, len(many) - 14), (2, 1, len(rows[2][1]) - 14), (3, 0, None)]
+
+
 def test_random_strings_are_added_and_identifiers_are_not(documents):
     rng = random.Random(5)
     chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
