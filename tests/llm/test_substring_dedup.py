@@ -39,14 +39,35 @@ def corpus(seed):
     return [*rows, (70, "the same " * 400), (71, "the same " * 90), (72, None), (73, ""), (74, "x"), (75, "a" * 100_000 + " b")]
 
 
-@pytest.mark.parametrize("hot", [200, 1])
-def test_against_brute_force(documents, clashing, hot):
-    rows = corpus(hot)
+@pytest.mark.parametrize("full", [200, 4, 1])
+def test_against_brute_force(documents, clashing, full):
+    """With full = 1 every shared bucket goes through all three minimisers and the ranges behind them."""
+    rows = corpus(full)
     for docs in (documents(rows).repartition(3), clashing(rows)):
-        got = sorted(map(tuple, substring_dedup.without_repeated_windows(docs, hot=hot).collect()))
+        got = sorted(map(tuple, substring_dedup.without_repeated_windows(docs, full=full).collect()))
         assert got == brute(rows)
 
 
+def test_rows_of_one_id_and_several_texts(documents):
+    words = lambda start, n: " ".join(f"w{i}" for i in range(start, start + n))
+    rows = [(0, words(0, 60)), (1, f"{words(900, 5)} {words(0, 60)}"), (1, words(200, 70)), (1, words(200, 70)), (1, f"x {words(200, 70)}"), (2, words(200, 70)), (None, words(0, 60)), (None, words(400, 60)), (3, words(400, 60))]
+    got = substring_dedup.without_repeated_windows(documents(rows)).collect()
+    ours = [(i, t) for i, t in rows if i is not None]
+    assert sorted(tuple(r) for r in got if r.doc_id is not None) == brute(ours)
+    assert sorted(r.n_removed for r in got if r.doc_id == 1) == [0, 0, 0, 60]
+    assert [r.n_removed for r in got if r.doc_id is None] == [0, 0]
+    assert [r.n_removed for r in got if r.doc_id == 3] == [0]
+
+
+def test_word_orders_that_fool_polynomial_hashes(documents):
+    """Two Thue-Morse sequences have one polynomial hash modulo 2**64; their windows must stay apart."""
+    order = [bin(i).count("1") % 2 for i in range(4096)]
+    first, second = (" ".join("ab"[bit ^ flip] for bit in order) for flip in (0, 1))
+    rows = [(1, f"{first} end"), (2, f"{second} end"), (3, f"start {first}")]
+    got = sorted(map(tuple, substring_dedup.without_repeated_windows(documents(rows)).collect()))
+    assert got == brute(rows)
+
+
 def test_empty_and_repeated_rows(documents):
     assert substring_dedup.without_repeated_windows(documents([])).count() == 0
     text = " ".join(str(i) for i in range(60))
