@@ -1,6 +1,6 @@
 """Exact duplicates by a heavy-hitter split.
 
-Frequent digests are found by Misra-Gries summaries (one pass, bounded counters, merged in a tree); their exact
+Frequent digests are found by Misra-Gries summaries (one pass, bounded counters, merged FAN_IN at a time); their exact
 winners are verified and broadcast, so that the copies of a very large group never meet in one task. All other
 digests use an ordinary shuffle of narrow rows.
 """
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ from cohortwave.llm.base import checkpointed, table, texts
 
 #: Counters of a summary. A digest held by more than rows / (COUNTERS + 1) rows is found for certain.
 COUNTERS = 256
-#: Groups of the intermediate merge: the driver gets at most MERGERS x COUNTERS rows, whatever the input.
-MERGERS = 8
+#: Summaries that one task merges, and that the driver gets at most, whatever the input.
+FAN_IN = 32
 
 
 def merged_counts(counts: pd.Series, counters: int) -> pd.Series:
@@ -39,14 +40,17 @@ def frequent_candidates(digests: DataFrame, counters: int = COUNTERS) -> list[st
         kept = pd.Series(dtype="int64")
         for batch in batches:
             kept = merged_counts(pd.concat([kept, batch["digest"].value_counts()]), counters)
-        yield pd.DataFrame({"merger": np.full(len(kept), zlib.crc32(kept.index[0].encode()) % MERGERS if len(kept) else 0, "int32"), "digest": kept.index.astype(str), "n": kept.to_numpy("int64")})
+        yield pd.DataFrame({"part": np.full(len(kept), TaskContext.get().partitionId(), "int64"), "digest": kept.index.astype(str), "n": kept.to_numpy("int64")})
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         kept = merged_counts(part.set_index("digest")["n"], counters)
-        return pd.DataFrame({"digest": kept.index.astype(str), "n": kept.to_numpy("int64")})
+        return pd.DataFrame({"part": np.full(len(kept), part["part"].iloc[0]), "digest": kept.index.astype(str), "n": kept.to_numpy("int64")})
 
-    parts = digests.select("digest").mapInPandas(summarise, "merger int, digest string, n long")
-    rows = parts.groupBy("merger").applyInPandas(merge, "digest string, n long").collect()
+    schema = "part long, digest string, n long"
+    parts = checkpointed(digests.select("digest").mapInPandas(summarise, schema))
+    while (parts.agg(F.max("part")).first()[0] or 0) >= FAN_IN:
+        parts = checkpointed(parts.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part").applyInPandas(merge, schema))
+    rows = parts.collect()  # at most FAN_IN x counters
     if not rows:
         return []
     return list(merged_counts(pd.Series([r.n for r in rows], index=[r.digest for r in rows]), counters).index)
@@ -56,7 +60,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: doc_id, keep_id (largest id of its group), group_size, kept, text_sha256.
 
     Null texts count as empty and form one group with empty texts; repeated rows of one id are all kept or all
-    dropped together; an empty table gives an empty result; no other column of ``docs`` is read.
+    dropped together; a row without an id counts in its group's size, and its `kept` is null; an empty table gives an
+    empty result; no other column of ``docs`` is read.
     """
     spark = docs.sparkSession
     ids = checkpointed(texts(docs, id_col, text_col).select("doc_id", F.sha2("text", 256).alias("digest")))
