@@ -54,12 +54,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 HEAVY = 1 / 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n") -> DataFrame:
-    """Inner join of rows with groups: one row a key, `size` the number of rows that hold it.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n", total: int | None = None) -> DataFrame:
+    """Inner join of rows with groups: one row a key, `size` the number of rows that hold it, total their sum (None: asked for).
 
     Groups of heavy keys, 1 / HEAVY at most, are broadcast, so that the rows of one key never meet in one task; the rest is shuffled.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    total = groups.agg(F.sum(size)).first()[0] or 0 if total is None else total
     heavy = F.col(size) > total * HEAVY
     hot = F.broadcast(groups.where(heavy))
     cold = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(~heavy), keys)

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwave.llm.base import checkpointed
+from cohortwave.llm.base import checkpointed, join_groups
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Every node links its larger neighbours to the least node around it."""
+def large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Every node links its larger neighbours to the least node around it. total: how many links there are."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("least", "a").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select("a", F.least("least", "a").alias("m"), "n")
+    return join_groups(both, least, ["a"], total=2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_groups(down, least, ["a"], total=total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = checkpointed(edges.select("a", "b").where("a <> b").distinct())
     before = marks(now)
     while before[0]:
-        now = checkpointed(small_star(large_star(now)))
+        outward = checkpointed(large_star(now, before[0]))
+        now = checkpointed(small_star(outward, outward.count()))
         after = marks(now)
         if after == before:
             break

@@ -9,7 +9,7 @@ sum exceeds the radius. Groups send a spanning set of links on, never all pairs;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwave.llm.base import ASCII_SPACE, Powers, WordScanner, checkpointed, chunks, mix, ranged_hash, table, texts
+from cohortwave.llm.base import checkpointed, join_groups, table, texts
 from cohortwave.llm.components import connected_components
 
 SHINGLE = 3
@@ -31,12 +31,6 @@ FANOUT = 8
 #: Up to so many fingerprints are compared in one matrix; groups of up to TINY are compared all groups at once.
 SMALL = 48
 TINY = 6
-#: Bins of the shingle sketch that similar_documents() verifies links with, and its defaults: five-word shingles,
-#: estimated Jaccard similarity (standard error about 0.04) from which two documents are near-duplicates.
-BINS = 100
-WORD_RADIUS = 5
-SIMILAR_SHINGLE = 5
-SIMILARITY = 0.78
 
 
 def bit_votes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, int]:
@@ -83,15 +77,30 @@ def gray_rank(values: np.ndarray) -> np.ndarray:
     return rank
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints: numbers of 64 bits, or rows of several."""
+    apart = np.bitwise_count(a ^ b)
+    return apart if apart.ndim == 1 else apart.sum(axis=-1, dtype=np.int64)
+
+
+def gray_order(values: np.ndarray) -> np.ndarray:
+    """Order of fingerprints by Gray rank; of several numbers, the first counts most and an odd one turns the next round."""
+    if values.ndim == 1:
+        return np.argsort(gray_rank(values), kind="stable")
+    odd = np.cumsum(np.bitwise_count(values), axis=1) % 2
+    ranks = gray_rank(values)
+    ranks[:, 1:] ^= np.where(odd[:, :-1] == 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+    return np.lexsort(ranks.T[::-1])
+
+
 class GrayIndex:
     """Hierarchical index over fingerprints in Gray order."""
 
     def __init__(self, values: np.ndarray, fanout: int = FANOUT) -> None:
-        self.order = np.argsort(gray_rank(values), kind="stable")
+        self.order = gray_order(values)
         self.fanout = fanout
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
         level_and = level_or = values[self.order]
-        patterns, masks = [level_and], [np.full(len(values), full)]
+        patterns, masks = [level_and], [np.full(level_and.shape, 0xFFFFFFFFFFFFFFFF, np.uint64)]
         while len(level_and) > fanout:
             at = np.arange(0, len(level_and), fanout)
             level_and, level_or = np.bitwise_and.reduceat(level_and, at), np.bitwise_or.reduceat(level_or, at)
@@ -101,11 +110,11 @@ class GrayIndex:
         self.patterns = patterns[::-1]
         self.masks = masks[::-1]
         for depth in range(len(self.masks) - 1, 0, -1):
-            above = np.repeat(self.masks[depth - 1], fanout)[: len(self.masks[depth])]
+            above = np.repeat(self.masks[depth - 1], fanout, axis=0)[: len(self.masks[depth])]
             self.masks[depth] = self.masks[depth] & ~above
 
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, value number) of all pairs at most radius bits apart."""
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, value number, differing bits) of all pairs at most radius bits apart."""
         q = np.repeat(np.arange(len(queries)), len(self.patterns[0]))
         node = np.tile(np.arange(len(self.patterns[0])), len(queries))
         apart = np.zeros(len(q), np.int64)
@@ -115,72 +124,75 @@ class GrayIndex:
                 node = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
                 there = node < len(pattern)
                 q, apart, node = q[there], apart[there], node[there]
-            apart = apart + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
+            apart = apart + distance(queries[q] & mask[node], pattern[node] & mask[node])
             near = apart <= radius
             q, apart, node = q[near], apart[near], node[near]
-        return q, self.order[node]
-
-
-def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Merge the classes of a[i] and b[i]; a class is named by its smallest member."""
-    while True:
-        la, lb = labels[a], labels[b]
-        if np.array_equal(la, lb):
-            return labels
-        low = np.minimum(la, lb)
-        np.minimum.at(labels, la, low)
-        np.minimum.at(labels, lb, low)
-        while not np.array_equal(labels, up := labels[labels]):
-            labels = up
-
-
-def group_pairs(values: np.ndarray, radius: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions of values at most radius bits apart, a block of searches at a time."""
+        return q, self.order[node], apart
+
+
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Positions of links that join what all links (a, b) join, the nearest first: a minimum spanning forest of n nodes."""
+    labels, taken = np.arange(n), []
+    order = np.argsort(apart, kind="stable")
+    for level in np.split(order, np.flatnonzero(np.diff(apart[order])) + 1) if len(order) else []:
+        while True:
+            la, lb = labels[a[level]], labels[b[level]]
+            level = level[la != lb]
+            if not len(level):
+                break
+            la, lb = labels[a[level]], labels[b[level]]
+            high, first = np.unique(np.maximum(la, lb), return_index=True)  # each class joins one of a smaller label
+            taken.append(level[first])
+            labels[high] = np.minimum(la, lb)[first]
+            while not np.array_equal(labels, up := labels[labels]):
+                labels = up
+    return np.concatenate(taken) if taken else np.zeros(0, np.int64)
+
+
+def group_forest(values: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the pairs of one group within radius bits; a block of searches at a time."""
     if len(values) <= SMALL:
-        yield np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= radius, 1))
-        return
+        a, b = np.triu_indices(len(values), 1)
+        apart = distance(values[a], values[b])
+        near = apart <= radius
+        a, b, apart = a[near], b[near], apart[near]
+        own = spanning_forest(len(values), a, b, apart)
+        return a[own], b[own]
     index = GrayIndex(values)
+    a, b, apart = (np.zeros(0, np.int64) for _ in range(3))
     for at in range(0, len(values), block):
-        q, v = index.within(values[at : at + block], radius)
-        yield q + at, v
-
+        q, v, d = index.within(values[at : at + block], radius)
+        q = q + at
+        new = q < v
+        a, b, apart = np.append(a, q[new]), np.append(b, v[new]), np.append(apart, d[new])
+        own = spanning_forest(len(values), a, b, apart)
+        a, b, apart = a[own], b[own], apart[own]
+    return a, b
 
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of rows of shingle sketches (0: empty bin)."""
-    used = ((a != 0) | (b != 0)).sum(axis=1)
-    same = ((a == b) & (a != 0)).sum(axis=1)
-    return np.where(used == 0, 1.0, (same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255))
 
-
-def spanning_links(bounds: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(bounds: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that join all rows linked within groups fps[bounds[i]:bounds[i + 1]]; fewer than there are rows."""
-    labels, sizes = np.arange(len(fps)), np.diff(bounds)
-
-    def take(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal labels
-        if sketches is not None and len(a):
-            open_ = labels[a] != labels[b]
-            a, b = a[open_], b[open_]
-            good = [sketch_similarity(sketches[a[i : i + 50_000]], sketches[b[i : i + 50_000]]) >= similarity for i in range(0, len(a), 50_000)]
-            keep = np.concatenate([*good, np.zeros(0, bool)])
-            a, b = a[keep], b[keep]
-        if len(a):
-            labels = join_labels(labels, a, b)
-
+    sizes = np.diff(bounds)
     small = sizes <= TINY
     ends = np.repeat(np.where(small, bounds[1:], bounds[:-1]), sizes)
-    row = np.arange(len(fps))
+    row, found = np.arange(len(fps)), []
     for step in range(1, TINY):
         a = row[row + step < ends]
         if not len(a):
             break
-        near = np.bitwise_count(fps[a] ^ fps[a + step]) <= radius
-        take(a[near], a[near] + step)
+        apart = distance(fps[a], fps[a + step])
+        near = apart <= radius
+        found.append((a[near], a[near] + step, apart[near]))
+    links = []
+    if found:
+        a, b, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+        own = spanning_forest(len(fps), a, b, apart)
+        links.append((a[own], b[own]))
     for i in np.flatnonzero(~small):
-        for a, b in group_pairs(fps[bounds[i] : bounds[i + 1]], radius):
-            take(a + bounds[i], b + bounds[i])
-    moved = np.flatnonzero(labels != row)
-    return moved, labels[moved]
+        a, b = group_forest(fps[bounds[i] : bounds[i + 1]], radius)
+        links.append((a + bounds[i], b + bounds[i]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(a for a, _ in links)]), np.concatenate([none, *(b for _, b in links)])
 
 
 def masks_of(radius: int) -> list[int]:
@@ -202,109 +214,65 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, large: int = LARGE_GROUP, similarity: float | None = None) -> DataFrame:
-    """Spanning links (a, b) between representatives of distinct fingerprints (columns fp, rep) within radius bits.
-
-    With a similarity, distinct has a column sketch too, and only links whose sketches agree as much count.
-    """
-    more = [] if similarity is None else ["sketch"]
-    masks = masks_of(radius)
-    keyed = lambda ms, base: F.array(*[F.struct(F.lit(base + i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(ms)])
-    dealt = distinct.select("fp", "rep", *more, F.explode(keyed(masks, 0)).alias("g")).select("fp", "rep", *more, "g.t", "g.key")
-    sizes = distinct.select(F.explode(keyed(masks, 0)).alias("g")).groupBy("g.t", "g.key").agg(F.count("*").alias("n")).where(F.col("n") > large)
-    sizes = checkpointed(sizes)
-    n_large = sizes.count()
-    groups = dealt.select("fp", "rep", *more, "t", "key")
-    if n_large:  # most corpora have no such group, and then nothing needs a join
-        marked = dealt.join(F.broadcast(sizes) if n_large <= BROADCAST_KEYS else sizes, ["t", "key"], "left")
-        again = F.lit(None)
-        for i, m in enumerate(masks):
-            again = F.when(F.col("t") == i, keyed(refined(m, radius), 1000 + 100 * i)).otherwise(again)
-        finer = marked.where("n is not null").select("fp", "rep", *more, F.explode(again).alias("g")).select("fp", "rep", *more, "g.t", "g.key")
-        groups = marked.where("n is null").select("fp", "rep", *more, "t", "key").unionByName(finer)
+def group_links(groups: DataFrame, keys: list[str], fp: Callable[[pa.Table], np.ndarray], node: str, radius: int) -> DataFrame:
+    """Spanning links (a, b) between the nodes of each group of rows with equal keys."""
 
     def linked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         part = pa.Table.from_batches(held)
-        t, key, fps, reps = (part.column(c).to_numpy() for c in ("t", "key", "fp", "rep"))
-        sketches = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS) if more else None
-        cut = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-        a, b = spanning_links(np.concatenate(([0], cut, [len(t)])), fps.view(np.uint64), radius, sketches, similarity or 0.0)
-        return pa.record_batch([pa.array(reps[a]), pa.array(reps[b])], names=["a", "b"])
+        nodes = part.column(node).to_numpy()
+        cut = np.flatnonzero(fresh(part)[1:]) + 1
+        a, b = spanning_links(np.concatenate(([0], cut, [part.num_rows])), fp(part), radius)
+        return pa.record_batch([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
+
+    def fresh(part: pa.Table | pa.RecordBatch) -> np.ndarray:
+        """Whether each row's keys differ from those of the row before."""
+        out = np.ones(part.num_rows, bool)
+        out[1:] = False
+        for k in keys:
+            column = part.column(k).to_numpy(zero_copy_only=False) if isinstance(part, pa.RecordBatch) else part.column(k).to_numpy()
+            out[1:] |= column[1:] != column[:-1]
+        return out
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t, key = batch.column("t").to_numpy(), batch.column("key").to_numpy()
-            if held and (t[0] != last[0] or key[0] != last[1]):
+            ends = [tuple(batch.column(k)[i].as_py() for k in keys) for i in (0, batch.num_rows - 1)]
+            if held and ends[0] != last:
                 yield linked(held)
                 held = []
-            last = (t[-1], key[-1])
-            other = np.flatnonzero((t != last[0]) | (key != last[1]))
-            if len(other):  # the last group may go on in the next batch
-                yield linked([*held, batch.slice(0, int(other[-1]) + 1)])
-                held = [batch.slice(int(other[-1]) + 1)]
+            last = ends[1]
+            starts = np.flatnonzero(fresh(batch))
+            if starts[-1]:  # the last group may go on in the next batch
+                yield linked([*held, batch.slice(0, int(starts[-1]))])
+                held = [batch.slice(int(starts[-1]))]
             else:
                 held.append(batch)
         if held:
             yield linked(held)
 
-    return groups.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(search, "a long, b long")
-
-
-def word_fingerprints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(doc_id, fp, sketch): SimHash of a document's distinct words, and a one-permutation sketch of its shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, powers = WordScanner(ASCII_SPACE, lower=True), Powers(0xD6E8FEB86659FD93)
-        for batch in batches:
-            ids = batch.column("doc_id")
-            for lo, hi, data, offsets in chunks(batch.column("text")):
-                at, _, _, h = scanner.scan(data, offsets)
-                fps, sketches = np.zeros(hi - lo, np.uint64), np.zeros((hi - lo, BINS), np.uint8)
-                for i in range(hi - lo):
-                    words = h[at[i] : at[i + 1]]
-                    if not len(words):
-                        continue
-                    own = np.unique(words)
-                    votes = np.unpackbits(own.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-                    fps[i] = np.packbits(votes * 2 > len(own)).view(np.uint64)[0]
-                    width = min(shingle, len(words))
-                    first = np.arange(len(words) - width + 1)
-                    grams = np.unique(ranged_hash(words, first, first + width, powers))
-                    bins = (grams % np.uint64(BINS)).astype(np.int64)
-                    order = np.argsort(bins, kind="stable")  # the least hash of each bin comes first
-                    head = order[np.concatenate(([True], bins[order][1:] != bins[order][:-1]))]
-                    sketches[i, bins[head]] = 1 + (mix(grams[head]) % np.uint64(255)).astype(np.uint8)
-                yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(fps.view(np.int64)), pa.array([s.tobytes() for s in sketches], pa.binary())], names=["doc_id", "fp", "sketch"])
-
-    return docs.mapInArrow(run, "doc_id long, fp long, sketch binary")
-
-
-def similar_documents(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = WORD_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, component_id, for near-duplicates by word shingles.
-
-    SimHashes of distinct words find the candidates (a few edited words change few of their bits, where they change
-    many bits of a SimHash of shingles); the Gray-order index searches them; sketches of the shingles decide.
-    Null, empty and blank texts are alike; other rows as in near_duplicates().
-    """
-    rows = checkpointed(word_fingerprints(texts(docs, id_col, text_col), shingle))
-    distinct = checkpointed(rows.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep")))
-    parts = connected_components(links(distinct, radius, similarity=similarity))
-    named = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("fp", "sketch", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, ["fp", "sketch"]).select("doc_id", "component_id")
+    return groups.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "a long, b long")
 
 
-def drop_similar(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay when one document of each group of near-duplicates does: that of the smallest id.
-
-    Rows without an id come after all that have one, in an order of their texts' hashes; those of one text stay or go together.
-    """
-    order = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    number = F.coalesce(F.col("doc_id").cast("long"), order)
-    kept = similar_documents(docs.select(number.alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, number == F.col("kept_id"), "left_semi")
+def links(distinct: DataFrame, radius: int = RADIUS, large: int = LARGE_GROUP) -> DataFrame:
+    """Spanning links (a, b) between representatives of distinct fingerprints (columns fp, rep) within radius bits."""
+    masks = masks_of(radius)
+    keyed = lambda ms, base: F.array(*[F.struct(F.lit(base + i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(ms)])
+    dealt = distinct.select("fp", "rep", F.explode(keyed(masks, 0)).alias("g")).select("fp", "rep", "g.t", "g.key")
+    sizes = distinct.select(F.explode(keyed(masks, 0)).alias("g")).groupBy("g.t", "g.key").agg(F.count("*").alias("n")).where(F.col("n") > large)
+    sizes = checkpointed(sizes)
+    n_large = sizes.count()
+    groups = dealt.select("fp", "rep", "t", "key")
+    if n_large:  # most corpora have no such group, and then nothing needs a join
+        marked = dealt.join(F.broadcast(sizes) if n_large <= BROADCAST_KEYS else sizes, ["t", "key"], "left")
+        again = F.lit(None)
+        for i, m in enumerate(masks):
+            again = F.when(F.col("t") == i, keyed(refined(m, radius), 1000 + 100 * i)).otherwise(again)
+        finer = marked.where("n is not null").select("fp", "rep", F.explode(again).alias("g")).select("fp", "rep", "g.t", "g.key")
+        groups = marked.where("n is null").select("fp", "rep", "t", "key").unionByName(finer)
+    return group_links(groups, ["t", "key"], lambda part: part.column("fp").to_numpy().view(np.uint64), "rep", radius)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,10 +283,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     each; an empty table gives an empty result; other columns are not read.
     """
     rows = checkpointed(fingerprints(docs, shingle, seed, id_col, text_col))
-    distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    parts = connected_components(links(distinct, radius))
-    named = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    parts = connected_components(links(distinct.select("fp", "rep"), radius))
+    named = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n")
+    return join_groups(rows, checkpointed(named), ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

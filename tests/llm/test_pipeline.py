@@ -2,48 +2,22 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import numpy as np
-import pyarrow as pa
 import pyarrow.parquet as pq
 
 import corpus_pipeline
-from cohortwave.llm import decontamination, simhash, toxicity
-from cohortwave.llm.base import chunks, table, texts
+from cohortwave.llm import decontamination, toxicity
+from cohortwave.llm.base import table, texts
 from cohortwave.llm.tokens import Encoder
+from test_similar import classes, near_pairs, shingles_of
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def brute_similar(docs):
-    """Groups by comparing all pairs of fingerprints and sketches."""
-    got = {}
-    for batch in [pa.record_batch([pa.array(list(docs)), pa.array(list(docs.values()))], names=["doc_id", "text"])]:
-        scanner, powers = simhash.WordScanner(simhash.ASCII_SPACE, lower=True), simhash.Powers(0xD6E8FEB86659FD93)
-        for lo, hi, data, offsets in chunks(batch.column("text")):
-            at, _, _, h = scanner.scan(data, offsets)
-            for i in range(hi - lo):
-                words = h[at[i] : at[i + 1]]
-                own = np.unique(words)
-                fp = sum(1 << b for b in range(64) if sum(int(x) >> b & 1 for x in own) * 2 > len(own))
-                width = min(5, len(words))
-                first = np.arange(len(words) - width + 1)
-                bins = defaultdict(lambda: 1 << 64)
-                for g in simhash.ranged_hash(words, first, first + width, powers).tolist() if len(words) else []:
-                    bins[g % simhash.BINS] = min(bins[g % simhash.BINS], g)
-                got[list(docs)[lo + i]] = (fp, {b: 1 + int(simhash.mix(np.asarray([g], np.uint64))[0]) % 255 for b, g in bins.items()})
-    label = {i: i for i in docs}
-    ids = sorted(docs)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            (f, s), (g, t) = got[a], got[b]
-            if bin(f ^ g).count("1") <= simhash.WORD_RADIUS:
-                used = s.keys() | t.keys()
-                same = sum(s.get(k) == t.get(k) for k in used)
-                if not used or (same / len(used) - 1 / 255) / (1 - 1 / 255) >= simhash.SIMILARITY:
-                    x, y = sorted((label[a], label[b]))
-                    label = {i: x if v == y else v for i, v in label.items()}
-    return {i for i in ids if label[i] == i}
+    """The smallest id of each class, by the Jaccard similarity of all pairs that share a five-word shingle."""
+    sets = {i: shingles_of(t) for i, t in docs.items()}
+    return set(classes(sets, near_pairs(sets)).values())
 
 
 def test_run_against_brute_force(spark):
@@ -60,7 +34,7 @@ def test_run_against_brute_force(spark):
     table_left = spark.createDataFrame(list(left.items()), "doc_id long, text string")
     leaked = {r.doc_id for r in decontamination.contamination(table_left, table(spark, DATA, "benchmark")).where("contaminated").collect()}
     encoder = Encoder()
-    want = {i: len(encoder.encode(t)) // 4 + 1 for i, t in left.items() if i not in leaked}
+    want = {i: len(encoder.encode(t)) + 1 for i, t in left.items() if i not in leaked}
     got = defaultdict(int)
     for r in corpus_pipeline.run(spark, DATA).collect():
         got[r.doc_id] += r.length

@@ -77,9 +77,39 @@ def test_components_of_crowded_fingerprints(spark):
 def test_gray_index_finds_every_pair(seeds, radius):
     rng = np.random.default_rng(seeds[0] % 1000)
     values = np.unique(np.asarray([s ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), False)) for s in seeds for _ in range(12)], np.uint64))
-    q, v = simhash.GrayIndex(values).within(values, radius)
+    q, v, apart = simhash.GrayIndex(values).within(values, radius)
     want = {(i, j) for i in range(len(values)) for j in range(len(values)) if bin(int(values[i]) ^ int(values[j])).count("1") <= radius}
     assert set(zip(q.tolist(), v.tolist(), strict=True)) == want
+    assert apart.tolist() == simhash.distance(values[q], values[v]).tolist()
+
+
+def test_gray_index_of_long_fingerprints():
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 63, (6, 3), dtype=np.uint64)
+    values = np.asarray([[int(x) ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) for x in centres[i % 6]] for i in range(150)], np.uint64)
+    want = {(i, j) for i in range(150) for j in range(150) if sum(bin(int(x)).count("1") for x in values[i] ^ values[j]) <= 8}
+    q, v, _ = simhash.GrayIndex(values).within(values, 8)
+    assert set(zip(q.tolist(), v.tolist(), strict=True)) == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14), st.integers(0, 6)), max_size=60))
+def test_spanning_forest_is_minimal(links):
+    """As many links as there are classes to join, none twice, and at every level the classes are those of all links up to it."""
+    a, b, d = (np.asarray(x, np.int64) for x in zip(*links, strict=True)) if links else (np.zeros(0, np.int64),) * 3
+    own = simhash.spanning_forest(15, a, b, d)
+    for level in range(7):
+        parts = [brute_components_of(15, a[i], b[i]) for i in (np.flatnonzero(d <= level), own[d[own] <= level])]
+        assert parts[0] == parts[1]
+    assert len(own) == 15 - len(set(brute_components_of(15, a, b)))
+
+
+def brute_components_of(n, a, b):
+    label = list(range(n))
+    for x, y in zip(np.asarray(a).tolist(), np.asarray(b).tolist(), strict=True):
+        low, high = sorted((label[x], label[y]))
+        label = [low if v == high else v for v in label]
+    return label
 
 
 def test_odd_rows(documents, clashing):
@@ -89,43 +119,3 @@ def test_odd_rows(documents, clashing):
         assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == want
     assert simhash.near_duplicates(documents([])).count() == 0
     assert simhash.near_duplicates(documents([(1, "a"), (1, "a")])).count() == 2
-
-
-def edited(rng, words, share):
-    return [f"e{rng.integers(1 << 40)}" if rng.random() < share else w for w in words]
-
-
-def test_similar_documents_against_brute_force(documents, clashing):
-    rng = np.random.default_rng(4)
-    rows, truth = [], {}
-    for g in range(40):
-        words = [f"w{rng.integers(3000)}" for _ in range(int(rng.integers(60, 400)))]
-        for c in range(1 + g % 4):
-            i = len(rows)
-            rows.append((i, " ".join(edited(rng, words, 0.006 if c else 0))))
-            truth.setdefault(g, []).append(i)
-    rows += [(900, None), (901, ""), (902, "x"), (903, "two words"), (904, "two other"), (905, "long " * 50_000)]
-    words_of = {i: (t or "").lower().split() for i, t in rows}
-    shingles = {i: {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} for i, w in words_of.items()}
-    for docs in (clashing(rows),):
-        got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-        assert len(got) == len(rows)
-        for i in got:
-            for j in got:
-                if i < j:
-                    alike = len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j])
-                    if alike < 0.6 and (i >= 900 or not any(i in m and j in m for m in truth.values())):
-                        assert got[i] != got[j]
-        near = [(i, j) for i in got for j in got if i < j and len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j]) >= 0.88]
-        assert np.mean([got[i] == got[j] for i, j in near]) > 0.95
-    left = simhash.drop_similar(documents(rows))
-    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"] and left.count() == len(set(got.values()))
-    assert simhash.similar_documents(documents([])).count() == 0
-
-
-def test_rows_without_an_id_stay_unless_near_another(documents):
-    words = [f"w{i}" for i in range(200)]
-    near = " ".join([*words[:-1], "other"])
-    rows = [(7, " ".join(words)), (None, near), (None, "nothing like the other rows at all"), (None, "v " * 50), (None, None), (9, "")]
-    left = simhash.drop_similar(documents(rows)).collect()
-    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([rows[0], rows[2], rows[3], rows[5]], key=str)
