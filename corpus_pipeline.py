@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortwave.llm import decontamination, exact_dedup, packing, simhash, toxicity
+from cohortwave.llm import decontamination, exact_dedup, packing, similar, toxicity
 from cohortwave.llm.base import table, written
 
 
@@ -20,7 +20,7 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8), the document with the smallest id stays."""
-    return simhash.drop_similar(docs)
+    return similar.drop_similar(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
