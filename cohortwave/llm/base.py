@@ -66,6 +66,29 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str =
     return rows.join(hot, keys).unionByName(cold)
 
 
+#: Parts in which arrays of all partitions are summed.
+SLICES = 32
+
+
+def summed(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
+    """Sum of arrays (slice, data; see sliced) over all partitions, slice by slice; a task holds one array for each of its slices."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(raw, dtype).astype(np.float64)
+                total[s] = total[s] + part if s in total else part
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["slice", "data"])
+
+    return {r["slice"]: np.frombuffer(r["data"], np.float64) for r in parts.repartition("slice").mapInArrow(add, "slice int, data binary").collect()}
+
+
+def sliced(array: np.ndarray) -> pa.RecordBatch:
+    parts = np.array_split(array, SLICES)
+    return pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "data"])
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 row offsets; nulls are empty."""
     if column.null_count:

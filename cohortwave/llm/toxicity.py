@@ -1,14 +1,18 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents and unlabelled documents train a linear classifier on word presence, in numpy, with the
-non-negative risk estimator: prior x risk of positives + max(0, risk of the unlabelled as negatives - prior x risk of
-positives as negatives). A logistic curve then turns its output into a probability. The fit reads a bounded sample;
-scoring reads every document whole.
+Confirmed toxic documents and unlabelled documents train a linear classifier on the presence of selected words (each
+weighs one over the fourth root of their number in a text, so that long texts don't run away) with the non-negative
+risk estimator: prior x risk of positives + max(0, risk of the unlabelled as negatives - prior x risk of positives as
+negatives). With the squared loss both risks are functions of the Gram matrix of the selected words' presence, so
+Spark sums one such matrix over all positives and one over all documents, and numpy minimises the risk itself, not
+that of a sample. The class prior is the share of toxic ones among the labelled. Last, a logistic curve, fitted to the
+labelled documents' counts by margin, turns margins into probabilities.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,183 +21,171 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from cohortwave.llm.base import SPACE_AND_PUNCTUATION, WordScanner, chunks, table, texts
+from cohortwave.llm.base import SPACE_AND_PUNCTUATION, WordScanner, chunks, sliced, summed, table, texts, written
 
 THRESHOLD = 0.3
-#: Most labelled and unlabelled documents that the fit reads (those with the least hash of their id).
-LABELLED = 12_000
-UNLABELLED = 12_000
-#: Most words that the classifier has weights for.
-WORDS = 20_000
+#: Words are hashed to so many terms.
+TERMS = 1 << 18
+#: Terms that the classifier has weights for, at most: those whose document shares differ most surely.
+SELECTED = 1024
 LEAST_DOCS = 4
-ROUNDS = 200
-RATE = 0.05
-DECAY = 2e-4
+ROUNDS = 600
+RATE = 0.02
+DECAY = 2.5e-4
+#: Cells by margin, from -REACH to REACH, in which labelled documents are counted for the curve.
+CELLS, REACH = 1 << 13, 4.0
+#: Most ids that are broadcast (a few MB); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 @dataclass
 class Model:
-    words: np.ndarray  # sorted hashes
-    weights: np.ndarray
+    weights: np.ndarray  # by term
+    selected: np.ndarray  # by term
     bias: float
-    scale: float
-    shift: float
-
-    def margin(self, keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        """Sum of weights of the distinct known words of each row. keys and rows: a word's hash and its row."""
-        if not len(self.words) or not len(keys):
-            return np.full(n, self.bias)
-        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        known = self.words[at] == keys
-        both = np.unique(rows[known].astype(np.int64) * len(self.words) + at[known])
-        return np.bincount(both // len(self.words), self.weights[both % len(self.words)], n) + self.bias
+    scale: float = 1.0
+    shift: float = 0.0
+
+    def margin(self, row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """Weighted sum over the distinct selected terms of each of n rows, and the bias."""
+        return np.bincount(row, self.weights[term] * shares(row, n), n) + self.bias
 
     def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -30, 30)))
+        return logistic(self.scale * margin + self.shift)
 
 
-def scanner() -> WordScanner:
-    return WordScanner(SPACE_AND_PUNCTUATION, lower=True)
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 4 == 2
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, words): the hashes of a document's distinct words, as the bytes of unsigned 64-bit integers."""
+def presence(scan: WordScanner, data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, term) pairs of some texts; with `wanted`, of terms that it marks."""
+    at, _, _, h = scan.scan(data, offsets)
+    term = (h >> np.uint64(40)).astype(np.int64) & (TERMS - 1)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+    if wanted is not None:
+        keep = wanted[term]
+        row, term = row[keep], term[keep]
+    both = np.unique(row * TERMS + term)
+    return both // TERMS, both % TERMS
+
+
+def shares(row: np.ndarray, n: int) -> np.ndarray:
+    """What each (row, term) pair weighs, by the number of pairs of its row."""
+    return np.bincount(row, minlength=n)[row] ** -0.25
+
+
+def scanner() -> WordScanner:
+    return WordScanner(SPACE_AND_PUNCTUATION, lower=True)
+
+
+def totals(docs: DataFrame, add: Callable[[np.ndarray, WordScanner, np.ndarray, np.ndarray], None], size: int) -> np.ndarray:
+    """Sum over all texts of what add(total, scanner, bytes, offsets) adds to an array of that size, and at the end their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = scanner()
+        scan, total = scanner(), np.zeros(size + 1)
         for batch in batches:
-            ids = batch.column("doc_id")
             for lo, hi, data, offsets in chunks(batch.column("text")):
-                at, _, _, h = scan.scan(data, offsets)
-                words = [np.unique(h[at[i] : at[i + 1]]).tobytes() for i in range(hi - lo)]
-                yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(words, pa.binary())], names=["doc_id", "words"])
-
-    return docs.mapInArrow(run, "doc_id long, words binary")
-
-
-def select_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> np.ndarray:
-    """Sorted hashes of the words whose document shares in the two sets differ most surely."""
-    none = np.zeros(0, np.uint64)
-    (pk, pc), (uk, uc) = (np.unique(np.concatenate([*docs, none]), return_counts=True) for docs in (positive, unlabelled))
-    keys = np.union1d(pk, uk)
-    p, u = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    p[np.searchsorted(keys, pk)] = pc
-    u[np.searchsorted(keys, uk)] = uc
-    a, b = max(1, len(positive)), max(1, len(unlabelled))
+                add(total[:size], scan, data, offsets)
+                total[size] += hi - lo
+        yield sliced(total)
+
+    parts = summed(docs.select("text").mapInArrow(run, "slice int, data binary"), "f8")
+    return np.concatenate([parts[s] for s in sorted(parts)]) if parts else np.zeros(size + 1)
+
+
+def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many documents each term occurs, and how many there are."""
+
+    def add(total: np.ndarray, scan: WordScanner, data: np.ndarray, offsets: np.ndarray) -> None:
+        total += np.bincount(presence(scan, data, offsets)[1], minlength=TERMS)
+
+    found = totals(docs, add, TERMS)
+    return found[:-1], int(found[-1])
+
+
+def gram_matrix(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Mean over all documents of x x', x the weighed presence of the terms and a last 1."""
+    k = len(terms) + 1
+    upper = np.triu_indices(k)
+    place, wanted = np.zeros(TERMS, np.int64), np.zeros(TERMS, bool)
+    place[terms], wanted[terms] = np.arange(len(terms)), True
+
+    def add(total: np.ndarray, scan: WordScanner, data: np.ndarray, offsets: np.ndarray) -> None:
+        row, term = presence(scan, data, offsets, wanted)
+        x = np.zeros((len(offsets) - 1, k), np.float32)
+        x[:, -1] = 1
+        x[row, place[term]] = shares(row, len(x))
+        total += (x.T @ x)[upper]
+
+    found = totals(docs, add, len(upper[0]))
+    gram = np.zeros((k, k))
+    gram[upper] = found[:-1] / max(1.0, found[-1])
+    return np.triu(gram) + np.triu(gram, 1).T
+
+
+def select_terms(p: np.ndarray, positives: int, u: np.ndarray, unlabelled: int, most: int = SELECTED) -> np.ndarray:
+    """The terms whose document shares among positives and unlabelled differ most surely, in ascending order."""
+    a, b = max(1, positives), max(1, unlabelled)
     share = (p + u + 1) / (a + b + 2)
     sure = np.abs(p / a - u / b) / np.sqrt(share * (1 - share + 1e-9) * (1 / a + 1 / b))
     sure[p + u < min(LEAST_DOCS, max(1, a // 8))] = 0
+    # about the largest deviation that so many terms without any meaning would show
+    level = max(3.0, float(np.sqrt(2 * np.log(max(2, np.count_nonzero(p + u))))) - 0.5)
     best = np.argsort(-sure, kind="stable")[:most]
-    # about the largest deviation that so many words without any meaning would show
-    level = max(3.0, float(np.sqrt(2 * np.log(max(2, len(keys))))) - 0.5)
-    return np.sort(keys[best[sure[best] > level]])
+    return np.sort(best[sure[best] > level])
 
 
-class Rows:
-    """Presence of selected words in a list of documents, as index pairs."""
+def squared_risk(w: np.ndarray, gram: np.ndarray, label: int) -> tuple[float, np.ndarray]:
+    """Mean of (w x - label)^2 / 4 over the documents of a Gram matrix, and its gradient."""
+    gw, mean = gram @ w, gram[:, -1]
+    return float(w @ gw - 2 * label * (w @ mean) + 1) / 4, (gw - label * mean) / 2
 
-    def __init__(self, docs: list[np.ndarray], words: np.ndarray) -> None:
-        self.n = len(docs)
-        flat = np.concatenate([*docs, np.zeros(0, np.uint64)])
-        row = np.repeat(np.arange(self.n), [len(d) for d in docs]) if docs else np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(words, flat), max(0, len(words) - 1))
-        known = words[at] == flat if len(words) else np.zeros(len(flat), bool)
-        self.row, self.at, self.size = row[known], at[known], len(words)
 
-    def margin(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        return np.bincount(self.row, weights[self.at], self.n) + bias
+def pu_risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk, and the step's direction: below zero the negative part is led back instead of down."""
+    up, up_gradient = squared_risk(w, positive, 1)
+    (free, free_gradient), (back, back_gradient) = squared_risk(w, unlabelled, -1), squared_risk(w, positive, -1)
+    negative, negative_gradient = free - prior * back, free_gradient - prior * back_gradient
+    if negative >= 0:
+        return prior * up + negative, prior * up_gradient + negative_gradient
+    return prior * up, -negative_gradient
 
-    def gradient(self, by_row: np.ndarray) -> tuple[np.ndarray, float]:
-        return np.bincount(self.at, by_row[self.row], self.size), float(by_row.sum())
 
-
-def logistic(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def fit_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = WORDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Words, weights and bias by Adam on the non-negative positive-unlabelled risk with the logistic loss."""
-    words = select_words(positive, unlabelled, most)
-    p, u = Rows(positive, words), Rows(unlabelled, words)
-    w, bias = np.zeros(len(words)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights, the bias last, by Adam on the non-negative risk with a little decay."""
+    w = np.zeros(len(positive))
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        sp, su = logistic(p.margin(w, bias)), logistic(u.margin(w, bias))
-        as_negative = float(np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12)))
-        gp = p.gradient(prior * (sp - 1) / max(1, p.n))
-        gu, gn = u.gradient(su / max(1, u.n)), p.gradient(prior * sp / max(1, p.n))
-        if as_negative >= 0:
-            g, gb = gp[0] + gu[0] - gn[0], gp[1] + gu[1] - gn[1]
-        else:  # the estimate of a risk can't be negative: step back instead of fitting the sample
-            g, gb = gn[0] - gu[0], gn[1] - gu[1]
-        g = np.append(g + DECAY * w, gb)
+        g = pu_risk(w, positive, unlabelled, prior)[1]
+        g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, bias = w - step[:-1], bias - step[-1]
-    return words, w, float(bias)
+        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
 
 
-def fit_curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of the logistic curve from margin to probability, by Newton steps on smoothed labels."""
-    positives = label.sum()
-    target = np.where(label > 0, (positives + 1) / (positives + 2), 1 / (len(label) - positives + 2))
+def fit_curve(margin: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of the logistic curve, by Newton steps on smoothed labels; toxic, clean: documents at each margin."""
+    n_toxic, n_clean = toxic.sum(), clean.sum()
+    n = toxic + clean
+    target = (toxic * (n_toxic + 1) / (n_toxic + 2) + clean / (n_clean + 2)) / np.maximum(n, 1)
     a, b = 1.0, 0.0
     x = np.stack([margin, np.ones_like(margin)])
-    for _ in range(60):
+    for _ in range(200):
         p = logistic(a * margin + b)
-        g = x @ (p - target) + np.asarray([1e-3 * (a - 1), 0])
-        h = (x * (p * (1 - p) + 1e-9)) @ x.T + np.asarray([[1e-3, 0], [0, 1e-9]])
-        step = np.linalg.solve(h, g)
-        a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
+        g = x @ (n * (p - target)) + np.asarray([1e-3 * (a - 1), 0])
+        h = (x * (n * (p * (1 - p) + 1e-9))) @ x.T + np.asarray([[1e-3, 0], [0, 1e-9]])
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        a, b = a - float(step[0]), b - float(step[1])
     return max(a, 1e-3), b
 
 
-def least_hashes(rows: DataFrame, n: int, total: int) -> list[int]:
-    """The ids of (about) the n rows of least hash, of total; tasks send few more rows than that in all."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = min(1.0, (1.2 * n + 200) / max(total, 1))
-    return [r["doc_id"] for r in rows.where(h < int(share * (1 << 40))).orderBy(h, "doc_id").limit(n).collect()]
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """docs: (doc_id, text). labels: (doc_id, toxic). Only rows outside the held-out part are read."""
-    spark = docs.sparkSession
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    totals = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
-    half = labelled // 2
-    toxic = int(totals["toxic"] or 0)
-    chosen = {i: [t, 0] for t, there in ((1, toxic), (0, totals["n"] - toxic)) for i in least_hashes(known.where(F.col("toxic") == t), half, there)}
-    free_docs = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id")
-    open_ids = least_hashes(free_docs, unlabelled, free_docs.count())
-    for i in open_ids:
-        chosen.setdefault(i, [-1, 0])[1] = 1
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 1.0, -3.0)
-    if not toxic or not open_ids:
-        return none
-    ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")  # at most labelled + unlabelled ids
-    words = {r["doc_id"]: np.frombuffer(r["words"], np.uint64) for r in distinct_words(docs.join(F.broadcast(ids), "doc_id", "left_semi")).collect()}
-    positive = [words[i] for i, (t, _) in sorted(chosen.items()) if t == 1 and i in words]
-    free = [words[i] for i, (_, u) in sorted(chosen.items()) if u and i in words]
-    if not positive or not free:
-        return none
-    prior = float(np.clip(totals["toxic"] / totals["n"], 0.01, 0.5))
-    keys, weights, bias = fit_pu(positive, free, prior)
-    judged = [(words[i], t) for i, (t, _) in sorted(chosen.items()) if t >= 0 and i in words]
-    label = np.asarray([t for _, t in judged])
-    # both classes may be thinned to the bound: weigh the intercept back to the share among all labelled rows
-    scale, shift = fit_curve(Rows([w for w, _ in judged], keys).margin(weights, bias), label)
-    sampled, true = label.mean(), totals["toxic"] / totals["n"]
-    if 0 < sampled < 1 and 0 < true < 1:
-        shift += float(np.log(true / (1 - true)) - np.log(sampled / (1 - sampled)))
-    return Model(keys, weights, bias, scale, shift)
-
-
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with an added column ``toxicity`` (0 to 1); all other columns stay as they are."""
+def with_margin(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """docs with an added column of margins; all other columns stay as they are."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +193,52 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             out = [np.zeros(0)]
             for lo, hi, data, offsets in chunks(batch.column(at)):
-                words, _, _, h = scan.scan(data, offsets)
-                margin = model.margin(h, np.repeat(np.arange(hi - lo), np.diff(words)), hi - lo)
-                out.append(model.score(margin))
-            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, "toxicity"])
+                out.append(model.margin(*presence(scan, data, offsets, model.selected), hi - lo))
+            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+
+
+def curve_of(margins: DataFrame, known: DataFrame, model: Model) -> Model:
+    """The model with its curve, from the labelled documents' counts by cell of margin: at most 2 x CELLS rows, whatever the corpus."""
+    cell = F.least(F.greatest(F.floor((F.col("margin") + REACH) / (2 * REACH) * CELLS), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+    toxic, clean = np.zeros(CELLS), np.zeros(CELLS)
+    for r in margins.join(known, "doc_id").groupBy(cell.alias("cell"), "toxic").agg(F.count("*").alias("n")).collect():
+        (toxic if r["toxic"] else clean)[r["cell"]] += r["n"]
+    centre = (np.arange(CELLS) + 0.5) / CELLS * 2 * REACH - REACH
+    there = toxic + clean > 0
+    model.scale, model.shift = fit_curve(centre[there], toxic[there], clean[there])
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the margins (doc_id, margin) of all docs. docs: (doc_id, text). labels: (doc_id, toxic).
+
+    Labels are read outside the held-out part only. Of repeated labels the largest counts.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    total = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    none = Model(np.zeros(TERMS), np.zeros(TERMS, bool), -1.0, 1.0, -3.0)
+    toxic = int(total["toxic"] or 0)
+    if not toxic:
+        return none, docs.select("doc_id", F.lit(none.bias).alias("margin"))
+    ids = known.where("toxic = 1").select("doc_id")
+    positive = docs.join(F.broadcast(ids) if toxic <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    unlabelled = docs.where("doc_id is not null").where(~held_out(F.col("doc_id")))
+    terms = select_terms(*document_counts(positive), *document_counts(unlabelled))
+    w = fit_pu(gram_matrix(positive, terms), gram_matrix(unlabelled, terms), toxic / total["n"])
+    model = Model(np.zeros(TERMS), np.zeros(TERMS, bool), float(w[-1]))
+    model.weights[terms], model.selected[terms] = w[:-1], True
+    margins = written(with_margin(docs, model, "margin").select("doc_id", "margin"), "margins")
+    return curve_of(margins, known, model), margins
+
+
+def score_of(margin: Column, model: Model) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.least(F.greatest(margin * model.scale + model.shift, F.lit(-30.0)), F.lit(30.0))))
+
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("toxicity", DoubleType()))
+def typed(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,15 +247,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     Null and empty texts get the score of a text without known words; repeated rows get a row each; without any
     labelled toxic row every score is low; an empty table gives an empty result; other columns are not read.
     """
-    rows = texts(docs, id_col, text_col)
-    model = train(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")))
-    return scored(rows, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))
+    model, margins = train(texts(docs, id_col, text_col), typed(labels))
+    score = score_of(F.col("margin"), model)
+    return margins.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs below the threshold, with their columns."""
-    model = train(texts(docs), labels.select("doc_id", "toxic"))
-    return scored(docs, model).where(F.col("toxicity") < threshold).select(*docs.columns)
+    """The rows of docs below the threshold, with their columns, whatever these are called."""
+    model, _ = train(texts(docs), typed(labels))
+    margin = f"margin_{uuid.uuid4().hex}"
+    return with_margin(docs, model, margin).where(score_of(F.col(margin), model) < threshold).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

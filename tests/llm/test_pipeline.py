@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 
 import corpus_pipeline
 from cohortwave.llm import decontamination, toxicity
-from cohortwave.llm.base import table, texts
+from cohortwave.llm.base import table
 from cohortwave.llm.tokens import Encoder
 from test_similar import classes, near_pairs, shingles_of
 
@@ -23,8 +23,8 @@ def brute_similar(docs):
 def test_run_against_brute_force(spark):
     rows = {r["doc_id"]: r for r in pq.read_table(f"{DATA}/documents.parquet").to_pylist()}
     docs = table(spark, DATA, "documents")
-    model = toxicity.train(texts(docs), table(spark, DATA, "labels").select("doc_id", "toxic"))
-    left = {r.doc_id: r.text for r in toxicity.scored(texts(docs), model).where("toxicity < 0.3").collect()}
+    toxic = {r.doc_id for r in toxicity.toxicity(docs, table(spark, DATA, "labels")).where("score >= 0.3").collect()}
+    left = {i: r["text"] or "" for i, r in rows.items() if i not in toxic}
     assert len(left) >= 0.7 * len(rows)
     last = {}
     for i in sorted(left):
