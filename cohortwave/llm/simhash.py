@@ -31,6 +31,8 @@ FANOUT = 8
 #: Up to so many fingerprints are compared in one matrix; groups of up to TINY are compared all groups at once.
 SMALL = 48
 TINY = 6
+#: Words of 64 bits that a block of searches compares at most.
+PAIRS = 1 << 20
 
 
 def bit_votes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, int]:
@@ -149,8 +151,8 @@ def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) ->
     return np.concatenate(taken) if taken else np.zeros(0, np.int64)
 
 
-def group_forest(values: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the pairs of one group within radius bits; a block of searches at a time."""
+def group_forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the pairs of one group within radius bits; a block of searches of at most PAIRS at a time."""
     if len(values) <= SMALL:
         a, b = np.triu_indices(len(values), 1)
         apart = distance(values[a], values[b])
@@ -158,7 +160,7 @@ def group_forest(values: np.ndarray, radius: int, block: int = 256) -> tuple[np.
         a, b, apart = a[near], b[near], apart[near]
         own = spanning_forest(len(values), a, b, apart)
         return a[own], b[own]
-    index = GrayIndex(values)
+    index, block = GrayIndex(values), max(1, PAIRS // values.size)
     a, b, apart = (np.zeros(0, np.int64) for _ in range(3))
     for at in range(0, len(values), block):
         q, v, d = index.within(values[at : at + block], radius)

@@ -22,11 +22,11 @@ from cohortwave.llm.base import chunks
 
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
-#: Pieces and ids remembered by a worker; beyond either the memory starts anew, so it stays under about 80 MB.
-REMEMBERED = 300_000
-REMEMBERED_IDS = 4_000_000
+#: Pieces and ids remembered by a worker; beyond either the memory starts anew, so it stays under about 50 MB.
+REMEMBERED = 200_000
+REMEMBERED_IDS = 2_000_000
 #: Bytes of text whose pieces are gathered at once.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 JSON, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
