@@ -74,11 +74,10 @@ def bland_altman(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b")
 
 def icc_mean_squares(ratings: DataFrame, keys: list[str], target: str, rater: str, value: str) -> DataFrame:
     """Mean squares of targets, raters and error (n, k, msr, msc, mse); complete targets only (same number of raters)."""
-    w = Window.partitionBy(*keys)
     r = ratings.where(F.col(value).isNotNull())
-    per_target = Window.partitionBy(*keys, target)
-    r = r.withColumn("_k", F.count("*").over(per_target)).withColumn("_kmax", F.max("_k").over(w)).where("_k = _kmax")
-    rows = r.groupBy(*keys, target).agg(F.avg(value).alias("tm"), F.count("*").alias("k"))
+    counted = r.groupBy(*keys, target).agg(F.avg(value).alias("tm"), F.count("*").alias("k"))
+    rows = counted.join(counted.groupBy(*keys).agg(F.max("k").alias("k")), [*keys, "k"])
+    r = r.join(rows.select(*keys, target), [*keys, target])
     cols = r.groupBy(*keys, rater).agg(F.avg(value).alias("rm"), F.count("*").alias("n"))
     ss_rows = rows.groupBy(*keys).agg((F.var_pop("tm") * F.count("*") * F.max("k")).alias("ssr"), F.count("*").alias("n"), F.max("k").alias("k"))
     ss_cols = cols.groupBy(*keys).agg((F.var_pop("rm") * F.count("*") * F.max("n")).alias("ssc"))
@@ -142,16 +141,31 @@ def spearman(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> D
 
 
 def classification_metrics(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p", threshold: float = 0.5) -> DataFrame:
-    """Accuracy, balanced accuracy, F1 and AUC (rank sum, ties averaged); NULL where a class is absent."""
-    yes = F.col(p) >= threshold
+    """Accuracy, balanced accuracy, F1 and AUC (ties count half); NULL where a class is absent.
+
+    Rows are counted by distinct score first, so the ordered pass for the AUC doesn't see single rows.
+    """
     one = F.col(y) == 1
-    ranked = average_rank(pred, keys, p, "_rank")
-    c = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(one & yes).alias("tp"), F.count_if(~one & yes).alias("fp"), F.count_if(one & ~yes).alias("fn"), F.count_if(~one & ~yes).alias("tn"), F.sum(F.when(one, F.col("_rank"))).alias("_sum"))
+    scores = pred.groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_n"), F.count_if(one).alias("_pos"), F.count_if(~one).alias("_neg"))
+    known = F.col("_p").isNotNull()
+    below = F.coalesce(F.sum(F.when(known, F.col("_neg"))).over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    scores = scores.withColumn("_area", F.when(known, F.col("_pos") * (below + F.col("_neg") / 2.0)))
+    yes = F.col("_p") >= threshold
+    total = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    c = scores.groupBy(*keys).agg(F.sum("_n").alias("n"), total("_pos", yes).alias("tp"), total("_neg", yes).alias("fp"), total("_pos", ~yes).alias("fn"), total("_neg", ~yes).alias("tn"), F.sum("_area").alias("_area"))
     pos, neg = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
     return c.select(
-        *keys, "n", "tp", "fp", "fn", "tn", ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"), ((F.try_divide(F.col("tp"), pos) + F.try_divide(F.col("tn"), neg)) / 2).alias("balanced_accuracy"),
-        F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"), F.try_divide(F.col("_sum") - pos * (pos + 1) / 2.0, pos * neg).alias("auc"),
-    )
+        *keys,
+        "n",
+        "tp",
+        "fp",
+        "fn",
+        "tn",
+        ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"),
+        ((F.try_divide(F.col("tp"), pos) + F.try_divide(F.col("tn"), neg)) / 2).alias("balanced_accuracy"),
+        F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"),
+        F.try_divide(F.col("_area"), pos * neg).alias("auc"),
+    )
 
 
 def binned_auc(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:

@@ -1,7 +1,8 @@
 """Folds, scaling, ridge models, nested validation, resampling and verdicts.
 
-Subject-level tables are small (a row for each person); jobs that need one whole, such as nested validation, check
-its size and give each task a copy, while folds and replicates are what Spark spreads.
+Linear models are fitted from sums of cross products, which Spark adds up; a training part is the total minus what is
+left out. Nested validation meets its pairs of left-out rows in cells of bounded size. Bootstraps join rows by position
+to drawn positions. No table is brought to the driver, and none has a bound on its rows.
 """
 
 from __future__ import annotations
@@ -16,16 +17,12 @@ from pyspark.sql import functions as F
 
 from cohortwave.operators.shape import canonical_positions
 
-#: Most subjects that a nested validation takes as a whole.
-MOST_SUBJECTS = 20_000
-
-
-def small_table(df: DataFrame, order: list[str], most: int = MOST_SUBJECTS) -> pd.DataFrame:
-    """A subject-level table on the driver; more than `most` rows is an error, not a slow job."""
-    rows = df.orderBy(*order).limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} subjects: aggregate to subjects first, or raise the bound")
-    return rows
+#: Rows of either side of a cell of nested validation.
+CELL_ROWS = 400
+#: Pairs of left-out rows whose small systems are solved at once.
+PAIRS_AT_ONCE = 20_000
+#: Rows of a block that one surrogate is made of, at most; a longer block is cut in such stretches.
+STRETCH = 1 << 16
 
 
 # folds and scaling
@@ -124,61 +121,98 @@ def score_linear(df: DataFrame, model: DataFrame, keys: list[str], columns: list
     return j.withColumn(name, value)
 
 
-def scaled_ridge(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Coefficients for each alpha on standardised columns, with the scaling and the mean of y."""
-    mean, sd = x.mean(0), x.std(0)
-    sd = np.where(sd == 0, 1.0, sd)
-    z, p = (x - mean) / sd, x.shape[1]
-    gram, right = z.T @ z, z.T @ (y - y.mean())
-    beta = np.linalg.solve(gram[None] + alphas[:, None, None] * np.eye(p), np.broadcast_to(right[:, None], (len(alphas), p, 1)))[:, :, 0]
-    return beta, mean, sd, float(y.mean())
-
-
-def inner_errors(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> np.ndarray:
-    """Mean squared leave-one-out error of every alpha; each inner fold is standardised anew. All folds in one solve."""
-    n, p = x.shape
-    m = n - 1
-    mean = (x.sum(0) - x) / m
-    var = np.maximum(((x**2).sum(0) - x**2) / m - mean**2, 0)
-    sd = np.where(var <= 1e-24, 1.0, np.sqrt(var))
-    ymean = (y.sum() - y) / m
-    gram = (x.T @ x)[None] - x[:, :, None] * x[:, None, :] - m * mean[:, :, None] * mean[:, None, :]
+def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cross products of (1, x, y) of each row, as n matrices."""
+    d = np.column_stack([np.ones(len(y)), x, y])
+    return d[:, :, None] * d[:, None, :]
+
+
+def ridge_from_moments(m: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For sums of cross products of many training sets: coefficients on standardised columns by alpha, means, SDs, mean of y."""
+    p = m.shape[1] - 2
+    n = m[:, 0, 0]
+    mean, ybar = m[:, 0, 1:-1] / n[:, None], m[:, 0, -1] / n
+    gram = m[:, 1:-1, 1:-1] - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+    right = m[:, 1:-1, -1] - n[:, None] * mean * ybar[:, None]
+    var = np.maximum(np.diagonal(gram, axis1=1, axis2=2) / n[:, None], 0)
+    sd = np.where(var <= 1e-20, 1.0, np.sqrt(var))
     gram = gram / (sd[:, :, None] * sd[:, None, :])
-    right = ((x.T @ y)[None] - x * y[:, None] - m * mean * ymean[:, None]) / sd
-    z = (x - mean) / sd
-    out = np.empty(len(alphas))
-    for i, a in enumerate(alphas):
-        beta = np.linalg.solve(gram + a * np.eye(p), right[:, :, None])[:, :, 0]
-        out[i] = np.mean((y - ymean - (z * beta).sum(1)) ** 2)
-    return out
+    beta = np.linalg.solve(gram[:, None] + alphas[:, None, None] * np.eye(p), np.broadcast_to((right / sd)[:, None, :, None], (len(m), len(alphas), p, 1)))[..., 0]
+    return beta, mean, sd, ybar
 
 
-def outer_fold(x: np.ndarray, y: np.ndarray, i: int, alphas: np.ndarray) -> tuple[float, float, float]:
-    """Prediction for row i, mean of the others, and the alpha that their inner validation chose (ties: the smaller)."""
-    rest = np.arange(len(y)) != i
-    xr, yr = x[rest], y[rest]
-    mean, sd = xr.mean(0), xr.std(0)
-    sd = np.where(sd == 0, 1.0, sd)
-    z = (xr - mean) / sd
-    alpha = alphas[int(np.argmin(np.round(inner_errors(z, yr, alphas), 12)))]
-    beta, m2, s2, ybar = scaled_ridge(z, yr, np.asarray([alpha]))
-    return float((((x[i] - mean) / sd - m2) / s2) @ beta[0] + ybar), float(yr.mean()), float(alpha)
+def inner_errors(total: np.ndarray, left: np.ndarray, x: np.ndarray, y: np.ndarray, same: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+    """Squared errors of rows (x, y), each predicted without itself, summed for every alpha and each outer row that is left out.
 
+    total: sums over all rows; left: cross products of the outer rows; same: (outer, inner) pairs that are one row.
+    """
+    own = moments(x, y)
+    out = np.zeros((len(left), len(alphas)))
+    step = max(1, PAIRS_AT_ONCE // max(1, len(y)))
+    for lo in range(0, len(left), step):
+        part = total[None, None] - left[lo : lo + step, None] - own[None]
+        beta, mean, sd, ybar = ridge_from_moments(part.reshape(-1, *total.shape), alphas)
+        k = len(part)
+        z = (np.tile(x, (k, 1)) - mean) / sd
+        error = (np.tile(y, k) - ybar)[:, None] - (beta * z[:, None, :]).sum(-1)
+        error = np.where(same[lo : lo + step].reshape(-1, 1), 0.0, error)
+        out[lo : lo + step] = (error**2).reshape(k, len(y), -1).sum(1)
+    return out
 
-def nested_loso(features: DataFrame, subject: str, columns: list[str], y: str, alphas: list[float]) -> DataFrame:
-    """(subject, y, pred, m0, alpha): outer leave-one-out, inner choice of alpha, scaling inside each fold."""
-    table = small_table(features.select(subject, *columns, y).dropna(), [subject])
-    x, target, ids = table[columns].to_numpy(float), table[y].to_numpy(float), table[subject].to_numpy()
-    grid = np.sort(np.asarray(alphas, float))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def nested_loso(features: DataFrame, subject: str, columns: list[str], y: str, alphas: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, subject, y, pred, m0, alpha): outer leave-one-out, inner choice of alpha, scaling inside each fold.
+
+    Training sums are the total minus the rows left out. Every pair of an outer and an inner row is one small solve;
+    pairs meet in cells of CELL_ROWS rows a side, whose errors are added up by outer row, so any number of subjects
+    is exact. Groups of fewer than three subjects give no rows.
+    """
+    grid = np.sort(np.asarray(alphas, float))
+    p, one = len(columns), [F.lit(0).alias("_all")] if not keys else []
+    by = [*keys] if keys else ["_all"]
+    kinds = {**dict(features.dtypes), "_all": "int"}
+    clean = features.select(*keys, *one, F.col(subject).alias("subject"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)], F.col(y).cast("double").alias("y")).dropna()
+    # columns are centred and scaled by all rows first, which changes no prediction and keeps the sums well conditioned
+    scale = clean.groupBy(*by).agg(F.count("*").alias("_n"), *[f(f"_x{i}").alias(f"_{m}{i}") for i in range(p) for m, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = [((F.col(f"_x{i}") - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0)).alias(f"_x{i}") for i in range(p)]
+    rows = clean.join(scale.where("_n > 2"), by).select(*by, "subject", "y", "_n", *z)
+    d = [F.lit(1.0), *[F.col(f"_x{i}") for i in range(p)], F.col("y")]
+    sums = rows.groupBy(*by).agg(F.array(*[F.sum(a * b) for a in d for b in d]).alias("_total"))
+    cells = F.ceil(F.col("_n") / CELL_ROWS).cast("int")
+    rows = rows.join(sums, by).withColumns({"_cells": cells, "_cell": F.pmod(F.xxhash64("subject"), cells).cast("int"), "_h": F.xxhash64("subject")})
+    every = F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))
+    outer = rows.withColumn("_inner", every).withColumnRenamed("_cell", "_outer")
+    names = [f"_x{i}" for i in range(p)]
+    # columns of names of their own: both sides come from one table
+    inner = rows.select(*[F.col(c).alias(f"_i{c}") for c in [*by, "subject", "y", *names]], F.col("_cell").alias("_i_inner"), every.alias("_i_outer"))
+
+    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=[*by, "subject", "_sse"])
+        xa, ya, total = a[names].to_numpy(float), a["y"].to_numpy(float), np.asarray(a["_total"].iloc[0]).reshape(p + 2, p + 2)
+        same = a["subject"].to_numpy()[:, None] == b["_isubject"].to_numpy()[None, :]
+        sse = inner_errors(total, moments(xa, ya), b[[f"_i{c}" for c in names]].to_numpy(float), b["_iy"].to_numpy(float), same, grid)
+        return a[[*by, "subject"]].assign(_sse=list(sse))
+
+    key_schema = ", ".join(f"{k} {kinds[k]}" for k in by)
+    kind = kinds[subject]
+    errors = outer.groupBy(*by, "_outer", "_inner").cogroup(inner.groupBy(*[f"_i{k}" for k in by], "_i_outer", "_i_inner")).applyInPandas(cell, f"{key_schema}, subject {kind}, _sse array<double>")
+    summed = errors.groupBy(*by, "subject").agg(F.array(*[F.sum(F.get("_sse", i)) for i in range(len(grid))]).alias("_sse"))
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(ids[i], target[i], *outer_fold(x, target, int(i), grid)) for i in b["id"]] if len(ids) > 2 else []
-            yield pd.DataFrame(rows, columns=["subject", "y", "pred", "m0", "alpha"])
+            out = b[[*by, "subject", "y"]].assign(pred=np.nan, m0=np.nan, alpha=np.nan)
+            if len(b):
+                x, t = b[names].to_numpy(float), b["y"].to_numpy(float)
+                total = np.stack([np.asarray(v).reshape(p + 2, p + 2) for v in b["_total"]])
+                choice = np.argmin(np.round(np.stack(b["_sse"].to_list()) / (b["_n"].to_numpy(float) - 1)[:, None], 12), axis=1)
+                beta, mean, sd, ybar = ridge_from_moments(total - moments(x, t), grid)
+                own = beta[np.arange(len(b)), choice]
+                out = out.assign(pred=((x - mean) / sd * own).sum(1) + ybar, m0=ybar, alpha=grid[choice])
+            yield out
 
-    spark = features.sparkSession
-    kind = dict(features.dtypes)[subject]
-    return spark.range(0, len(ids), 1, max(1, min(len(ids), 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, f"subject {kind}, y double, pred double, m0 double, alpha double")
+    found = rows.join(summed, [*by, "subject"]).select(*by, "subject", "y", "_n", "_total", "_sse", *names)
+    return found.mapInPandas(predict, f"{key_schema}, subject {kind}, y double, pred double, m0 double, alpha double").select(*keys, "subject", "y", "pred", "m0", "alpha")
 
 
 def model_ladder(features: DataFrame, subject: str, specs: dict[str, tuple[list[str], str]], alphas: list[float]) -> DataFrame:
@@ -190,41 +224,29 @@ def model_ladder(features: DataFrame, subject: str, specs: dict[str, tuple[list[
     return out
 
 
-def q2(y: np.ndarray, pred: np.ndarray, m0: np.ndarray) -> float:
-    return 1 - float(np.sum((y - pred) ** 2)) / max(float(np.sum((y - m0) ** 2)), 1e-300)
+def q2_of(y: str, pred: str, m0: str) -> Column:
+    """1 - squared error of the predictions over that of the training means."""
+    return 1 - F.sum((F.col(y) - F.col(pred)) ** 2) / F.greatest(F.sum((F.col(y) - F.col(m0)) ** 2), F.lit(1e-300))
 
 
 def seed_of(*parts: object) -> int:
-    """The seed of a replicate or group: the first 8 hex digits of SHA-256."""
+    """The seed of a group: the first 8 hex digits of SHA-256."""
     return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 
 
-def replicates(spark, n: int, compute: Callable[[int], tuple], schema: str) -> DataFrame:
-    """compute(replicate id) for ids 0 to n - 1, spread over the cluster; a lost task recomputes the same draws."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([compute(int(i)) for i in b["id"]], columns=names)
-
-    return spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, schema)
-
-
 def permutation_null(features: DataFrame, subject: str, columns: list[str], y: str, alphas: list[float], n: int, seed: int) -> DataFrame:
     """Q2 of the whole nested validation with y permuted over subjects, one row per replicate; replicate -1 is unpermuted.
 
-    Every replicate has a seed of its own, so the null doesn't depend on how many tasks there are.
+    In a replicate, the subject at place i in order of SHA-256 of seed:replicate:subject gets the y of the subject at place i in order of id.
     """
-    table = small_table(features.select(subject, *columns, y).dropna(), [subject])
-    x, target = table[columns].to_numpy(float), table[y].to_numpy(float)
-    grid = np.sort(np.asarray(alphas, float))
-
-    def compute(i: int) -> tuple[int, float]:
-        own = target if i == 0 else np.random.default_rng(seed_of(seed, i)).permutation(target)
-        folds = np.asarray([outer_fold(x, own, k, grid) for k in range(len(own))])
-        return i - 1, q2(own, folds[:, 0], folds[:, 1])
-
-    return replicates(features.sparkSession, n + 1, compute, "replicate long, q2 double")
+    rows = features.select(subject, *columns, F.col(y).alias("y")).dropna()
+    placed = canonical_positions(rows, [subject])
+    dealt = rows.select(subject, *columns, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
+    order = F.sha2(F.concat_ws(":", F.lit(seed), F.col("replicate"), F.col(subject)), 256)
+    dealt = dealt.withColumn("position", F.row_number().over(Window.partitionBy("replicate").orderBy(order, subject)).cast("long"))
+    permuted = dealt.join(placed.select("position", "y"), "position").select("replicate", subject, *columns, "y")
+    both = permuted.unionByName(rows.select(F.lit(-1).alias("replicate"), subject, *columns, "y"))
+    return nested_loso(both, subject, columns, "y", alphas, ("replicate",)).groupBy("replicate").agg(q2_of("y", "pred", "m0").alias("q2"))
 
 
 def null_summary(null: DataFrame) -> DataFrame:
@@ -237,20 +259,34 @@ def null_summary(null: DataFrame) -> DataFrame:
 # resampling
 
 
-def draws(seed: int, replicate: int, n: int) -> np.ndarray:
-    """n positions of 0 to n - 1, from SHA-256 of seed:replicate:position, so that SQL can draw the same."""
-    return np.asarray([int(hashlib.sha256(f"{seed}:{replicate}:{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)])
+def drawn(seed: int, replicate: Column, k: Column, n: Column) -> Column:
+    """The k-th position (0 to n - 1) of a replicate, from SHA-256 of seed:replicate:k, so that SQL can draw the same."""
+    head = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), replicate, k), 256), 1, 8)
+    return F.conv(head, 16, 10).cast("long") % n
+
+
+def resampled(df: DataFrame, order: str, columns: list[str], n: int, seed: int) -> DataFrame:
+    """(replicate, columns): n replicates of as many rows as df has, drawn with replacement by position in `order`."""
+    placed = canonical_positions(df.select(order, *columns).dropna(), [order]).select(*columns, (F.col("position") - 1).alias("_i"))
+    rows = df.select(order, *columns).dropna().count()
+    ids = df.sparkSession.range(0, n * rows)
+    replicate, k = F.floor(F.col("id") / max(1, rows)), F.col("id") % max(1, rows)
+    places = ids.select(replicate.alias("replicate"), drawn(seed, replicate, k, F.lit(rows)).alias("_i"))
+    return places.join(placed, "_i").select("replicate", *columns)
 
 
-def bootstrap_statistic(df: DataFrame, order: str, columns: list[str], statistic: Callable[[np.ndarray], float], n: int, seed: int) -> DataFrame:
-    """(replicate, value): a statistic of subject rows drawn with replacement."""
-    table = small_table(df.select(order, *columns).dropna(), [order])
-    rows = table[columns].to_numpy(float)
+def bootstrap_statistic(df: DataFrame, order: str, columns: list[str], statistic: Column, n: int, seed: int) -> DataFrame:
+    """(replicate, value): an aggregate over rows drawn with replacement."""
+    return resampled(df, order, columns, n, seed).groupBy("replicate").agg(statistic.alias("value"))
 
-    def compute(i: int) -> tuple[int, float]:
-        return i, float(statistic(rows[draws(seed, i, len(rows))])) if len(rows) else float("nan")
 
-    return replicates(df.sparkSession, n, compute, "replicate long, value double")
+def bootstrap_rank_correlation(df: DataFrame, order: str, a: str, b: str, n: int, seed: int) -> DataFrame:
+    """(replicate, value): rank correlation of rows drawn with replacement; ties share their mean rank."""
+    rows = resampled(df, order, [a, b], n, seed)
+    for c in (a, b):
+        least = F.rank().over(Window.partitionBy("replicate").orderBy(c))
+        rows = rows.withColumn(f"_r_{c}", least + (F.count("*").over(Window.partitionBy("replicate", c)) - 1) / 2)
+    return rows.groupBy("replicate").agg(F.corr(f"_r_{a}", f"_r_{b}").alias("value")).select("replicate", F.nanvl("value", F.lit(None)).alias("value"))
 
 
 def interval(boot: DataFrame, level: float = 0.95) -> DataFrame:
@@ -260,57 +296,50 @@ def interval(boot: DataFrame, level: float = 0.95) -> DataFrame:
 
 def paired_bootstrap_ci(deltas: DataFrame, subject: str, delta: str, n: int, seed: int) -> DataFrame:
     """Interval of the mean delta; reliable where it leaves zero out."""
-    ci = interval(bootstrap_statistic(deltas, subject, [delta], lambda r: r[:, 0].mean(), n, seed))
+    ci = interval(bootstrap_statistic(deltas, subject, [delta], F.avg(delta), n, seed))
     return ci.withColumn("reliable", F.when(F.col("upper") < 0, "lower").when(F.col("lower") > 0, "higher").otherwise("none"))
 
 
-def score_statistic(r: np.ndarray) -> float:
-    """Q2 of (y, pred, m0) rows."""
-    return q2(r[:, 0], r[:, 1], r[:, 2])
-
-
-def ranks(x: np.ndarray) -> np.ndarray:
-    _, inverse, counts = np.unique(x, return_inverse=True, return_counts=True)
-    return (np.cumsum(counts) - (counts - 1) / 2)[inverse]
-
-
-def rank_correlation(r: np.ndarray) -> float:
-    a, b = ranks(r[:, 0]), ranks(r[:, 1])
-    return float(np.corrcoef(a, b)[0, 1]) if a.std() > 0 and b.std() > 0 else float("nan")
-
-
 def trial_bootstrap(trials: DataFrame, subject: str, base: str, pert: str, n: int, seed: int) -> DataFrame:
-    """SE and interval of the log ratio of medians per subject, trials resampled within sessions."""
-    kind = dict(trials.dtypes)[subject]
+    """SE and interval of the log ratio of medians per subject, trials resampled within sessions.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.sort(part.loc[part["session"] == s, "rt"].dropna().to_numpy(float)) for s in (base, pert))
-        if len(a) < 2 or len(b) < 2:
-            return pd.DataFrame(columns=["subject", "n_base", "n_pert", "y", "se", "lower", "upper"])
-        rng = np.random.default_rng(seed_of(seed, part[subject].iloc[0]))
-        y = np.log(np.median(rng.choice(b, (n, len(b))), axis=1)) - np.log(np.median(rng.choice(a, (n, len(a))), axis=1))
-        return pd.DataFrame([(part[subject].iloc[0], len(a), len(b), np.log(np.median(b)) - np.log(np.median(a)), y.std(ddof=1), *np.quantile(y, [0.025, 0.975]))], columns=["subject", "n_base", "n_pert", "y", "se", "lower", "upper"])
-
-    return trials.select(subject, "session", "rt").where("rt > 0").groupBy(subject).applyInPandas(run, f"subject {kind}, n_base long, n_pert long, y double, se double, lower double, upper double")
+    A draw is a place among the session's trials in order of time, from SHA-256 of seed:subject:session:replicate:k.
+    """
+    rows = trials.select(F.col(subject).alias("subject"), "session", "rt").where("rt > 0").where(F.col("session").isin(base, pert))
+    by = ["subject", "session"]
+    placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("rt")) - 1)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.median("rt").alias("median"))
+    of = lambda session, what: F.max(F.when(F.col("session") == session, F.col(what)))
+    both = sizes.groupBy("subject").agg(of(base, "_n").alias("n_base"), of(pert, "_n").alias("n_pert"), F.ln(of(pert, "median") / of(base, "median")).alias("y")).where("n_base > 1 and n_pert > 1")
+    k = sizes.join(both.select("subject"), "subject", "left_semi").select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("_k"))
+    head = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), *by, "replicate", "_k"), 256), 1, 8)
+    places = k.select(*by, "replicate", (F.conv(head, 16, 10).cast("long") % F.col("_n")).cast("int").alias("_i"))
+    medians = places.join(placed, [*by, "_i"]).groupBy(*by, "replicate").agg(F.median("rt").alias("median"))
+    ratios = medians.groupBy("subject", "replicate").agg(F.ln(of(pert, "median") / of(base, "median")).alias("v"))
+    spread = ratios.groupBy("subject").agg(F.stddev_samp("v").alias("se"), F.percentile("v", F.lit(0.025)).alias("lower"), F.percentile("v", F.lit(0.975)).alias("upper"))
+    return both.join(spread, "subject")
 
 
 def moving_block_bootstrap(df: DataFrame, key: str, order: str, x: str, block: int, n: int, seed: int) -> DataFrame:
-    """Interval of a recording's mean under blocks of rows and under single rows, and the ratio of their widths."""
-    kind = dict(df.dtypes)[key]
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        v = part.sort_values(order)[x].to_numpy(float)
-        size = min(block, len(v))
-        rng = np.random.default_rng(seed_of(seed, part[key].iloc[0]))
-        need = -(-len(v) // size)
-        total = np.concatenate(([0.0], np.cumsum(v)))
-        sums = total[size:] - total[:-size]
-        moving = sums[rng.integers(0, len(sums), (n, need))].sum(1) / (need * size)
-        single = np.asarray([v[rng.integers(0, len(v), len(v))].mean() for _ in range(n)])
-        (a, b), (c, d) = np.quantile(moving, [0.025, 0.975]), np.quantile(single, [0.025, 0.975])
-        return pd.DataFrame([(part[key].iloc[0], len(v), size, v.mean(), a, b, c, d, (b - a) / (d - c) if d > c else None)], columns=["key", "n", "block", "mean", "lower", "upper", "iid_lower", "iid_upper", "width_ratio"])
+    """Interval of a recording's mean under blocks of rows and under single rows, and the ratio of their widths.
 
-    return df.select(key, order, x).dropna().groupBy(key).applyInPandas(run, f"key {kind}, n long, block int, mean double, lower double, upper double, iid_lower double, iid_upper double, width_ratio double")
+    A draw is a place in the recording, from SHA-256 of seed:kind:key:replicate:k, kind 0 for blocks and 1 for rows.
+    """
+    rows = df.select(F.col(key).alias("key"), order, F.col(x).alias("x")).dropna()
+    sizes = rows.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.avg("x").alias("mean")).withColumn("block", F.least(F.lit(block), F.col("n")))
+    w = Window.partitionBy("key").orderBy(order)
+    placed = rows.join(sizes.select("key", "n", "block"), "key").withColumns({"_i": F.row_number().over(w) - 1, "_sum": F.sum("x").over(w.rowsBetween(0, block - 1))})
+    values = placed.where(F.col("_i") <= F.col("n") - F.col("block")).select("key", "_i", F.lit(0).alias("kind"), F.col("_sum").alias("v")).unionByName(placed.select("key", "_i", F.lit(1).alias("kind"), F.col("x").alias("v")))
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.ceil(F.col("n") / F.col("block")).cast("int").alias("draws"), (F.col("n") - F.col("block") + 1).alias("places")), F.struct(F.lit(1).alias("kind"), F.col("n").alias("draws"), F.col("n").alias("places"))))
+    asked = sizes.select("key", "block", kinds.alias("g")).select("key", "block", "g.*").select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("_k"))
+    head = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "kind", "key", "replicate", "_k"), 256), 1, 8)
+    places = asked.select("key", "kind", "block", "draws", "replicate", (F.conv(head, 16, 10).cast("long") % F.col("places")).cast("int").alias("_i"))
+    means = places.join(values, ["key", "kind", "_i"]).groupBy("key", "kind", "replicate").agg((F.sum("v") / F.max("draws") / F.max(F.when(F.col("kind") == 0, F.col("block")).otherwise(1))).alias("m"))
+    ends = means.groupBy("key", "kind").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    of = lambda kind, what: F.max(F.when(F.col("kind") == kind, F.col(what)))
+    wide = ends.groupBy("key").agg(of(0, "lo").alias("lower"), of(0, "hi").alias("upper"), of(1, "lo").alias("iid_lower"), of(1, "hi").alias("iid_upper"))
+    ratio = F.when(F.col("iid_upper") > F.col("iid_lower"), (F.col("upper") - F.col("lower")) / (F.col("iid_upper") - F.col("iid_lower")))
+    return sizes.join(wide, "key").select("key", F.col("n").cast("long").alias("n"), "block", "mean", "lower", "upper", "iid_lower", "iid_upper", ratio.alias("width_ratio"))
 
 
 def iaaft(v: np.ndarray, rng: np.random.Generator, rounds: int = 50) -> np.ndarray:
@@ -327,102 +356,78 @@ def iaaft(v: np.ndarray, rng: np.random.Generator, rounds: int = 50) -> np.ndarr
     return out
 
 
-def by_group(df: DataFrame, keys: list[str], order: list[str], compute: Callable[[tuple, dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
-    """compute(key, columns as arrays) for every group: grouped rows stream through one worker per partition.
-
-    For very many small groups, where an Arrow batch for each would cost more than the work in it. A group's rows are
-    held together, so groups must fit in a task; the partitioning is by all keys.
-    """
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def results(frame: pd.DataFrame, bounds: np.ndarray) -> Iterator[pd.DataFrame]:
-            arrays = {c: frame[c].to_numpy() for c in frame.columns}
-            rows = []
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                rows += compute(tuple(arrays[k][lo] for k in keys), {c: v[lo:hi] for c, v in arrays.items()})
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
-
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            fresh = np.zeros(len(batch), bool)
-            for k in keys:
-                v = batch[k].to_numpy()
-                fresh[1:] |= v[1:] != v[:-1]
-            starts = np.flatnonzero(fresh)
-            if held and any(held[-1][k].iloc[-1] != batch[k].iloc[0] for k in keys):
-                whole = pd.concat(held, ignore_index=True)
-                yield from results(whole, np.asarray([0, len(whole)]))
-                held = []
-            if len(starts):
-                head = pd.concat([*held, batch.iloc[: starts[0]]], ignore_index=True)
-                yield from results(head, np.asarray([0, len(head)]))
-                yield from results(batch, starts)
-                held = [batch.iloc[starts[-1] :]]
-            else:
-                held.append(batch)
-        if held:
-            whole = pd.concat(held, ignore_index=True)
-            yield from results(whole, np.asarray([0, len(whole)]))
-
-    # a stated number of partitions: few bytes with much work in them would otherwise be merged into one task
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
-def blockwise_iaaft(series: DataFrame, keys: list[str], order: str, x: str, k: int, seed: int) -> DataFrame:
-    """k surrogates of every block (keys end with the block), each block on its own."""
+def blockwise_iaaft(series: DataFrame, keys: list[str], order: str, x: str, k: int, seed: int, stretch: int = STRETCH) -> DataFrame:
+    """k surrogates of every block (keys end with the block), each block on its own, in stretches of at most `stretch` rows."""
     fields = dict(series.dtypes)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    cut = series.select(*keys, order, x).dropna().withColumn("_stretch", F.floor(place / stretch).cast("int"))
+
+    def surrogates(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        first = part.iloc[0]
+        rng = np.random.default_rng(seed_of(seed, int(first["_stretch"]), *[first[c] for c in keys]))
+        v = part[x].to_numpy(float)
+        return pd.concat([part[keys].assign(replicate=i, **{order: part[order], "surrogate": iaaft(v, rng)}) for i in range(k)])
 
-    def surrogate(key: tuple, c: dict[str, np.ndarray]) -> list[tuple]:
-        rng = np.random.default_rng(seed_of(seed, int(key[-1]), *key[:-1]))
-        return [(*key, o, float(v)) for o, v in zip(c[order].tolist(), iaaft(c[x].astype(float), rng), strict=True)]
+    schema = ", ".join(f"{c} {fields[c]}" for c in keys) + f", replicate int, {order} {fields[order]}, surrogate double"
+    return cut.groupBy(*keys, "_stretch").applyInPandas(surrogates, schema)
 
-    copies = series.select(*keys, order, x).dropna().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return by_group(copies, [*keys, "replicate"], [order], surrogate, ", ".join(f"{c} {fields[c]}" for c in keys) + f", replicate int, {order} {fields[order]}, surrogate double")
 
+def block_sums(series: DataFrame, key: str, columns: list[str], y: str) -> DataFrame:
+    """Sums of cross products of (1, columns, y) for each (key, block): a small square matrix each, whatever the rows."""
+    d = [F.lit(1.0), *[F.col(c).cast("double") for c in [*columns, y]]]
+    rows = series.select(key, "block", *columns, y).dropna()
+    return rows.groupBy(key, "block").agg(F.array(*[F.sum(a * b) for a in d for b in d]).alias("_sums"))
 
-def fold_scores(y: np.ndarray, pred: np.ndarray) -> tuple[float | None, float]:
-    r = float(np.corrcoef(y, pred)[0, 1]) if y.std() > 0 and pred.std() > 0 else None
-    return r, float(np.sqrt(np.mean((y - pred) ** 2)))
 
+def fold_scores(beta: np.ndarray, test: np.ndarray) -> tuple[float | None, float]:
+    """Correlation and RMSE of predictions beta (intercept first) on rows known by their sums of cross products."""
+    n, ysum, yy = test[0, 0], test[0, -1], test[-1, -1]
+    inner = test[:-1, :-1]
+    psum, pp, py = beta @ inner[:, 0], beta @ inner @ beta, beta @ test[:-1, -1]
+    vy, vp = yy - ysum**2 / n, pp - psum**2 / n
+    r = float((py - psum * ysum / n) / np.sqrt(vy * vp)) if vy > 1e-12 * yy and vp > 1e-12 * pp else None
+    return r, float(np.sqrt(max(yy - 2 * py + pp, 0) / n))
 
-def per_block_fold(series: DataFrame, key: str, fit: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple], columns: list[str], y: str, extra: str) -> DataFrame:
-    """fit(train x, train y, train blocks, test x, test y) for each (participant, left-out block), in a task of its own."""
+
+def per_block_fold(series: DataFrame, key: str, fit: Callable[[np.ndarray, np.ndarray, int], tuple], columns: list[str], y: str, extra: str) -> DataFrame:
+    """fit(sums of every block, total, left-out block) for each (participant, block). Only block sums are grouped, never rows."""
     kind = dict(series.dtypes)[key]
+    p = len(columns) + 2
+    names = ["key", "fold", "n_train", "n_test", *[c.split()[0] for c in extra.split(", ")]]
 
-    def one(group: tuple, c: dict[str, np.ndarray]) -> list[tuple]:
-        test = c["block"] == group[1]
-        x, t = np.stack([c[n].astype(float) for n in columns], 1), c[y].astype(float)
-        if test.all() or (~test).sum() <= 3:
-            return []
-        return [(group[0], group[1], int((~test).sum()), int(test.sum()), *fit(x[~test], t[~test], c["block"][~test], x[test], t[test]))]
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block")
+        grams = np.stack([np.asarray(v).reshape(p, p) for v in part["_sums"]])
+        total, rows = grams.sum(0), []
+        for i, block in enumerate(part["block"].tolist()):
+            n_test = int(grams[i, 0, 0])
+            n_train = int(total[0, 0]) - n_test
+            if n_train > 3:
+                rows.append((part[key].iloc[0], block, n_train, n_test, *fit(grams, total, i)))
+        return pd.DataFrame(rows, columns=names)
 
-    rows = series.select(key, "block", *columns, y).dropna()
-    blocks = rows.groupBy(key).agg(F.collect_set("block").alias("folds"))
-    copies = rows.join(blocks, key).withColumn("fold", F.explode("folds")).drop("folds")
-    return by_group(copies, [key, "fold"], ["block", *columns, y], one, f"key {kind}, fold long, n_train long, n_test long, {extra}")
+    return block_sums(series, key, columns, y).groupBy(key).applyInPandas(one, f"key {kind}, fold long, n_train long, n_test long, {extra}")
 
 
 def block_cv_pca_ols(series: DataFrame, key: str, columns: list[str], y: str, least: float = 0.01) -> DataFrame:
-    """Leave one block out: principal components of the training part with at least 1 % of its variance, then OLS."""
-
-    def fit(x, t, _, xt, tt):
-        mean, sd = x.mean(0), x.std(0)
-        sd = np.where(sd == 0, 1.0, sd)
-        z = (x - mean) / sd
-        _, s, v = np.linalg.svd(z, full_matrices=False)
-        keep = s**2 / max((s**2).sum(), 1e-300) >= least
-        scores = z @ v[keep].T
-        design = np.column_stack([np.ones(len(t)), scores])
-        beta = np.linalg.lstsq(design, t, rcond=None)[0]
-        pred = np.column_stack([np.ones(len(tt)), ((xt - mean) / sd) @ v[keep].T]) @ beta
-        r, rmse = fold_scores(tt, pred)
-        return int(keep.sum()), r, rmse
+    """Leave one block out: principal components of the training part with at least 1 % of its variance, then OLS.
+
+    Components come from the training correlation matrix, total minus block; their scores are uncorrelated, so OLS on
+    them is one division each.
+    """
+
+    def fit(grams: np.ndarray, total: np.ndarray, i: int) -> tuple:
+        m = total - grams[i]
+        n, mean, ybar = m[0, 0], m[0, 1:-1] / m[0, 0], m[0, -1] / m[0, 0]
+        cov = m[1:-1, 1:-1] - n * np.outer(mean, mean)
+        var = np.maximum(np.diagonal(cov) / n, 0)
+        sd = np.where(var <= 1e-20 * np.maximum(mean**2, 1), 1.0, np.sqrt(var))
+        values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
+        keep = values / max(values.sum(), 1e-300) >= least
+        right = (m[1:-1, -1] - n * mean * ybar) / sd
+        slope = vectors[:, keep] @ (vectors[:, keep].T @ right / values[keep]) / sd
+        return int(keep.sum()), *fold_scores(np.append(ybar - slope @ mean, slope), grams[i])
 
     return per_block_fold(series, key, fit, columns, y, "components int, r double, rmse double")
 
@@ -430,18 +435,14 @@ def block_cv_pca_ols(series: DataFrame, key: str, columns: list[str], y: str, le
 def floating_forward_selection(series: DataFrame, key: str, columns: list[str], y: str, most: int) -> DataFrame:
     """Column subset per outer fold by inner leave-one-block-out RMSE, dropping columns again where that helps.
 
-    Gram matrices of each block are computed once; a candidate subset costs a small solve for each inner fold.
+    A candidate subset costs a small solve for each inner fold: the outer training sums minus the inner block's.
     """
 
-    def fit(x, t, blocks, xt, tt):
-        ones = np.column_stack([np.ones(len(t)), x, t])
-        names = np.unique(blocks)
-        grams = np.stack([ones[blocks == b].T @ ones[blocks == b] for b in names])
-        total = grams.sum(0)
-        last = ones.shape[1] - 1
+    def fit(blocks: np.ndarray, whole: np.ndarray, i: int) -> tuple:
+        grams, total, last = np.delete(blocks, i, axis=0), whole - blocks[i], whole.shape[0] - 1
 
         def error(subset: tuple[int, ...]) -> float:
-            at = [0, *[i + 1 for i in subset]]
+            at = [0, *[c + 1 for c in subset]]
             sse = n = 0.0
             for g in grams:
                 own = total - g if len(grams) > 1 else g
@@ -452,8 +453,8 @@ def floating_forward_selection(series: DataFrame, key: str, columns: list[str],
 
         chosen: tuple[int, ...] = ()
         best = {0: (error(()), ())}
-        while len(chosen) < min(most, x.shape[1]):
-            e, chosen = min((error((*chosen, c)), (*chosen, c)) for c in range(x.shape[1]) if c not in chosen)
+        while len(chosen) < min(most, last - 1):
+            e, chosen = min((error((*chosen, c)), (*chosen, c)) for c in range(last - 1) if c not in chosen)
             best[len(chosen)] = min(best.get(len(chosen), (e, chosen)), (e, chosen))
             while len(chosen) > 2:
                 e, less = min((error(tuple(c for c in chosen if c != out)), tuple(c for c in chosen if c != out)) for out in chosen)
@@ -461,27 +462,22 @@ def floating_forward_selection(series: DataFrame, key: str, columns: list[str],
                     break
                 best[len(less)], chosen = (e, less), less
         subset = min(best.values(), key=lambda b: (round(b[0], 12), len(b[1])))[1]
-        design = lambda v: np.column_stack([np.ones(len(v)), v[:, list(subset)]])
-        beta = np.linalg.lstsq(design(x), t, rcond=None)[0]
-        r, rmse = fold_scores(tt, design(xt) @ beta)
-        return [columns[i] for i in sorted(subset)], r, rmse
+        at = [0, *[c + 1 for c in subset]]
+        beta = np.zeros(last)
+        beta[at] = np.linalg.lstsq(total[np.ix_(at, at)], total[at, last], rcond=None)[0]
+        return [columns[c] for c in sorted(subset)], *fold_scores(beta, blocks[i])
 
     return per_block_fold(series, key, fit, columns, y, "selected array<string>, r double, rmse double")
 
 
-def finite_sample_dispersion(spark, sigma: float, sizes: list[int], n: int, seed: int, chunk: int = 2_000) -> DataFrame:
-    """Bias and spread of the sample SD at small sizes, Gaussian and Student-t(5), next to sigma / sqrt(2 (k - 1))."""
-
-    def compute(i: int) -> tuple:
-        k = sizes[i // n]
-        rng = np.random.default_rng(seed_of(seed, i))
-        gauss = rng.standard_normal((chunk, k)).std(axis=1, ddof=1) * sigma
-        student = rng.standard_t(5, (chunk, k)).std(axis=1, ddof=1) * sigma / np.sqrt(5 / 3)
-        return k, float(gauss.sum()), float((gauss**2).sum()), float(student.sum()), float((student**2).sum())
-
-    r = replicates(spark, n * len(sizes), compute, "k int, gs double, gq double, ts double, tq double").groupBy("k").agg((F.count("*") * chunk).alias("n"), *[F.sum(c).alias(c) for c in ("gs", "gq", "ts", "tq")])
-    sd = lambda q, s: F.sqrt((F.col(q) - F.col(s) * F.col(s) / F.col("n")) / (F.col("n") - 1))
-    return r.select("k", "n", (F.col("gs") / F.col("n") - sigma).alias("bias"), sd("gq", "gs").alias("spread"), (F.col("ts") / F.col("n") - sigma).alias("bias_t"), sd("tq", "ts").alias("spread_t"), (F.lit(sigma) / F.sqrt(2.0 * (F.col("k") - 1))).alias("analytic"))
+def finite_sample_dispersion(df: DataFrame, row: str, x: str, sizes: list[int], seed: int) -> DataFrame:
+    """Bias and spread of the SD of k values, over groups that a hash order deals from the rows, next to sigma / sqrt(2 (k - 1))."""
+    rows = df.select(row, F.col(x).alias("x")).dropna().withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), F.col(row)), 256))
+    placed = canonical_positions(rows, ["_h", row])
+    sigma = rows.agg(F.stddev_samp("x").alias("sigma"), F.count("*").alias("rows"))
+    groups = placed.select("x", (F.col("position") - 1).alias("i"), F.explode(F.array(*map(F.lit, sizes))).alias("k")).groupBy("k", F.floor(F.col("i") / F.col("k")).alias("g"))
+    spread = groups.agg(F.stddev_samp("x").alias("sd"), F.count("*").alias("n")).where("n = k").groupBy("k").agg(F.count("*").alias("n"), F.avg("sd").alias("sd"), F.stddev_samp("sd").alias("spread"))
+    return spread.join(F.broadcast(sigma)).select("k", "n", (F.col("sd") - F.col("sigma")).alias("bias"), "spread", (F.col("sigma") / F.sqrt(2.0 * (F.col("k") - 1))).alias("analytic"))
 
 
 def grouped_grid_search(df: DataFrame, keys: list[str], role: str, columns: list[str], y: str, alphas: list[float]) -> DataFrame:

@@ -172,7 +172,7 @@ BOOT = "pos AS (SELECT *, row_number() OVER (ORDER BY subject) - 1 AS i, count(*
 @register("m12_bootstrap_scores", ", v AS (SELECT rep, 1 - sum((y - 2 * a) ** 2) / sum((y - z / 100) ** 2) AS q FROM bt GROUP BY 1) SELECT count(*) AS b, avg(q) AS mean, quantile_cont(q, 0.025) AS lower, quantile_cont(q, 0.975) AS upper FROM v", NATION, BOOT.format(table="nf"), rnd="mean lower upper")
 def m12(spark, d):
     f = nation_features(spark, d).select("subject", "y", (F.col("a") * 2).alias("pred"), (F.col("z") / 100).alias("m0"))
-    return models.interval(models.bootstrap_statistic(f, "subject", ["y", "pred", "m0"], models.score_statistic, 300, 3))
+    return models.interval(models.bootstrap_statistic(f, "subject", ["y", "pred", "m0"], models.q2_of("y", "pred", "m0"), 300, 3))
 
 
 @register(
@@ -188,7 +188,16 @@ def m13(spark, d):
     return models.paired_bootstrap_ci(deltas(spark, d), "subject", "delta_b", 300, 3)
 
 
-@register("m14_trial_bootstrap")
+@register(
+    "m14_trial_bootstrap",
+    """, tp AS (SELECT *, row_number() OVER (PARTITION BY subject, session ORDER BY rt) - 1 AS i FROM trials WHERE rt > 0), sz AS (SELECT subject, session, count(*) AS n, median(rt) AS m FROM tp GROUP BY ALL),
+    two AS (SELECT subject, max(n) FILTER (session = 'baseline') AS n_base, max(n) FILTER (session = 'perturbation') AS n_pert, ln(max(m) FILTER (session = 'perturbation') / max(m) FILTER (session = 'baseline')) AS y FROM sz GROUP BY 1 HAVING n_base > 1 AND n_pert > 1),
+    dr AS (SELECT subject, session, rep, ('0x' || substr(sha256(concat_ws(':', 5, subject, session, rep, k)), 1, 8))::BIGINT % n AS i FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, unnest(range(0, 500)) AS rep FROM sz JOIN (SELECT subject FROM two) USING (subject)))),
+    md AS (SELECT subject, session, rep, median(rt) AS m FROM dr JOIN tp USING (subject, session, i) GROUP BY ALL), ra AS (SELECT subject, rep, ln(max(m) FILTER (session = 'perturbation') / max(m) FILTER (session = 'baseline')) AS v FROM md GROUP BY ALL)
+    SELECT subject, n_base, n_pert, y, stddev_samp(v) AS se, quantile_cont(v, 0.025) AS lower, quantile_cont(v, 0.975) AS upper FROM two JOIN ra USING (subject) GROUP BY ALL""",
+    base.TRIALS,
+    rnd="y se lower upper",
+)
 def m14(spark, d):
     return models.trial_bootstrap(base.trials(spark, d), "subject", "baseline", "perturbation", 500, 5)
 
@@ -202,10 +211,20 @@ def m14(spark, d):
     rnd="mean lower upper",
 )
 def m15(spark, d):
-    return models.interval(models.bootstrap_statistic(nation_features(spark, d), "subject", ["a", "z"], models.rank_correlation, 300, 3))
+    return models.interval(models.bootstrap_rank_correlation(nation_features(spark, d), "subject", "a", "z", 300, 3))
 
 
-@register("m16_moving_block_bootstrap")
+@register(
+    "m16_moving_block_bootstrap",
+    """WITH r AS (SELECT user_id AS key, event_id, value AS x FROM events WHERE value IS NOT NULL), sz AS (SELECT key, count(*) AS n, avg(x) AS mean, least(6, count(*)) AS block FROM r GROUP BY 1),
+    pl AS (SELECT key, n, block, x, row_number() OVER w - 1 AS i, sum(x) OVER (w ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS s FROM r JOIN sz USING (key) WINDOW w AS (PARTITION BY key ORDER BY event_id)),
+    va AS (SELECT key, 0 AS kind, i, s AS v FROM pl WHERE i <= n - block UNION ALL SELECT key, 1, i, x FROM pl), ask AS (SELECT key, block, 0 AS kind, CAST(ceil(n / block) AS BIGINT) AS draws, n - block + 1 AS places FROM sz UNION ALL SELECT key, 1, 1, n, n FROM sz),
+    dr AS (SELECT key, kind, block, draws, rep, ('0x' || substr(sha256(concat_ws(':', 9, kind, key, rep, k)), 1, 8))::BIGINT % places AS i FROM (SELECT *, unnest(range(0, draws)) AS k FROM (SELECT *, unnest(range(0, 300)) AS rep FROM ask))),
+    me AS (SELECT key, kind, rep, sum(v) / max(draws) / max(block) AS m FROM dr JOIN va USING (key, kind, i) GROUP BY ALL), en AS (SELECT key, kind, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM me GROUP BY ALL),
+    wi AS (SELECT key, max(lo) FILTER (kind = 0) AS lower, max(hi) FILTER (kind = 0) AS upper, max(lo) FILTER (kind = 1) AS iid_lower, max(hi) FILTER (kind = 1) AS iid_upper FROM en GROUP BY 1)
+    SELECT key, n, CAST(block AS INTEGER) AS block, mean, lower, upper, iid_lower, iid_upper, CASE WHEN iid_upper > iid_lower THEN (upper - lower) / (iid_upper - iid_lower) END AS width_ratio FROM sz JOIN wi USING (key)""",
+    rnd="mean lower upper iid_lower iid_upper width_ratio",
+)
 def m16(spark, d):
     return models.moving_block_bootstrap(read(spark, d, "events"), "user_id", "event_id", "value", 6, 300, 9)
 
@@ -236,11 +255,16 @@ def m19(spark, d):
     return models.floating_forward_selection(fold_table(spark, d), "user_id", ["x1", "x2", "x3", "x4"], "y", 3)
 
 
-@register("m20_finite_sample_dispersion")
+@register(
+    "m20_finite_sample_dispersion",
+    """WITH p AS (SELECT value AS x, row_number() OVER (ORDER BY sha256(concat_ws(':', 2, event_id)), event_id) - 1 AS i FROM events WHERE value IS NOT NULL), s AS (SELECT stddev_samp(x) AS sigma FROM p),
+    g AS (SELECT k, i // k AS g, stddev_samp(x) AS sd, count(*) AS n FROM p, (SELECT unnest([4, 8, 15, 30, 60]) AS k) GROUP BY 1, 2)
+    SELECT k, count(*) AS n, avg(sd) - max(sigma) AS bias, stddev_samp(sd) AS spread, max(sigma) / sqrt(2.0 * (k - 1)) AS analytic FROM g, s WHERE n = k GROUP BY k""",
+    rnd="bias spread analytic",
+)
 def m20(spark, d):
-    """The dispersion's sigma is the SD of the events' values."""
-    sigma = read(spark, d, "events").agg(F.stddev_samp("value")).first()[0]
-    return models.finite_sample_dispersion(spark, sigma, [4, 8, 15, 30, 60], 8, 2)
+    """Groups of event values, dealt by a hash order."""
+    return models.finite_sample_dispersion(read(spark, d, "events"), "event_id", "value", [4, 8, 15, 30, 60], 2)
 
 
 @register(

@@ -17,10 +17,13 @@ from cohortwave.functions.scalar import finite
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one where unset."""
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one where a local session names none."""
     named = spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="cohortwave-checkpoints-"))
+        asked = spark.conf.get("spark.checkpoint.dir", "")
+        if not asked and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(asked or tempfile.mkdtemp(prefix="cohortwave-checkpoints-"))
         named = spark.sparkContext.getCheckpointDir()
     return f"{named}/{label}-{uuid.uuid4().hex}"
 
