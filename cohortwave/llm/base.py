@@ -28,10 +28,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where a local session names none (tests)."""
     named = spark.sparkContext.getCheckpointDir()
     if not named:
         asked = spark.conf.get("spark.checkpoint.dir", "")
+        if not asked and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(asked or tempfile.mkdtemp(prefix="cohortwave-checkpoints-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
