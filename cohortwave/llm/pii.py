@@ -22,10 +22,12 @@ from cohortwave.llm.base import table, texts, written
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "person", "identity", "account")
 LABELERS = 3
-#: Cells of the candidates' features: kind x three votes of three values x eight shapes.
-SHAPES = 8
+#: Cells of the candidates' features: kind x three votes of three values x shapes (four lengths, and whether the span
+#: holds a separator, stands in brackets or quotes or behind a colon, and ends a sentence or line).
+SHAPES = 32
 CELLS = len(KINDS) * 3**LABELERS * SHAPES
 CONTEXT = 28
+CLAUSE = re.compile(r"[,;!?\n]|\. ")
 PROBABILITY = 0.5
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,27 +39,41 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IDENTITY = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-PERSON = re.compile(r"(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|Herr|Frau|Madame|Monsieur|Señora?)\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?|(?<![A-Za-z])[A-Z][a-z]+\x20[A-Z][a-z]+(?![a-z])")
+#: A name: a capital and small letters of the western European languages, once more behind a hyphen or apostrophe.
+NAME = r"[A-Z\u00C0-\u00D6\u00D8-\u00DE](?:['\u2019][A-Z])?[a-z\u00DF-\u00F6\u00F8-\u00FF]+(?:-[A-Z\u00C0-\u00D6\u00D8-\u00DE][a-z\u00DF-\u00F6\u00F8-\u00FF]+)?"
+PERSON = re.compile(rf"(?<!\w)(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|Herr|Frau|Madame|Monsieur|Mme|Señora?|Don|Doña)\x20{NAME}(?:\x20{NAME})?(?!\w)|(?<!\w){NAME}\x20{NAME}(?!\w)")
+TITLES = frozenset("Mr Mrs Ms Dr Prof Herr Frau Madame Monsieur Mme Señor Señora Don Doña".split())
 
 # gazetteers
 TOP_DOMAINS = frozenset("com org net edu gov io info biz de fr es uk eu it nl ch at us ca au jp example test".split())
 GIVEN_NAMES = frozenset(
-    "James John Robert Michael William David Richard Joseph Thomas Charles Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen "
-    "Anna Maria Peter Hans Klaus Ursula Sabine Pierre Jean Marie Claire Luc Sophie Juan Carlos Luis Carmen Ana Pedro Miguel Laura Alice Bob Emma Paul".split()
+    "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Steven Andrew Kevin Brian George Edward Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen "
+    "Nancy Lisa Margaret Sandra Ashley Emily Donna Michelle Amanda Alice Emma Olivia Bob Jack Harry Oliver Peter Hans Klaus Jürgen Wolfgang Stefan Andreas Uwe Günter Dieter Matthias Jens Ursula Sabine Monika Petra "
+    "Renate Heike Ingrid Anna Katrin Birgit Lukas Leon Pierre Jean Jacques Michel Philippe Alain Nicolas Luc François Étienne René Hélène Marie Claire Sophie Nathalie Isabelle Sylvie Chloé Camille Élodie Zoé Juan "
+    "Carlos Luis José Antonio Manuel Francisco Javier Miguel Pedro Jesús Ángel Sergio Pablo Jorge Álvaro Andrés Raúl Iván María Carmen Ana Isabel Dolores Pilar Teresa Lucía Marta Cristina Laura Elena Raquel Inés Paul "
+    "Maria Eva Julia Martin Simon Max Felix Sofia Clara Nina".split()
 )
 DIALLING = ("+1", "+33", "+34", "+44", "+49", "+39", "+31", "+41", "+43", "+61", "+81", "+86", "+91", "+55", "+52")
 CARD_STARTS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65")
 ACCOUNT_COUNTRIES = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
 CUES = {
-    "email": ("mail", "contact", "write", "reply", "@"),
-    "ip": ("ip", "host", "server", "address", "from", "login"),
-    "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "pay"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "anruf", "appel", "llam"),
-    "person": ("mr", "mrs", "ms", "dr", "name", "dear", "herr", "frau", "author", "by "),
-    "identity": ("ssn", "social", "security", "identity", "id"),
-    "account": ("iban", "account", "konto", "compte", "cuenta", "bank"),
+    "email": "mail email mails contact contacts write reply kontakt contacto courriel correo",
+    "ip": "ip host hosts server address from login client adresse dirección",
+    "card": "card cards visa mastercard amex credit karte kreditkarte carte tarjeta pay paid",
+    "phone": "phone telephone tel call mobile fax cell anruf telefon appel appelez téléphone llame llamar teléfono móvil",
+    "person": "mr mrs ms dr prof name names dear herr frau author by signed nom nombre sincerely regards",
+    "identity": "ssn social security identity id",
+    "account": "iban account konto kontonummer compte cuenta bank banque banco",
 }
-AGAINST = {"email": (), "ip": ("version", "release", "chapter"), "card": ("order", "isbn", "invoice"), "phone": ("offset", "score"), "person": (), "identity": ("part", "serial"), "account": ("model", "part")}
+AGAINST = {"email": "", "ip": "version versions release chapter section", "card": "order isbn invoice tracking", "phone": "offset score", "person": "license university street version", "identity": "part serial", "account": "model part"}
+
+
+def words_in(words: str) -> re.Pattern:
+    """Any of the words, whole; nothing where there is none."""
+    return re.compile(rf"(?<!\w)(?:{'|'.join(words.split())})(?!\w)" if words else r"(?!)")
+
+
+CUES, AGAINST = ({k: words_in(v) for k, v in table_.items()} for table_ in (CUES, AGAINST))
 
 
 def luhn(digits: str) -> bool:
@@ -123,9 +139,9 @@ def other_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 def votes(text: str, kind: int, start: int, end: int) -> tuple[tuple[int, int, int], int]:
-    """Votes of the pattern, gazetteer and context labelers (0 against, 1 abstains, 2 for) and a shape of 0 to 7."""
+    """Votes of the pattern, gazetteer and context labelers (0 against, 1 abstains, 2 for) and a shape of 0 to 31."""
     name, span = KINDS[kind], text[start:end]
-    left = text[max(0, start - CONTEXT) : start].lower()
+    left = CLAUSE.split(text[max(0, start - CONTEXT) : start].lower())[-1]  # a cue of another clause tells nothing
     shape = listed = 1
     if name == "email":
         local, _, domain = span.partition("@")
@@ -144,17 +160,18 @@ def votes(text: str, kind: int, start: int, end: int) -> tuple[tuple[int, int, i
         listed = 2 if span.startswith(DIALLING) else 1
     elif name == "person":
         words = span.replace(".", "").split(" ")
-        shape = 2 if words[0] in ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Señor", "Señora") else 0
-        listed = 2 if any(w in GIVEN_NAMES for w in words) else 0
+        shape = 2 if words[0] in TITLES else 0
+        listed = 2 if any(w in GIVEN_NAMES or w.partition("-")[0] in GIVEN_NAMES for w in words) else 1 if shape else 0
     elif name == "identity":
         shape = 0 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else 2
     else:
         plain = span.replace(" ", "")
         shape = 2 if mod97(plain) else 0
         listed = 2 if plain[:2] in ACCOUNT_COUNTRIES else 0
-    context = 2 if any(c in left for c in CUES[name]) else 0 if any(c in left for c in AGAINST[name]) else 1
-    length = min(3, len(span) // 8)
-    return (shape, listed, context), 2 * length + (any(c in " ()-" for c in span))
+    context = 2 if CUES[name].search(left) else 0 if AGAINST[name].search(left) else 1
+    before, after = left.rstrip(" ")[-1:], text[end : end + 2]
+    marks = (any(c in " ()-" for c in span), before in ("(", "[", "<", '"', ":", "="), not after or after[0] == "\n" or (after[0] in ".!?" and after[1:] in ("", " ", "\n")))
+    return (shape, listed, context), 8 * min(3, len(span) // 8) + sum(m << i for i, m in enumerate(marks))
 
 
 def cell(kind: int, vote: tuple[int, int, int], shape: int) -> int:
@@ -195,7 +212,9 @@ def estimate(counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarr
 def classify(counts: np.ndarray, posterior: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Probability of every cell under a logistic model trained on the posteriors, each cell weighted by its count."""
     kind, vote, shape = cell_parts()
-    x = np.concatenate([np.eye(len(KINDS))[kind], *[np.eye(3)[vote[:, i]] for i in range(LABELERS)], np.eye(SHAPES)[shape]], 1)
+    # the votes count for each kind anew, the span's own form (length and three marks) for all kinds alike
+    by_kind = np.eye(3 * len(KINDS))
+    x = np.concatenate([np.eye(len(KINDS))[kind], *[by_kind[3 * kind + vote[:, i]] for i in range(LABELERS)], np.eye(4)[shape // 8], *[(shape >> i & 1)[:, None] for i in range(3)]], 1)
     weight = np.sqrt(counts) + 0.01
     weight = weight / weight.sum()
     beta, velocity = np.zeros(x.shape[1]), np.zeros(x.shape[1])

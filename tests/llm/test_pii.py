@@ -77,6 +77,52 @@ def test_reliabilities_are_recovered():
     assert np.mean([(p[c] > 0.5) == z for c, z in truth]) > 0.9
 
 
+def labelled(n=1500, seed=3):
+    """Texts with names, identity and account numbers, and with look-alikes; the spans that are personal."""
+    import random
+
+    rng = random.Random(seed)
+    given, family = ["Anna", "Jürgen", "Hélène", "Carlos", "Mary", "José", "Jean-Pierre", "Günter"], ["Schmidt", "Müller", "O'Brien", "García", "Dupont", "Smith", "Zoidberg", "Ibáñez"]
+    filler = ["The report was long and the trip did end well", "Wir haben das gestern schon gesehen", "Rien de nouveau sous le soleil", "Nada que decir por hoy", "Licensed under the Apache License", "New York and North Sea trade", "Total Cost of Ownership"]
+
+    def account(good):
+        body = "DE00" + "".join(str(rng.randrange(10)) for _ in range(18))
+        check = 98 - int("".join(str(int(c, 36)) for c in body[4:] + "DE00")) % 97
+        return f"DE{check if good else (check + 40) % 90 + 3:02d}{body[4:]}"
+
+    rows, truth = [], {}
+    for i in range(n):
+        parts, kind = [rng.choice(filler)], i % 6
+        name = f"{rng.choice(given)} {rng.choice(family)}"
+        number = f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"
+        cue, span, personal = [("signed by ", name, True), ("", f"Dr. {rng.choice(family)}", True), ("ssn ", number, True), ("part serial ", f"000-{number[4:]}", False), ("iban ", account(True), True), ("model part ", account(False), False)][kind]
+        text = f"{parts[0]}, {cue}{span}, {rng.choice(filler)}."
+        if personal:
+            at = text.index(span, len(parts[0]) + len(cue))
+            truth[i] = (at, at + len(span))
+        rows.append((i, text))
+    return rows, truth
+
+
+def test_precision_and_recall_of_added_spans(documents):
+    rows, truth = labelled()
+    got = {(r.doc_id, s.start, s.end) for r in pii.personal_data(documents(rows)).collect() for s in r.spans if s.kind >= len(pii.BASE)}
+    want = {(i, a, b) for i, (a, b) in truth.items()}
+    right = len(got & want)
+    assert right / len(got) > 0.95 and right / len(want) > 0.95, (right, len(got), len(want), sorted(got - want)[:5], sorted(want - got)[:5])
+
+
+def test_cues_are_whole_words():
+    assert pii.votes("a trip of 10.1.2.3", 1, 10, 18)[0][2] == 1 and pii.votes("the ip 10.1.2.3", 1, 7, 15)[0][2] == 2
+    assert pii.votes("he did 123-45-6789", 5, 7, 18)[0][2] == 1
+
+
+def test_repeated_rows(documents):
+    rows = [(1, "mail a@b.co, Dr. Anna Schmidt")] * 3 + [(2, None)] * 2
+    got = [[(s.kind, s.start, s.end) for s in r.spans] for r in pii.personal_data(documents(rows)).orderBy("doc_id").collect()]
+    assert got == [got[0]] * 3 + [[]] * 2 and (0, 5, 11) in got[0]
+
+
 def test_query_digest(spark):
     names = pii.KINDS
     docs = {r["doc_id"]: r["text"] for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()}
