@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwave.llm.base import ASCII_SPACE, HEAVY, Powers, WordScanner, checkpointed, chunks, ranged_hash, table, texts, written
+from cohortwave.llm.base import ASCII_SPACE, HEAVY, Powers, WordScanner, checkpointed, chunks, join_groups, ranged_hash, table, texts, written
 
 WIDTH = 50
 GRAM = 8
@@ -225,10 +225,9 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, full
     occ = written(occurrences(docs, width, gram), "super-kmers")
     strings = occ.groupBy("mh", "p1", "p2").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.max("doc_id").alias("last_doc"), F.max("n").alias("n"), F.count("*").alias("copies"))
     strings = written(strings, "strings")
-    shared = bucket_sizes(strings).where("strings > 1")
-    marked = strings.join(shared, "mh", "left")
-    known = marked.where("strings is null and first.doc_id < last_doc").select("p1", "p2", F.lit(0).alias("off"), "n", F.col("first.doc_id").alias("least"))
-    rest: DataFrame | None = written(packed_strings(docs, marked.where("strings is not null"), width), "packed")
+    marked = join_groups(strings, checkpointed(bucket_sizes(strings)), ["mh"], "strings")
+    known = marked.where("strings = 1 and first.doc_id < last_doc").select("p1", "p2", F.lit(0).alias("off"), "n", F.col("first.doc_id").alias("least"))
+    rest: DataFrame | None = written(packed_strings(docs, marked.where("strings > 1"), width), "packed")
     for base in MINIMISERS[1:]:
         small, rest = split_by_size(rest, full)
         known = known.unionByName(sorted_buckets(small, width))
