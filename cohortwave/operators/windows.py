@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,23 +118,47 @@ def blocks_from_gaps(markers: DataFrame, keys: list[str], t: str, gap: float) ->
 def marker_aligned_windows(markers: DataFrame, keys: list[str], t: str, min_s: float) -> DataFrame:
     """Greedy contiguous windows of at least min_s whose edges are markers; a shorter tail has complete = false.
 
-    A window's end decides where the next one may start, so each block is walked once, in arrow-fed pandas.
+    A window's end decides where the next one may start, so the markers of a block are walked in order. They stream by
+    in batches; what is kept between batches is the open window alone, however long the block.
     """
     fields = {f.name: f.dataType.simpleString() for f in markers.schema.fields}
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        times = part[t].sort_values().to_numpy()
-        out, start = [], 0
-        for i in range(1, len(times)):
-            if times[i] - times[start] >= min_s:
-                out.append((times[start], times[i], True))
-                start = i
-        if len(times) and start < len(times) - 1:
-            out.append((times[start], times[-1], False))
-        head = {k: part[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**head, "window_index": n, "start_s": a, "stop_s": b, "complete": c} for n, (a, b, c) in enumerate(out)], columns=[*keys, "window_index", "start_s", "stop_s", "complete"])
-
-    return markers.select(*keys, t).groupBy(*keys).applyInPandas(walk, ", ".join(f"{k} {fields[k]}" for k in keys) + ", window_index long, start_s double, stop_s double, complete boolean")
+    names = [*keys, "window_index", "start_s", "stop_s", "complete"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, start, last, index = None, 0.0, 0.0, 0
+
+        def tail() -> list[tuple]:
+            return [(*key, index, start, last, False)] if key is not None and last > start else []
+
+        for batch in batches:
+            out: list[tuple] = []
+            times = batch[t].to_numpy(float)
+            fresh = np.ones(len(batch), bool)
+            fresh[1:] = False
+            for k in keys:
+                v = batch[k].to_numpy()
+                fresh[1:] |= v[1:] != v[:-1]
+            edges = np.append(np.flatnonzero(fresh), len(batch))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                own = tuple(batch[k].iloc[lo] for k in keys)
+                if own != key:
+                    out += tail()
+                    key, start, index = own, times[lo], 0
+                at = lo
+                # the first marker that is far enough: a search finds it, but for rounding of the sum
+                while (at := lo + int(np.searchsorted(times[lo:hi], start + min_s - 1e-6 * max(1.0, abs(min_s))))) < hi:
+                    while at < hi and times[at] - start < min_s:
+                        at += 1
+                    if at == hi:
+                        break
+                    out.append((*key, index, start, times[at], True))
+                    start, index = times[at], index + 1
+                last = times[hi - 1]
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(tail(), columns=names)
+
+    rows = markers.select(*keys, t).where(F.col(t).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, t)
+    return rows.mapInPandas(walk, ", ".join(f"{k} {fields[k]}" for k in keys) + ", window_index long, start_s double, stop_s double, complete boolean")
 
 
 def block_local_mean(series: DataFrame, keys: list[str], order: str, x: str, half: int, block: str = "block") -> DataFrame:
