@@ -7,34 +7,44 @@ from pyspark.sql import functions as F
 
 from cohortwave.llm.base import checkpointed, join_groups
 
+#: Links of one node from which on nodes of many links are joined by a broadcast.
+HUB = 20_000
 
-def large_star(edges: DataFrame, total: int) -> DataFrame:
-    """Every node links its larger neighbours to the least node around it. total: how many links there are."""
+
+def with_least(links: DataFrame, crowded: bool) -> DataFrame:
+    """Links (a, b) with m, the least b of each a."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    return join_groups(links, checkpointed(least), ["a"]) if crowded else links.join(least, "a")
+
+
+def large_star(edges: DataFrame, crowded: bool) -> DataFrame:
+    """Every node links its larger neighbours to the least node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select("a", F.least("least", "a").alias("m"), "n")
-    return join_groups(both, least, ["a"], total=2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return with_least(both, crowded).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
 
 
-def small_star(edges: DataFrame, total: int) -> DataFrame:
+def small_star(edges: DataFrame, crowded: bool) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = join_groups(down, least, ["a"], total=total).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    moved = with_least(down, crowded).select(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))).alias("two"))
+    return moved.select(F.inline("two")).where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of a link (a, b); component is the smallest node reachable.
 
     Nodes without a link have no row. Each round cuts its lineage by a checkpoint in the shared folder; rounds grow
-    with the logarithm of the longest chain. Self links and repeated links are harmless.
+    with the logarithm of the longest chain. Self links and repeated links are harmless. The links of a hub never meet
+    in one task: with one of more than HUB links, the least nodes of the heaviest are broadcast.
     """
     marks = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = checkpointed(edges.select("a", "b").where("a <> b").distinct())
     before = marks(now)
     while before[0]:
-        outward = checkpointed(large_star(now, before[0]))
-        now = checkpointed(small_star(outward, outward.count()))
+        degrees = now.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+        crowded = degrees.agg(F.max("n")).first()[0] > HUB
+        outward = large_star(now, crowded)
+        now = checkpointed(small_star(checkpointed(outward) if crowded else outward, crowded))
         after = marks(now)
         if after == before:
             break

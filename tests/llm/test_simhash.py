@@ -119,3 +119,15 @@ def test_odd_rows(documents, clashing):
         assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == want
     assert simhash.near_duplicates(documents([])).count() == 0
     assert simhash.near_duplicates(documents([(1, "a"), (1, "a")])).count() == 2
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, chains and a ring, with and without the way for hubs."""
+    from cohortwave.llm import components
+
+    links = [(1, i) for i in range(2, 60)] + [(i, i + 1) for i in range(100, 140)] + [(200, 203), (203, 201), (201, 202), (202, 200), (300, 300)] + [(59, 150), (150, 160)]
+    want = brute_components_of(400, [a for a, _ in links], [b for _, b in links])
+    for hub in (20_000, 5):
+        monkeypatch.setattr(components, "HUB", hub)
+        got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == {i: want[i] for i in {x for a, b in links if a != b for x in (a, b)}}
