@@ -42,10 +42,13 @@ def seconds(c: Column) -> Column:
 EVENTS = "ev AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1e6 AS t, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events)"
 TRIALS = "trials AS (SELECT user_id AS subject, CASE event_type WHEN 'view' THEN 'baseline' ELSE 'perturbation' END AS session, event_id AS trial_id, value AS rt FROM events WHERE event_type IN ('view', 'click'))"
 BANDS = "bands AS (SELECT l_suppkey AS subject, CASE l_linestatus WHEN 'F' THEN 'baseline' ELSE 'perturbation' END AS session, l_orderkey AS epoch, l_linenumber AS channel, l_extendedprice AS theta, l_quantity AS alpha, l_tax + 0.01 AS beta FROM lineitem)"
-CHANNELS = """flat AS (SELECT label AS subject, CASE WHEN vec_id % 2 = 0 THEN 'baseline' ELSE 'perturbation' END AS session, vec_id AS epoch, unnest(range(0, 64)) AS channel, embedding FROM embeddings),
-channels AS (SELECT subject, session, epoch, channel, CASE WHEN channel < 16 THEN 'F' WHEN channel < 44 THEN 'CT' ELSE 'PO' END AS region, CAST(embedding[channel + 1] AS DOUBLE) AS value FROM flat)"""
+CHANNELS = """flat AS (SELECT label AS subject, CASE WHEN vec_id % 2 = 0 THEN 'baseline' ELSE 'perturbation' END AS session, vec_id AS epoch, unnest(range(0, 64)) AS channel, embedding
+    FROM embeddings),
+channels AS (SELECT subject, session, epoch, channel, CASE WHEN channel < 16 THEN 'F' WHEN channel < 44 THEN 'CT' ELSE 'PO' END AS region, CAST(embedding[channel + 1] AS DOUBLE) AS value
+    FROM flat)"""
 SERIES = f"{CHANNELS}, series AS (SELECT subject, session, region, epoch, median(value) AS s FROM channels GROUP BY ALL)"
-PREDICTIONS = f"""{EVENTS}, pred AS (SELECT 'a' AS arm, event_id % 3 AS seed, user_id AS subject, event_id AS segment_id, event_type AS session, t, CAST(k >= 50 AS INTEGER) AS y, value / (value + 50.0) AS p FROM ev
+PREDICTIONS = f"""{EVENTS}, pred AS (SELECT 'a' AS arm, event_id % 3 AS seed, user_id AS subject, event_id AS segment_id, event_type AS session, t, CAST(k >= 50 AS INTEGER) AS y, value / (value + 50.0) AS p
+    FROM ev
 UNION ALL SELECT 'b', event_id % 3, user_id, event_id, event_type, t, CAST(k >= 50 AS INTEGER), 1 - k / 100.0 FROM ev)"""
 
 

@@ -57,7 +57,8 @@ FIELDS = {"lang": 'lang="([a-z]+)"', "advert": "<!-- ad ([0-9]+) -->", "title":
 @register(
     "p4_extract_history_fields",
     """SELECT page_id, nullif(regexp_extract(html, 'lang="([a-z]+)"', 1), '') AS lang, nullif(regexp_extract(html, '<!-- ad ([0-9]+) -->', 1), '') AS advert,
-    nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, 'rel="canonical" href="([^"]*)"', 1), '') AS canonical FROM pages""",
+    nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, 'rel="canonical" href="([^"]*)"', 1), '') AS canonical
+    FROM pages""",
 )
 def p4(spark, d):
     return clean.extract_fields(read(spark, d, "pages"), "html", FIELDS, "page_id")
@@ -68,8 +69,10 @@ def p4(spark, d):
     """q AS (SELECT label, vec_id, list_max(x) AS mx, list_min(x) AS mn, sqrt(list_avg(list_transform(x, lambda v: v * v)) - list_avg(x) ** 2) AS sd
         FROM (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)),
     w AS (SELECT label, vec_id // 4 AS epoch, max(greatest(mx, -mn)) AS a, max(mx - mn) AS p, min(sd) AS s FROM q GROUP BY 1, 2),
-    v AS (SELECT *, concat_ws(';', CASE WHEN a > 0.35 THEN 'amplitude' END, CASE WHEN p > 0.6 THEN 'peak_to_peak' END, CASE WHEN s < 0.12 THEN 'flat' END) AS reasons FROM w)
-    SELECT label, epoch, round(a, 6) AS max_abs, round(p, 6) AS max_ptp, round(s, 6) AS min_std, reasons, reasons = '' AS qc_pass FROM v""".replace("q AS", "WITH q AS", 1),
+    v AS (SELECT *, concat_ws(';', CASE WHEN a > 0.35 THEN 'amplitude' END, CASE WHEN p > 0.6 THEN 'peak_to_peak' END, CASE WHEN s < 0.12 THEN 'flat' END) AS reasons
+    FROM w)
+    SELECT label, epoch, round(a, 6) AS max_abs, round(p, 6) AS max_ptp, round(s, 6) AS min_std, reasons, reasons = '' AS qc_pass
+    FROM v""".replace("q AS", "WITH q AS", 1),
 )
 def p5(spark, d):
     e = read(spark, d, "embeddings").select("label", F.floor(F.col("vec_id") / 4).alias("epoch"), F.col("embedding").alias("samples"))
@@ -144,8 +147,10 @@ CLOCKS = "clk AS (SELECT event_id, strftime(ts, '%H:%M:%S') AS a, CASE WHEN even
 
 @register(
     "p11_clock_delta",
-    """, m AS (SELECT event_id, a, b, epoch(try_cast(b AS TIME) - CAST('00:00:00' AS TIME)) / 60 AS mb, epoch(CAST(a AS TIME) - CAST('00:00:00' AS TIME)) / 60 AS ma FROM clk)
-    SELECT event_id, a, b, round(CASE WHEN mb - ma > 720 THEN mb - ma - 1440 WHEN mb - ma <= -720 THEN mb - ma + 1440 ELSE mb - ma END, 6) AS delta FROM m""".replace("epoch(try_cast(b AS TIME) - CAST('00:00:00' AS TIME))", "(CAST(try_cast(substr(b, 1, 2) AS INTEGER) * 3600 + try_cast(substr(b, 4, 2) AS INTEGER) * 60 + try_cast(substr(b, 7, 2) AS INTEGER) AS DOUBLE))").replace("epoch(CAST(a AS TIME) - CAST('00:00:00' AS TIME))", "(CAST(CAST(substr(a, 1, 2) AS INTEGER) * 3600 + CAST(substr(a, 4, 2) AS INTEGER) * 60 + CAST(substr(a, 7, 2) AS INTEGER) AS DOUBLE))"),
+    """, m AS (SELECT event_id, a, b, epoch(try_cast(b AS TIME) - CAST('00:00:00' AS TIME)) / 60 AS mb, epoch(CAST(a AS TIME) - CAST('00:00:00' AS TIME)) / 60 AS ma
+    FROM clk)
+    SELECT event_id, a, b, round(CASE WHEN mb - ma > 720 THEN mb - ma - 1440 WHEN mb - ma <= -720 THEN mb - ma + 1440 ELSE mb - ma END, 6) AS delta
+    FROM m""".replace("epoch(try_cast(b AS TIME) - CAST('00:00:00' AS TIME))", "(CAST(try_cast(substr(b, 1, 2) AS INTEGER) * 3600 + try_cast(substr(b, 4, 2) AS INTEGER) * 60 + try_cast(substr(b, 7, 2) AS INTEGER) AS DOUBLE))").replace("epoch(CAST(a AS TIME) - CAST('00:00:00' AS TIME))", "(CAST(CAST(substr(a, 1, 2) AS INTEGER) * 3600 + CAST(substr(a, 4, 2) AS INTEGER) * 60 + CAST(substr(a, 7, 2) AS INTEGER) AS DOUBLE))"),
     CLOCKS,
 )
 def p11(spark, d):
@@ -163,8 +168,10 @@ def p12(spark, d):
     "p13_trim_constant_ends",
     """, s AS (SELECT user_id, event_id, t, CAST(value < 100 AS INTEGER) AS x, CAST(k < 90 AS INTEGER) AS y FROM ev),
     c AS (SELECT *, x <> lag(x) OVER w AS cx, y <> lag(y) OVER w AS cy FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-    b AS (SELECT user_id, greatest(min(event_id) FILTER (cx), min(event_id) FILTER (cy)) AS lo, least(max(event_id) FILTER (cx), max(event_id) FILTER (cy)) AS hi FROM c GROUP BY 1)
-    SELECT user_id, count(*) AS n, min(event_id) AS first_sample, max(event_id) AS last_sample FROM s JOIN b USING (user_id) WHERE event_id BETWEEN lo AND hi GROUP BY 1""",
+    b AS (SELECT user_id, greatest(min(event_id) FILTER (cx), min(event_id) FILTER (cy)) AS lo, least(max(event_id) FILTER (cx), max(event_id) FILTER (cy)) AS hi
+    FROM c GROUP BY 1)
+    SELECT user_id, count(*) AS n, min(event_id) AS first_sample, max(event_id) AS last_sample FROM s JOIN b USING (user_id)
+    WHERE event_id BETWEEN lo AND hi GROUP BY 1""",
     EVENTS,
 )
 def p13(spark, d):
@@ -184,7 +191,8 @@ def p15(spark, d):
 @register(
     "p16_sensitivity_filters",
     """, c AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c FROM events GROUP BY 1),
-    r AS (SELECT 'both' AS rule, user_id, v > 0 AND c > 0 AS keep FROM c UNION ALL SELECT 'ten_each', user_id, v >= 10 AND c >= 10 FROM c UNION ALL SELECT 'more_clicks', user_id, c > v FROM c)
+    r AS (SELECT 'both' AS rule, user_id, v > 0 AND c > 0 AS keep FROM c UNION ALL SELECT 'ten_each', user_id, v >= 10 AND c >= 10 FROM c
+    UNION ALL SELECT 'more_clicks', user_id, c > v FROM c)
     SELECT rule, count(*) FILTER (keep) AS n_kept, count(*) FILTER (NOT keep) AS n_removed, min(user_id) FILTER (NOT keep) AS first_removed FROM r GROUP BY 1""",
     EVENTS,
 )
@@ -195,7 +203,8 @@ def p16(spark, d):
 
 @register(
     "p17_drop_nonfinite",
-    """WITH x AS (SELECT l_suppkey, l_extendedprice / nullif(l_discount, 0) AS v FROM lineitem) SELECT l_suppkey, count(*) AS n, count(v) AS n_finite, round(avg(v), 4) AS mean FROM x GROUP BY 1""",
+    """WITH x AS (SELECT l_suppkey, l_extendedprice / nullif(l_discount, 0) AS v
+    FROM lineitem) SELECT l_suppkey, count(*) AS n, count(v) AS n_finite, round(avg(v), 4) AS mean FROM x GROUP BY 1""",
 )
 def p17(spark, d):
     x = read(spark, d, "lineitem").select("l_suppkey", F.when(F.col("l_discount") == 0, F.lit(float("inf"))).otherwise(F.col("l_extendedprice") / F.nullif("l_discount", F.lit(0.0))).alias("v"))
@@ -260,7 +269,8 @@ def f7(spark, d):
 
 @register(
     "f8_band_mask_trapz",
-    """WITH p AS (SELECT vec_id, unnest(range(0, 64)) AS f, embedding FROM embeddings), v AS (SELECT vec_id, f, CAST(embedding[f + 1] AS DOUBLE) ** 2 AS y FROM p WHERE f BETWEEN 8 AND 13),
+    """WITH p AS (SELECT vec_id, unnest(range(0, 64)) AS f, embedding FROM embeddings),
+    v AS (SELECT vec_id, f, CAST(embedding[f + 1] AS DOUBLE) ** 2 AS y FROM p WHERE f BETWEEN 8 AND 13),
     s AS (SELECT vec_id, (y + lag(y) OVER (PARTITION BY vec_id ORDER BY f)) / 2 AS a FROM v) SELECT vec_id, round(sum(a), 6) AS power FROM s GROUP BY 1""",
 )
 def f8(spark, d):
@@ -311,8 +321,10 @@ def k4(spark, d):
 
 @register(
     "t1_subject_sets",
-    """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND value > 150), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value > 150)
-    SELECT coalesce(a.user_id, b.user_id) AS subject, CASE WHEN a.user_id IS NULL THEN 'only_b' WHEN b.user_id IS NULL THEN 'only_a' ELSE 'both' END AS side FROM a FULL JOIN b ON a.user_id = b.user_id""",
+    """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND value > 150),
+    b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value > 150)
+    SELECT coalesce(a.user_id, b.user_id) AS subject, CASE WHEN a.user_id IS NULL THEN 'only_b' WHEN b.user_id IS NULL THEN 'only_a' ELSE 'both' END AS side
+    FROM a FULL JOIN b ON a.user_id = b.user_id""",
 )
 def t1(spark, d):
     ev = read(spark, d, "events").where("value > 150").select(F.col("user_id").alias("subject"), "event_type")

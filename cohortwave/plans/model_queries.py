@@ -15,8 +15,10 @@ from cohortwave.plans.stat_queries import DELTAS, METRICS, deltas
 
 POWER_BANDS = {"theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "total": (1.0, 30.0)}
 #: One-sided Welch density of one segment of 64 samples at 64 Hz: bins of 1 Hz.
-PSD = """x AS (SELECT vec_id, label, unnest(range(0, 64)) AS n, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT vec_id, label, n, (v - avg(v) OVER (PARTITION BY vec_id)) * (0.5 - 0.5 * cos(2 * pi() * n / 64)) AS v FROM x),
-psd AS (SELECT vec_id, label, f, (sum(v * cos(2 * pi() * f * n / 64)) ** 2 + sum(v * sin(2 * pi() * f * n / 64)) ** 2) / (64 * 24.0) * CASE WHEN f IN (0, 32) THEN 1 ELSE 2 END AS p FROM c, (SELECT unnest(range(0, 33)) AS f) GROUP BY 1, 2, 3),
+PSD = """x AS (SELECT vec_id, label, unnest(range(0, 64)) AS n, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+    c AS (SELECT vec_id, label, n, (v - avg(v) OVER (PARTITION BY vec_id)) * (0.5 - 0.5 * cos(2 * pi() * n / 64)) AS v FROM x),
+psd AS (SELECT vec_id, label, f, (sum(v * cos(2 * pi() * f * n / 64)) ** 2 + sum(v * sin(2 * pi() * f * n / 64)) ** 2) / (64 * 24.0) * CASE WHEN f IN (0, 32) THEN 1 ELSE 2 END AS p
+    FROM c, (SELECT unnest(range(0, 33)) AS f) GROUP BY 1, 2, 3),
 tr AS (SELECT vec_id, label, f, p, lag(p) OVER (PARTITION BY vec_id ORDER BY f) AS q FROM psd)"""
 AREAS = ", ".join(f"sum((p + q) / 2) FILTER (f > {int(lo)} AND f <= {int(hi)}) AS {n}" for n, (lo, hi) in POWER_BANDS.items())
 
@@ -33,9 +35,11 @@ def m1(spark, d):
 @register(
     "m1_flagship_region_table",
     f""", pw AS (SELECT vec_id AS epoch, label AS subject, CASE WHEN vec_id % 2 = 0 THEN 'baseline' ELSE 'perturbation' END AS session, {AREAS} FROM tr GROUP BY ALL),
-    s AS (SELECT subject, session, epoch, sqrt(2.0 / 3) * (ln(theta + 1e-12) - 0.5 * (ln(alpha + 1e-12) + ln(beta + 1e-12))) AS s FROM pw), w AS (SELECT *, row_number() OVER (PARTITION BY subject, session ORDER BY epoch) - 1 AS i, count(*) OVER (PARTITION BY subject, session) AS n FROM s),
+    s AS (SELECT subject, session, epoch, sqrt(2.0 / 3) * (ln(theta + 1e-12) - 0.5 * (ln(alpha + 1e-12) + ln(beta + 1e-12))) AS s FROM pw),
+    w AS (SELECT *, row_number() OVER (PARTITION BY subject, session ORDER BY epoch) - 1 AS i, count(*) OVER (PARTITION BY subject, session) AS n FROM s),
     m AS (SELECT subject, session, i // 4 AS window_index, avg(s) AS m, stddev_samp(s) AS j FROM w WHERE i < (n // 4) * 4 GROUP BY 1, 2, 3)
-    SELECT subject, window_index, max(m) FILTER (session = 'baseline') AS m_baseline, max(m) FILTER (session = 'perturbation') AS m_perturbation, max(j) FILTER (session = 'baseline') AS j_baseline, max(j) FILTER (session = 'perturbation') AS j_perturbation FROM m GROUP BY 1, 2""",
+    SELECT subject, window_index, max(m) FILTER (session = 'baseline') AS m_baseline, max(m) FILTER (session = 'perturbation') AS m_perturbation, max(j) FILTER (session = 'baseline') AS j_baseline, max(j) FILTER (session = 'perturbation') AS j_perturbation
+    FROM m GROUP BY 1, 2""",
     PSD,
     rnd="m_baseline m_perturbation j_baseline j_perturbation",
 )
@@ -51,11 +55,14 @@ def flagship(spark, d):
 
 @register(
     "m2_welch_features",
-    """WITH x AS (SELECT vec_id, s, unnest(range(0, 32)) AS n, CAST(unnest(embedding[s * 16 + 1:s * 16 + 32]) AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(0, 3)) AS s)),
+    """WITH x AS (SELECT vec_id, s, unnest(range(0, 32)) AS n, CAST(unnest(embedding[s * 16 + 1:s * 16 + 32]) AS DOUBLE) AS v
+    FROM embeddings, (SELECT unnest(range(0, 3)) AS s)),
     c AS (SELECT vec_id, s, n, (v - avg(v) OVER (PARTITION BY vec_id, s)) * (0.5 - 0.5 * cos(2 * pi() * n / 32)) AS v FROM x),
-    p AS (SELECT vec_id, s, f, (sum(v * cos(2 * pi() * f * n / 32)) ** 2 + sum(v * sin(2 * pi() * f * n / 32)) ** 2) / (64 * 12.0) * CASE WHEN f IN (0, 16) THEN 1 ELSE 2 END AS p FROM c, (SELECT unnest(range(0, 17)) AS f) GROUP BY 1, 2, 3),
+    p AS (SELECT vec_id, s, f, (sum(v * cos(2 * pi() * f * n / 32)) ** 2 + sum(v * sin(2 * pi() * f * n / 32)) ** 2) / (64 * 12.0) * CASE WHEN f IN (0, 16) THEN 1 ELSE 2 END AS p
+    FROM c, (SELECT unnest(range(0, 17)) AS f) GROUP BY 1, 2, 3),
     a AS (SELECT vec_id, f, avg(p) AS p FROM p GROUP BY 1, 2), t AS (SELECT vec_id, f * 2 AS f, p, lag(p) OVER (PARTITION BY vec_id ORDER BY f) AS q FROM a)
-    SELECT vec_id AS epoch, log10(greatest(sum(p + q) FILTER (f > 4 AND f <= 8), 1e-20)) AS theta, log10(greatest(sum(p + q) FILTER (f > 8 AND f <= 12), 1e-20)) AS alpha, log10(greatest(sum(p + q) FILTER (f > 14 AND f <= 30), 1e-20)) AS beta FROM t GROUP BY 1""",
+    SELECT vec_id AS epoch, log10(greatest(sum(p + q) FILTER (f > 4 AND f <= 8), 1e-20)) AS theta, log10(greatest(sum(p + q) FILTER (f > 8 AND f <= 12), 1e-20)) AS alpha, log10(greatest(sum(p + q) FILTER (f > 14 AND f <= 30), 1e-20)) AS beta
+    FROM t GROUP BY 1""",
     rnd="theta alpha beta",
 )
 def m2(spark, d):
@@ -64,8 +71,11 @@ def m2(spark, d):
 
 @register(
     "m3_band_entropy",
-    """WITH x AS (SELECT vec_id, unnest(range(0, 64)) AS n, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), p AS (SELECT vec_id, f, sum(v * cos(2 * pi() * f * n / 64)) ** 2 + sum(v * sin(2 * pi() * f * n / 64)) ** 2 AS p FROM x, (SELECT unnest(range(1, 33)) AS f) GROUP BY 1, 2)
-    SELECT vec_id AS epoch, 0.5 * ln(2 * pi() * exp(1) * greatest(sum(2 * p) FILTER (f BETWEEN 8 AND 14) / (64 * 63), 1e-12)) AS alpha, 0.5 * ln(2 * pi() * exp(1) * greatest(sum(2 * p) FILTER (f BETWEEN 14 AND 31) / (64 * 63), 1e-12)) AS beta FROM p GROUP BY 1""",
+    """WITH x AS (SELECT vec_id, unnest(range(0, 64)) AS n, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+    p AS (SELECT vec_id, f, sum(v * cos(2 * pi() * f * n / 64)) ** 2 + sum(v * sin(2 * pi() * f * n / 64)) ** 2 AS p
+    FROM x, (SELECT unnest(range(1, 33)) AS f) GROUP BY 1, 2)
+    SELECT vec_id AS epoch, 0.5 * ln(2 * pi() * exp(1) * greatest(sum(2 * p) FILTER (f BETWEEN 8 AND 14) / (64 * 63), 1e-12)) AS alpha, 0.5 * ln(2 * pi() * exp(1) * greatest(sum(2 * p) FILTER (f BETWEEN 14 AND 31) / (64 * 63), 1e-12)) AS beta
+    FROM p GROUP BY 1""",
     rnd="alpha beta",
 )
 def m3(spark, d):
@@ -74,8 +84,11 @@ def m3(spark, d):
 
 @register(
     "m4_project_to_grid",
-    """WITH raw AS (SELECT g AS cell, c AS channel, 1 / (0.5 + ((c % 8) - (g % 4) * 2) ** 2 + ((c // 8) - (g // 4) * 2) ** 2) AS w FROM (SELECT unnest(range(0, 16)) AS g), (SELECT unnest(range(0, 64)) AS c)), wt AS (SELECT cell, channel, w / sum(w) OVER (PARTITION BY cell) AS w FROM raw),
-    x AS (SELECT vec_id, unnest(range(0, 64)) AS channel, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT vec_id, cell, sum(w * v) AS value FROM x JOIN wt USING (channel) GROUP BY 1, 2""",
+    """WITH raw AS (SELECT g AS cell, c AS channel, 1 / (0.5 + ((c % 8) - (g % 4) * 2) ** 2 + ((c // 8) - (g // 4) * 2) ** 2) AS w
+    FROM (SELECT unnest(range(0, 16)) AS g), (SELECT unnest(range(0, 64)) AS c)),
+    wt AS (SELECT cell, channel, w / sum(w) OVER (PARTITION BY cell) AS w FROM raw),
+    x AS (SELECT vec_id, unnest(range(0, 64)) AS channel, CAST(unnest(embedding) AS DOUBLE) AS v
+    FROM embeddings) SELECT vec_id, cell, sum(w * v) AS value FROM x JOIN wt USING (channel) GROUP BY 1, 2""",
     rnd="value",
 )
 def m4(spark, d):
@@ -88,8 +101,10 @@ def m4(spark, d):
     return models.project_to_grid(x, weights, ["vec_id"], "channel", "v")
 
 
-FOLDS = """sub AS (SELECT s_suppkey AS subject FROM supplier), mem AS (SELECT a.subject AS fold_id, b.subject, sha256(concat_ws(':', 7, a.subject, b.subject)) AS h, a.subject = b.subject AS test FROM sub a, sub b),
-fr AS (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY test, h, subject) AS r, count(*) OVER (PARTITION BY fold_id) AS n FROM mem), folds AS (SELECT fold_id, subject, CASE WHEN test THEN 'test' WHEN r <= ceil((n - 1) * 0.2) THEN 'validation' ELSE 'train' END AS role FROM fr)"""
+FOLDS = """sub AS (SELECT s_suppkey AS subject FROM supplier),
+    mem AS (SELECT a.subject AS fold_id, b.subject, sha256(concat_ws(':', 7, a.subject, b.subject)) AS h, a.subject = b.subject AS test FROM sub a, sub b),
+fr AS (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY test, h, subject) AS r, count(*) OVER (PARTITION BY fold_id) AS n FROM mem),
+    folds AS (SELECT fold_id, subject, CASE WHEN test THEN 'test' WHEN r <= ceil((n - 1) * 0.2) THEN 'validation' ELSE 'train' END AS role FROM fr)"""
 
 
 def folds(spark, d):
@@ -113,8 +128,10 @@ def m6(spark, d):
 
 @register(
     "m7_standardise_by_fold",
-    """, ft AS (SELECT l_suppkey AS subject, avg(l_quantity) AS q, avg(l_extendedprice) AS e FROM lineitem GROUP BY 1), j AS (SELECT * FROM folds JOIN ft USING (subject)),
-    s AS (SELECT fold_id, avg(q) FILTER (role = 'train') AS mq, stddev_pop(q) FILTER (role = 'train') AS sq, avg(e) FILTER (role = 'train') AS me, stddev_pop(e) FILTER (role = 'train') AS se FROM j GROUP BY 1)
+    """, ft AS (SELECT l_suppkey AS subject, avg(l_quantity) AS q, avg(l_extendedprice) AS e FROM lineitem GROUP BY 1),
+    j AS (SELECT * FROM folds JOIN ft USING (subject)),
+    s AS (SELECT fold_id, avg(q) FILTER (role = 'train') AS mq, stddev_pop(q) FILTER (role = 'train') AS sq, avg(e) FILTER (role = 'train') AS me, stddev_pop(e) FILTER (role = 'train') AS se
+    FROM j GROUP BY 1)
     SELECT fold_id, subject, role, (q - mq) / coalesce(nullif(sq, 0), 1) AS q, (e - me) / coalesce(nullif(se, 0), 1) AS e FROM j JOIN s USING (fold_id)""",
     FOLDS,
     rnd="q e",
@@ -125,7 +142,8 @@ def m7(spark, d):
 
 
 RIDGE = """rs AS (SELECT l_suppkey, count(*) AS n, avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_tax) AS my, covar_pop(l_quantity, l_quantity) * count(*) + 2 AS aa, covar_pop(l_discount, l_discount) * count(*) + 2 AS bb, covar_pop(l_quantity, l_discount) * count(*) AS ab,
-covar_pop(l_quantity, l_tax) * count(*) AS ay, covar_pop(l_discount, l_tax) * count(*) AS by_ FROM lineitem GROUP BY 1), rb AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS b1, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM rs)"""
+covar_pop(l_quantity, l_tax) * count(*) AS ay, covar_pop(l_discount, l_tax) * count(*) AS by_ FROM lineitem GROUP BY 1),
+    rb AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS b1, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM rs)"""
 
 
 @register("m8_ridge_fit", "SELECT l_suppkey, n, my - b1 * ma - b2 * mb AS intercept, b1 AS b_l_quantity, b2 AS b_l_discount FROM rb", RIDGE, rnd="intercept b_l_quantity b_l_discount", digits=7)
@@ -177,7 +195,8 @@ def m12(spark, d):
 
 @register(
     "m13_paired_bootstrap_ci",
-    """, v AS (SELECT rep, avg(delta_b) AS q FROM bt GROUP BY 1), c AS (SELECT count(*) AS b, avg(q) AS mean, quantile_cont(q, 0.025) AS lower, quantile_cont(q, 0.975) AS upper FROM v)
+    """, v AS (SELECT rep, avg(delta_b) AS q FROM bt GROUP BY 1),
+    c AS (SELECT count(*) AS b, avg(q) AS mean, quantile_cont(q, 0.025) AS lower, quantile_cont(q, 0.975) AS upper FROM v)
     SELECT *, CASE WHEN upper < 0 THEN 'lower' WHEN lower > 0 THEN 'higher' ELSE 'none' END AS reliable FROM c""",
     METRICS,
     DELTAS,
@@ -190,11 +209,16 @@ def m13(spark, d):
 
 @register(
     "m14_trial_bootstrap",
-    """, tp AS (SELECT *, row_number() OVER (PARTITION BY subject, session ORDER BY rt) - 1 AS i FROM trials WHERE rt > 0), sz AS (SELECT subject, session, count(*) AS n, median(rt) AS m FROM tp GROUP BY ALL),
-    two AS (SELECT subject, max(n) FILTER (session = 'baseline') AS n_base, max(n) FILTER (session = 'perturbation') AS n_pert, ln(max(m) FILTER (session = 'perturbation') / max(m) FILTER (session = 'baseline')) AS y FROM sz GROUP BY 1 HAVING n_base > 1 AND n_pert > 1),
-    dr AS (SELECT subject, session, rep, ('0x' || substr(sha256(concat_ws(':', 5, subject, session, rep, k)), 1, 8))::BIGINT % n AS i FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, unnest(range(0, 500)) AS rep FROM sz JOIN (SELECT subject FROM two) USING (subject)))),
-    md AS (SELECT subject, session, rep, median(rt) AS m FROM dr JOIN tp USING (subject, session, i) GROUP BY ALL), ra AS (SELECT subject, rep, ln(max(m) FILTER (session = 'perturbation') / max(m) FILTER (session = 'baseline')) AS v FROM md GROUP BY ALL)
-    SELECT subject, n_base, n_pert, y, stddev_samp(v) AS se, quantile_cont(v, 0.025) AS lower, quantile_cont(v, 0.975) AS upper FROM two JOIN ra USING (subject) GROUP BY ALL""",
+    """, tp AS (SELECT *, row_number() OVER (PARTITION BY subject, session ORDER BY rt) - 1 AS i FROM trials WHERE rt > 0),
+    sz AS (SELECT subject, session, count(*) AS n, median(rt) AS m FROM tp GROUP BY ALL),
+    two AS (SELECT subject, max(n) FILTER (session = 'baseline') AS n_base, max(n) FILTER (session = 'perturbation') AS n_pert, ln(max(m) FILTER (session = 'perturbation') / max(m) FILTER (session = 'baseline')) AS y
+    FROM sz GROUP BY 1 HAVING n_base > 1 AND n_pert > 1),
+    dr AS (SELECT subject, session, rep, ('0x' || substr(sha256(concat_ws(':', 5, subject, session, rep, k)), 1, 8))::BIGINT % n AS i
+    FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, unnest(range(0, 500)) AS rep FROM sz JOIN (SELECT subject FROM two) USING (subject)))),
+    md AS (SELECT subject, session, rep, median(rt) AS m FROM dr JOIN tp USING (subject, session, i) GROUP BY ALL),
+    ra AS (SELECT subject, rep, ln(max(m) FILTER (session = 'perturbation') / max(m) FILTER (session = 'baseline')) AS v FROM md GROUP BY ALL)
+    SELECT subject, n_base, n_pert, y, stddev_samp(v) AS se, quantile_cont(v, 0.025) AS lower, quantile_cont(v, 0.975) AS upper
+    FROM two JOIN ra USING (subject) GROUP BY ALL""",
     base.TRIALS,
     rnd="y se lower upper",
 )
@@ -204,8 +228,11 @@ def m14(spark, d):
 
 @register(
     "m15_correlation_bootstrap",
-    """, r AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY a) + (count(*) OVER (PARTITION BY rep, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY rep ORDER BY z) + (count(*) OVER (PARTITION BY rep, z) - 1) / 2.0 AS rz FROM bt),
-    v AS (SELECT rep, corr(ra, rz) AS q FROM r GROUP BY 1) SELECT count(*) AS b, avg(q) AS mean, quantile_cont(q, 0.025) AS lower, quantile_cont(q, 0.975) AS upper FROM v""",
+    """, r AS (SELECT rep, rank() OVER (PARTITION BY rep
+    ORDER BY a) + (count(*) OVER (PARTITION BY rep, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY rep
+    ORDER BY z) + (count(*) OVER (PARTITION BY rep, z) - 1) / 2.0 AS rz FROM bt),
+    v AS (SELECT rep, corr(ra, rz) AS q FROM r
+    GROUP BY 1) SELECT count(*) AS b, avg(q) AS mean, quantile_cont(q, 0.025) AS lower, quantile_cont(q, 0.975) AS upper FROM v""",
     NATION,
     BOOT.format(table="nf"),
     rnd="mean lower upper",
@@ -216,13 +243,20 @@ def m15(spark, d):
 
 @register(
     "m16_moving_block_bootstrap",
-    """WITH r AS (SELECT user_id AS key, event_id, value AS x FROM events WHERE value IS NOT NULL), sz AS (SELECT key, count(*) AS n, avg(x) AS mean, least(6, count(*)) AS block FROM r GROUP BY 1),
-    pl AS (SELECT key, n, block, x, row_number() OVER w - 1 AS i, sum(x) OVER (w ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS s FROM r JOIN sz USING (key) WINDOW w AS (PARTITION BY key ORDER BY event_id)),
-    va AS (SELECT key, 0 AS kind, i, s AS v FROM pl WHERE i <= n - block UNION ALL SELECT key, 1, i, x FROM pl), ask AS (SELECT key, block, 0 AS kind, CAST(ceil(n / block) AS BIGINT) AS draws, n - block + 1 AS places FROM sz UNION ALL SELECT key, 1, 1, n, n FROM sz),
-    dr AS (SELECT key, kind, block, draws, rep, ('0x' || substr(sha256(concat_ws(':', 9, kind, key, rep, k)), 1, 8))::BIGINT % places AS i FROM (SELECT *, unnest(range(0, draws)) AS k FROM (SELECT *, unnest(range(0, 300)) AS rep FROM ask))),
-    me AS (SELECT key, kind, rep, sum(v) / max(draws) / max(block) AS m FROM dr JOIN va USING (key, kind, i) GROUP BY ALL), en AS (SELECT key, kind, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM me GROUP BY ALL),
-    wi AS (SELECT key, max(lo) FILTER (kind = 0) AS lower, max(hi) FILTER (kind = 0) AS upper, max(lo) FILTER (kind = 1) AS iid_lower, max(hi) FILTER (kind = 1) AS iid_upper FROM en GROUP BY 1)
-    SELECT key, n, CAST(block AS INTEGER) AS block, mean, lower, upper, iid_lower, iid_upper, CASE WHEN iid_upper > iid_lower THEN (upper - lower) / (iid_upper - iid_lower) END AS width_ratio FROM sz JOIN wi USING (key)""",
+    """WITH r AS (SELECT user_id AS key, event_id, value AS x FROM events WHERE value IS NOT NULL),
+    sz AS (SELECT key, count(*) AS n, avg(x) AS mean, least(6, count(*)) AS block FROM r GROUP BY 1),
+    pl AS (SELECT key, n, block, x, row_number() OVER w - 1 AS i, sum(x) OVER (w ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS s
+    FROM r JOIN sz USING (key) WINDOW w AS (PARTITION BY key ORDER BY event_id)),
+    va AS (SELECT key, 0 AS kind, i, s AS v FROM pl WHERE i <= n - block UNION ALL SELECT key, 1, i, x FROM pl),
+    ask AS (SELECT key, block, 0 AS kind, CAST(ceil(n / block) AS BIGINT) AS draws, n - block + 1 AS places FROM sz UNION ALL SELECT key, 1, 1, n, n FROM sz),
+    dr AS (SELECT key, kind, block, draws, rep, ('0x' || substr(sha256(concat_ws(':', 9, kind, key, rep, k)), 1, 8))::BIGINT % places AS i
+    FROM (SELECT *, unnest(range(0, draws)) AS k FROM (SELECT *, unnest(range(0, 300)) AS rep FROM ask))),
+    me AS (SELECT key, kind, rep, sum(v) / max(draws) / max(block) AS m FROM dr JOIN va USING (key, kind, i) GROUP BY ALL),
+    en AS (SELECT key, kind, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM me GROUP BY ALL),
+    wi AS (SELECT key, max(lo) FILTER (kind = 0) AS lower, max(hi) FILTER (kind = 0) AS upper, max(lo) FILTER (kind = 1) AS iid_lower, max(hi) FILTER (kind = 1) AS iid_upper
+    FROM en GROUP BY 1)
+    SELECT key, n, CAST(block AS INTEGER) AS block, mean, lower, upper, iid_lower, iid_upper, CASE WHEN iid_upper > iid_lower THEN (upper - lower) / (iid_upper - iid_lower) END AS width_ratio
+    FROM sz JOIN wi USING (key)""",
     rnd="mean lower upper iid_lower iid_upper width_ratio",
 )
 def m16(spark, d):
@@ -257,7 +291,8 @@ def m19(spark, d):
 
 @register(
     "m20_finite_sample_dispersion",
-    """WITH p AS (SELECT value AS x, row_number() OVER (ORDER BY sha256(concat_ws(':', 2, event_id)), event_id) - 1 AS i FROM events WHERE value IS NOT NULL), s AS (SELECT stddev_samp(x) AS sigma FROM p),
+    """WITH p AS (SELECT value AS x, row_number() OVER (ORDER BY sha256(concat_ws(':', 2, event_id)), event_id) - 1 AS i FROM events WHERE value IS NOT NULL),
+    s AS (SELECT stddev_samp(x) AS sigma FROM p),
     g AS (SELECT k, i // k AS g, stddev_samp(x) AS sd, count(*) AS n FROM p, (SELECT unnest([4, 8, 15, 30, 60]) AS k) GROUP BY 1, 2)
     SELECT k, count(*) AS n, avg(sd) - max(sigma) AS bias, stddev_samp(sd) AS spread, max(sigma) / sqrt(2.0 * (k - 1)) AS analytic FROM g, s WHERE n = k GROUP BY k""",
     rnd="bias spread analytic",
@@ -271,7 +306,8 @@ def m20(spark, d):
     "m21_collapse_verdict",
     """, x AS (SELECT subject % 5 AS cohort, avg(delta_b) AS mean, avg(CAST(delta_b < 0 AS INTEGER)) AS harmed, max(source) AS top FROM deltas GROUP BY 1)
     SELECT cohort, mean, harmed, mean < -0.005 AS is_degraded, top > 0.75 AS is_concentrated, mean < -0.005 AND top > 0.75 AS is_collapsed,
-    CASE WHEN mean < -0.005 AND top > 0.75 THEN 'collapse' WHEN mean < -0.005 THEN 'degraded' WHEN top > 0.75 THEN 'concentrated' WHEN harmed >= 0.4 THEN 'heterogeneous' ELSE 'none' END AS verdict FROM x""",
+    CASE WHEN mean < -0.005 AND top > 0.75 THEN 'collapse' WHEN mean < -0.005 THEN 'degraded' WHEN top > 0.75 THEN 'concentrated' WHEN harmed >= 0.4 THEN 'heterogeneous' ELSE 'none' END AS verdict
+    FROM x""",
     METRICS,
     DELTAS,
     rnd="mean harmed",
@@ -283,8 +319,11 @@ def m21(spark, d):
 
 @register(
     "m22_eligibility_verdict",
-    """WITH u AS (SELECT event_type AS family, 'enough' AS criterion, count(*) > 1990 AS ok FROM events GROUP BY 1 UNION ALL SELECT event_type, 'level', avg(value) < 50 FROM events GROUP BY 1 UNION ALL SELECT event_type, 'spread', stddev_samp(value) > 49 FROM events GROUP BY 1)
-    SELECT family, count(*) AS n_criteria, bool_and(ok) AS eligible, coalesce(string_agg(criterion, ';' ORDER BY criterion) FILTER (NOT ok), '') AS failing FROM u GROUP BY 1""",
+    """WITH u AS (SELECT event_type AS family, 'enough' AS criterion, count(*) > 1990 AS ok FROM events GROUP BY 1
+    UNION ALL SELECT event_type, 'level', avg(value) < 50 FROM events GROUP BY 1
+    UNION ALL SELECT event_type, 'spread', stddev_samp(value) > 49 FROM events GROUP BY 1)
+    SELECT family, count(*) AS n_criteria, bool_and(ok) AS eligible, coalesce(string_agg(criterion, ';'
+    ORDER BY criterion) FILTER (NOT ok), '') AS failing FROM u GROUP BY 1""",
 )
 def m22(spark, d):
     s = read(spark, d, "events").groupBy(F.col("event_type").alias("family")).agg((F.count("*") > 1990).alias("enough"), (F.avg("value") < 50).alias("level"), (F.stddev_samp("value") > 49).alias("spread"))
@@ -293,8 +332,10 @@ def m22(spark, d):
 
 @register(
     "m23_normalization_shift",
-    """WITH src AS (SELECT l_linenumber AS c, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), tg AS (SELECT l_suppkey, l_linenumber AS c, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2)
-    SELECT l_suppkey, avg(abs(tg.m - src.m) / nullif(src.s, 0)) AS mean_shift, avg(abs(ln(nullif(tg.s, 0)) - ln(nullif(src.s, 0)))) AS log_sd_shift FROM tg JOIN src USING (c) GROUP BY 1""",
+    """WITH src AS (SELECT l_linenumber AS c, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
+    tg AS (SELECT l_suppkey, l_linenumber AS c, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2)
+    SELECT l_suppkey, avg(abs(tg.m - src.m) / nullif(src.s, 0)) AS mean_shift, avg(abs(ln(nullif(tg.s, 0)) - ln(nullif(src.s, 0)))) AS log_sd_shift
+    FROM tg JOIN src USING (c) GROUP BY 1""",
     rnd="mean_shift log_sd_shift",
 )
 def m23(spark, d):

@@ -60,7 +60,8 @@ def w3(spark, d):
 @register(
     "w4_position_effect",
     """, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY window_index) - 1 AS q, count(*) OVER (PARTITION BY user_id) AS c FROM wm)
-    SELECT user_id, max(c) AS n_windows, max(m) FILTER (q = 0) AS early, max(m) FILTER (q = (c - 1) // 2) AS middle, max(m) FILTER (q = c - 1) AS late, max(m) FILTER (q = c - 1) - max(m) FILTER (q = 0) AS late_minus_early FROM x WHERE c >= 2 GROUP BY 1""",
+    SELECT user_id, max(c) AS n_windows, max(m) FILTER (q = 0) AS early, max(m) FILTER (q = (c - 1) // 2) AS middle, max(m) FILTER (q = c - 1) AS late, max(m) FILTER (q = c - 1) - max(m) FILTER (q = 0) AS late_minus_early
+    FROM x WHERE c >= 2 GROUP BY 1""",
     WINDOWS,
     WMEANS,
     rnd="early middle late late_minus_early",
@@ -69,8 +70,11 @@ def w4(spark, d):
     return win.position_values(window_means(spark, d), ["user_id"], "m")
 
 
-DYNAMICS = """dx AS (SELECT user_id, window_index, s, s - lag(s) OVER w AS ds, row_number() OVER w AS r, count(*) OVER (PARTITION BY user_id, window_index) AS c FROM win WINDOW w AS (PARTITION BY user_id, window_index ORDER BY event_id)),
-dt AS (SELECT *, (r - (c + 1) / 2) / c AS tau FROM dx), da AS (SELECT user_id, window_index, count(s) AS n, avg(s) AS m, stddev_samp(s) AS j, sqrt(sum(ds * ds) / nullif(2 * (count(s) - 1), 0)) AS v, regr_sxx(s, tau) AS sxx, regr_sxy(s, tau) AS sxy, regr_syy(s, tau) AS syy FROM dt GROUP BY 1, 2)"""
+DYNAMICS = """dx AS (SELECT user_id, window_index, s, s - lag(s) OVER w AS ds, row_number() OVER w AS r, count(*) OVER (PARTITION BY user_id, window_index) AS c
+    FROM win WINDOW w AS (PARTITION BY user_id, window_index ORDER BY event_id)),
+dt AS (SELECT *, (r - (c + 1) / 2) / c AS tau FROM dx),
+    da AS (SELECT user_id, window_index, count(s) AS n, avg(s) AS m, stddev_samp(s) AS j, sqrt(sum(ds * ds) / nullif(2 * (count(s) - 1), 0)) AS v, regr_sxx(s, tau) AS sxx, regr_sxy(s, tau) AS sxy, regr_syy(s, tau) AS syy
+    FROM dt GROUP BY 1, 2)"""
 
 
 @register("w5_local_volatility", "SELECT user_id, window_index, v FROM da", WINDOWS, DYNAMICS, rnd="v")
@@ -90,8 +94,10 @@ def w7(spark, d):
     return win.dynamic_features(user_windows(spark, d), ["user_id", "window_index"], "event_id")
 
 
-@register("w7_region_dynamics", """, x AS (SELECT subject, session, region, s, s - lag(s) OVER w AS ds FROM series WINDOW w AS (PARTITION BY subject, session, region ORDER BY epoch))
-SELECT subject, session, region, count(s) AS n, avg(s) AS m, stddev_samp(s) AS j, sqrt(sum(ds * ds) / nullif(2 * (count(s) - 1), 0)) AS v FROM x GROUP BY 1, 2, 3""", SERIES, rnd="m j v")
+@register("w7_region_dynamics", """, x AS (SELECT subject, session, region, s, s - lag(s) OVER w AS ds FROM series
+    WINDOW w AS (PARTITION BY subject, session, region ORDER BY epoch))
+SELECT subject, session, region, count(s) AS n, avg(s) AS m, stddev_samp(s) AS j, sqrt(sum(ds * ds) / nullif(2 * (count(s) - 1), 0)) AS v FROM x
+    GROUP BY 1, 2, 3""", SERIES, rnd="m j v")
 def w7b(spark, d):
     return win.dynamic_features(region_series(spark, d), ["subject", "session", "region"], "epoch").select("subject", "session", "region", "n", "m", "j", "v")
 
@@ -103,8 +109,10 @@ def w8(spark, d):
 
 #: Segments of a user's stream: visit 0 (views), 1 (clicks), 2 (the rest), epochs by event id.
 SEGMENTS = "seg AS (SELECT user_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS visit, event_id AS epoch, event_type, k FROM ev)"
-STREAM = """s0 AS (SELECT *, row_number() OVER (PARTITION BY user_id, visit ORDER BY epoch) - 1 AS i, count(*) OVER (PARTITION BY user_id, visit) AS n FROM seg), s1 AS (SELECT *, i // 8 AS b FROM s0),
-stream AS (SELECT user_id, visit, epoch, event_type, k, row_number() OVER (PARTITION BY user_id ORDER BY visit, epoch) - 1 AS stream_position, dense_rank() OVER (PARTITION BY user_id ORDER BY visit, b) - 1 AS batch_index, i % 8 AS "offset",
+STREAM = """s0 AS (SELECT *, row_number() OVER (PARTITION BY user_id, visit ORDER BY epoch) - 1 AS i, count(*) OVER (PARTITION BY user_id, visit) AS n FROM seg),
+    s1 AS (SELECT *, i // 8 AS b FROM s0),
+stream AS (SELECT user_id, visit, epoch, event_type, k, row_number() OVER (PARTITION BY user_id
+    ORDER BY visit, epoch) - 1 AS stream_position, dense_rank() OVER (PARTITION BY user_id ORDER BY visit, b) - 1 AS batch_index, i % 8 AS "offset",
 CASE WHEN b = (n - 1) // 8 THEN n - b * 8 ELSE 8 END AS batch_n, b = (n - 1) // 8 AS is_final_of_visit FROM s1)"""
 
 
@@ -132,8 +140,10 @@ def w10(spark, d):
 
 @register(
     "w11_missing_epochs",
-    """WITH e AS (SELECT DISTINCT o_custkey, o_orderkey // 50 AS e FROM orders), g AS (SELECT o_custkey, lead(e) OVER (PARTITION BY o_custkey ORDER BY e) - e - 1 AS gap FROM e)
-    SELECT o_custkey, count(*) AS n_epochs, CAST(coalesce(sum(gap) FILTER (gap > 0), 0) AS BIGINT) AS n_missing, count(*) FILTER (gap > 0) AS n_gaps, max(gap) AS largest_gap FROM g GROUP BY 1""",
+    """WITH e AS (SELECT DISTINCT o_custkey, o_orderkey // 50 AS e FROM orders),
+    g AS (SELECT o_custkey, lead(e) OVER (PARTITION BY o_custkey ORDER BY e) - e - 1 AS gap FROM e)
+    SELECT o_custkey, count(*) AS n_epochs, CAST(coalesce(sum(gap) FILTER (gap > 0), 0) AS BIGINT) AS n_missing, count(*) FILTER (gap > 0) AS n_gaps, max(gap) AS largest_gap
+    FROM g GROUP BY 1""",
 )
 def w11(spark, d):
     return win.missing_epochs(read(spark, d, "orders").select("o_custkey", F.floor(F.col("o_orderkey") / 50).alias("e")), ["o_custkey"], "e")
@@ -159,11 +169,15 @@ def w12(spark, d):
 
 @register(
     "w13_marker_aligned_windows",
-    """RECURSIVE ev AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    """RECURSIVE ev AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id
+    ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
     walk AS (SELECT user_id, t, i, t AS start, false AS cut, 0.0::DOUBLE AS a, n FROM ev WHERE i = 1 UNION ALL
-             SELECT ev.user_id, ev.t, ev.i, CASE WHEN ev.t - w.start >= 86400 THEN ev.t ELSE w.start END, ev.t - w.start >= 86400, w.start, ev.n FROM walk w JOIN ev ON ev.user_id = w.user_id AND ev.i = w.i + 1),
-    done AS (SELECT user_id, a AS start_s, t AS stop_s, true AS complete FROM walk WHERE cut UNION ALL SELECT user_id, start, t, false FROM walk WHERE i = n AND t > start)
-    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_s) - 1 AS window_index, start_s, stop_s, complete FROM done""".replace("RECURSIVE", "WITH RECURSIVE", 1),
+             SELECT ev.user_id, ev.t, ev.i, CASE WHEN ev.t - w.start >= 86400 THEN ev.t ELSE w.start END, ev.t - w.start >= 86400, w.start, ev.n
+             FROM walk w JOIN ev ON ev.user_id = w.user_id AND ev.i = w.i + 1),
+    done AS (SELECT user_id, a AS start_s, t AS stop_s, true AS complete FROM walk WHERE cut
+    UNION ALL SELECT user_id, start, t, false FROM walk WHERE i = n AND t > start)
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_s) - 1 AS window_index, start_s, stop_s, complete
+    FROM done""".replace("RECURSIVE", "WITH RECURSIVE", 1),
     rnd="start_s stop_s",
 )
 def w13(spark, d):
@@ -179,7 +193,8 @@ def w14(spark, d):
 @register(
     "w15_running_balanced_accuracy",
     """, c AS (SELECT arm, subject, segment_id, sum(CAST(y = 1 AND p >= 0.5 AS INTEGER)) OVER w AS tp, sum(CAST(y = 1 AS INTEGER)) OVER w AS pos, sum(CAST(y = 0 AND p < 0.5 AS INTEGER)) OVER w AS tn, sum(CAST(y = 0 AS INTEGER)) OVER w AS neg
-    FROM pred WINDOW w AS (PARTITION BY arm, subject ORDER BY segment_id)) SELECT arm, subject, segment_id, (tp / nullif(pos, 0) + tn / nullif(neg, 0)) / 2 AS running FROM c""",
+    FROM pred WINDOW w AS (PARTITION BY arm, subject
+    ORDER BY segment_id)) SELECT arm, subject, segment_id, (tp / nullif(pos, 0) + tn / nullif(neg, 0)) / 2 AS running FROM c""",
     PREDICTIONS,
     rnd="running",
 )
@@ -207,7 +222,8 @@ TILES = "tl AS (SELECT user_id, t, s, max(CASE WHEN event_type = 'signup' THEN t
 
 @register(
     "w18_tile_local_slope",
-    """, g AS (SELECT user_id, mt, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(t - mt) > 0 THEN regr_slope(s, t - mt) END AS slope FROM tl WHERE mt IS NOT NULL AND t - mt < 90000 GROUP BY 1, 2)
+    """, g AS (SELECT user_id, mt, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(t - mt) > 0 THEN regr_slope(s, t - mt) END AS slope FROM tl
+    WHERE mt IS NOT NULL AND t - mt < 90000 GROUP BY 1, 2)
     SELECT user_id, count(*) AS tiles, round(avg(slope) * 1000, 5) AS mean_slope, avg(CAST(slope > 0 AS INTEGER)) AS share_positive FROM g GROUP BY 1""",
     EVENTS,
     USER,
@@ -221,9 +237,12 @@ def w18(spark, d):
 
 @register(
     "w19_stream_order_check",
-    """, b AS (SELECT user_id, count(*) FILTER (v > 1) AS mixed_batches, count(*) FILTER (c <> bn) AS wrong_sizes FROM (SELECT user_id, batch_index, count(DISTINCT visit) AS v, count(*) AS c, max(batch_n) AS bn FROM stream GROUP BY 1, 2) GROUP BY 1),
-    l AS (SELECT *, lag(epoch) OVER w >= epoch AND lag(visit) OVER w = visit AS d, lag(batch_index) OVER w > batch_index AS back FROM stream WINDOW w AS (PARTITION BY user_id ORDER BY stream_position)),
-    a AS (SELECT user_id, count(*) FILTER (d) AS not_ascending, count(*) - count(DISTINCT (visit, epoch)) AS repeats, count(*) FILTER (back) AS batch_backwards, CAST(min(stream_position) <> 0 OR max(stream_position) <> count(*) - 1 OR count(DISTINCT stream_position) <> count(*) AS INTEGER) AS bad_positions FROM l GROUP BY 1)
+    """, b AS (SELECT user_id, count(*) FILTER (v > 1) AS mixed_batches, count(*) FILTER (c <> bn) AS wrong_sizes
+    FROM (SELECT user_id, batch_index, count(DISTINCT visit) AS v, count(*) AS c, max(batch_n) AS bn FROM stream GROUP BY 1, 2) GROUP BY 1),
+    l AS (SELECT *, lag(epoch) OVER w >= epoch AND lag(visit) OVER w = visit AS d, lag(batch_index) OVER w > batch_index AS back FROM stream
+    WINDOW w AS (PARTITION BY user_id ORDER BY stream_position)),
+    a AS (SELECT user_id, count(*) FILTER (d) AS not_ascending, count(*) - count(DISTINCT (visit, epoch)) AS repeats, count(*) FILTER (back) AS batch_backwards, CAST(min(stream_position) <> 0 OR max(stream_position) <> count(*) - 1 OR count(DISTINCT stream_position) <> count(*) AS INTEGER) AS bad_positions
+    FROM l GROUP BY 1)
     SELECT * FROM a JOIN b USING (user_id)""",
     EVENTS,
     SEGMENTS,
@@ -243,7 +262,9 @@ def w20(spark, d):
 
 @register(
     "j1_pair_sessions",
-    """, f AS (SELECT subject, region, session, avg(s) AS m, stddev_samp(s) AS j FROM series GROUP BY 1, 2, 3), w AS (SELECT subject, region, max(m) FILTER (session = 'baseline') AS m0, max(m) FILTER (session = 'perturbation') AS m1, max(j) FILTER (session = 'baseline') AS j0, max(j) FILTER (session = 'perturbation') AS j1 FROM f GROUP BY 1, 2)
+    """, f AS (SELECT subject, region, session, avg(s) AS m, stddev_samp(s) AS j FROM series GROUP BY 1, 2, 3),
+    w AS (SELECT subject, region, max(m) FILTER (session = 'baseline') AS m0, max(m) FILTER (session = 'perturbation') AS m1, max(j) FILTER (session = 'baseline') AS j0, max(j) FILTER (session = 'perturbation') AS j1
+    FROM f GROUP BY 1, 2)
     SELECT subject, region, m1 - m0 AS delta_m, ln(j1) - ln(j0) AS delta_log_j FROM w WHERE m0 IS NOT NULL AND m1 IS NOT NULL""",
     SERIES,
     rnd="delta_m delta_log_j",
@@ -279,7 +300,8 @@ def s9(spark, d):
 
 @register(
     "j3_build_cohort",
-    """, ses AS (SELECT subject, count(*) FILTER (session = 'view') AS n0, count(*) FILTER (session = 'click') AS n1, least(max(strength) FILTER (session = 'view'), max(strength) FILTER (session = 'click')) AS strength FROM adm WHERE reason IS NULL GROUP BY 1),
+    """, ses AS (SELECT subject, count(*) FILTER (session = 'view') AS n0, count(*) FILTER (session = 'click') AS n1, least(max(strength) FILTER (session = 'view'), max(strength) FILTER (session = 'click')) AS strength
+    FROM adm WHERE reason IS NULL GROUP BY 1),
     p AS (SELECT DISTINCT user_id AS subject FROM ev), tg AS (SELECT DISTINCT user_id AS subject FROM ev WHERE event_type = 'purchase' AND value > 60),
     j AS (SELECT p.subject, ses.strength, CASE WHEN coalesce(n0, 0) = 0 AND coalesce(n1, 0) = 0 THEN 'no_recording' WHEN coalesce(n0, 0) = 0 THEN 'no_baseline' WHEN coalesce(n1, 0) = 0 THEN 'no_perturbation' WHEN tg.subject IS NULL THEN 'no_target' WHEN strength < 95 THEN 'weak_evidence' END AS reason
     FROM p LEFT JOIN ses USING (subject) LEFT JOIN tg USING (subject)) SELECT subject, strength, coalesce(reason, '') AS reason, reason IS NULL AS included FROM j""",
@@ -294,8 +316,10 @@ def j3(spark, d):
 
 @register(
     "j4_reconcile",
-    """WITH o AS (SELECT l_orderkey AS k, sum(l_quantity) AS q FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey AS k, sum(l_quantity) + max(l_tax) * 20 AS q FROM lineitem WHERE l_discount < 0.1 GROUP BY 1)
-    SELECT coalesce(o.k, r.k) AS k, round(r.q - o.q, 6) AS d_q, concat_ws(';', CASE WHEN o.k IS NULL THEN 'raw_only' END, CASE WHEN r.k IS NULL THEN 'official_only' END, CASE WHEN abs(r.q - o.q) > 0.5 THEN 'differs_q' END) AS reasons FROM o FULL JOIN r ON o.k = r.k""",
+    """WITH o AS (SELECT l_orderkey AS k, sum(l_quantity) AS q FROM lineitem GROUP BY 1),
+    r AS (SELECT l_orderkey AS k, sum(l_quantity) + max(l_tax) * 20 AS q FROM lineitem WHERE l_discount < 0.1 GROUP BY 1)
+    SELECT coalesce(o.k, r.k) AS k, round(r.q - o.q, 6) AS d_q, concat_ws(';', CASE WHEN o.k IS NULL THEN 'raw_only' END, CASE WHEN r.k IS NULL THEN 'official_only' END, CASE WHEN abs(r.q - o.q) > 0.5 THEN 'differs_q' END) AS reasons
+    FROM o FULL JOIN r ON o.k = r.k""",
 )
 def j4(spark, d):
     li = read(spark, d, "lineitem")
@@ -312,8 +336,10 @@ def j5(spark, d):
 
 @register(
     "j6_join_key_audit",
-    """WITH a AS (SELECT c_custkey // 2 AS naive, c_custkey AS true_, c_nationkey AS x FROM customer), b AS (SELECT o_custkey // 3 AS naive, o_custkey AS true_, CAST(o_custkey % 25 AS INTEGER) AS x FROM orders)
-    SELECT 'naive' AS key, count(*) AS pairs, count(*) FILTER (a.true_ <> b.true_) AS wrong, count(*) FILTER (a.x = b.x) AS agree FROM a JOIN b ON a.naive = b.naive UNION ALL SELECT 'true', count(*), count(*) FILTER (a.true_ <> b.true_), count(*) FILTER (a.x = b.x) FROM a JOIN b ON a.true_ = b.true_""",
+    """WITH a AS (SELECT c_custkey // 2 AS naive, c_custkey AS true_, c_nationkey AS x FROM customer),
+    b AS (SELECT o_custkey // 3 AS naive, o_custkey AS true_, CAST(o_custkey % 25 AS INTEGER) AS x FROM orders)
+    SELECT 'naive' AS key, count(*) AS pairs, count(*) FILTER (a.true_ <> b.true_) AS wrong, count(*) FILTER (a.x = b.x) AS agree FROM a JOIN b ON a.naive = b.naive
+    UNION ALL SELECT 'true', count(*), count(*) FILTER (a.true_ <> b.true_), count(*) FILTER (a.x = b.x) FROM a JOIN b ON a.true_ = b.true_""",
 )
 def j6(spark, d):
     c = F.col
@@ -329,7 +355,8 @@ def j7(spark, d):
 
 BOUND = 36 * 3600.0
 MATCHED = f"""pe AS (SELECT user_id, event_id, t FROM ev WHERE event_type = 'error'), rs AS (SELECT user_id, t FROM ev WHERE event_type = 'purchase'),
-mt AS (SELECT pe.user_id, pe.event_id, pe.t, min(rs.t) - pe.t AS latency, count(rs.t) AS n_responses, min(rs.t) IS NULL AS censored FROM pe LEFT JOIN rs ON pe.user_id = rs.user_id AND rs.t > pe.t AND rs.t <= pe.t + {BOUND} GROUP BY 1, 2, 3)"""
+mt AS (SELECT pe.user_id, pe.event_id, pe.t, min(rs.t) - pe.t AS latency, count(rs.t) AS n_responses, min(rs.t) IS NULL AS censored
+    FROM pe LEFT JOIN rs ON pe.user_id = rs.user_id AND rs.t > pe.t AND rs.t <= pe.t + {BOUND} GROUP BY 1, 2, 3)"""
 
 
 def matched(spark, d):
@@ -380,7 +407,8 @@ def p14(spark, d):
 @register(
     "a45_mask_audit",
     """SELECT user_id, count(*) FILTER (state = 'driving') AS n_driving, count(*) FILTER (state = 'gap') AS n_gap, count(*) FILTER (state = 'invalid') AS n_invalid, avg(s) FILTER (state = 'driving') AS mean_driving, avg(s) FILTER (state = 'gap') AS mean_gap,
-    max(abs(s)) FILTER (state = 'driving') AS max_driving, max(abs(s)) FILTER (state = 'gap') AS max_gap, count(*) FILTER (state = 'gap') / nullif(count(*) FILTER (state <> 'invalid'), 0) AS gap_fraction, max(abs(s)) FILTER (state = 'gap') / max(abs(s)) FILTER (state = 'driving') AS scale_ratio FROM mask GROUP BY 1""",
+    max(abs(s)) FILTER (state = 'driving') AS max_driving, max(abs(s)) FILTER (state = 'gap') AS max_gap, count(*) FILTER (state = 'gap') / nullif(count(*) FILTER (state <> 'invalid'), 0) AS gap_fraction, max(abs(s)) FILTER (state = 'gap') / max(abs(s)) FILTER (state = 'driving') AS scale_ratio
+    FROM mask GROUP BY 1""",
     EVENTS,
     USER,
     SB,
@@ -395,7 +423,8 @@ def a45(spark, d):
 @register(
     "j11_resample_linear",
     """, kn AS (SELECT user_id, t, s FROM us WHERE event_type = 'view'), gr AS (SELECT user_id, t, event_id FROM us WHERE event_type = 'click'),
-    lo AS (SELECT gr.user_id, gr.event_id, gr.t, kn.t AS lt, kn.s AS lx FROM gr ASOF LEFT JOIN kn ON gr.user_id = kn.user_id AND gr.t >= kn.t), hi AS (SELECT lo.*, kn.t AS ht, kn.s AS hx FROM lo ASOF LEFT JOIN kn ON lo.user_id = kn.user_id AND lo.t <= kn.t)
+    lo AS (SELECT gr.user_id, gr.event_id, gr.t, kn.t AS lt, kn.s AS lx FROM gr ASOF LEFT JOIN kn ON gr.user_id = kn.user_id AND gr.t >= kn.t),
+    hi AS (SELECT lo.*, kn.t AS ht, kn.s AS hx FROM lo ASOF LEFT JOIN kn ON lo.user_id = kn.user_id AND lo.t <= kn.t)
     SELECT user_id, t, coalesce(lx + (hx - lx) * (t - lt) / nullif(ht - lt, 0), lx, hx) AS s FROM hi""",
     EVENTS,
     USER,
@@ -413,7 +442,8 @@ def j12(spark, d):
 
 @register(
     "j13_baseline_scenario",
-    """, b AS (SELECT subject, count(*) AS n_base, median(m) AS bm, arg_min(m, window_index) AS bf FROM tm WHERE session = 'baseline' GROUP BY 1), c AS (SELECT subject, arg_min(m, window_index) AS now FROM tm WHERE session = 'perturbation' GROUP BY 1)
+    """, b AS (SELECT subject, count(*) AS n_base, median(m) AS bm, arg_min(m, window_index) AS bf FROM tm WHERE session = 'baseline' GROUP BY 1),
+    c AS (SELECT subject, arg_min(m, window_index) AS now FROM tm WHERE session = 'perturbation' GROUP BY 1)
     SELECT subject, n_base, now - bm AS to_median, now - bf AS to_first FROM b JOIN c USING (subject) WHERE n_base >= 2""",
     TRIALS,
     TWO,
@@ -425,8 +455,12 @@ def j13(spark, d):
 
 @register(
     "j14_table_diff",
-    """WITH e AS (SELECT s_suppkey AS k, s_acctbal AS v, s_nationkey % 2 AS g FROM supplier), a AS (SELECT s_suppkey AS k, s_acctbal + CASE WHEN s_suppkey = 7 THEN 0.5 ELSE 0 END AS v, CASE WHEN s_suppkey % 40 = 3 THEN 1 - s_nationkey % 2 ELSE s_nationkey % 2 END AS g FROM supplier WHERE s_suppkey <> 11),
-    j AS (SELECT e.k AS ke, a.k AS ka, abs(e.v - a.v) AS dv, e.g <> a.g AS f FROM e FULL JOIN a ON e.k = a.k) SELECT count(*) FILTER (ka IS NULL) AS missing, count(*) FILTER (ke IS NULL) AS extra, max(dv) AS max_v, arg_max(ke, dv) AS worst_v, count(*) FILTER (f) AS flips_g, false AS same FROM j""",
+    """WITH e AS (SELECT s_suppkey AS k, s_acctbal AS v, s_nationkey % 2 AS g FROM supplier),
+    a AS (SELECT s_suppkey AS k, s_acctbal + CASE WHEN s_suppkey = 7 THEN 0.5 ELSE 0 END AS v, CASE WHEN s_suppkey % 40 = 3 THEN 1 - s_nationkey % 2 ELSE s_nationkey % 2 END AS g
+    FROM supplier WHERE s_suppkey <> 11),
+    j AS (SELECT e.k AS ke, a.k AS ka, abs(e.v - a.v) AS dv, e.g <> a.g AS f
+    FROM e FULL JOIN a ON e.k = a.k) SELECT count(*) FILTER (ka IS NULL) AS missing, count(*) FILTER (ke IS NULL) AS extra, max(dv) AS max_v, arg_max(ke, dv) AS worst_v, count(*) FILTER (f) AS flips_g, false AS same
+    FROM j""",
     rnd="max_v",
 )
 def j14(spark, d):
@@ -445,7 +479,8 @@ def j15(spark, d):
 @register(
     "j16_censoring_audit",
     """, q AS (SELECT *, CAST(censored AS INTEGER) AS c, ntile(4) OVER (PARTITION BY user_id ORDER BY event_id) AS q FROM mt)
-    SELECT user_id, count(*) AS n, avg(c) AS censored_share, avg(c) FILTER (q = 4) - avg(c) FILTER (q = 1) AS late_minus_early, avg(CAST(n_responses > 1 AS INTEGER)) AS multi_share FROM q GROUP BY 1""",
+    SELECT user_id, count(*) AS n, avg(c) AS censored_share, avg(c) FILTER (q = 4) - avg(c) FILTER (q = 1) AS late_minus_early, avg(CAST(n_responses > 1 AS INTEGER)) AS multi_share
+    FROM q GROUP BY 1""",
     EVENTS,
     MATCHED,
     rnd="censored_share late_minus_early multi_share",
@@ -461,7 +496,8 @@ def t2(spark, d):
 
 @register(
     "a39_a40_stream_inventory",
-    """, b AS (SELECT user_id, batch_index, count(*) AS c FROM stream GROUP BY 1, 2) SELECT user_id, count(*) AS n_windows, count(*) FILTER (visit = 0) AS n_first, count(*) FILTER (k >= 50) AS n_positive, avg(CAST(k >= 50 AS INTEGER)) AS share_positive, max(batch_index) + 1 AS n_batches, min(batch_n) AS smallest_batch,
+    """, b AS (SELECT user_id, batch_index, count(*) AS c FROM stream
+    GROUP BY 1, 2) SELECT user_id, count(*) AS n_windows, count(*) FILTER (visit = 0) AS n_first, count(*) FILTER (k >= 50) AS n_positive, avg(CAST(k >= 50 AS INTEGER)) AS share_positive, max(batch_index) + 1 AS n_batches, min(batch_n) AS smallest_batch,
     (SELECT count(*) FROM b WHERE b.user_id = stream.user_id AND c = 1) AS n_single FROM stream GROUP BY user_id""",
     EVENTS,
     SEGMENTS,
@@ -478,12 +514,22 @@ def a40(spark, d):
 
 @register(
     "a41_protocol_grid_audit",
-    """, m AS (SELECT user_id, label, window_index, avg(s) AS m FROM pw GROUP BY 1, 2, 3), a AS (SELECT label, user_id, count(*) AS n FROM m GROUP BY 1, 2), e AS (SELECT label, count(*) FILTER (n >= 2) AS eligible, count(*) AS sessions FROM a GROUP BY 1),
-    q AS (SELECT x.label, x.user_id, x.m AS a, y.m AS b FROM m x JOIN m y ON x.user_id = y.user_id AND x.label = y.label AND x.window_index < y.window_index), p AS (SELECT label, median(abs(a - b)) AS median_abs FROM q GROUP BY 1),
-    rk AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY a) + (count(*) OVER (PARTITION BY label, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY label ORDER BY b) + (count(*) OVER (PARTITION BY label, b) - 1) / 2.0 AS rb FROM q), rh AS (SELECT label, corr(ra, rb) AS rho FROM rk GROUP BY 1),
-    i AS (SELECT quantile_cont(f, 0.75) - quantile_cont(f, 0.25) AS iqr FROM (SELECT user_id, avg(s) AS f FROM us GROUP BY 1)), po AS (SELECT label, user_id, arg_max(m, window_index) - arg_min(m, window_index) AS d FROM m GROUP BY 1, 2 HAVING count(*) >= 2), dz AS (SELECT label, abs(avg(d) / stddev_samp(d)) AS abs_dz FROM po GROUP BY 1),
-    g AS (SELECT user_id, avg(s) AS f FROM us GROUP BY 1), gm AS (SELECT avg(f) AS gm FROM g), sg AS (SELECT m.label, avg(CAST(sign(m.m - gm) = sign(f - gm) AS INTEGER)) AS sign_agreement FROM m JOIN g USING (user_id), gm WHERE window_index = 0 GROUP BY 1)
-    SELECT label, sessions, eligible, median_abs / iqr AS nmae, rho, abs_dz, sign_agreement FROM e JOIN p USING (label) JOIN rh USING (label) JOIN dz USING (label) JOIN sg USING (label), i""",
+    """, m AS (SELECT user_id, label, window_index, avg(s) AS m FROM pw GROUP BY 1, 2, 3),
+    a AS (SELECT label, user_id, count(*) AS n FROM m GROUP BY 1, 2),
+    e AS (SELECT label, count(*) FILTER (n >= 2) AS eligible, count(*) AS sessions FROM a GROUP BY 1),
+    q AS (SELECT x.label, x.user_id, x.m AS a, y.m AS b FROM m x JOIN m y ON x.user_id = y.user_id AND x.label = y.label AND x.window_index < y.window_index),
+    p AS (SELECT label, median(abs(a - b)) AS median_abs FROM q GROUP BY 1),
+    rk AS (SELECT label, rank() OVER (PARTITION BY label
+    ORDER BY a) + (count(*) OVER (PARTITION BY label, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY label
+    ORDER BY b) + (count(*) OVER (PARTITION BY label, b) - 1) / 2.0 AS rb FROM q),
+    rh AS (SELECT label, corr(ra, rb) AS rho FROM rk GROUP BY 1),
+    i AS (SELECT quantile_cont(f, 0.75) - quantile_cont(f, 0.25) AS iqr FROM (SELECT user_id, avg(s) AS f FROM us GROUP BY 1)),
+    po AS (SELECT label, user_id, arg_max(m, window_index) - arg_min(m, window_index) AS d FROM m GROUP BY 1, 2 HAVING count(*) >= 2),
+    dz AS (SELECT label, abs(avg(d) / stddev_samp(d)) AS abs_dz FROM po GROUP BY 1),
+    g AS (SELECT user_id, avg(s) AS f FROM us GROUP BY 1), gm AS (SELECT avg(f) AS gm FROM g),
+    sg AS (SELECT m.label, avg(CAST(sign(m.m - gm) = sign(f - gm) AS INTEGER)) AS sign_agreement FROM m JOIN g USING (user_id), gm WHERE window_index = 0 GROUP BY 1)
+    SELECT label, sessions, eligible, median_abs / iqr AS nmae, rho, abs_dz, sign_agreement
+    FROM e JOIN p USING (label) JOIN rh USING (label) JOIN dz USING (label) JOIN sg USING (label), i""",
     EVENTS,
     USER,
     PROTOCOL_SQL,
@@ -506,7 +552,8 @@ def a41(spark, d):
 
 @register(
     "a43_event_locked_mean",
-    """, e AS (SELECT user_id, event_id, t FROM us WHERE event_type = 'error'), j AS (SELECT e.user_id, us.t - e.t AS lag, us.s FROM e JOIN us ON e.user_id = us.user_id AND us.t > e.t AND us.t <= e.t + 72000)
+    """, e AS (SELECT user_id, event_id, t FROM us WHERE event_type = 'error'),
+    j AS (SELECT e.user_id, us.t - e.t AS lag, us.s FROM e JOIN us ON e.user_id = us.user_id AND us.t > e.t AND us.t <= e.t + 72000)
     SELECT user_id, CASE WHEN lag <= 18000 THEN 0 ELSE 1 END AS bin, count(*) AS n, avg(s) AS mean FROM j GROUP BY 1, 2""",
     EVENTS,
     USER,
@@ -520,7 +567,8 @@ def a43(spark, d):
 
 @register(
     "a44_rate_per_block",
-    """, n AS (SELECT blocks.user_id, blocks.block, count(us.t) AS n_events, count(us.t) * 60.0 / nullif(max(stop_s) - max(start_s), 0) AS rate FROM blocks LEFT JOIN us ON us.user_id = blocks.user_id AND us.t BETWEEN start_s AND stop_s AND us.event_type = 'error' GROUP BY 1, 2)
+    """, n AS (SELECT blocks.user_id, blocks.block, count(us.t) AS n_events, count(us.t) * 60.0 / nullif(max(stop_s) - max(start_s), 0) AS rate
+    FROM blocks LEFT JOIN us ON us.user_id = blocks.user_id AND us.t BETWEEN start_s AND stop_s AND us.event_type = 'error' GROUP BY 1, 2)
     SELECT user_id, block, n_events, rate, max(rate) OVER (PARTITION BY user_id) / nullif(min(rate) OVER (PARTITION BY user_id), 0) AS max_over_min FROM n""",
     EVENTS,
     USER,

@@ -126,8 +126,10 @@ def g2(spark, d):
 
 @register(
     "g3_stream_blocks",
-    """, l AS (SELECT user_id, ts, CAST(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 12 HOURS AS INTEGER) AS nw FROM events), b AS (SELECT *, coalesce(sum(nw) OVER (PARTITION BY user_id ORDER BY ts), 0) AS block FROM l)
-    SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n_markers FROM b, mx GROUP BY user_id, block, wm HAVING max(ts) + INTERVAL 12 HOURS <= wm""",
+    """, l AS (SELECT user_id, ts, CAST(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 12 HOURS AS INTEGER) AS nw FROM events),
+    b AS (SELECT *, coalesce(sum(nw) OVER (PARTITION BY user_id ORDER BY ts), 0) AS block FROM l)
+    SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n_markers FROM b, mx GROUP BY user_id, block, wm
+    HAVING max(ts) + INTERVAL 12 HOURS <= wm""",
     CLOSED,
 )
 def g3(spark, d):
@@ -143,7 +145,10 @@ def g4(spark, d):
 
 @register(
     "g5_stream_batch_monitor",
-    """WITH b AS (SELECT user_id, value / (value + 50.0) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS c FROM events), g AS (SELECT user_id, i // 16 AS batch_index, count(*) AS n, avg(p) AS q1, avg(-(p * ln(p) + (1 - p) * ln(1 - p))) AS h_cond FROM b WHERE i < (c // 16) * 16 GROUP BY 1, 2)
+    """WITH b AS (SELECT user_id, value / (value + 50.0) AS p, row_number() OVER (PARTITION BY user_id
+    ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS c FROM events),
+    g AS (SELECT user_id, i // 16 AS batch_index, count(*) AS n, avg(p) AS q1, avg(-(p * ln(p) + (1 - p) * ln(1 - p))) AS h_cond FROM b
+    WHERE i < (c // 16) * 16 GROUP BY 1, 2)
     SELECT *, -(q1 * ln(q1) + (1 - q1) * ln(1 - q1)) AS h_marg FROM g""",
     rnd="q1 h_cond h_marg",
 )

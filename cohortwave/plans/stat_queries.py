@@ -21,7 +21,8 @@ def a1(spark, d):
 
 
 PAIRED = f"""{SESSIONS}, wide AS (SELECT subject, max(median_rt) FILTER (session = 'baseline') AS m0, max(median_rt) FILTER (session = 'perturbation') AS m1, max(mean_speed) FILTER (session = 'baseline') AS v0,
-max(mean_speed) FILTER (session = 'perturbation') AS v1 FROM sess GROUP BY 1), paired AS (SELECT subject, m1 - m0 AS delta_median, ln(m1) - ln(m0) AS y_rt, ln(v0) - ln(v1) AS y_speed, m0 IS NOT NULL AND m1 IS NOT NULL AS computed,
+max(mean_speed) FILTER (session = 'perturbation') AS v1 FROM sess GROUP BY 1),
+    paired AS (SELECT subject, m1 - m0 AS delta_median, ln(m1) - ln(m0) AS y_rt, ln(v0) - ln(v1) AS y_speed, m0 IS NOT NULL AND m1 IS NOT NULL AS computed,
 CASE WHEN m0 IS NULL THEN 'no_baseline' WHEN m1 IS NULL THEN 'no_perturbation' ELSE '' END AS reason FROM wide)"""
 
 
@@ -69,7 +70,9 @@ def a6(spark, d):
 @register(
     "a7_percentile_summary",
     """SELECT user_id, event_type, n, CASE WHEN n >= 2 THEN a END AS low, CASE WHEN n >= 2 THEN p1 END AS p25, CASE WHEN n >= 2 THEN p2 END AS median, CASE WHEN n >= 2 THEN p3 END AS p75, CASE WHEN n >= 2 THEN b END AS high,
-    CASE WHEN n >= 2 THEN p3 - p1 END AS iqr FROM (SELECT user_id, event_type, count(value) AS n, min(value) AS a, max(value) AS b, quantile_cont(value, 0.25) AS p1, quantile_cont(value, 0.5) AS p2, quantile_cont(value, 0.75) AS p3 FROM events GROUP BY 1, 2)""",
+    CASE WHEN n >= 2 THEN p3 - p1 END AS iqr
+    FROM (SELECT user_id, event_type, count(value) AS n, min(value) AS a, max(value) AS b, quantile_cont(value, 0.25) AS p1, quantile_cont(value, 0.5) AS p2, quantile_cont(value, 0.75) AS p3
+    FROM events GROUP BY 1, 2)""",
     rnd="low p25 median p75 high iqr",
 )
 def a7(spark, d):
@@ -94,8 +97,10 @@ def a8(spark, d):
 
 @register(
     "a8_normalized_disagreement",
-    """, x AS (SELECT event_type, count(*) AS n, median(abs(a - b)) AS median_abs, avg(abs(a - b)) AS mean_abs, quantile_cont(abs(a - b), 0.9) AS p90_abs FROM pairs GROUP BY 1),
-    r AS (SELECT event_type, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events GROUP BY 1) SELECT *, median_abs / CASE WHEN iqr > 0 THEN iqr END AS nmae FROM x LEFT JOIN r USING (event_type)""",
+    """, x AS (SELECT event_type, count(*) AS n, median(abs(a - b)) AS median_abs, avg(abs(a - b)) AS mean_abs, quantile_cont(abs(a - b), 0.9) AS p90_abs
+    FROM pairs GROUP BY 1),
+    r AS (SELECT event_type, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events
+    GROUP BY 1) SELECT *, median_abs / CASE WHEN iqr > 0 THEN iqr END AS nmae FROM x LEFT JOIN r USING (event_type)""",
     PAIRS,
     rnd="median_abs mean_abs p90_abs iqr nmae",
 )
@@ -105,7 +110,8 @@ def a8b(spark, d):
 
 @register(
     "a9_bland_altman",
-    """, x AS (SELECT user_id, a - b AS d, (a + b) / 2 AS m FROM pairs) SELECT user_id, count(d) AS n, avg(d) AS bias, stddev_samp(d) AS sd, median(d) AS median_diff, quantile_cont(d, 0.025) AS p2_5, quantile_cont(d, 0.975) AS p97_5,
+    """, x AS (SELECT user_id, a - b AS d, (a + b) / 2 AS m
+    FROM pairs) SELECT user_id, count(d) AS n, avg(d) AS bias, stddev_samp(d) AS sd, median(d) AS median_diff, quantile_cont(d, 0.025) AS p2_5, quantile_cont(d, 0.975) AS p97_5,
     regr_slope(d, m) AS slope, corr(d, m) AS r, avg(d) - 1.96 * stddev_samp(d) AS lower, avg(d) + 1.96 * stddev_samp(d) AS upper FROM x GROUP BY 1""",
     PAIRS,
     rnd="bias sd median_diff p2_5 p97_5 slope r lower upper",
@@ -119,10 +125,14 @@ RATINGS = "ratings AS (SELECT l_suppkey AS target, l_linenumber AS rater, l_retu
 
 @register(
     "a10_icc_2_1",
-    """, c AS (SELECT *, count(*) OVER (PARTITION BY g, target) AS k1 FROM ratings), f AS (SELECT * FROM (SELECT *, max(k1) OVER (PARTITION BY g) AS km FROM c) WHERE k1 = km),
-    r AS (SELECT g, var_pop(tm) * count(*) * max(k) AS ssr, count(*) AS n, max(k) AS k FROM (SELECT g, target, avg(v) AS tm, count(*) AS k FROM f GROUP BY 1, 2) GROUP BY 1),
-    q AS (SELECT g, var_pop(rm) * count(*) * max(n) AS ssc FROM (SELECT g, rater, avg(v) AS rm, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1), t AS (SELECT g, var_pop(v) * count(*) AS sst FROM f GROUP BY 1),
-    m AS (SELECT g, n, k, ssr / (n - 1) AS msr, ssc / (k - 1) AS msc, (sst - ssr - ssc) / ((n - 1) * (k - 1)) AS mse FROM r JOIN q USING (g) JOIN t USING (g) WHERE n > 1 AND k > 1)
+    """, c AS (SELECT *, count(*) OVER (PARTITION BY g, target) AS k1 FROM ratings),
+    f AS (SELECT * FROM (SELECT *, max(k1) OVER (PARTITION BY g) AS km FROM c) WHERE k1 = km),
+    r AS (SELECT g, var_pop(tm) * count(*) * max(k) AS ssr, count(*) AS n, max(k) AS k FROM (SELECT g, target, avg(v) AS tm, count(*) AS k FROM f
+    GROUP BY 1, 2) GROUP BY 1),
+    q AS (SELECT g, var_pop(rm) * count(*) * max(n) AS ssc FROM (SELECT g, rater, avg(v) AS rm, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1),
+    t AS (SELECT g, var_pop(v) * count(*) AS sst FROM f GROUP BY 1),
+    m AS (SELECT g, n, k, ssr / (n - 1) AS msr, ssc / (k - 1) AS msc, (sst - ssr - ssc) / ((n - 1) * (k - 1)) AS mse
+    FROM r JOIN q USING (g) JOIN t USING (g) WHERE n > 1 AND k > 1)
     SELECT g, n, k, (msr - mse) / nullif(msr + (k - 1) * mse + k * (msc - mse) / n, 0) AS icc, msr / nullif(mse, 0) AS f FROM m""",
     RATINGS,
     rnd="icc f",
@@ -135,8 +145,10 @@ def a10(spark, d):
 @register(
     "a11_variance_components",
     """WITH g AS (SELECT event_type, user_id, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS ss FROM events GROUP BY 1, 2),
-    s AS (SELECT event_type, count(*) AS groups, CAST(sum(n) AS BIGINT) AS total, sum(ss) AS ssw, sum(n * m * m) AS s2, sum(n * m) AS s1, sum(n * n) AS nn FROM g GROUP BY 1),
-    v AS (SELECT event_type, groups, total, ssw / (total - groups) AS within, greatest(((s2 - s1 * s1 / total) / (groups - 1) - ssw / (total - groups)) / ((total - nn / total) / (groups - 1)), 0) AS between_ FROM s)
+    s AS (SELECT event_type, count(*) AS groups, CAST(sum(n) AS BIGINT) AS total, sum(ss) AS ssw, sum(n * m * m) AS s2, sum(n * m) AS s1, sum(n * n) AS nn
+    FROM g GROUP BY 1),
+    v AS (SELECT event_type, groups, total, ssw / (total - groups) AS within, greatest(((s2 - s1 * s1 / total) / (groups - 1) - ssw / (total - groups)) / ((total - nn / total) / (groups - 1)), 0) AS between_
+    FROM s)
     SELECT event_type, groups, total, within, round(between_, 4) AS between, between_ / (between_ + within) AS share FROM v""",
     rnd="within share",
 )
@@ -157,8 +169,10 @@ def a13(spark, d):
     return agg.spearman(pairs(spark, d).select("user_id", F.round(F.col("a") / 10).alias("a"), F.round(F.col("b") / 10).alias("b")), ["user_id"])
 
 
-METRICS = f"""{PREDICTIONS}, pr AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY arm, seed, subject, p) - 1) / 2.0 AS rk FROM pred WINDOW w AS (PARTITION BY arm, seed, subject ORDER BY p)),
-mc AS (SELECT arm, seed, subject, count(*) AS n, count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y = 0 AND p >= 0.5) AS fp, count(*) FILTER (y = 1 AND p < 0.5) AS fn, count(*) FILTER (y = 0 AND p < 0.5) AS tn, sum(rk) FILTER (y = 1) AS rs FROM pr GROUP BY 1, 2, 3),
+METRICS = f"""{PREDICTIONS}, pr AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY arm, seed, subject, p) - 1) / 2.0 AS rk FROM pred
+    WINDOW w AS (PARTITION BY arm, seed, subject ORDER BY p)),
+mc AS (SELECT arm, seed, subject, count(*) AS n, count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y = 0 AND p >= 0.5) AS fp, count(*) FILTER (y = 1 AND p < 0.5) AS fn, count(*) FILTER (y = 0 AND p < 0.5) AS tn, sum(rk) FILTER (y = 1) AS rs
+    FROM pr GROUP BY 1, 2, 3),
 metrics AS (SELECT arm, seed, subject, n, tp, fp, fn, tn, (tp + tn) / n AS accuracy, (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS balanced_accuracy, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1,
 (rs - (tp + fn) * (tp + fn + 1) / 2.0) / nullif((tp + fn) * (tn + fp), 0) AS auc FROM mc)"""
 
@@ -174,8 +188,11 @@ def a14(spark, d):
 
 @register(
     "a14_binned_auc",
-    """, h AS (SELECT l_linestatus AS arm, l_discount * 10 AS p, count(*) FILTER (l_returnflag = 'R') AS pos, count(*) FILTER (l_returnflag <> 'R') AS neg FROM lineitem GROUP BY 1, 2),
-    c AS (SELECT arm, pos, neg, pos * (coalesce(sum(neg) OVER (PARTITION BY arm ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS a FROM h) SELECT arm, sum(a) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY 1""",
+    """, h AS (SELECT l_linestatus AS arm, l_discount * 10 AS p, count(*) FILTER (l_returnflag = 'R') AS pos, count(*) FILTER (l_returnflag <> 'R') AS neg
+    FROM lineitem GROUP BY 1, 2),
+    c AS (SELECT arm, pos, neg, pos * (coalesce(sum(neg) OVER (PARTITION BY arm
+    ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS a FROM h) SELECT arm, sum(a) / (sum(pos) * sum(neg)) AS auc FROM c
+    GROUP BY 1""",
     EVENTS,
     rnd="auc",
 )
@@ -192,9 +209,11 @@ def a15(spark, d):
 BATCHES = f"""{PREDICTIONS}, pos AS (SELECT *, (row_number() OVER (PARTITION BY arm, subject ORDER BY segment_id) - 1) // 8 AS batch FROM pred),
 q AS (SELECT *, least(greatest(p, 1e-12), 1 - 1e-12) AS c FROM pos),
 b0 AS (SELECT arm, subject, batch, count(*) AS n, avg(p) AS q1, avg(-(c * ln(c) + (1 - c) * ln(1 - c))) AS h_cond, avg(greatest(p, 1 - p)) AS mean_max_conf, avg(CAST(p >= 0.5 AS INTEGER)) AS pred_positive, avg(y) AS true_positive_share,
-avg(CAST((p >= 0.5) = (y = 1) AS INTEGER)) AS accuracy, avg(CAST(p >= 0.5 AS INTEGER)) FILTER (y = 1) AS s1, avg(CAST(p < 0.5 AS INTEGER)) FILTER (y = 0) AS s0 FROM q GROUP BY 1, 2, 3),
+avg(CAST((p >= 0.5) = (y = 1) AS INTEGER)) AS accuracy, avg(CAST(p >= 0.5 AS INTEGER)) FILTER (y = 1) AS s1, avg(CAST(p < 0.5 AS INTEGER)) FILTER (y = 0) AS s0
+    FROM q GROUP BY 1, 2, 3),
 b1 AS (SELECT *, least(greatest(q1, 1e-12), 1 - 1e-12) AS qc FROM b0),
-batches AS (SELECT arm, subject, batch, n, q1, h_cond, mean_max_conf, pred_positive, true_positive_share, accuracy, -(qc * ln(qc) + (1 - qc) * ln(1 - qc)) AS h_marg, greatest(pred_positive, 1 - pred_positive) AS dominant, (s1 + s0) / 2 AS balanced_accuracy FROM b1)"""
+batches AS (SELECT arm, subject, batch, n, q1, h_cond, mean_max_conf, pred_positive, true_positive_share, accuracy, -(qc * ln(qc) + (1 - qc) * ln(1 - qc)) AS h_marg, greatest(pred_positive, 1 - pred_positive) AS dominant, (s1 + s0) / 2 AS balanced_accuracy
+    FROM b1)"""
 
 
 def batches(spark, d):
@@ -220,8 +239,10 @@ def a17(spark, d):
 
 @register(
     "a18_hierarchical_summary",
-    """, s AS (SELECT arm, avg(m) AS grand_mean, stddev_samp(m) AS sd_subjects, count(*) AS n_subjects FROM (SELECT arm, subject, avg(accuracy) AS m FROM metrics GROUP BY 1, 2) GROUP BY 1),
-    e AS (SELECT arm, stddev_samp(m) AS sd_seeds, count(*) AS n_seeds FROM (SELECT arm, seed, avg(accuracy) AS m FROM metrics GROUP BY 1, 2) GROUP BY 1), c AS (SELECT arm, count(*) AS cells FROM (SELECT DISTINCT arm, seed, subject FROM metrics) GROUP BY 1)
+    """, s AS (SELECT arm, avg(m) AS grand_mean, stddev_samp(m) AS sd_subjects, count(*) AS n_subjects FROM (SELECT arm, subject, avg(accuracy) AS m
+    FROM metrics GROUP BY 1, 2) GROUP BY 1),
+    e AS (SELECT arm, stddev_samp(m) AS sd_seeds, count(*) AS n_seeds FROM (SELECT arm, seed, avg(accuracy) AS m FROM metrics GROUP BY 1, 2) GROUP BY 1),
+    c AS (SELECT arm, count(*) AS cells FROM (SELECT DISTINCT arm, seed, subject FROM metrics) GROUP BY 1)
     SELECT arm, grand_mean, sd_subjects, n_subjects, sd_seeds, n_seeds, cells = n_subjects * n_seeds AS complete FROM s JOIN e USING (arm) JOIN c USING (arm)""",
     METRICS,
     rnd="grand_mean sd_subjects sd_seeds",
@@ -244,7 +265,8 @@ def a19(spark, d):
 
 @register(
     "a20_delta_summary",
-    """, x AS (SELECT subject % 5 AS cohort, round(delta_b, 9) AS d FROM deltas) SELECT cohort, count(d) AS n, avg(d) AS mean, median(d) AS median, stddev_samp(d) AS sd, quantile_cont(d, 0.25) AS q1, quantile_cont(d, 0.75) AS q3, quantile_cont(d, 0.75) - quantile_cont(d, 0.25) AS iqr,
+    """, x AS (SELECT subject % 5 AS cohort, round(delta_b, 9) AS d
+    FROM deltas) SELECT cohort, count(d) AS n, avg(d) AS mean, median(d) AS median, stddev_samp(d) AS sd, quantile_cont(d, 0.25) AS q1, quantile_cont(d, 0.75) AS q3, quantile_cont(d, 0.75) - quantile_cont(d, 0.25) AS iqr,
     count(*) FILTER (d > 0) AS improved, count(*) FILTER (d < 0) AS harmed, count(*) FILTER (d = 0) AS tied FROM x GROUP BY 1""",
     METRICS,
     DELTAS,
@@ -266,8 +288,10 @@ def a22(spark, d):
 
 @register(
     "a23_fit_channel_scaler",
-    """WITH m AS (SELECT label, CAST(sum(len(embedding)) AS BIGINT) AS n, sum(list_sum(CAST(embedding AS DOUBLE[]))) AS s, sum(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS ss FROM embeddings GROUP BY 1),
-    r AS (SELECT label, CAST(sum(n) OVER () - n AS BIGINT) AS n, sum(s) OVER () - s AS s, sum(ss) OVER () - ss AS ss FROM m) SELECT label, n, s / n AS mean, sqrt(greatest(ss / n - (s / n) * (s / n), 1e-12)) AS sd FROM r""",
+    """WITH m AS (SELECT label, CAST(sum(len(embedding)) AS BIGINT) AS n, sum(list_sum(CAST(embedding AS DOUBLE[]))) AS s, sum(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS ss
+    FROM embeddings GROUP BY 1),
+    r AS (SELECT label, CAST(sum(n) OVER () - n AS BIGINT) AS n, sum(s) OVER () - s AS s, sum(ss) OVER () - ss AS ss
+    FROM m) SELECT label, n, s / n AS mean, sqrt(greatest(ss / n - (s / n) * (s / n), 1e-12)) AS sd FROM r""",
     rnd="mean sd",
 )
 def a23(spark, d):
@@ -293,7 +317,8 @@ def a25(spark, d):
     "a26_shape_stats",
     """WITH m AS (SELECT event_type, avg(value) AS m FROM events GROUP BY 1), c AS (SELECT event_type, value - m AS x FROM events JOIN m USING (event_type)),
     a AS (SELECT event_type, count(*) AS n, avg(x ** 3) / avg(x ** 2) ** 1.5 AS skew, avg(x ** 4) / avg(x ** 2) ** 2 - 3 AS kurtosis FROM c GROUP BY 1),
-    w AS (SELECT event_type, sqrt(avg(v)) AS within_sd FROM (SELECT event_type, user_id, var_samp(value) AS v FROM events GROUP BY 1, 2) GROUP BY 1) SELECT * FROM a JOIN w USING (event_type)""",
+    w AS (SELECT event_type, sqrt(avg(v)) AS within_sd FROM (SELECT event_type, user_id, var_samp(value) AS v FROM events GROUP BY 1, 2)
+    GROUP BY 1) SELECT * FROM a JOIN w USING (event_type)""",
     rnd="skew kurtosis within_sd",
 )
 def a26(spark, d):
@@ -302,7 +327,9 @@ def a26(spark, d):
 
 @register(
     "a27_approximate_reliability",
-    """, t AS (SELECT session, mean_rt AS y, sd_rt / sqrt(n) AS se FROM sess) SELECT session, count(y) AS n, CASE WHEN count(y) >= 3 THEN greatest(1 - avg(se * se) / nullif(var_samp(y), 0), 0) END AS reliability FROM t GROUP BY 1""",
+    """, t AS (SELECT session, mean_rt AS y, sd_rt / sqrt(n) AS se
+    FROM sess) SELECT session, count(y) AS n, CASE WHEN count(y) >= 3 THEN greatest(1 - avg(se * se) / nullif(var_samp(y), 0), 0) END AS reliability
+    FROM t GROUP BY 1""",
     SESSIONS,
     rnd="reliability",
 )
@@ -315,7 +342,8 @@ def a27(spark, d):
     "a28_split_half_reliability",
     """, h AS (SELECT subject, session, rt, row_number() OVER (PARTITION BY subject, session ORDER BY trial_id) % 2 AS half FROM ok),
     m AS (SELECT subject, half, ln(median(rt) FILTER (session = 'perturbation')) - ln(median(rt) FILTER (session = 'baseline')) AS y FROM h GROUP BY 1, 2),
-    w AS (SELECT subject, max(y) FILTER (half = 1) AS a, max(y) FILTER (half = 0) AS b FROM m GROUP BY 1), r AS (SELECT count(*) AS n, corr(a, b) AS pearson, count(*) FILTER (sign(a) = sign(b)) / count(*) AS sign_agreement FROM w WHERE a IS NOT NULL AND b IS NOT NULL)
+    w AS (SELECT subject, max(y) FILTER (half = 1) AS a, max(y) FILTER (half = 0) AS b FROM m GROUP BY 1),
+    r AS (SELECT count(*) AS n, corr(a, b) AS pearson, count(*) FILTER (sign(a) = sign(b)) / count(*) AS sign_agreement FROM w WHERE a IS NOT NULL AND b IS NOT NULL)
     SELECT n, pearson, 2 * pearson / (1 + pearson) AS spearman_brown, sign_agreement FROM r""",
     SESSIONS,
     rnd="pearson spearman_brown sign_agreement",
@@ -342,10 +370,13 @@ def a29(spark, d):
 
 @register(
     "a30_wilcoxon_signed_rank",
-    """, x AS (SELECT user_id, round((a - b) / 5) AS d FROM pairs), r AS (SELECT user_id, d, abs(d) AS ad, rank() OVER (PARTITION BY user_id ORDER BY abs(d)) + (count(*) OVER (PARTITION BY user_id, abs(d)) - 1) / 2.0 AS rk FROM x WHERE d <> 0),
+    """, x AS (SELECT user_id, round((a - b) / 5) AS d FROM pairs),
+    r AS (SELECT user_id, d, abs(d) AS ad, rank() OVER (PARTITION BY user_id
+    ORDER BY abs(d)) + (count(*) OVER (PARTITION BY user_id, abs(d)) - 1) / 2.0 AS rk FROM x WHERE d <> 0),
     t AS (SELECT user_id, sum(c * c * c - c) AS ties FROM (SELECT user_id, ad, count(*) AS c FROM r GROUP BY 1, 2) GROUP BY 1),
     s AS (SELECT user_id, count(*) AS n, coalesce(sum(rk) FILTER (d > 0), 0) AS w_plus, coalesce(sum(rk) FILTER (d < 0), 0) AS w_minus FROM r GROUP BY 1)
-    SELECT user_id, n, CAST(w_plus AS DOUBLE) AS w_plus, CAST(w_minus AS DOUBLE) AS w_minus, (w_plus - n * (n + 1) / 4.0) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 0) AS z FROM s JOIN t USING (user_id)""",
+    SELECT user_id, n, CAST(w_plus AS DOUBLE) AS w_plus, CAST(w_minus AS DOUBLE) AS w_minus, (w_plus - n * (n + 1) / 4.0) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 0) AS z
+    FROM s JOIN t USING (user_id)""",
     PAIRS,
     rnd="z",
 )
@@ -355,8 +386,10 @@ def a30(spark, d):
 
 @register(
     "a31_lane_metrics",
-    """WITH s AS (SELECT user_id, event_id, value - 50 AS x FROM events), o AS (SELECT *, abs(x) > 40 AS out, lag(abs(x) > 40) OVER (PARTITION BY user_id ORDER BY event_id) AS po FROM s)
-    SELECT user_id, count(x) AS n, avg(abs(x)) AS mean_abs, median(abs(x)) AS median_abs, quantile_cont(abs(x), 0.9) AS p90_abs, stddev_samp(x) AS sdlp, sqrt(avg(x * x)) AS rms, avg(CAST(out AS INTEGER)) AS share_out, count(*) FILTER (out AND NOT coalesce(po, false)) AS excursions FROM o GROUP BY 1""",
+    """WITH s AS (SELECT user_id, event_id, value - 50 AS x FROM events),
+    o AS (SELECT *, abs(x) > 40 AS out, lag(abs(x) > 40) OVER (PARTITION BY user_id ORDER BY event_id) AS po FROM s)
+    SELECT user_id, count(x) AS n, avg(abs(x)) AS mean_abs, median(abs(x)) AS median_abs, quantile_cont(abs(x), 0.9) AS p90_abs, stddev_samp(x) AS sdlp, sqrt(avg(x * x)) AS rms, avg(CAST(out AS INTEGER)) AS share_out, count(*) FILTER (out AND NOT coalesce(po, false)) AS excursions
+    FROM o GROUP BY 1""",
     rnd="mean_abs median_abs p90_abs sdlp rms share_out",
 )
 def a31(spark, d):
@@ -385,7 +418,8 @@ def a32(spark, d):
     "a33_ols_time_on_task",
     """, c AS (SELECT event_type, user_id, (t - avg(t) OVER w) / 3600 AS x, value - avg(value) OVER w AS z FROM ev WINDOW w AS (PARTITION BY event_type, user_id)),
     s AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS subjects, sum(x * x) AS sxx, sum(x * z) AS sxz, sum(z * z) AS szz FROM c GROUP BY 1)
-    SELECT event_type, n, subjects, sxz / sxx AS slope, 1 - (szz - sxz * sxz / sxx) / szz AS r2_within, (sxz * sxz / sxx) / ((szz - sxz * sxz / sxx) / (n - subjects - 1)) AS f FROM s""",
+    SELECT event_type, n, subjects, sxz / sxx AS slope, 1 - (szz - sxz * sxz / sxx) / szz AS r2_within, (sxz * sxz / sxx) / ((szz - sxz * sxz / sxx) / (n - subjects - 1)) AS f
+    FROM s""",
     EVENTS,
     rnd="slope r2_within f",
     digits=5,
@@ -398,8 +432,11 @@ def a33(spark, d):
 @register(
     "a34_selection_stability",
     """WITH s AS (SELECT user_id, event_id % 6 AS fold, list_distinct(list(event_type)) AS items FROM events GROUP BY 1, 2),
-    j AS (SELECT a.user_id, len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items))) AS j FROM s a JOIN s b ON a.user_id = b.user_id AND a.fold < b.fold),
-    n AS (SELECT user_id, count(DISTINCT list_sort(items)) AS n_subsets FROM s GROUP BY 1) SELECT user_id, count(*) AS pairs, avg(j) AS mean, min(j) AS low, median(j) AS median, max(n_subsets) AS n_subsets FROM j JOIN n USING (user_id) GROUP BY 1""",
+    j AS (SELECT a.user_id, len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items))) AS j
+    FROM s a JOIN s b ON a.user_id = b.user_id AND a.fold < b.fold),
+    n AS (SELECT user_id, count(DISTINCT list_sort(items)) AS n_subsets FROM s
+    GROUP BY 1) SELECT user_id, count(*) AS pairs, avg(j) AS mean, min(j) AS low, median(j) AS median, max(n_subsets) AS n_subsets
+    FROM j JOIN n USING (user_id) GROUP BY 1""",
     rnd="mean low median",
 )
 def a34(spark, d):
@@ -426,7 +463,9 @@ def a35(spark, d):
 @register(
     "a36_qc_report",
     """SELECT name, failures, warnings, CASE WHEN failures > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM (
-    SELECT 'positive' AS name, count(*) FILTER (value <= 0) AS failures, count(*) FILTER (value < 1) AS warnings FROM events UNION ALL SELECT 'range', count(*) FILTER (value > 300), count(*) FILTER (value > 200) FROM events UNION ALL SELECT 'named', count(*) FILTER (event_type IS NULL), 0 FROM events)""",
+    SELECT 'positive' AS name, count(*) FILTER (value <= 0) AS failures, count(*) FILTER (value < 1) AS warnings FROM events
+    UNION ALL SELECT 'range', count(*) FILTER (value > 300), count(*) FILTER (value > 200) FROM events
+    UNION ALL SELECT 'named', count(*) FILTER (event_type IS NULL), 0 FROM events)""",
 )
 def a36(spark, d):
     v = F.col("value")
@@ -435,7 +474,9 @@ def a36(spark, d):
 
 @register(
     "a37_number_check",
-    """WITH e AS (SELECT event_type, avg(value) AS v FROM events GROUP BY 1), c AS (SELECT event_type, avg(value) + CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS v FROM events WHERE event_type <> 'click' GROUP BY 1 UNION ALL SELECT 'nothing', 1.0)
+    """WITH e AS (SELECT event_type, avg(value) AS v FROM events GROUP BY 1),
+    c AS (SELECT event_type, avg(value) + CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS v FROM events WHERE event_type <> 'click' GROUP BY 1
+    UNION ALL SELECT 'nothing', 1.0)
     SELECT c.event_type, c.v AS claimed, e.v AS found, coalesce(round(c.v, 2) = round(e.v, 2), false) AS ok FROM c LEFT JOIN e USING (event_type)""",
     rnd="claimed found",
 )
