@@ -29,7 +29,7 @@ HOLDS = 0.75
 #: Weights of the block before, the block itself and the block after. A heading gets over CUT from the paragraph behind it.
 SMOOTH = (0.3, 0.4, 0.3)
 #: What a path's names multiply the fused ratio with: inside an article, no word either way, names of what goes around one.
-FAVOURED, NEUTRAL, AGAINST = 4.0, 1.0, 1 / 16
+FAVOURED, NEUTRAL, AGAINST = 4.0, 1.0, 1 / 256
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 HINTED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)

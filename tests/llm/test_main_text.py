@@ -64,6 +64,11 @@ def test_ratio_removes_blocks_of_the_given_pages():
     assert removed > 100
 
 
+def test_long_comments_lose_to_a_short_article():
+    comments = "".join(f"<p>{LONG * 4}</p>" for _ in range(3))
+    assert main_text.main_text(f"<body><div class=x1><p>Short article, of one sentence.</p></div><div class=comments>{comments}</div></body>") == "Short article, of one sentence."
+
+
 def test_deeply_nested_pages_in_linear_time():
     import time
 

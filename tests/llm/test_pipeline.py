@@ -46,3 +46,37 @@ def test_stages_return_the_columns_of_documents(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == COLUMNS, name
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def stage_inputs(spark, path, rows):
+    """documents, labels and benchmark in a folder of their own, with more columns than the stages know."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).write.parquet(f"{path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, DATA, name).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_odd_rows_and_an_empty_table_end_to_end(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(300))
+    item = table(spark, DATA, "benchmark").orderBy("item_id").first().text
+    rows = [(1, None), (2, ""), (3, "   "), (4, words), (4, words), (5, words + " more"), (None, "no id here"), (None, None), (6, "long " * 60_000), (7, f"before {item} after"), (8, "é" * 30_000), (9, "one"), (9, "two")]
+    data = stage_inputs(spark, tmp_path / "odd", rows)
+    left = {}
+    for r in corpus_pipeline.run(spark, data).collect():
+        left.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    # null and empty are one text, of which the largest id stays; that blank row and the one of spaces are near copies
+    assert left.keys() == {None, 2, 4, 6, 8, 9}
+    encoder = Encoder()
+    assert sum(n for _, n, _ in left[6]) == len(encoder.encode("long " * 60_000)) + 1
+    assert sorted(n for _, n, _ in left[9]) == sorted(len(encoder.encode(t)) + 1 for t in ("one", "two"))
+    assert corpus_pipeline.run(spark, stage_inputs(spark, tmp_path / "none", [])).count() == 0
+
+
+def test_stages_with_clashing_names(spark):
+    docs = table(spark, DATA, "documents").limit(40)
+    names = "toxicity margin leaked_items leaked share digest keep_id kept_id row same sig fp component_id _gone_id".split()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wide = docs.selectExpr("*", *[f"'x' as {n}" for n in names])
+        plain, got = stage(spark, docs, DATA), stage(spark, wide, DATA)
+        assert got.columns == wide.columns and sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in plain.collect()), name
