@@ -440,16 +440,15 @@ def floating_forward_selection(series: DataFrame, key: str, columns: list[str],
 
     def fit(blocks: np.ndarray, whole: np.ndarray, i: int) -> tuple:
         grams, total, last = np.delete(blocks, i, axis=0), whole - blocks[i], whole.shape[0] - 1
+        train = total - grams if len(grams) > 1 else grams
 
         def error(subset: tuple[int, ...]) -> float:
             at = [0, *[c + 1 for c in subset]]
-            sse = n = 0.0
-            for g in grams:
-                own = total - g if len(grams) > 1 else g
-                beta = np.linalg.lstsq(own[np.ix_(at, at)] + 1e-9 * np.eye(len(at)), own[at, last], rcond=None)[0]
-                sse += g[last, last] - 2 * beta @ g[at, last] + beta @ g[np.ix_(at, at)] @ beta
-                n += g[0, 0]
-            return float(np.sqrt(max(sse, 0) / n))
+            square = np.ix_(range(len(grams)), at, at)
+            inverse = np.linalg.pinv(train[square] + 1e-9 * np.eye(len(at)), rcond=len(at) * np.finfo(float).eps, hermitian=True)
+            beta = (inverse @ train[:, at, last][:, :, None])[:, :, 0]
+            sse = grams[:, last, last] - 2 * (beta * grams[:, at, last]).sum(1) + np.einsum("ki,kij,kj->k", beta, grams[square], beta)
+            return float(np.sqrt(max(sse.sum(), 0) / grams[:, 0, 0].sum()))
 
         chosen: tuple[int, ...] = ()
         best = {0: (error(()), ())}
