@@ -25,6 +25,12 @@ PAIRS_AT_ONCE = 20_000
 STRETCH = 1 << 16
 
 
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to a stated number of partitions: few bytes with much work in them would otherwise be merged into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 # folds and scaling
 
 
@@ -196,7 +202,8 @@ def nested_loso(features: DataFrame, subject: str, columns: list[str], y: str, a
 
     key_schema = ", ".join(f"{k} {kinds[k]}" for k in by)
     kind = kinds[subject]
-    errors = outer.groupBy(*by, "_outer", "_inner").cogroup(inner.groupBy(*[f"_i{k}" for k in by], "_i_outer", "_i_inner")).applyInPandas(cell, f"{key_schema}, subject {kind}, _sse array<double>")
+    outer_keys, inner_keys = [*by, "_outer", "_inner"], [*[f"_i{k}" for k in by], "_i_outer", "_i_inner"]
+    errors = spread_by(outer, *outer_keys).groupBy(*outer_keys).cogroup(spread_by(inner, *inner_keys).groupBy(*inner_keys)).applyInPandas(cell, f"{key_schema}, subject {kind}, _sse array<double>")
     summed = errors.groupBy(*by, "subject").agg(F.array(*[F.sum(F.get("_sse", i)) for i in range(len(grid))]).alias("_sse"))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -407,7 +414,7 @@ def per_block_fold(series: DataFrame, key: str, fit: Callable[[np.ndarray, np.nd
                 rows.append((part[key].iloc[0], block, n_train, n_test, *fit(grams, total, i)))
         return pd.DataFrame(rows, columns=names)
 
-    return block_sums(series, key, columns, y).groupBy(key).applyInPandas(one, f"key {kind}, fold long, n_train long, n_test long, {extra}")
+    return spread_by(block_sums(series, key, columns, y), key).groupBy(key).applyInPandas(one, f"key {kind}, fold long, n_train long, n_test long, {extra}")
 
 
 def block_cv_pca_ols(series: DataFrame, key: str, columns: list[str], y: str, least: float = 0.01) -> DataFrame:
