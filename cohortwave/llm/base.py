@@ -153,13 +153,14 @@ def ranged_hash(values: np.ndarray, first: np.ndarray, last: np.ndarray, powers:
 class WordScanner:
     """Words of many texts at once: maximal runs of bytes outside ``separators``, with 64-bit hashes.
 
-    ``lower`` folds A-Z, and the two-byte Latin capitals whose small letters differ by 0x20 (U+00C0-U+00DE).
+    ``lower`` folds A-Z and, unless ``latin`` is false, the two-byte Latin capitals whose small letters differ by 0x20
+    (U+00C0-U+00DE).
     """
 
-    def __init__(self, separators: bytes, lower: bool = False) -> None:
+    def __init__(self, separators: bytes, lower: bool = False, latin: bool = True) -> None:
         self.sep = np.zeros(256, bool)
         self.sep[list(separators)] = True
-        self.lower = lower
+        self.lower = lower and latin
         self.code = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         if lower:
             self.code[65:91] = self.code[97:123]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortwave.llm import decontamination, exact_dedup, main_text, packing, pii, repair, secrets, simhash, substring_dedup, token_counts, toxicity
+from cohortwave.llm import decontamination, exact_dedup, main_text, packing, pii, ranked_search, repair, secrets, simhash, substring_dedup, token_counts, toxicity
 
 MODULES = {
     "op1_pii": pii,
@@ -15,6 +15,7 @@ MODULES = {
     "op8_main_text": main_text,
     "op9_packing": packing,
     "op10_substring_dedup": substring_dedup,
+    "op11_ranked_search": ranked_search,
     "op13_conversation_repair": repair,
 }
 QUERIES = {name: module.query for name, module in MODULES.items()}
