@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortwave.functions.scalar import binary_entropy, safe_corr
 from cohortwave.functions.tails import f_p_value, f_quantile_column, normal_p_value, t_p_value
+from cohortwave.operators.order import average_ranks, sums_before, with_quantiles
 
 
 def region_series(channels: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -48,15 +49,15 @@ def floor_audit(bands: DataFrame, keys: list[str], names: list[str], eps: float)
 
 
 def percentile_summary(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    s = df.groupBy(*keys).agg(F.count(x).alias("n"), q.alias("q"))
+    s = with_quantiles(df, keys, x, [0.0, 0.25, 0.5, 0.75, 1.0], [F.count(x).alias("n")])
     at = lambda i: F.when(F.col("n") >= 2, F.get("q", F.lit(i)))
     return s.select(*keys, "n", at(0).alias("low"), at(1).alias("p25"), at(2).alias("median"), at(3).alias("p75"), at(4).alias("high"), (at(3) - at(1)).alias("iqr"))
 
 
 def absolute_disagreement(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
-    d = F.abs(F.col(a) - F.col(b))
-    return pairs.groupBy(*keys).agg(F.count(d).alias("n"), F.median(d).alias("median_abs"), F.avg(d).alias("mean_abs"), F.percentile(d, F.lit(0.9)).alias("p90_abs"))
+    d = pairs.select(*keys, F.abs(F.col(a) - F.col(b)).alias("d"))
+    s = with_quantiles(d, keys, "d", [0.5, 0.9], [F.count("d").alias("n"), F.avg("d").alias("mean_abs")])
+    return s.select(*keys, "n", F.get("q", F.lit(0)).alias("median_abs"), "mean_abs", F.get("q", F.lit(1)).alias("p90_abs"))
 
 
 def normalized_disagreement(pairs: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,8 +68,9 @@ def normalized_disagreement(pairs: DataFrame, reference: DataFrame, keys: list[s
 
 def bland_altman(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
     p = pairs.select(*keys, (F.col(a) - F.col(b)).alias("d"), ((F.col(a) + F.col(b)) / 2).alias("m"))
-    q = lambda x: F.percentile("d", F.lit(x))
-    s = p.groupBy(*keys).agg(F.count("d").alias("n"), F.avg("d").alias("bias"), F.stddev_samp("d").alias("sd"), F.median("d").alias("median_diff"), q(0.025).alias("p2_5"), q(0.975).alias("p97_5"), F.regr_slope("d", "m").alias("slope"), safe_corr("d", "m").alias("r"))
+    s = with_quantiles(p, keys, "d", [0.5, 0.025, 0.975], [F.count("d").alias("n"), F.avg("d").alias("bias"), F.stddev_samp("d").alias("sd"), F.regr_slope("d", "m").alias("slope"), safe_corr("d", "m").alias("r")])
+    q = lambda i: F.get("q", F.lit(i))
+    s = s.select(*keys, "n", "bias", "sd", q(0).alias("median_diff"), q(1).alias("p2_5"), q(2).alias("p97_5"), "slope", "r")
     return s.withColumn("lower", F.col("bias") - 1.96 * F.col("sd")).withColumn("upper", F.col("bias") + 1.96 * F.col("sd"))
 
 
@@ -127,10 +129,8 @@ def sign_stability(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b"
 
 
 def average_rank(df: DataFrame, keys: list[str], x: str, name: str = "rank") -> DataFrame:
-    """Ranks from 1, ties averaged; NULL values have no rank."""
-    part = Window.partitionBy(*keys, F.col(x).isNull())
-    tie = Window.partitionBy(*keys, F.col(x))
-    return df.withColumn(name, F.when(F.col(x).isNotNull(), F.rank().over(part.orderBy(x)) + (F.count("*").over(tie) - 1) / 2.0))
+    """Ranks from 1, ties averaged; NULL values have no rank. A group of very many rows is ranked over several tasks."""
+    return average_ranks(df, keys, x, name)
 
 
 def spearman(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
@@ -143,13 +143,14 @@ def spearman(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> D
 def classification_metrics(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p", threshold: float = 0.5) -> DataFrame:
     """Accuracy, balanced accuracy, F1 and AUC (ties count half); NULL where a class is absent.
 
-    Rows are counted by distinct score first, so the ordered pass for the AUC doesn't see single rows.
+    Rows are counted by distinct score first, so the ordered pass for the AUC doesn't see single rows; a group of very
+    many distinct scores is summed over several tasks.
     """
     one = F.col(y) == 1
     scores = pred.groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_n"), F.count_if(one).alias("_pos"), F.count_if(~one).alias("_neg"))
     known = F.col("_p").isNotNull()
-    below = F.coalesce(F.sum(F.when(known, F.col("_neg"))).over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    scores = scores.withColumn("_area", F.when(known, F.col("_pos") * (below + F.col("_neg") / 2.0)))
+    scores = sums_before(scores.withColumn("_known", F.when(known, F.col("_neg")).otherwise(0)), keys, "_p", ["_known"])
+    scores = scores.withColumn("_area", F.when(known, F.col("_pos") * (F.col("_before__known") + F.col("_neg") / 2.0)))
     yes = F.col("_p") >= threshold
     total = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
     c = scores.groupBy(*keys).agg(F.sum("_n").alias("n"), total("_pos", yes).alias("tp"), total("_neg", yes).alias("fp"), total("_pos", ~yes).alias("fn"), total("_neg", ~yes).alias("tn"), F.sum("_area").alias("_area"))
@@ -171,8 +172,8 @@ def classification_metrics(pred: DataFrame, keys: list[str], y: str = "y", p: st
 def binned_auc(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Pooled AUC over any number of rows: counts of distinct scores first, then a running sum over these."""
     h = pred.groupBy(*keys, p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = h.select(*keys, "pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("area")).groupBy(*keys).agg(F.sum("area").alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    h = sums_before(h, keys, p, ["neg"])
+    s = h.select(*keys, "pos", "neg", (F.col("pos") * (F.col("_before_neg") + F.col("neg") / 2)).alias("area")).groupBy(*keys).agg(F.sum("area").alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return s.select(*keys, F.try_divide(F.col("area"), F.col("pos") * F.col("neg")).alias("auc"))
 
 

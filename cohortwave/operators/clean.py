@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwave.functions.scalar import finite, is_missing, parse_numeric
+from cohortwave.operators.order import with_quantiles
 
 
 def numeric_audit(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -111,7 +112,7 @@ def trim_constant_ends(signal: DataFrame, key: str, sample: str, columns: list[s
 
 def far_outliers(df: DataFrame, keys: list[str], value: str, k: float = 3.0) -> DataFrame:
     """Rows outside [q1 - k IQR, q3 + k IQR] of their group, exact linear quantiles."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))
+    q = with_quantiles(df, keys, value, [0.25, 0.75]).select(*keys, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
     return df.join(q, keys).where((F.col(value) < F.col("q1") - k * (F.col("q3") - F.col("q1"))) | (F.col(value) > F.col("q3") + k * (F.col("q3") - F.col("q1"))))
 
 

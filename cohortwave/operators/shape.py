@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortwave.operators.order import positions
+
 
 def worst_row(df: DataFrame, keys: list[str], row: str, diff: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(row, diff).alias(row), F.max(diff).alias(diff))
@@ -22,13 +24,8 @@ def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def canonical_positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """Position of each row in a total order, without a single-task sort: a range partitioning, ranks within each
-    partition, and the number of rows in earlier partitions."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    dealt = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_rows"))
-    before = sizes.alias("x").join(sizes.alias("y"), F.col("y._p") < F.col("x._p"), "left").groupBy(F.col("x._p").alias("_p")).agg(F.coalesce(F.sum("y._rows"), F.lit(0)).alias("_base"))  # a row for each partition
-    return dealt.join(F.broadcast(before), "_p").select(*df.columns, (F.col("_base") + F.col("_n")).alias("position"))
+    """Position of each row in a total order, without a single-task sort; the ordered rows are stored once."""
+    return positions(df, order)
 
 
 def subject_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
