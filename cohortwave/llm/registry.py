@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortwave.llm import decontamination, exact_dedup, main_text, packing, pii, ranked_search, repair, secrets, simhash, substring_dedup, token_counts, toxicity
+from cohortwave.llm import decontamination, exact_dedup, main_text, packing, pii, ranked_search, repair, secrets, shingle_join, simhash, substring_dedup, token_counts, toxicity
 
 MODULES = {
     "op1_pii": pii,
@@ -16,6 +16,7 @@ MODULES = {
     "op9_packing": packing,
     "op10_substring_dedup": substring_dedup,
     "op11_ranked_search": ranked_search,
+    "op12_shingle_join": shingle_join,
     "op13_conversation_repair": repair,
 }
 QUERIES = {name: module.query for name, module in MODULES.items()}
