@@ -143,6 +143,31 @@ def g4(spark, d):
     return jobs.drain(jobs.match_response(s.where("event_type = 'error'"), t.where("event_type = 'purchase'"), "user_id", "12 hours", "1 hour"), "match").select("user_id", "p_id", "r_id")
 
 
+#: Events in four parts of equal numbers of ids, one a trigger, the stream being restarted in between; the watermark of a part is an hour behind the parts before it.
+PARTS = "tot AS (SELECT max(event_id) + 1 AS n FROM events)"
+
+
+def in_parts(spark, d):
+    ev = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    total = ev.agg(F.max("event_id") + 1).first()[0]
+    return ev, total, F.floor(F.col("event_id") * 4 / F.lit(total))
+
+
+@register(
+    "g4_stream_first_response",
+    """, p AS (SELECT user_id, event_id AS p_id, ts FROM events WHERE event_type = 'error'), r AS (SELECT user_id, event_id AS r_id, ts FROM events WHERE event_type = 'purchase'),
+    wm AS (SELECT least((SELECT max(ts) FROM p), (SELECT max(ts) FROM r)) - INTERVAL 13 HOURS AS wm)
+    SELECT p.user_id, p_id, arg_min(r_id, r.ts) AS r_id, epoch_us(min(r.ts)) - epoch_us(any_value(p.ts)) AS latency_us, count(r_id) AS n_responses, count(r_id) = 0 AS censored
+    FROM wm, p LEFT JOIN r ON p.user_id = r.user_id AND r.ts > p.ts AND r.ts <= p.ts + INTERVAL 12 HOURS WHERE p.ts <= wm GROUP BY 1, 2""",
+    PARTS,
+)
+def g4_first(spark, d):
+    ev, _, part = in_parts(spark, d)
+    job = lambda s: jobs.first_response(s.where("event_type = 'error'"), s.where("event_type = 'purchase'"), "user_id", "12 hours", "1 hour")
+    out = jobs.replay(ev, part, 4, job, "first-response")
+    return out.select("user_id", "p_id", "r_id", (F.unix_micros("r_ts") - F.unix_micros("p_ts")).alias("latency_us"), "n_responses", "censored")
+
+
 @register(
     "g5_stream_batch_monitor",
     """WITH b AS (SELECT user_id, value / (value + 50.0) AS p, row_number() OVER (PARTITION BY user_id
@@ -157,6 +182,26 @@ def g5(spark, d):
     return jobs.drain(jobs.batch_monitor(s, "user_id", "event_id", "p", 16), "monitor")
 
 
+@register(
+    "g5_stream_visit_monitor",
+    """, b AS (SELECT event_type AS arm, user_id, epoch_us(ts) // 432000000000 AS visit, value / (value + 50.0) AS p, ts,
+    row_number() OVER (PARTITION BY event_type, user_id, epoch_us(ts) // 432000000000 ORDER BY event_id) - 1 AS i,
+    count(*) OVER v AS c, max(ts) OVER v + INTERVAL 5 DAYS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS ended
+    FROM events WINDOW v AS (PARTITION BY event_type, user_id, epoch_us(ts) // 432000000000)),
+    g AS (SELECT arm, user_id, visit, i // 3 AS batch_index, count(*) AS n, i // 3 = c // 3 AS last, avg(p) AS q1, avg(-(p * ln(p) + (1 - p) * ln(1 - p))) AS h_cond
+    FROM b WHERE i // 3 < c // 3 OR ended GROUP BY ALL)
+    SELECT *, -(q1 * ln(q1) + (1 - q1) * ln(1 - q1)) AS h_marg FROM g""",
+    PARTS,
+    rnd="q1 h_cond h_marg",
+)
+def g5_visit(spark, d):
+    """Batches of three of a user's predictions, by event type and span of five days."""
+    ev, _, part = in_parts(spark, d)
+    visit = F.floor(F.unix_micros("ts") / 432000000000)
+    job = lambda s: jobs.visit_monitor(s.select(F.col("event_type").alias("arm"), "user_id", visit.alias("visit"), "event_id", "ts", (F.col("value") / (F.col("value") + 50.0)).alias("p")), ["arm", "user_id", "visit"], "event_id", "p", 3, 432000000, "1 hour")
+    return jobs.replay(ev, part, 4, job, "visit-monitor")
+
+
 @register(
     "g6_stream_running_accuracy",
     "SELECT user_id, count(*) AS n, (avg(CAST(value >= 50 AS INTEGER)) FILTER (k >= 50) + avg(CAST(value < 50 AS INTEGER)) FILTER (k < 50)) / 2 AS balanced_accuracy FROM ev GROUP BY 1",
@@ -175,3 +220,31 @@ def g7(spark, d):
     """One row for each user, event type, k and day."""
     s = stream(spark, d).select("user_id", "event_type", F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"), "ts", F.floor(F.unix_micros("ts") / 86400000000).alias("day"))
     return jobs.drain(jobs.dedup(s, ["user_id", "event_type", "k", "day"], "40 days"), "dedup").groupBy("user_id", "event_type", "k").agg(F.count("*").alias("n"))
+
+
+#: Events as they arrive: some of them 40 places later, some a third of the table later, so that they come in another order and behind the watermark.
+ARRIVALS = f"""{PARTS}, ar AS (SELECT user_id, event_id, ts, event_id + CASE event_id % 13 WHEN 0 THEN 40 WHEN 5 THEN n // 3 ELSE 0 END AS arrival, epoch_us(ts) // 3600000000 AS hour, n FROM events, tot),
+    sl AS (SELECT *, least(arrival * 4 // n, 3) AS part FROM ar),
+    wm AS (SELECT p.part, (SELECT epoch_ms(max(ts)) - 3 * 86400000 FROM sl WHERE sl.part < p.part) AS wm FROM (SELECT DISTINCT part FROM sl) p),
+    la AS (SELECT sl.*, coalesce(epoch_us(ts) < wm * 1000, false) AS late FROM sl JOIN wm USING (part)),
+    pv AS (SELECT *, max(CASE WHEN NOT late THEN hour END) OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM la),
+    st AS (SELECT user_id, event_id, hour, previous, CASE WHEN late THEN 'late' WHEN previous IS NULL OR hour > previous THEN 'accepted' WHEN hour = previous THEN 'repeated' ELSE 'out_of_order' END AS status FROM pv)"""
+
+
+def order_tables(spark, d):
+    """Hours of a user's events must ascend strictly, in order of arrival; rows that break the rule go to a side table."""
+    ev, total, _ = in_parts(spark, d)
+    late = F.when(F.col("event_id") % 13 == 0, 40).when(F.col("event_id") % 13 == 5, F.lit(total // 3)).otherwise(0)
+    rows = ev.select("user_id", "event_id", "ts", (F.col("event_id") + late).alias("arrival"), F.floor(F.unix_micros("ts") / 3600000000).alias("hour"))
+    job = lambda s: jobs.order_check(s, ["user_id"], "hour", ["arrival", "event_id"], "3 days", 40 * 86_400_000)
+    return jobs.replay_split(rows, F.least(F.floor(F.col("arrival") * 4 / F.lit(total)), F.lit(3)), 4, job, "order", F.col("status") == "accepted")
+
+
+@register("g7_stream_order_accepted", "SELECT user_id, event_id, hour, previous FROM st WHERE status = 'accepted'", ARRIVALS)
+def g7_accepted(spark, d):
+    return order_tables(spark, d)[0].select("user_id", "event_id", "hour", "previous")
+
+
+@register("g7_stream_order_violations", "SELECT * FROM st WHERE status <> 'accepted'", ARRIVALS)
+def g7_violations(spark, d):
+    return order_tables(spark, d)[1].select("user_id", "event_id", "hour", "previous", "status")

@@ -1,7 +1,7 @@
 """Structured Streaming jobs: windowed features, blocks, response matching, monitoring and order checks.
 
 Each takes a streaming (or batch) DataFrame with a timestamp column ``ts`` and returns one; drain() runs a stream over
-what is there and ends.
+what is there and ends, and replay() does so for input that arrives in parts, with a restart between them.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,11 +29,15 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run over the available input and return what was written; the checkpoint makes a restart exactly-once."""
+def drain(stream: DataFrame, label: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, at: str | None = None) -> DataFrame:
+    """Run over the available input and return what was written; the checkpoint makes a restart exactly-once.
+
+    A second call with the same folder `at` goes on where the first one ended, with its state and watermark.
+    """
     spark = stream.sparkSession
-    out, checkpoint = scratch(spark, f"stream-{label}"), scratch(spark, f"state-{label}")
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    at = at or scratch(spark, f"stream-{label}")
+    out = f"{at}/out"
+    writer = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if each or mode != "append":
         save = each or (lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out))
         query = writer.outputMode(mode).foreachBatch(save).start()
@@ -43,6 +47,17 @@ def drain(stream: DataFrame, label: str, mode: str = "append", each: Callable[[D
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def replay(rows: DataFrame, part: Column, parts: int, job: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """What job writes in append mode when rows arrive in parts 0 to parts - 1, the stream being restarted from its checkpoint for each."""
+    spark = rows.sparkSession
+    at = scratch(spark, f"stream-{label}")
+    out = None
+    for i in range(parts):
+        rows.where(part == i).write.mode("append").parquet(f"{at}/in")
+        out = drain(job(spark.readStream.schema(rows.schema).parquet(f"{at}/in")), label, at=at)
+    return out
+
+
 def tumbling_features(stream: DataFrame, width: str, delay: str, keys: list[str], value: str) -> DataFrame:
     """Level and dispersion per closed window."""
     w = stream.withWatermark("ts", delay).groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("j"))
@@ -67,6 +82,130 @@ def match_response(perturbations: DataFrame, responses: DataFrame, key: str, bou
     return p.join(r, F.expr(f"pk = rk AND r_ts > p_ts AND r_ts <= p_ts + interval {bound}"), "inner").select(F.col("pk").alias(key), "p_id", "r_id", "p_ts", "r_ts")
 
 
+def first_response(perturbations: DataFrame, responses: DataFrame, key: str, bound: str, delay: str) -> DataFrame:
+    """One row per perturbation once it can have no further response: its first response within the bound, how many
+    there were, and censored where there was none.
+
+    A left outer join keeps each side only as long as it can match; the watermark releases rows without a match. A second
+    aggregation holds one row per perturbation until the watermark, moved back by the bound, has passed it.
+    """
+    p = perturbations.select(F.col(key).alias("pk"), F.col("event_id").alias("p_id"), F.col("ts").alias("p_ts")).withWatermark("p_ts", delay)
+    r = responses.select(F.col(key).alias("rk"), F.col("event_id").alias("r_id"), F.col("ts").alias("r_ts")).withWatermark("r_ts", delay)
+    j = p.join(r, F.expr(f"pk = rk AND r_ts > p_ts AND r_ts <= p_ts + interval {bound}"), "left_outer")
+    g = j.groupBy("pk", "p_id", "p_ts").agg(F.min(F.when(F.col("r_id").isNotNull(), F.struct("r_ts", "r_id"))).alias("f"), F.count("r_id").alias("n_responses"))
+    return g.select(F.col("pk").alias(key), "p_id", "p_ts", F.col("f.r_id").alias("r_id"), F.col("f.r_ts").alias("r_ts"), "n_responses", F.col("f").isNull().alias("censored"))
+
+
+def visit_monitor(stream: DataFrame, keys: list[str], order: str, p: str, size: int, gap_ms: int, delay: str) -> DataFrame:
+    """A row for every batch of `size` predictions of a visit (keys, such as arm, subject, visit), in order of arrival.
+
+    A visit ends when the watermark is gap_ms past its last row: then its short last batch leaves and its state is
+    freed. Rows behind the watermark are dropped, so a visit can't start anew; order_check() tells them.
+    """
+    kinds = dict(stream.dtypes)
+
+    def row(values: list[float], key: tuple, index: int, last: bool) -> tuple:
+        batch = np.clip(np.asarray(values, float), 1e-12, 1 - 1e-12)
+        q = batch.mean()
+        return (*key, index, len(values), last, float(q), float(np.mean(-(batch * np.log(batch) + (1 - batch) * np.log(1 - batch)))), float(-(q * np.log(q) + (1 - q) * np.log(1 - q))))
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        index, held, end = state.get if state.exists else (0, [], 0)
+        out = []
+        if state.hasTimedOut:
+            if held:
+                out.append(row(held, key, index, True))
+            state.remove()
+        else:
+            rows = pd.concat(parts).sort_values(order)
+            values = [*held, *rows[p].tolist()]
+            while len(values) >= size:
+                out.append(row(values[:size], key, index, False))
+                values, index = values[size:], index + 1
+            end = max(end, int(rows["_us"].max()) // 1000)
+            state.update((index, values, end))
+            # the watermark may be past the end already, when much time lies in one trigger; the timer then fires next
+            state.setTimeoutTimestamp(max(end + gap_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    names = [*keys, "batch_index", "n", "last", "q1", "h_cond", "h_marg"]
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", batch_index long, n long, last boolean, q1 double, h_cond double, h_marg double"
+    timed = stream.withColumn("_us", F.unix_micros("ts")).withWatermark("ts", delay).groupBy(*keys)
+    return timed.applyInPandasWithState(step, schema, "index long, held array<double>, end long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def order_check(stream: DataFrame, keys: list[str], epoch: str, arrival: list[str], delay: str, idle_ms: int) -> DataFrame:
+    """Every row with its status under the rule that epochs ascend strictly within keys, in order of arrival.
+
+    accepted; repeated (the last accepted epoch again); out_of_order (below it); late (behind the watermark, whatever the
+    epoch). previous is the epoch that the row had to exceed. split() keeps two tables.
+
+    The operator would drop late rows unseen, so a row travels twice: as a tick that carries the time and moves the
+    watermark, and as data without one, which is never late. State is one number a key. It goes when the watermark is
+    idle_ms past the key's last row; from then on the watermark alone tells late rows.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(parts)
+        rows = rows[rows["_tick"].isna()].sort_values(arrival).reset_index(drop=True)
+        if not len(rows):
+            return
+        watermark = state.getCurrentWatermarkMs()
+        known, end = state.get if state.exists else (None, 0)
+        x, us = rows[epoch].to_numpy(), rows["_us"].to_numpy()
+        late, lowest = us < watermark * 1000, np.iinfo(np.int64).min
+        seen = np.maximum.accumulate(np.concatenate([[lowest if known is None else known], np.where(late, lowest, x)]))
+        before = seen[:-1]
+        status = np.select([late, x > before, x == before], ["late", "accepted", "repeated"], "out_of_order")
+        if seen[-1] > lowest:
+            end = max(end, int(us.max()) // 1000)
+            state.update((int(seen[-1]), end))
+            state.setTimeoutTimestamp(max(end + idle_ms, watermark + 1))
+        previous = pd.Series(before, dtype="Int64").mask(before == lowest)
+        yield rows.assign(previous=previous, status=status)[names]
+
+    names = [*keys, epoch, *arrival, "_us", "previous", "status"]
+    ticks = F.explode(F.array(F.col("ts").cast("timestamp"), F.lit(None).cast("timestamp")))
+    both = stream.select(*keys, F.col(epoch).cast("long").alias(epoch), *arrival, F.unix_micros("ts").alias("_us"), ticks.alias("_tick"))
+    kinds = dict(both.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, epoch, *arrival, "_us"]) + ", previous long, status string"
+    checked = both.withWatermark("_tick", delay).groupBy(*keys).applyInPandasWithState(step, schema, "last long, end long", "append", GroupStateTimeout.EventTimeTimeout)
+    return checked.select(*keys, epoch, *arrival, F.timestamp_micros("_us").alias("ts"), "previous", "status")
+
+
+def split(stream: DataFrame, label: str, ok: Column, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Drain a stream into two tables: rows for which ok holds, and the side table of the others.
+
+    A trigger's rows are a folder of their own that a rerun of it overwrites, so both tables are exactly-once.
+    """
+    spark = stream.sparkSession
+    at = at or scratch(spark, f"stream-{label}")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for name, where in (("main", F.coalesce(ok, F.lit(False))), ("side", ~F.coalesce(ok, F.lit(False)))):
+            batch.where(where).write.mode("overwrite").parquet(f"{at}/{name}/trigger={number}")
+        batch.unpersist()
+
+    query = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(save).start()
+    query.awaitTermination()
+    return tuple(spark.read.schema(stream.schema).parquet(f"{at}/{name}") for name in ("main", "side"))
+
+
+def replay_split(rows: DataFrame, part: Column, parts: int, job: Callable[[DataFrame], DataFrame], label: str, ok: Column) -> tuple[DataFrame, DataFrame]:
+    """replay() into two tables."""
+    spark = rows.sparkSession
+    at = scratch(spark, f"stream-{label}")
+    out = ()
+    for i in range(parts):
+        rows.where(part == i).write.mode("append").parquet(f"{at}/in")
+        out = split(job(spark.readStream.schema(rows.schema).parquet(f"{at}/in")), label, ok, at)
+    return out
+
+
 def batch_monitor(stream: DataFrame, key: str, order: str, p: str, size: int) -> DataFrame:
     """A row for every full batch of `size` predictions of a key, in order of arrival; state holds less than a batch."""
     kind = dict(stream.dtypes)[key]
