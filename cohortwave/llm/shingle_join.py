@@ -15,7 +15,7 @@ in one component needs no comparison: it changes no component.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -151,7 +151,7 @@ def list_entries(rows: DataFrame, order: Order, shingle: int, percent: int) -> D
             for tokens in shingled(batch, scanner, shingle, powers):
                 if len(tokens) and (own := node_of(tokens)) not in seen:
                     seen.add(own)
-                    found.append(order.first(tokens, len(tokens) - least_size(len(tokens), percent) + 1))
+                    found.append(order.first(tokens, listed(len(tokens), percent)))
                     node.append(own)
                     n.append(len(tokens))
             if found:
@@ -217,10 +217,19 @@ def enumeration(n: int, most: int, percent: int) -> int:
     return sum(comb(n, subset_size(n, m, percent)) for m in partners(n, most, percent) if subset_size(n, m, percent) <= min(n, m))
 
 
+def listed(n: int, percent: int) -> int:
+    """How many shingles of a set of size n are listed."""
+    return n - least_size(n, percent) + 1
+
+
 def boundary(sets: dict[int, int], scans: dict[int, int], percent: int, most: int | None = None) -> int:
-    """The largest size that is enumerated: where subsets of small sets and list entries that large ones meet are fewest."""
+    """The largest size that is enumerated: where subsets of small sets, and list entries of large ones with those they meet, are fewest.
+
+    sets: how many there are of each size; scans: list entries that sets of each size meet.
+    """
     most = SMALL_SET if most is None else most
-    cost = {x: sum(sets.get(n, 0) * enumeration(n, x, percent) for n in range(1, x + 1)) + sum(c for n, c in scans.items() if n > x) for x in range(most + 1)}
+    lists = {n: sets.get(n, 0) * listed(n, percent) + scans.get(n, 0) for n in range(1, most + 1)}
+    cost = {x: sum(sets.get(n, 0) * enumeration(n, x, percent) for n in range(1, x + 1)) + sum(c for n, c in lists.items() if n > x) for x in range(most + 1)}
     return min(cost, key=lambda x: (cost[x], x))
 
 
@@ -261,17 +270,6 @@ def possible(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column, percent: in
     return sizes & (F.least(a_n - a_pos, b_n - b_pos) >= least_overlap(a_n + b_n, percent))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked, by the sets. A set of very many comparisons is dealt to several tasks."""
-    counts = checkpointed(pairs.groupBy("a").agg(F.count("*").alias("n")))
-    parts = F.ceil(F.col("n") / SPREAD).cast("int")
-    dealt = join_groups(pairs, counts, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
-    left = counts.join(sets, counts["a"] == sets["node"]).select("a", F.col("tokens").alias("left"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    both = dealt.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b").join(left, ["a", "part"])
-    shared = F.size(F.array_intersect("left", "right"))
-    return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("left") + F.size("right") - shared)).select("a", "b")
-
-
 def sets_of(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, tokens) of the wanted sets (node, rep: the document to read it from)."""
 
@@ -281,22 +279,36 @@ def sets_of(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             found = list(shingled(batch, scanner, shingle, powers))
             yield pa.record_batch([pa.array([node_of(t) for t in found], pa.int64()), pa.array([t.view(np.int64) for t in found], pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    few = wanted.count() <= BROADCAST_IDS
-    hint = F.broadcast if few else (lambda df: df)
+    n = wanted.count()
+    hint = F.broadcast if n <= BROADCAST_IDS else (lambda df: df)
     read = rows.join(hint(wanted.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(run, "node long, tokens array<long>")
-    return written(read.join(hint(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = written(read.join(hint(wanted.select("node")), "node", "left_semi"), "sets")
+    return sets if sets.count() == n else written(sets.dropDuplicates(["node"]), "sets")  # rows of one id may hold a set several times
+
+
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are linked, by the sets. A set of very many comparisons is dealt to several tasks."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = sets_of(rows, checkpointed(wanted.join(nodes.select("node", "rep"), "node")), shingle)
+    counts = checkpointed(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    parts = F.ceil(F.col("n") / SPREAD).cast("int")
+    dealt = join_groups(pairs, counts, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    left = counts.join(sets, counts["a"] == sets["node"]).select("a", F.col("tokens").alias("left"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    both = dealt.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b").join(left, ["a", "part"])
+    shared = F.size(F.array_intersect("left", "right"))
+    return written(both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("left") + F.size("right") - shared)).select("a", "b"), "links")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def linked_components(lists: DataFrame, first: DataFrame, sets: DataFrame, boundary_: int, percent: int) -> DataFrame:
-    """(node, component) over all links between the sets of lists; first: spanning links of the enumerated ones."""
+def linked_components(lists: DataFrame, first: DataFrame, verify: Callable[[DataFrame], DataFrame], boundary_: int, percent: int) -> DataFrame:
+    """(node, component) over all links between the sets of lists; first: pairs that span the enumerated ones; verify keeps the linked of pairs."""
     large = F.greatest("n", "p_n") > boundary_
     fits = possible(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), percent)
     pairs = written(lists.where(large & fits).select(F.col("p_node").alias("a"), F.col("node").alias("b")).where("a <> b").unionByName(first).distinct(), "pairs")
-    links = written(verified(pairs, sets, percent), "links")
+    links = verify(pairs)
     tested = ordered(pairs)
     for i in range(1, ROUNDS + 1):
         parts = checkpointed(connected_components(links))
@@ -315,7 +327,7 @@ def linked_components(lists: DataFrame, first: DataFrame, sets: DataFrame, bound
         fresh = ordered(outside.where((F.greatest("n", "p_n") > boundary_) & possible(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), percent)).select(F.col("p_node").alias("a"), F.col("node").alias("b")))
         fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(fresh)
-        found = written(verified(fresh, sets, percent), "links")
+        found = verify(fresh)
         if found.isEmpty():
             break
         links = links.unionByName(found)
@@ -323,7 +335,7 @@ def linked_components(lists: DataFrame, first: DataFrame, sets: DataFrame, bound
     c = F.col
     apart = (c("x.token") == c("y.token")) & (c("x.label") != c("y.label")) & (F.greatest("x.n", "y.n") > boundary_) & possible(c("x.n"), c("x.pos"), c("y.n"), c("y.pos"), percent)
     rest = ordered(x.join(y, apart).select(c("x.node").alias("a"), c("y.node").alias("b"))).join(tested, ["a", "b"], "left_anti")
-    return connected_components(links.unionByName(written(verified(written(rest, "pairs"), sets, percent), "links")))
+    return connected_components(links.unionByName(verify(written(rest, "pairs"))))
 
 
 def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,9 +359,7 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_c
     small = boundary(sizes, {r["n"]: r["c"] for r in scans.collect()}, percent)
     first = enumerated_pairs(nodes.where(F.col("n") <= small).select("node", "small"), small, percent)
     large = lists.where(F.col("n") >= int(least_size(small + 1, percent)))
-    wanted = large.select("node").unionByName(first.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    sets = sets_of(rows, checkpointed(wanted.join(nodes.select("node", "rep"), "node")), shingle)
-    parts = linked_components(large, first, sets, small, percent)
+    parts = linked_components(large, first, lambda pairs: verified(pairs, rows, nodes, shingle, percent), small, percent)
     placed = written(nodes.join(parts, "node", "left").select("node", "rep", "copies", "component"), "components")
     least = placed.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     named = checkpointed(placed.join(least, "component", "left").select("node", "copies", F.coalesce("least", "rep").alias("component_id")))

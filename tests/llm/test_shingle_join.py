@@ -70,8 +70,8 @@ def test_against_brute_force(documents, clashing):
         assert result(shingle_join.joined(docs)) == want
 
 
-@pytest.mark.parametrize("percent", [80, 60])
-def test_short_texts_by_enumeration(documents, percent, monkeypatch):
+@pytest.mark.parametrize("percent, boundaries", [(80, (None, 12)), (60, (0, 7))])
+def test_short_texts_by_enumeration(documents, percent, boundaries, monkeypatch):
     """Sets of up to 20 shingles, many of them one word apart: both sides of the boundary, wherever it lies."""
     rng = np.random.default_rng(6)
     rows = []
@@ -84,7 +84,7 @@ def test_short_texts_by_enumeration(documents, percent, monkeypatch):
     want = brute(rows, percent)
     chosen = []
     exact = shingle_join.boundary
-    for forced in (None, 0, 7, 12):
+    for forced in boundaries:
         monkeypatch.setattr(shingle_join, "boundary", lambda *a, f=forced: chosen.append(exact(*a) if f is None else f) or chosen[-1])
         assert result(shingle_join.joined(documents(rows), percent=percent)) == want, forced
 
@@ -111,17 +111,18 @@ def test_templates_whose_pivot_is_no_link(documents, monkeypatch):
 
 
 def test_large_family_of_near_copies(documents):
-    """1,500 edited copies of one text, many of them below the threshold for each other."""
+    """500 edited copies of one text, many of them below the threshold for each other."""
     rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(150)]
-    rows = [(i, " ".join(edited(rng, words, 0.03 * rng.random()))) for i in range(1500)]
+    rows = [(i, " ".join(edited(rng, words, 0.03 * rng.random()))) for i in range(500)]
     assert result(shingle_join.joined(documents(rows).repartition(5))) == brute(rows)
 
 
 def test_boundary_follows_the_cost():
     assert shingle_join.boundary({}, {17: 5}, 80) == 0
+    assert shingle_join.boundary({n: 10 for n in range(1, 17)}, dict.fromkeys(range(1, 17), 1), 80) == 4  # below five shingles, one subset stands for one entry
     assert shingle_join.boundary({n: 1 for n in range(1, 17)}, {n: 10**6 for n in range(1, 18)}, 80) == 16
-    assert 0 < shingle_join.boundary({n: 100 for n in range(1, 17)}, {n: 300 for n in range(1, 18)}, 80) < 16
+    assert 4 < shingle_join.boundary({n: 100 for n in range(1, 17)}, {n: 3000 for n in range(1, 18)}, 80) < 16
 
 
 def test_given_documents_against_brute_force(spark):
