@@ -15,14 +15,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortwave.operators.order import largest_group, stored
 from cohortwave.operators.shape import canonical_positions
 
 #: Rows of either side of a cell of nested validation.
 CELL_ROWS = 400
 #: Pairs of left-out rows whose small systems are solved at once.
 PAIRS_AT_ONCE = 20_000
-#: Rows of a block that one surrogate is made of, at most; a longer block is cut in such stretches.
-STRETCH = 1 << 16
+#: Rows of a block that one surrogate is made of, at most (32 MB a series, twelve days at four rows a second); a longer block is cut in such stretches.
+STRETCH = 1 << 22
+#: Rows of whole groups that a task works on at once; a larger group comes alone.
+ROWS_AT_ONCE = 1 << 16
 
 
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -31,6 +34,32 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = ROWS_AT_ONCE) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows, starts) of whole groups out of batches in which the rows of a group are neighbours."""
+
+    def starts(part: pd.DataFrame) -> np.ndarray:
+        group = part.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        return np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+
+    held: list[pd.DataFrame] = []
+    size = 0
+    for b in batches:
+        if len(b):
+            held.append(b)
+            size += len(b)
+        if size >= rows:
+            part = pd.concat(held, ignore_index=True)
+            at = starts(part)
+            if len(at) > 1:
+                yield part.iloc[: at[-1]], at[:-1]
+            held = [part.iloc[at[-1] :].reset_index(drop=True)]
+            size = len(held[0])
+            rows = max(rows, 2 * size)  # a group larger than that is not put together anew for every batch
+    if held:
+        part = pd.concat(held, ignore_index=True)
+        yield part, starts(part)
+
+
 # folds and scaling
 
 
@@ -178,6 +207,8 @@ def nested_loso(features: DataFrame, subject: str, columns: list[str], y: str, a
     by = [*keys] if keys else ["_all"]
     kinds = {**dict(features.dtypes), "_all": "int"}
     clean = features.select(*keys, *one, F.col(subject).alias("subject"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)], F.col(y).cast("double").alias("y")).dropna()
+    if keys and largest_group(clean, by) <= CELL_ROWS:  # many small groups: one cell each, without joins
+        return nested_small(clean, by, p, grid, kinds, kinds[subject])
     # columns are centred and scaled by all rows first, which changes no prediction and keeps the sums well conditioned
     scale = clean.groupBy(*by).agg(F.count("*").alias("_n"), *[f(f"_x{i}").alias(f"_{m}{i}") for i in range(p) for m, f in (("m", F.avg), ("s", F.stddev_pop))])
     z = [((F.col(f"_x{i}") - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0)).alias(f"_x{i}") for i in range(p)]
@@ -222,6 +253,33 @@ def nested_loso(features: DataFrame, subject: str, columns: list[str], y: str, a
     return found.mapInPandas(predict, f"{key_schema}, subject {kind}, y double, pred double, m0 double, alpha double").select(*keys, "subject", "y", "pred", "m0", "alpha")
 
 
+def nested_small(clean: DataFrame, by: list[str], p: int, grid: np.ndarray, kinds: dict[str, str], kind: str) -> DataFrame:
+    """nested_loso() of groups that are one cell each; a task takes them one after another."""
+    names = [f"_x{i}" for i in range(p)]
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = group[names].to_numpy(float), group["y"].to_numpy(float)
+        sd = x.std(0)
+        x = (x - x.mean(0)) / np.where(sd > 0, sd, 1.0)
+        own = moments(x, y)
+        total, same = own.sum(0), np.eye(len(y), dtype=bool)
+        sse = inner_errors(total, own, x, y, same, grid)
+        choice = np.argmin(np.round(sse / (len(y) - 1), 12), axis=1)
+        beta, mean, sd, ybar = ridge_from_moments(total - own, grid)
+        pred = ((x - mean) / sd * beta[np.arange(len(y)), choice]).sum(1) + ybar
+        return group[[*by, "subject", "y"]].assign(pred=pred, m0=ybar, alpha=grid[choice])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, starts in whole_groups(batches, by, 4 * CELL_ROWS):
+            ends = np.append(starts[1:], len(part))
+            found = [one(part.iloc[a:b]) for a, b in zip(starts, ends, strict=True) if b - a > 2]
+            if found:
+                yield pd.concat(found)
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in by) + f", subject {kind}, y double, pred double, m0 double, alpha double"
+    return spread_by(clean, *by).sortWithinPartitions(*by, "subject").mapInPandas(run, schema)
+
+
 def model_ladder(features: DataFrame, subject: str, specs: dict[str, tuple[list[str], str]], alphas: list[float]) -> DataFrame:
     """Held-out predictions of several feature blocks and targets."""
     out = None
@@ -246,7 +304,7 @@ def permutation_null(features: DataFrame, subject: str, columns: list[str], y: s
 
     In a replicate, the subject at place i in order of SHA-256 of seed:replicate:subject gets the y of the subject at place i in order of id.
     """
-    rows = features.select(subject, *columns, F.col(y).alias("y")).dropna()
+    rows = stored(features.select(subject, *columns, F.col(y).alias("y")).dropna(), "permuted")
     placed = canonical_positions(rows, [subject])
     dealt = rows.select(subject, *columns, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
     order = F.sha2(F.concat_ws(":", F.lit(seed), F.col("replicate"), F.col(subject)), 256)
@@ -349,35 +407,56 @@ def moving_block_bootstrap(df: DataFrame, key: str, order: str, x: str, block: i
     return sizes.join(wide, "key").select("key", F.col("n").cast("long").alias("n"), "block", "mean", "lower", "upper", "iid_lower", "iid_upper", ratio.alias("width_ratio"))
 
 
-def iaaft(v: np.ndarray, rng: np.random.Generator, rounds: int = 50) -> np.ndarray:
-    """A series with the values of v and nearly its spectrum."""
+def iaaft_rows(v: np.ndarray, out: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Series with the values of the rows of v and nearly their spectra, from permutations of these rows."""
     amplitude, ordered = np.abs(np.fft.rfft(v)), np.sort(v)
-    out = rng.permutation(v)
+    out, left = out.copy(), np.arange(len(v))
     for _ in range(rounds):
-        spectrum = np.fft.rfft(out)
-        shaped = np.fft.irfft(amplitude * np.exp(1j * np.angle(spectrum)), len(v))
-        fresh = ordered[np.argsort(np.argsort(shaped, kind="stable"), kind="stable")]
-        if np.array_equal(fresh, out):
+        shaped = np.fft.irfft(amplitude[left] * np.exp(1j * np.angle(np.fft.rfft(out[left]))), v.shape[1])
+        ranks = np.argsort(np.argsort(shaped, kind="stable"), kind="stable")
+        fresh = np.take_along_axis(ordered[left], ranks, 1)
+        moved = (fresh != out[left]).any(axis=1)
+        out[left] = fresh
+        left = left[moved]
+        if not len(left):
             break
-        out = fresh
     return out
 
 
+def iaaft(v: np.ndarray, rng: np.random.Generator, rounds: int = 50) -> np.ndarray:
+    """A series with the values of v and nearly its spectrum."""
+    return iaaft_rows(v[None], rng.permutation(v)[None], rounds)[0]
+
+
 def blockwise_iaaft(series: DataFrame, keys: list[str], order: str, x: str, k: int, seed: int, stretch: int = STRETCH) -> DataFrame:
-    """k surrogates of every block (keys end with the block), each block on its own, in stretches of at most `stretch` rows."""
+    """k surrogates of every block (keys end with the block), each block on its own, in stretches of at most `stretch` rows.
+
+    A task takes its blocks in order and makes the surrogates of all blocks of one length at once.
+    """
     fields = dict(series.dtypes)
+    by = [*keys, "_stretch"]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
     cut = series.select(*keys, order, x).dropna().withColumn("_stretch", F.floor(place / stretch).cast("int"))
 
-    def surrogates(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        first = part.iloc[0]
-        rng = np.random.default_rng(seed_of(seed, int(first["_stretch"]), *[first[c] for c in keys]))
-        v = part[x].to_numpy(float)
-        return pd.concat([part[keys].assign(replicate=i, **{order: part[order], "surrogate": iaaft(v, rng)}) for i in range(k)])
+    def surrogates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, starts in whole_groups(batches, by):
+            values, sizes = part[x].to_numpy(float), np.diff(np.append(starts, len(part)))
+            names = part[by].iloc[starts].to_numpy().tolist()
+            made = np.empty((k, len(part)))
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                at = starts[own][:, None] + np.arange(size)
+                v = values[at]
+                rngs = [np.random.default_rng(seed_of(seed, int(names[i][-1]), *names[i][:-1])) for i in own]
+                first = np.stack([[rng.permutation(row) for _ in range(k)] for rng, row in zip(rngs, v, strict=True)])
+                found = iaaft_rows(np.repeat(v, k, axis=0), first.reshape(-1, size)).reshape(len(own), k, size)
+                for i in range(k):
+                    made[i, at] = found[:, i]
+            for i in range(k):
+                yield part[keys].assign(replicate=i, **{order: part[order], "surrogate": made[i]})
 
     schema = ", ".join(f"{c} {fields[c]}" for c in keys) + f", replicate int, {order} {fields[order]}, surrogate double"
-    return cut.groupBy(*keys, "_stretch").applyInPandas(surrogates, schema)
+    return spread_by(cut, *by).sortWithinPartitions(*by, order).mapInPandas(surrogates, schema)
 
 
 def block_sums(series: DataFrame, key: str, columns: list[str], y: str) -> DataFrame:
@@ -449,21 +528,27 @@ def floating_forward_selection(series: DataFrame, key: str, columns: list[str],
         grams, total, last = np.delete(blocks, i, axis=0), whole - blocks[i], whole.shape[0] - 1
         train = total - grams if len(grams) > 1 else grams
 
-        def error(subset: tuple[int, ...]) -> float:
-            at = [0, *[c + 1 for c in subset]]
-            square = np.ix_(range(len(grams)), at, at)
-            inverse = np.linalg.pinv(train[square] + 1e-9 * np.eye(len(at)), rcond=len(at) * np.finfo(float).eps, hermitian=True)
-            beta = (inverse @ train[:, at, last][:, :, None])[:, :, 0]
-            sse = grams[:, last, last] - 2 * (beta * grams[:, at, last]).sum(1) + np.einsum("ki,kij,kj->k", beta, grams[square], beta)
-            return float(np.sqrt(max(sse.sum(), 0) / grams[:, 0, 0].sum()))
+        def errors(subsets: list[tuple[int, ...]]) -> list[float]:
+            """Of subsets of one size, all solved at once."""
+            at = np.array([[0, *[c + 1 for c in subset]] for subset in subsets])
+            square = (at[:, None, :, None], at[:, None, None, :])
+            fold = np.arange(len(grams))[None, :, None, None]
+            inverse = np.linalg.pinv(train[fold, *square] + 1e-9 * np.eye(at.shape[1]), rcond=at.shape[1] * np.finfo(float).eps, hermitian=True)
+            across = (np.arange(len(grams))[None, :, None], at[:, None, :], last)
+            beta = (inverse @ train[across][..., None])[..., 0]
+            sse = grams[None, :, last, last] - 2 * (beta * grams[across]).sum(-1) + np.einsum("ski,skij,skj->sk", beta, grams[fold, *square], beta)
+            return np.sqrt(np.maximum(sse.sum(1), 0) / grams[:, 0, 0].sum()).tolist()
+
+        def least(subsets: list[tuple[int, ...]]) -> tuple[float, tuple[int, ...]]:
+            return min(zip(errors(subsets), subsets, strict=True))
 
         chosen: tuple[int, ...] = ()
-        best = {0: (error(()), ())}
+        best = {0: least([()])}
         while len(chosen) < min(most, last - 1):
-            e, chosen = min((error((*chosen, c)), (*chosen, c)) for c in range(last - 1) if c not in chosen)
+            e, chosen = least([(*chosen, c) for c in range(last - 1) if c not in chosen])
             best[len(chosen)] = min(best.get(len(chosen), (e, chosen)), (e, chosen))
             while len(chosen) > 2:
-                e, less = min((error(tuple(c for c in chosen if c != out)), tuple(c for c in chosen if c != out)) for out in chosen)
+                e, less = least([tuple(c for c in chosen if c != out) for out in chosen])
                 if e >= best[len(less)][0] - 1e-12:
                     break
                 best[len(less)], chosen = (e, less), less
@@ -487,14 +572,46 @@ def finite_sample_dispersion(df: DataFrame, row: str, x: str, sizes: list[int],
 
 
 def grouped_grid_search(df: DataFrame, keys: list[str], role: str, columns: list[str], y: str, alphas: list[float]) -> DataFrame:
-    """alpha per group by mean squared error on validation rows (ties: the smaller), with that error."""
-    out = None
-    for a in sorted(alphas):
-        model = ridge_fit(df.where(F.col(role) == "train"), keys, columns, y, a)
-        scored = score_linear(df.where(F.col(role) == "validation"), model.drop("n"), keys, columns)
-        one = scored.groupBy(*keys).agg(F.avg((F.col(y) - F.col("score")) ** 2).alias("mse")).withColumn("alpha", F.lit(float(a)))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy(*keys).agg(F.min(F.struct(F.round("mse", 9).alias("mse"), "alpha")).alias("b")).select(*keys, "b.alpha", "b.mse")
+    """alpha per group by mean squared error on validation rows (ties: the smaller), with that error.
+
+    One pass adds up the cross products of training and of validation rows; columns are centred and scaled first, so that
+    the sums are well conditioned. One eigendecomposition of a group's training matrix serves the whole grid, and
+    validation errors come from the validation sums.
+    """
+    p, grid = len(columns), np.sort(np.asarray(alphas, float))
+    rows = df.dropna(subset=[*columns, y]).where(F.col(role).isin("train", "validation"))
+    kinds = dict(df.dtypes)
+    names = [*columns, y]
+    # shifted by a value of the table, not by the mean: that would be a pass of its own
+    shift = rows.select(*names).limit(1).agg(*[F.coalesce(F.first(F.col(c).cast("double")), F.lit(0.0)).alias(f"_c{i}") for i, c in enumerate(names)])
+    d = [F.lit(1.0), *[F.col(c).cast("double") - F.col(f"_c{i}") for i, c in enumerate(names)]]
+    of = lambda name: F.array(*[F.coalesce(F.sum(F.when(F.col(role) == name, a * b)), F.lit(0.0)) for a in d for b in d])
+    sums = rows.join(F.broadcast(shift)).groupBy(*keys).agg(of("train").alias("_train"), of("validation").alias("_held"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            train, held = (np.stack(b[c].to_list()).reshape(-1, p + 2, p + 2) for c in ("_train", "_held"))
+            ok = (train[:, 0, 0] > 0) & (held[:, 0, 0] > 0)
+            b, train, held = b[ok], train[ok], held[ok]
+            n, m = train[:, 0, 0], held[:, 0, 0]
+            mean, ybar = train[:, 0, 1:-1] / n[:, None], train[:, 0, -1] / n
+            gram = train[:, 1:-1, 1:-1] - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+            right = train[:, 1:-1, -1] - n[:, None] * mean * ybar[:, None]
+            values, vectors = np.linalg.eigh(gram)
+            turned = np.einsum("gji,gj->gi", vectors, right)
+            beta = np.einsum("gij,gaj->gai", vectors, turned[:, None] / (np.maximum(values, 0)[:, None] + grid[None, :, None]))
+            # held sums about the training means
+            at = held[:, 0, 1:-1] - m[:, None] * mean
+            xx = held[:, 1:-1, 1:-1] - held[:, 0, 1:-1, None] * mean[:, None] - mean[:, :, None] * held[:, 0, None, 1:-1] + m[:, None, None] * mean[:, :, None] * mean[:, None]
+            xy = held[:, 1:-1, -1] - mean * held[:, 0, -1, None] - at * ybar[:, None]
+            yy = held[:, -1, -1] - 2 * ybar * held[:, 0, -1] + m * ybar**2
+            sse = yy[:, None] - 2 * np.einsum("gai,gi->ga", beta, xy) + np.einsum("gai,gij,gaj->ga", beta, xx, beta)
+            mse = np.round(np.maximum(sse, 0) / m[:, None], 9)
+            yield b[keys].assign(alpha=grid[mse.argmin(axis=1)], mse=mse.min(axis=1))
+
+    return sums.mapInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", alpha double, mse double")
 
 
 # projection, shift and verdicts
