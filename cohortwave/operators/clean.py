@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwave.functions.scalar import finite, is_missing, parse_numeric
+from cohortwave.operators.geometry import nearest_on_sphere
 from cohortwave.operators.order import with_quantiles
 
 
@@ -122,25 +123,9 @@ def sensitivity_filters(df: DataFrame, subject: str, rules: dict[str, Column]) -
     return df.select(subject, F.inline(flags)).groupBy("rule").agg(F.count_if("keep").alias("n_kept"), F.count_if(~F.col("keep")).alias("n_removed"), F.min(F.when(~F.col("keep"), F.col(subject))).alias("first_removed"))
 
 
-#: Template positions that are broadcast as one array.
-TEMPLATE_ROWS = 10_000
-
-
 def nearest_channel(montage: DataFrame, template: DataFrame) -> DataFrame:
-    """(name, x, y, z) rows on the unit sphere: the closest template name and its distance.
-
-    Every electrode against every template position: both are montages of at most a few hundred names. A template of
-    more than TEMPLATE_ROWS rows is not broadcast; its distances are grouped instead.
-    """
-    unit = lambda df, p: df.select(F.col("name").alias(f"{p}_name"), *[(F.col(c) / F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias(f"{p}_{c}") for c in "xyz"])
-    a, all_ = unit(montage, "m"), unit(template, "t")
-    if template.count() > TEMPLATE_ROWS:
-        apart = F.sqrt(sum(((F.col(f"t_{c}") - F.col(f"m_{c}")) ** 2 for c in "yz"), (F.col("t_x") - F.col("m_x")) ** 2))
-        least = a.crossJoin(all_).groupBy(F.col("m_name").alias("name")).agg(F.min(F.struct(apart.alias("distance"), F.col("t_name").alias("nearest"))).alias("n"))
-        return least.select("name", "n.nearest", "n.distance")
-    b = all_.select(F.collect_list(F.struct("t_name", "t_x", "t_y", "t_z")).alias("all"))
-    near = a.join(F.broadcast(b)).select("m_name", F.array_min(F.transform("all", lambda t: F.struct(F.sqrt((t["t_x"] - F.col("m_x")) ** 2 + (t["t_y"] - F.col("m_y")) ** 2 + (t["t_z"] - F.col("m_z")) ** 2).alias("distance"), t["t_name"].alias("name")))).alias("n"))
-    return near.select(F.col("m_name").alias("name"), F.col("n.name").alias("nearest"), "n.distance")
+    """(name, x, y, z) rows, scaled to the unit sphere: the closest template name and its distance."""
+    return nearest_on_sphere(montage, template)
 
 
 def drop_nonfinite(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortwave.functions import scalar
-from cohortwave.operators import clean, shape
+from cohortwave.operators import clean, geometry, shape
 from cohortwave.plans import base
 from cohortwave.plans.base import BANDS, CHANNELS, EVENTS, TRIALS, r6, read, register
 
@@ -222,10 +222,28 @@ MONTAGE = "m AS (SELECT s_name AS name, 1 + s_suppkey % 7 AS x, s_nationkey - 12
     MONTAGE,
 )
 def p18(spark, d):
+    return named_positions(spark, d).withColumn("distance", r6("distance"))
+
+
+def named_positions(spark, d):
     c = F.col
     m = read(spark, d, "supplier").select(c("s_name").alias("name"), (1 + c("s_suppkey") % 7).alias("x"), (c("s_nationkey") - 12.5).alias("y"), (c("s_acctbal") / 1000).alias("z"))
     t = read(spark, d, "nation").select(c("n_name").alias("name"), (1 + c("n_nationkey") % 5).alias("x"), (c("n_nationkey") - 11.5).alias("y"), (c("n_regionkey") + 0.5).alias("z"))
-    return clean.nearest_channel(m, t).withColumn("distance", r6("distance"))
+    return clean.nearest_channel(m, t)
+
+
+@register(
+    "p18_one_to_one_check",
+    """, u AS (SELECT m.name, tp.name AS nearest, sqrt((m.x / sqrt(m.x ** 2 + m.y ** 2 + m.z ** 2) - tp.x / sqrt(tp.x ** 2 + tp.y ** 2 + tp.z ** 2)) ** 2
+     + (m.y / sqrt(m.x ** 2 + m.y ** 2 + m.z ** 2) - tp.y / sqrt(tp.x ** 2 + tp.y ** 2 + tp.z ** 2)) ** 2 + (m.z / sqrt(m.x ** 2 + m.y ** 2 + m.z ** 2) - tp.z / sqrt(tp.x ** 2 + tp.y ** 2 + tp.z ** 2)) ** 2) AS dist FROM m, tp),
+    b AS (SELECT name, arg_min(nearest, dist) AS nearest, min(dist) AS distance FROM u GROUP BY 1),
+    k AS (SELECT nearest, count(*) AS n, max(distance) AS far FROM b GROUP BY 1)
+    SELECT sum(n)::BIGINT AS n_positions, count(*) AS n_names, count(*) FILTER (n > 1) AS n_shared, max(n) AS most, max(far) AS worst, count(*) FILTER (n > 1) = 0 AS one_to_one FROM k""",
+    MONTAGE,
+    rnd="worst",
+)
+def p18_check(spark, d):
+    return geometry.match_audit(named_positions(spark, d))
 
 
 # scalar functions

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortwave.functions import spectral
 from cohortwave.operators import aggregates as agg
-from cohortwave.operators import models
+from cohortwave.operators import geometry, models
 from cohortwave.operators import windows as win
 from cohortwave.plans import base
 from cohortwave.plans.base import EVENTS, read, register
@@ -101,6 +101,34 @@ def m4(spark, d):
     return models.project_to_grid(x, weights, ["vec_id"], "channel", "v")
 
 
+#: A montage of 64 channels, none four on a circle: three points make a triangle where no other lies in their circle.
+HULL = """po AS (SELECT c AS channel, c % 8 + 0.2 * sin(c * 1.7) AS x, c // 8 + 0.2 * cos(c * 2.3) AS y FROM (SELECT unnest(range(0, 64)) AS c)),
+    tri AS (SELECT a.channel AS ca, b.channel AS cb, c.channel AS cc, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS area
+    FROM po a JOIN po b ON a.channel < b.channel JOIN po c ON b.channel < c.channel WHERE greatest(abs(a.x - b.x), abs(a.x - c.x), abs(b.x - c.x), abs(a.y - b.y), abs(a.y - c.y), abs(b.y - c.y)) < 9),
+    de AS (SELECT * FROM tri WHERE NOT EXISTS (SELECT 1 FROM po WHERE channel NOT IN (ca, cb, cc) AND sign(area) * (
+    ((ax - x) ** 2 + (ay - y) ** 2) * ((bx - x) * (cy - y) - (cx - x) * (by_ - y)) - ((bx - x) ** 2 + (by_ - y) ** 2) * ((ax - x) * (cy - y) - (cx - x) * (ay - y))
+    + ((cx - x) ** 2 + (cy - y) ** 2) * ((ax - x) * (by_ - y) - (bx - x) * (ay - y))) > 0)),
+    box AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM po),
+    ce AS (SELECT i AS cell, lx + (i % 14) / 13.0 * (hx - lx) AS x, ly + (i // 14) / 13.0 * (hy - ly) AS y FROM box, (SELECT unnest(range(0, 196)) AS i)),
+    ba AS (SELECT cell, ca, cb, cc, ((x - ax) * (cy - ay) - (y - ay) * (cx - ax)) / area AS wb, ((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) / area AS wc FROM ce, de),
+    hit AS (SELECT cell, arg_min({'ca': ca, 'cb': cb, 'cc': cc, 'wb': wb, 'wc': wc}, ca * 4096 + cb * 64 + cc) AS h FROM ba WHERE least(wb, wc, 1 - wb - wc) >= -1e-12 GROUP BY 1)"""
+
+
+@register(
+    "m4_project_inside_hull",
+    """, e AS (SELECT vec_id, embedding AS v FROM embeddings)
+    SELECT vec_id, cell, CASE WHEN h IS NULL THEN 0 ELSE (1 - h.wb - h.wc) * v[h.ca + 1] + h.wb * v[h.cb + 1] + h.wc * v[h.cc + 1] END AS value FROM e, ce LEFT JOIN hit USING (cell)""",
+    HULL,
+    rnd="value",
+    digits=5,
+)
+def m4_hull(spark, d):
+    c = F.col("channel")
+    x = read(spark, d, "embeddings").select(F.lit(0).alias("montage"), "vec_id", F.posexplode("embedding").alias("channel", "v")).withColumn("v", F.col("v").cast("double"))
+    positions = x.select("montage", "channel").distinct().select("montage", "channel", (c % 8 + 0.2 * F.sin(c * 1.7)).alias("x"), (F.floor(c / 8) + 0.2 * F.cos(c * 2.3)).alias("y"))
+    return geometry.project_inside_hull(x, geometry.hull_weights(positions, ["montage"], "channel", 14), ["montage"], ["vec_id"], "channel", "v").drop("montage")
+
+
 FOLDS = """sub AS (SELECT s_suppkey AS subject FROM supplier),
     mem AS (SELECT a.subject AS fold_id, b.subject, sha256(concat_ws(':', 7, a.subject, b.subject)) AS h, a.subject = b.subject AS test FROM sub a, sub b),
 fr AS (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY test, h, subject) AS r, count(*) OVER (PARTITION BY fold_id) AS n FROM mem),
