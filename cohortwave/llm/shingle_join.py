@@ -36,7 +36,7 @@ COUNTED = 1 << 22
 FREQUENT, OFTEN = 1 << 18, 16
 #: Comparisons with one set, above which its shingles are dealt to several tasks.
 SPREAD = 256
-#: Rounds of pivots at most, before all pairs between components are compared.
+#: Rounds of pivots at most, before all pairs between components are compared; they end when fewer than half of a round's pairs were links.
 ROUNDS = 6
 BROADCAST_IDS = 500_000
 #: Stands for a null doc_id.
@@ -305,34 +305,34 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 def linked_components(lists: DataFrame, first: DataFrame, verify: Callable[[DataFrame], DataFrame], boundary_: int, percent: int) -> DataFrame:
     """(node, component) over all links between the sets of lists; first: pairs that span the enumerated ones; verify keeps the linked of pairs."""
+    c = F.col
     large = F.greatest("n", "p_n") > boundary_
-    fits = possible(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), percent)
-    pairs = written(lists.where(large & fits).select(F.col("p_node").alias("a"), F.col("node").alias("b")).where("a <> b").unionByName(first).distinct(), "pairs")
-    links = verify(pairs)
-    tested = ordered(pairs)
+    fits = possible(c("n"), c("pos"), c("p_n"), c("p_pos"), percent)
+    pairs = written(lists.where(large & fits).select(c("p_node").alias("a"), c("node").alias("b")).where("a <> b").unionByName(first).distinct(), "pairs")
+    links = found = verify(pairs)
+    tested, sent = ordered(pairs), pairs.count()
+    mixed = lists.select("token", "node", "n", "pos")
     for i in range(1, ROUNDS + 1):
         parts = checkpointed(connected_components(links))
-        own = F.coalesce("component", "node").alias("label")
-        labelled = lists.select("token", "node", "n", "pos").join(parts, "node", "left").select("token", "node", "n", "pos", own)
+        labelled = mixed.join(parts, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("label"))
         counts = labelled.groupBy("token", "label").agg(F.count("*").alias("n_label"), F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "pos")).alias("pivot"))
         main = counts.groupBy("token").agg(F.max(F.struct("n_label", "label", "pivot")).alias("m"), F.sum("n_label").alias("n_list"), F.count("*").alias("labels")).where("labels > 1")
-        main = checkpointed(main.select("token", F.col("m.label").alias("main"), F.col("m.pivot.node").alias("p_node"), F.col("m.pivot.n").alias("p_n"), F.col("m.pivot.pos").alias("p_pos"), "n_list", F.col("m.n_label").alias("n_main")))
-        total, apart = main.agg(F.sum("n_list"), F.sum((F.col("n_list") - F.col("n_main")) * F.col("n_list"))).first()
+        main = checkpointed(main.select("token", c("m.label").alias("main"), c("m.pivot.node").alias("p_node"), c("m.pivot.n").alias("p_n"), c("m.pivot.pos").alias("p_pos"), "n_list", c("m.n_label").alias("n_main")))
+        total, apart = main.agg(F.sum("n_list"), F.sum((c("n_list") - c("n_main")) * c("n_list"))).first()
         if not apart:
             return parts
-        mixed = written(join_groups(labelled, main, ["token"], "n_list"), "mixed")
+        # only lists with several components matter from here on
+        mixed = written(join_groups(labelled, main, ["token"], "n_list").drop("n_list", "n_main"), "mixed")
         outside = mixed.where("label <> main")
-        if i == ROUNDS or apart <= 4 * total:
+        if i == ROUNDS or apart <= 4 * total or 2 * found.count() < sent:
             break
-        fresh = ordered(outside.where((F.greatest("n", "p_n") > boundary_) & possible(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), percent)).select(F.col("p_node").alias("a"), F.col("node").alias("b")))
+        fresh = ordered(outside.where(large & fits).select(c("p_node").alias("a"), c("node").alias("b")))
         fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh)
+        tested, sent = tested.unionByName(fresh), fresh.count()
         found = verify(fresh)
-        if found.isEmpty():
-            break
         links = links.unionByName(found)
+        mixed = mixed.select("token", "node", "n", "pos")
     x, y = outside.alias("x"), mixed.select("token", "node", "n", "pos", "label").alias("y")
-    c = F.col
     apart = (c("x.token") == c("y.token")) & (c("x.label") != c("y.label")) & (F.greatest("x.n", "y.n") > boundary_) & possible(c("x.n"), c("x.pos"), c("y.n"), c("y.pos"), percent)
     rest = ordered(x.join(y, apart).select(c("x.node").alias("a"), c("y.node").alias("b"))).join(tested, ["a", "b"], "left_anti")
     return connected_components(links.unionByName(verify(written(rest, "pairs"))))
