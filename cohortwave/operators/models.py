@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwave.operators.order import largest_group, stored
+from cohortwave.functions.scalar import safe_corr
+from cohortwave.operators.order import average_ranks, largest_group, stored
 from cohortwave.operators.shape import canonical_positions
 
 #: Rows of either side of a cell of nested validation.
@@ -365,35 +367,77 @@ def paired_bootstrap_ci(deltas: DataFrame, subject: str, delta: str, n: int, see
     return ci.withColumn("reliable", F.when(F.col("upper") < 0, "lower").when(F.col("lower") > 0, "higher").otherwise("none"))
 
 
-def trial_bootstrap(trials: DataFrame, subject: str, base: str, pert: str, n: int, seed: int) -> DataFrame:
-    """SE and interval of the log ratio of medians per subject, trials resampled within sessions.
+def score_intervals(pred: DataFrame, order: str, y: str, p: str, m0: str, n: int, seed: int) -> DataFrame:
+    """(score, b, mean, lower, upper) of Q2, the skill of the mean absolute error, and the rank correlation, over rows drawn with replacement."""
+    error, base = F.abs(F.col(y) - F.col(p)), F.abs(F.col(y) - F.col(m0))
+    skill = 1 - F.sum(error) / F.greatest(F.sum(base), F.lit(1e-300))
+    boots = {
+        "q2": bootstrap_statistic(pred, order, [y, p, m0], q2_of(y, p, m0), n, seed),
+        "mae_skill": bootstrap_statistic(pred, order, [y, p, m0], skill, n, seed),
+        "rho": bootstrap_rank_correlation(pred, order, y, p, n, seed),
+    }
+    return reduce(DataFrame.unionByName, [interval(b).select(F.lit(k).alias("score"), "b", "mean", "lower", "upper") for k, b in boots.items()])
+
+
+#: Targets of a subject's two sessions: the statistic of a session, and whether the log ratio is of perturbation to baseline.
+TARGETS = {"rt": (lambda c: F.median(c), True), "speed": (lambda c: F.avg(F.lit(1.0) / F.col(c)), False)}
+
+
+def trial_bootstrap(trials: DataFrame, subject: str, base: str, pert: str, n: int, seed: int, target: str = "rt") -> DataFrame:
+    """SE and interval of a target per subject, trials resampled within sessions: the log ratio of medians (rt) or of mean speeds (speed, baseline to perturbation).
 
     A draw is a place among the session's trials in order of time, from SHA-256 of seed:subject:session:replicate:k.
     """
+    statistic, upward = TARGETS[target]
     rows = trials.select(F.col(subject).alias("subject"), "session", "rt").where("rt > 0").where(F.col("session").isin(base, pert))
     by = ["subject", "session"]
     placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("rt")) - 1)
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.median("rt").alias("median"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), statistic("rt").alias("value"))
     of = lambda session, what: F.max(F.when(F.col("session") == session, F.col(what)))
-    both = sizes.groupBy("subject").agg(of(base, "_n").alias("n_base"), of(pert, "_n").alias("n_pert"), F.ln(of(pert, "median") / of(base, "median")).alias("y")).where("n_base > 1 and n_pert > 1")
+    ratio = F.ln(of(pert, "value") / of(base, "value")) if upward else F.ln(of(base, "value") / of(pert, "value"))
+    both = sizes.groupBy("subject").agg(of(base, "_n").alias("n_base"), of(pert, "_n").alias("n_pert"), ratio.alias("y")).where("n_base > 1 and n_pert > 1")
     k = sizes.join(both.select("subject"), "subject", "left_semi").select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("_k"))
     head = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), *by, "replicate", "_k"), 256), 1, 8)
     places = k.select(*by, "replicate", (F.conv(head, 16, 10).cast("long") % F.col("_n")).cast("int").alias("_i"))
-    medians = places.join(placed, [*by, "_i"]).groupBy(*by, "replicate").agg(F.median("rt").alias("median"))
-    ratios = medians.groupBy("subject", "replicate").agg(F.ln(of(pert, "median") / of(base, "median")).alias("v"))
+    values = places.join(placed, [*by, "_i"]).groupBy(*by, "replicate").agg(statistic("rt").alias("value"))
+    ratios = values.groupBy("subject", "replicate").agg(ratio.alias("v"))
     spread = ratios.groupBy("subject").agg(F.stddev_samp("v").alias("se"), F.percentile("v", F.lit(0.025)).alias("lower"), F.percentile("v", F.lit(0.975)).alias("upper"))
     return both.join(spread, "subject")
 
 
-def moving_block_bootstrap(df: DataFrame, key: str, order: str, x: str, block: int, n: int, seed: int) -> DataFrame:
+def cohort_reliability(boot: DataFrame) -> DataFrame:
+    """What trial_bootstrap() says of a cohort: subjects, mean SE, SD of the targets, their ratio, share of intervals without zero."""
+    apart = (F.col("lower") > 0) | (F.col("upper") < 0)
+    s = boot.agg(F.count("*").alias("n"), F.avg("se").alias("mean_se"), F.stddev_samp("y").alias("sd_y"), F.avg(apart.cast("int")).alias("share_apart"))
+    return s.select("n", "mean_se", "sd_y", F.try_divide(F.col("mean_se"), F.col("sd_y")).alias("se_over_sd"), "share_apart")
+
+
+def block_lengths(events: DataFrame, key: str, t: str, quantum: float) -> DataFrame:
+    """(key, block): twice the median interval between a recording's events, in quanta, rounded up; 1 at least."""
+    gap = F.col(t) - F.lag(t).over(Window.partitionBy(key).orderBy(t))
+    gaps = events.where(F.col(t).isNotNull()).select(F.col(key).alias("key"), gap.alias("gap"))
+    return gaps.groupBy("key").agg(F.greatest(F.coalesce(F.ceil(2 * F.median("gap") / quantum), F.lit(1)), F.lit(1)).cast("int").alias("block"))
+
+
+def moving_block_bootstrap(df: DataFrame, key: str, order: str, x: str, block: int | DataFrame, n: int, seed: int) -> DataFrame:
     """Interval of a recording's mean under blocks of rows and under single rows, and the ratio of their widths.
 
+    block: the rows of a block, or a table (key, block) such as block_lengths() gives; recordings without one have none.
+
     A draw is a place in the recording, from SHA-256 of seed:kind:key:replicate:k, kind 0 for blocks and 1 for rows.
     """
     rows = df.select(F.col(key).alias("key"), order, F.col(x).alias("x")).dropna()
-    sizes = rows.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.avg("x").alias("mean")).withColumn("block", F.least(F.lit(block), F.col("n")))
+    sizes = rows.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.avg("x").alias("mean"))
+    sizes = sizes.withColumn("_asked", F.lit(block)) if isinstance(block, int) else sizes.join(block.select("key", F.col("block").alias("_asked")), "key")
+    sizes = sizes.select("key", "n", "mean", F.least("_asked", "n").alias("block"))
     w = Window.partitionBy("key").orderBy(order)
-    placed = rows.join(sizes.select("key", "n", "block"), "key").withColumns({"_i": F.row_number().over(w) - 1, "_sum": F.sum("x").over(w.rowsBetween(0, block - 1))})
+    placed = rows.join(sizes.select("key", "n", "block"), "key").withColumn("_i", F.row_number().over(w) - 1)
+    if isinstance(block, int):
+        placed = placed.withColumn("_sum", F.sum("x").over(w.rowsBetween(0, block - 1)))
+    else:  # blocks of a recording's own length: a difference of running sums
+        run = placed.withColumn("_run", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        last = run.select("key", (F.col("_i") - F.col("block") + 1).alias("_i"), F.col("_run").alias("_to"))
+        placed = run.join(last, ["key", "_i"], "left").withColumn("_sum", F.col("_to") - F.col("_run") + F.col("x"))
     values = placed.where(F.col("_i") <= F.col("n") - F.col("block")).select("key", "_i", F.lit(0).alias("kind"), F.col("_sum").alias("v")).unionByName(placed.select("key", "_i", F.lit(1).alias("kind"), F.col("x").alias("v")))
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.ceil(F.col("n") / F.col("block")).cast("int").alias("draws"), (F.col("n") - F.col("block") + 1).alias("places")), F.struct(F.lit(1).alias("kind"), F.col("n").alias("draws"), F.col("n").alias("places"))))
     asked = sizes.select("key", "block", kinds.alias("g")).select("key", "block", "g.*").select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("_k"))
@@ -628,6 +672,14 @@ def normalization_shift(target: DataFrame, source: DataFrame, keys: list[str], c
     return j.groupBy(*keys).agg(F.avg(F.abs(F.col("mean") - F.col("sm")) / F.nullif("ss", F.lit(0.0))).alias("mean_shift"), F.avg(F.abs(F.ln(F.nullif("sd", F.lit(0.0))) - F.ln(F.nullif("ss", F.lit(0.0))))).alias("log_sd_shift"))
 
 
+def shift_against_change(shift: DataFrame, change: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """How a statistics shift (x) goes with a change of accuracy (y) over units: units with both, r, rank correlation, slope of y on x."""
+    j = shift.select(*keys, F.col(x).cast("double").alias("x")).join(change.select(*keys, F.col(y).cast("double").alias("y")), keys).where("x is not null and y is not null")
+    ranked = average_ranks(average_ranks(j, [], "x", "rx"), [], "y", "ry")
+    s = ranked.agg(F.count("*").alias("n"), safe_corr("x", "y").alias("r"), safe_corr("rx", "ry").alias("rho"), F.regr_slope("y", "x").alias("slope"))
+    return s.select("n", *[F.when(F.col("n") >= 3, F.col(c)).alias(c) for c in ("r", "rho", "slope")])
+
+
 def collapse_verdict(stats: DataFrame, degraded: Column, concentrated: Column, harmed_share: Column, limit: float) -> DataFrame:
     """Flags and the first case that holds: collapse, degraded, concentrated only, none; heterogeneous overrides none."""
     both = degraded & concentrated

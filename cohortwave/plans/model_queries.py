@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from cohortwave.functions import spectral
 from cohortwave.operators import aggregates as agg
-from cohortwave.operators import geometry, models
+from cohortwave.operators import geometry, models, resampling
 from cohortwave.operators import windows as win
 from cohortwave.plans import base
 from cohortwave.plans.base import EVENTS, read, register
 from cohortwave.plans.series_queries import BLOCKS, GAP, USER, user_series
 from cohortwave.plans.stat_queries import DELTAS, METRICS, deltas
+from cohortwave.sources.tables import scratch
 
 POWER_BANDS = {"theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "total": (1.0, 30.0)}
 #: One-sided Welch density of one segment of 64 samples at 64 Hz: bins of 1 Hz.
@@ -221,6 +222,32 @@ def m12(spark, d):
     return models.interval(models.bootstrap_statistic(f, "subject", ["y", "pred", "m0"], models.q2_of("y", "pred", "m0"), 300, 3))
 
 
+@register(
+    "m12_score_intervals",
+    """, pp AS (SELECT rep, y, 2 * a AS p, z / 100 AS m FROM bt),
+    rk AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY y) + (count(*) OVER (PARTITION BY rep, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY rep ORDER BY p) + (count(*) OVER (PARTITION BY rep, p) - 1) / 2.0 AS rp FROM pp),
+    v AS (SELECT 'q2' AS score, rep, 1 - sum((y - p) ** 2) / sum((y - m) ** 2) AS q FROM pp GROUP BY 2 UNION ALL SELECT 'mae_skill', rep, 1 - sum(abs(y - p)) / sum(abs(y - m)) FROM pp GROUP BY 2
+    UNION ALL SELECT 'rho', rep, corr(ry, rp) FROM rk GROUP BY 2)
+    SELECT score, count(*) AS b, avg(q) AS mean, quantile_cont(q, 0.025) AS lower, quantile_cont(q, 0.975) AS upper FROM v GROUP BY 1""",
+    NATION,
+    BOOT.format(table="nf"),
+    rnd="mean lower upper",
+)
+def m12_scores(spark, d):
+    f = nation_features(spark, d).select("subject", "y", (F.col("a") * 2).alias("pred"), (F.col("z") / 100).alias("m0"))
+    return models.score_intervals(f, "subject", "y", "pred", "m0", 300, 3)
+
+
+@register("m12_tree_bootstrap")
+def m12_tree(spark, d):
+    """Q2 and skill of a prediction of line prices over all order lines, without a shuffle of rows times replicates."""
+    li = read(spark, d, "lineitem")
+    f = li.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("pred"), F.lit(38000.0).alias("m0"))
+    boot = resampling.scores_of(resampling.bootstrap_sums(f, ["l_orderkey", "l_linenumber"], resampling.score_sums("y", "pred", "m0"), 200, 3))
+    one = lambda c: models.interval(boot.select("replicate", F.col(c).alias("value"))).select(F.lit(c).alias("score"), "b", "mean", "lower", "upper")
+    return one("q2").unionByName(one("mae_skill"))
+
+
 @register(
     "m13_paired_bootstrap_ci",
     """, v AS (SELECT rep, avg(delta_b) AS q FROM bt GROUP BY 1),
@@ -235,25 +262,42 @@ def m13(spark, d):
     return models.paired_bootstrap_ci(deltas(spark, d), "subject", "delta_b", 300, 3)
 
 
-@register(
-    "m14_trial_bootstrap",
-    """, tp AS (SELECT *, row_number() OVER (PARTITION BY subject, session ORDER BY rt) - 1 AS i FROM trials WHERE rt > 0),
-    sz AS (SELECT subject, session, count(*) AS n, median(rt) AS m FROM tp GROUP BY ALL),
-    two AS (SELECT subject, max(n) FILTER (session = 'baseline') AS n_base, max(n) FILTER (session = 'perturbation') AS n_pert, ln(max(m) FILTER (session = 'perturbation') / max(m) FILTER (session = 'baseline')) AS y
+#: Trials resampled within sessions, the same draws as in Spark; stat is a session's statistic, ratio the target of its two values.
+TRIAL_BOOT = """tp AS (SELECT *, row_number() OVER (PARTITION BY subject, session ORDER BY rt) - 1 AS i FROM trials WHERE rt > 0),
+    sz AS (SELECT subject, session, count(*) AS n, {stat} AS m FROM tp GROUP BY ALL),
+    two AS (SELECT subject, max(n) FILTER (session = 'baseline') AS n_base, max(n) FILTER (session = 'perturbation') AS n_pert, {ratio} AS y
     FROM sz GROUP BY 1 HAVING n_base > 1 AND n_pert > 1),
     dr AS (SELECT subject, session, rep, ('0x' || substr(sha256(concat_ws(':', 5, subject, session, rep, k)), 1, 8))::BIGINT % n AS i
     FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, unnest(range(0, 500)) AS rep FROM sz JOIN (SELECT subject FROM two) USING (subject)))),
-    md AS (SELECT subject, session, rep, median(rt) AS m FROM dr JOIN tp USING (subject, session, i) GROUP BY ALL),
-    ra AS (SELECT subject, rep, ln(max(m) FILTER (session = 'perturbation') / max(m) FILTER (session = 'baseline')) AS v FROM md GROUP BY ALL)
-    SELECT subject, n_base, n_pert, y, stddev_samp(v) AS se, quantile_cont(v, 0.025) AS lower, quantile_cont(v, 0.975) AS upper
-    FROM two JOIN ra USING (subject) GROUP BY ALL""",
-    base.TRIALS,
-    rnd="y se lower upper",
-)
+    md AS (SELECT subject, session, rep, {stat} AS m FROM dr JOIN tp USING (subject, session, i) GROUP BY ALL),
+    ra AS (SELECT subject, rep, {ratio} AS v FROM md GROUP BY ALL),
+    boot AS (SELECT subject, n_base, n_pert, y, stddev_samp(v) AS se, quantile_cont(v, 0.025) AS lower, quantile_cont(v, 0.975) AS upper
+    FROM two JOIN ra USING (subject) GROUP BY ALL)"""
+UP = "ln(max(m) FILTER (session = 'perturbation') / max(m) FILTER (session = 'baseline'))"
+DOWN = "ln(max(m) FILTER (session = 'baseline') / max(m) FILTER (session = 'perturbation'))"
+
+
+@register("m14_trial_bootstrap", "SELECT * FROM boot", base.TRIALS, TRIAL_BOOT.format(stat="median(rt)", ratio=UP), rnd="y se lower upper")
 def m14(spark, d):
     return models.trial_bootstrap(base.trials(spark, d), "subject", "baseline", "perturbation", 500, 5)
 
 
+@register("m14_speed_bootstrap", "SELECT * FROM boot", base.TRIALS, TRIAL_BOOT.format(stat="avg(1 / rt)", ratio=DOWN), rnd="y se lower upper")
+def m14_speed(spark, d):
+    return models.trial_bootstrap(base.trials(spark, d), "subject", "baseline", "perturbation", 500, 5, "speed")
+
+
+@register(
+    "m14_cohort_summary",
+    "SELECT count(*) AS n, avg(se) AS mean_se, stddev_samp(y) AS sd_y, avg(se) / stddev_samp(y) AS se_over_sd, avg(CAST(lower > 0 OR upper < 0 AS INTEGER)) AS share_apart FROM boot",
+    base.TRIALS,
+    TRIAL_BOOT.format(stat="avg(1 / rt)", ratio=DOWN),
+    rnd="mean_se sd_y se_over_sd share_apart",
+)
+def m14_cohort(spark, d):
+    return models.cohort_reliability(m14_speed(spark, d))
+
+
 @register(
     "m15_correlation_bootstrap",
     """, r AS (SELECT rep, rank() OVER (PARTITION BY rep
@@ -291,6 +335,33 @@ def m16(spark, d):
     return models.moving_block_bootstrap(read(spark, d, "events"), "user_id", "event_id", "value", 6, 300, 9)
 
 
+@register(
+    "m16_block_rule_bootstrap",
+    """WITH r AS (SELECT user_id AS key, event_id, value AS x FROM events WHERE value IS NOT NULL),
+    gp AS (SELECT user_id AS key, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM events),
+    bl AS (SELECT key, greatest(coalesce(ceil(2 * median(g) / 14400), 1), 1) AS b FROM gp GROUP BY 1),
+    sz AS (SELECT key, count(*) AS n, avg(x) AS mean, least(any_value(b), count(*))::BIGINT AS block FROM r JOIN bl USING (key) GROUP BY 1),
+    pi AS (SELECT key, n, block, x, row_number() OVER (PARTITION BY key ORDER BY event_id) - 1 AS i FROM r JOIN sz USING (key)),
+    pl AS (SELECT key, n, block, x, i, (SELECT sum(q.x) FROM pi q WHERE q.key = pi.key AND q.i BETWEEN pi.i AND pi.i + pi.block - 1) AS s FROM pi),
+    va AS (SELECT key, 0 AS kind, i, s AS v FROM pl WHERE i <= n - block UNION ALL SELECT key, 1, i, x FROM pl),
+    ask AS (SELECT key, block, 0 AS kind, CAST(ceil(n / block) AS BIGINT) AS draws, n - block + 1 AS places FROM sz UNION ALL SELECT key, 1, 1, n, n FROM sz),
+    dr AS (SELECT key, kind, block, draws, rep, ('0x' || substr(sha256(concat_ws(':', 9, kind, key, rep, k)), 1, 8))::BIGINT % places AS i
+    FROM (SELECT *, unnest(range(0, draws)) AS k FROM (SELECT *, unnest(range(0, 300)) AS rep FROM ask))),
+    me AS (SELECT key, kind, rep, sum(v) / max(draws) / max(block) AS m FROM dr JOIN va USING (key, kind, i) GROUP BY ALL),
+    en AS (SELECT key, kind, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM me GROUP BY ALL),
+    wi AS (SELECT key, max(lo) FILTER (kind = 0) AS lower, max(hi) FILTER (kind = 0) AS upper, max(lo) FILTER (kind = 1) AS iid_lower, max(hi) FILTER (kind = 1) AS iid_upper
+    FROM en GROUP BY 1)
+    SELECT key, n, CAST(block AS INTEGER) AS block, mean, lower, upper, iid_lower, iid_upper, CASE WHEN iid_upper > iid_lower THEN (upper - lower) / (iid_upper - iid_lower) END AS width_ratio
+    FROM sz JOIN wi USING (key)""",
+    rnd="mean lower upper iid_lower iid_upper width_ratio",
+)
+def m16_rule(spark, d):
+    """Blocks of twice a user's median interval between events, in quanta of four hours."""
+    ev = read(spark, d, "events")
+    lengths = models.block_lengths(ev.select("user_id", base.seconds(F.col("ts")).alias("t")), "user_id", "t", 14400)
+    return models.moving_block_bootstrap(ev, "user_id", "event_id", "value", lengths, 300, 9)
+
+
 def blocked(spark, d):
     s = win.assign_blocks(user_series(spark, d), ["user_id"], "t", GAP)
     return s.withColumn("block", F.col("block") % 6)
@@ -301,10 +372,14 @@ def m17(spark, d):
     return models.blockwise_iaaft(blocked(spark, d), ["user_id", "block"], "event_id", "s", 2, 4)
 
 
+def fold_columns():
+    k = F.col("k").cast("double")
+    return k.alias("x1"), (k * k / 100).alias("x2"), F.sin(k).alias("x3"), (F.col("t") / 86400 - 19723).alias("x4")
+
+
 def fold_table(spark, d):
     """A user's series with four columns to predict the value from."""
-    k = F.col("k").cast("double")
-    return blocked(spark, d).select("user_id", "block", k.alias("x1"), (k * k / 100).alias("x2"), F.sin(k).alias("x3"), (F.col("t") / 86400 - 19723).alias("x4"), F.col("s").alias("y"))
+    return blocked(spark, d).select("user_id", "block", *fold_columns(), F.col("s").alias("y"))
 
 
 @register("m18_block_cv_pca_ols")
@@ -317,6 +392,14 @@ def m19(spark, d):
     return models.floating_forward_selection(fold_table(spark, d), "user_id", ["x1", "x2", "x3", "x4"], "y", 3)
 
 
+@register("m19_surrogate_null")
+def m19_null(spark, d):
+    """Column selection on the series and on three sets of surrogates, by participant and for the cohort; units are stored and resumed."""
+    series = blocked(spark, d).select("user_id", "block", "event_id", *fold_columns(), F.col("s").alias("y"))
+    units = resampling.surrogate_null(series, "user_id", "event_id", ["x1", "x2", "x3", "x4"], "y", 3, 3, 4, scratch(spark, "surrogate-null"), 2)
+    return resampling.surrogate_summary(units)
+
+
 @register(
     "m20_finite_sample_dispersion",
     """WITH p AS (SELECT value AS x, row_number() OVER (ORDER BY sha256(concat_ws(':', 2, event_id)), event_id) - 1 AS i FROM events WHERE value IS NOT NULL),
@@ -372,6 +455,23 @@ def m23(spark, d):
     return models.normalization_shift(stats(li.where("l_linestatus = 'O'"), "l_suppkey"), stats(li.where("l_linestatus = 'F'")), ["l_suppkey"], "c")
 
 
+@register(
+    "m23_shift_against_change",
+    """WITH src AS (SELECT l_linenumber AS c, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
+    tg AS (SELECT l_suppkey, l_linenumber AS c, avg(l_extendedprice) AS m FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2),
+    sh AS (SELECT l_suppkey, avg(abs(tg.m - src.m) / nullif(src.s, 0)) AS x FROM tg JOIN src USING (c) GROUP BY 1),
+    ch AS (SELECT l_suppkey, avg(l_discount) FILTER (l_linestatus = 'O') - avg(l_discount) FILTER (l_linestatus = 'F') AS y FROM lineitem GROUP BY 1),
+    j AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM sh JOIN ch USING (l_suppkey) WHERE x IS NOT NULL AND y IS NOT NULL)
+    SELECT count(*) AS n, corr(x, y) AS r, corr(rx, ry) AS rho, regr_slope(y, x) AS slope FROM j""",
+    rnd="r rho slope",
+)
+def m23_change(spark, d):
+    """The shift of a supplier's prices against the change of its discounts."""
+    of = lambda status: F.avg(F.when(F.col("l_linestatus") == status, F.col("l_discount")))
+    change = read(spark, d, "lineitem").groupBy("l_suppkey").agg((of("O") - of("F")).alias("change"))
+    return models.shift_against_change(m23(spark, d), change, ["l_suppkey"], "mean_shift", "change")
+
+
 @register(
     "m25_grouped_grid_search",
     "WITH "
