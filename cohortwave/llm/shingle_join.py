@@ -6,8 +6,8 @@ size. Large sets are joined by inverted lists: of each set only the first shingl
 as a linked pair can't both do without. Frequent shingles come last in that order. The boundary between small and large
 is where the counted cost of both ways is least.
 
-A list of near copies is never turned into all its pairs. Each member is compared with the list's pivot first, exactly,
-by the sets themselves; what is linked becomes one component. Rounds of other pivots follow for members that are not in
+A list of near copies is never turned into all its pairs. Each set is compared first with the pivot that it meets in
+most of its lists, exactly, by the sets themselves; what is linked becomes one component. Rounds of other pivots follow for members that are not in
 their list's main component, and in the end every pair of a list that still lies in two components is compared. A pair
 in one component needs no comparison: it changes no component.
 """
@@ -36,12 +36,14 @@ COUNTED = 1 << 22
 FREQUENT, OFTEN = 1 << 18, 16
 #: Comparisons with one set, above which its shingles are dealt to several tasks.
 SPREAD = 256
-#: Rounds of pivots at most, before all pairs between components are compared; they end when fewer than half of a round's pairs were links.
+#: Rounds of pivots at most, before all pairs between components are compared; they end when fewer than one in twenty of a round's pairs were links.
 ROUNDS = 6
+#: Longs of the parity bits of a set; sets of up to some 1,500 shingles are told apart by them.
+PARITY = 32
 BROADCAST_IDS = 500_000
 #: Stands for a null doc_id.
 NO_ID = (1 << 63) - 1
-READ = "doc_id long, node long, n int, small array<long>, token long, times long"
+READ = "doc_id long, node long, n int, small array<long>, bits array<long>, token long, times long"
 
 
 def least_overlap(both: int | np.ndarray | Column, percent: int) -> int | np.ndarray | Column:
@@ -68,6 +70,13 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.sha256(tokens.tobytes()).digest()[:8], "little", signed=True)
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bits that each token of a set turns over once: two sets differ in at least as many tokens as in bits."""
+    own = tokens % np.uint64(64 * PARITY)
+    odd = np.bincount(own.astype(np.int64), minlength=64 * PARITY) % 2
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def shingled(batch: pa.RecordBatch, scanner: WordScanner, shingle: int, powers: Powers) -> Iterator[np.ndarray]:
     for lo, hi, data, offsets in chunks(batch.column("text")):
         at, _, _, h = scanner.scan(data, offsets)
@@ -94,16 +103,18 @@ def read_sets(rows: DataFrame, shingle: int) -> DataFrame:
             held.clear()
             token, times = token[times > 1].view(np.int64), times[times > 1]
             none = pa.nulls(len(token), pa.int64())
-            return pa.record_batch([none, none, pa.nulls(len(token), pa.int32()), pa.nulls(len(token), pa.list_(pa.int64())), pa.array(token), pa.array(times.astype(np.int64))], names=names)
+            lists = pa.nulls(len(token), pa.list_(pa.int64()))
+            return pa.record_batch([none, none, pa.nulls(len(token), pa.int32()), lists, lists, pa.array(token), pa.array(times.astype(np.int64))], names=names)
 
         names = [c.split()[0] for c in READ.split(", ")]
         for batch in batches:
-            node, n, small = [], [], []
+            node, n, small, bits = [], [], [], []
             for tokens in shingled(batch, scanner, shingle, powers):
                 own = node_of(tokens)
                 node.append(own)
                 n.append(len(tokens))
                 small.append(tokens.view(np.int64) if 0 < len(tokens) <= SMALL_SET else None)
+                bits.append(parity(tokens))
                 if own not in seen:
                     seen.add(own)
                     held.append(tokens)
@@ -112,7 +123,7 @@ def read_sets(rows: DataFrame, shingle: int) -> DataFrame:
                         yield counted()
                         size = 0
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(small, pa.list_(pa.int64())), none, none], names=names)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(small, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), none, none], names=names)
         if held:
             yield counted()
 
@@ -287,16 +298,31 @@ def sets_of(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked, by the sets. A set of very many comparisons is dealt to several tasks."""
+    """The pairs (a, b) whose sets are linked, by the sets; pairs that parity bits tell apart go before the sets are read.
+
+    A set of very many comparisons is dealt to several tasks.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = sets_of(rows, checkpointed(wanted.join(nodes.select("node", "rep"), "node")), shingle)
-    counts = checkpointed(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    wanted = written(wanted.join(nodes.select("node", "rep", "n", "bits"), "node"), "wanted")
+    side = lambda c: wanted.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    both = F.col("n_a") + F.col("n_b")
+    near = written(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= both - 2 * least_overlap(both, percent)).select("a", "b"), "near")
+    left_over = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = sets_of(rows, checkpointed(wanted.select("node", "rep").join(left_over, "node", "left_semi")), shingle)
+    counts = checkpointed(near.groupBy("a").agg(F.count("*").alias("n")))
     parts = F.ceil(F.col("n") / SPREAD).cast("int")
-    dealt = join_groups(pairs, counts, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    dealt = join_groups(near, counts, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
     left = counts.join(sets, counts["a"] == sets["node"]).select("a", F.col("tokens").alias("left"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    both = dealt.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b").join(left, ["a", "part"])
+    met = dealt.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b").join(left, ["a", "part"])
     shared = F.size(F.array_intersect("left", "right"))
-    return written(both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("left") + F.size("right") - shared)).select("a", "b"), "links")
+    return written(met.where(F.lit(100) * shared >= F.lit(percent) * (F.size("left") + F.size("right") - shared)).select("a", "b"), "links")
+
+
+def best_pivots(entries: DataFrame) -> DataFrame:
+    """Of the pivots that each set meets in its lists, the one of most lists: pairs (a: pivot, b)."""
+    met = entries.where("p_node <> node").groupBy("node", "p_node").agg(F.count("*").alias("n"))
+    return met.groupBy("node").agg(F.max(F.struct("n", "p_node")).alias("best")).select(F.col("best.p_node").alias("a"), F.col("node").alias("b"))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -308,25 +334,28 @@ def linked_components(lists: DataFrame, first: DataFrame, verify: Callable[[Data
     c = F.col
     large = F.greatest("n", "p_n") > boundary_
     fits = possible(c("n"), c("pos"), c("p_n"), c("p_pos"), percent)
-    pairs = written(lists.where(large & fits).select(c("p_node").alias("a"), c("node").alias("b")).where("a <> b").unionByName(first).distinct(), "pairs")
+    pairs = written(best_pivots(lists.where(large & fits)).unionByName(first).distinct(), "pairs")
     links = found = verify(pairs)
     tested, sent = ordered(pairs), pairs.count()
     mixed = lists.select("token", "node", "n", "pos")
+    # a text with few edits shares most of its listed shingles with others, and is nearest to them all
+    degree = checkpointed(lists.groupBy("node").agg(F.count("*").alias("degree")))
     for i in range(1, ROUNDS + 1):
         parts = checkpointed(connected_components(links))
-        labelled = mixed.join(parts, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("label"))
-        counts = labelled.groupBy("token", "label").agg(F.count("*").alias("n_label"), F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "pos")).alias("pivot"))
+        rank = c("degree") if i == 1 else F.xxhash64("node", F.lit(i))
+        labelled = mixed.join(degree, "node").join(parts, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("label"), rank.alias("rank"))
+        counts = labelled.groupBy("token", "label").agg(F.count("*").alias("n_label"), F.max(F.struct("rank", "node", "n", "pos")).alias("pivot"))
         main = counts.groupBy("token").agg(F.max(F.struct("n_label", "label", "pivot")).alias("m"), F.sum("n_label").alias("n_list"), F.count("*").alias("labels")).where("labels > 1")
         main = checkpointed(main.select("token", c("m.label").alias("main"), c("m.pivot.node").alias("p_node"), c("m.pivot.n").alias("p_n"), c("m.pivot.pos").alias("p_pos"), "n_list", c("m.n_label").alias("n_main")))
         total, apart = main.agg(F.sum("n_list"), F.sum((c("n_list") - c("n_main")) * c("n_list"))).first()
         if not apart:
             return parts
         # only lists with several components matter from here on
-        mixed = written(join_groups(labelled, main, ["token"], "n_list").drop("n_list", "n_main"), "mixed")
+        mixed = written(join_groups(labelled, main, ["token"], "n_list").drop("n_list", "n_main", "rank"), "mixed")
         outside = mixed.where("label <> main")
-        if i == ROUNDS or apart <= 4 * total or 2 * found.count() < sent:
+        if i == ROUNDS or apart <= 4 * total or 20 * found.count() < sent:
             break
-        fresh = ordered(outside.where(large & fits).select(c("p_node").alias("a"), c("node").alias("b")))
+        fresh = ordered(best_pivots(outside.where(large & fits)))
         fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested, sent = tested.unionByName(fresh), fresh.count()
         found = verify(fresh)
@@ -350,8 +379,8 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_c
     often = read.where("token is not null").groupBy("token").agg(F.sum("times").alias("n")).where(F.col("n") >= OFTEN)
     often = often.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     order = Order([r["token"] for r in reversed(often)])
-    signed = read.where("token is null").select("doc_id", "node", "n", "small")
-    nodes = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("small").alias("small"), F.count("*").alias("copies")), "nodes")
+    signed = read.where("token is null").select("doc_id", "node", "n", "small", "bits")
+    nodes = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "nodes")
     lists = written(shared_lists(list_entries(rows, order, shingle, percent)), "lists")
     sizes = {r["n"]: r["c"] for r in nodes.where(F.col("n") <= SMALL_SET).groupBy("n").agg(F.count("*").alias("c")).collect()}
     lengths = lists.groupBy("token").agg(F.count("*").alias("n_list"))
