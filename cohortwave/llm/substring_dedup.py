@@ -4,8 +4,9 @@ A window is `width` consecutive words. Its minimiser is the least hash of its k-
 share it form one super-k-mer. Pass one sends only addresses: (minimiser, SHA-256 of the packed words, document).
 Where a minimiser has a single packed string, all its windows are known from the smallest document alone. Only where
 several strings share a minimiser do the packed words travel to the minimiser's bucket, once per distinct string, and
-are sorted window by window. The strings of a large bucket are cut anew by a second minimiser, and by a third; what
-stays large is dealt by ranges of its windows' digests. Every bucket is sorted.
+are sorted window by window. The strings of a large bucket are cut anew by a second minimiser, and by a third. What
+stays large shares single windows among very many strings; these are grouped by the windows' digests, with minima
+combined before the shuffle, so that no bucket of them is ever held. Every other bucket is sorted.
 """
 
 from __future__ import annotations
@@ -157,15 +158,34 @@ def cut_anew(strings: DataFrame, width: int, gram: int, base: int) -> DataFrame:
     return strings.mapInArrow(run, PACKED)
 
 
-def dealt_by_range(strings: DataFrame, width: int) -> DataFrame:
-    """A string for each window, its bucket a range of its digests."""
+DEALT = "w1 long, w2 long, p1 long, p2 long, first_doc long, last_doc long, off int"
+
+
+def single_windows(strings: DataFrame, width: int) -> DataFrame:
+    """A row for each window of the strings: the first 16 bytes of the SHA-256 of its words, and where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p1, p2, doc, last, off, packed in zip(*(batch.column(c).to_pylist() for c in ("p1", "p2", "first_doc", "last_doc", "off", "packed")), strict=True):
-                yield packed_batch([(int.from_bytes(hashlib.sha256(w).digest()[:8], "big", signed=True), p1, p2, doc, last, off + i, w) for i, w in enumerate(windows_of(packed, width))])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                windows = [windows_of(p, width) for p in part.column("packed").to_pylist()]
+                sizes = [len(w) for w in windows]
+                key = digests(w for own in windows for w in own)
+                row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                inside = np.arange(sum(sizes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                off = part.column("off").take(row).to_numpy() + inside
+                yield pa.record_batch([pa.array(key[:, 0]), pa.array(key[:, 1]), *[part.column(c).take(row) for c in ("p1", "p2", "first_doc", "last_doc")], pa.array(off.astype(np.int32))], names=[c.split()[0] for c in DEALT.split(", ")])
 
-    return strings.mapInArrow(run, PACKED)
+    return strings.mapInArrow(run, DEALT)
+
+
+def grouped_windows(strings: DataFrame, width: int) -> DataFrame:
+    """What sorted_buckets() tells, of strings that many share a window: the smallest document of each window by a grouped
+    minimum, combined before the shuffle, and that of a window in very many strings by a broadcast. No task holds a bucket."""
+    windows = written(single_windows(strings, width), "windows")
+    least = windows.groupBy("w1", "w2").agg(F.min("first_doc").alias("least"), F.count("*").alias("n"))
+    met = join_groups(windows, checkpointed(least), ["w1", "w2"]).where("least < last_doc")
+    return met.select("p1", "p2", "off", F.lit(1).alias("n"), "least")
 
 
 def sorted_buckets(strings: DataFrame, width: int) -> DataFrame:
@@ -238,7 +258,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, full
         small, rest = split_by_size(rest, full)
         known = known.unionByName(sorted_buckets(small, width))
         if rest is not None:
-            known = known.unionByName(sorted_buckets(dealt_by_range(rest, width), width))
+            known = known.unionByName(grouped_windows(rest, width))
     places = occ.select("doc_id", "row", "start", "p1", "p2")
     hit = join_heavy_strings(places, written(known, "known"), strings).where("least < doc_id")
     return hit.select("doc_id", "row", (F.col("start") + F.col("off")).alias("start"), "n")

@@ -48,6 +48,23 @@ def test_against_brute_force(documents, clashing, full):
         assert got == brute(rows)
 
 
+def test_a_passage_in_very_many_texts_fills_no_bucket(documents, monkeypatch):
+    """80 words in each of 3,000 texts, with other words around: no list of a bucket holds more than `full` strings."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(i, f"{' '.join(f'a{rng.integers(1 << 40)}' for _ in range(4 + i % 3))} {passage} b{i} b{rng.integers(1 << 40)}") for i in range(3000)]
+    sizes, exact = [], substring_dedup.sorted_buckets
+
+    def held(strings, width):
+        sizes.append(substring_dedup.bucket_sizes(strings).agg({"strings": "max"}).first()[0] or 0)
+        return exact(strings, width)
+
+    monkeypatch.setattr(substring_dedup, "sorted_buckets", held)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.without_repeated_windows(documents(rows), full=20).collect()}
+    assert got == {i: (86 + i % 3, 80 if i else 0) for i, _ in rows}
+    assert sizes and max(sizes) <= 20
+
+
 def test_rows_of_one_id_and_several_texts(documents):
     words = lambda start, n: " ".join(f"w{i}" for i in range(start, start + n))
     rows = [(0, words(0, 60)), (1, f"{words(900, 5)} {words(0, 60)}"), (1, words(200, 70)), (1, words(200, 70)), (1, f"x {words(200, 70)}"), (2, words(200, 70)), (None, words(0, 60)), (None, words(400, 60)), (3, words(400, 60))]
