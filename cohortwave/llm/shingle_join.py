@@ -400,3 +400,16 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_c
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest([array_to_string(ws[i:i + 4], ' ') FOR i IN generate_series(1, greatest(len(ws) - 4, 1))]) AS g FROM w WHERE len(ws) > 0),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+lk AS (SELECT a, b FROM pr JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT a AS d, b AS r FROM lk UNION SELECT d, b FROM reach JOIN lk ON r = a),
+low AS (SELECT d, min(r) AS r FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(r, doc_id)) AS component_id
+FROM w LEFT JOIN sz USING (doc_id) LEFT JOIN low ON d = doc_id
+"""

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -130,6 +131,14 @@ def test_given_documents_against_brute_force(spark):
     assert result(shingle_join.query(spark, DATA)) == brute(rows)
 
 
+def test_given_documents_against_sql(spark):
+    data = DATA.replace("0.01", "0.001")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in con.execute(shingle_join.SQL).df().itertuples()), key=str)
+    assert result(shingle_join.query(spark, data)) == want
+
+
 def test_empty_table(documents):
     assert shingle_join.joined(documents([])).count() == 0
     assert result(shingle_join.joined(documents([(1, None), (2, " ")]))) == [(1, 0, 1), (2, 0, 2)]
