@@ -36,7 +36,9 @@ COUNTED = 1 << 22
 FREQUENT, OFTEN = 1 << 18, 16
 #: Comparisons with one set, above which its shingles are dealt to several tasks.
 SPREAD = 256
-#: Rounds of pivots at most, before all pairs between components are compared; they end when fewer than one in twenty of a round's pairs were links.
+#: Entries that meet an entry outside its list's main component, on average, up to which all are compared at once.
+WORTH = 64
+#: Rounds of further pivots at most, before all pairs between components are compared; they end when fewer than one in twenty of a round's pairs were links.
 ROUNDS = 6
 #: Longs of the parity bits of a set; sets of up to some 1,500 shingles are told apart by them.
 PARITY = 32
@@ -173,11 +175,11 @@ def list_entries(rows: DataFrame, order: Order, shingle: int, percent: int) -> D
     return rows.mapInArrow(run, "token long, node long, n int, pos int")
 
 
-LISTS = "token long, node long, n int, pos int, p_node long, p_n int, p_pos int"
+LISTS = "token long, node long, n int, pos int"
 
 
 def shared_lists(entries: DataFrame) -> DataFrame:
-    """Entries of lists of several sets, with the list's first set as pivot. A task holds one batch and one entry."""
+    """Entries of lists of several sets. A task holds one batch and one entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # first entry of the list that the last batch ended in; whether it was sent; the last node seen
@@ -203,14 +205,13 @@ def shared_lists(entries: DataFrame) -> DataFrame:
             head[1:] = token[1:] != token[:-1]
             start = np.flatnonzero(head)
             sizes = np.diff(np.append(start, len(token)))
-            own = np.repeat(start, sizes)
             keep = np.repeat(sizes > 1, sizes)
             if sent:
                 keep[0] = False
                 keep[1 : sizes[0]] = True
             at = int(start[-1])
             held = (tuple(c[at].item() for c in cols), bool(sizes[-1] > 1) or (sent and at == 0), last_node)
-            yield pa.record_batch([pa.array(c[keep]) for c in cols] + [pa.array(c[own[keep]]) for c in cols[1:]], names=[c.split()[0] for c in LISTS.split(", ")])
+            yield pa.record_batch([pa.array(c[keep]) for c in cols], names=[c.split()[0] for c in LISTS.split(", ")])
 
     return entries.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, LISTS)
 
@@ -334,26 +335,26 @@ def linked_components(lists: DataFrame, first: DataFrame, verify: Callable[[Data
     c = F.col
     large = F.greatest("n", "p_n") > boundary_
     fits = possible(c("n"), c("pos"), c("p_n"), c("p_pos"), percent)
-    pairs = written(best_pivots(lists.where(large & fits)).unionByName(first).distinct(), "pairs")
-    links = found = verify(pairs)
-    tested, sent = ordered(pairs), pairs.count()
-    mixed = lists.select("token", "node", "n", "pos")
-    # a text with few edits shares most of its listed shingles with others, and is nearest to them all
+    # a text with few edits shares most of its listed shingles with others, and is nearest to them all: the pivot of its lists
     degree = checkpointed(lists.groupBy("node").agg(F.count("*").alias("degree")))
+    pivots = lists.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n", "pos")).alias("p"), F.count("*").alias("n_list"))
+    pivots = checkpointed(pivots.select("token", c("p.node").alias("p_node"), c("p.n").alias("p_n"), c("p.pos").alias("p_pos"), "n_list"))
+    pairs = written(best_pivots(join_groups(lists, pivots, ["token"], "n_list").where(large & fits)).unionByName(first).distinct(), "pairs")
+    links = found = verify(pairs)
+    tested, sent, mixed = ordered(pairs), pairs.count(), lists
     for i in range(1, ROUNDS + 1):
         parts = checkpointed(connected_components(links))
-        rank = c("degree") if i == 1 else F.xxhash64("node", F.lit(i))
-        labelled = mixed.join(degree, "node").join(parts, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("label"), rank.alias("rank"))
-        counts = labelled.groupBy("token", "label").agg(F.count("*").alias("n_label"), F.max(F.struct("rank", "node", "n", "pos")).alias("pivot"))
+        labelled = mixed.join(parts, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("label"))
+        counts = labelled.groupBy("token", "label").agg(F.count("*").alias("n_label"), F.max(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "pos")).alias("pivot"))
         main = counts.groupBy("token").agg(F.max(F.struct("n_label", "label", "pivot")).alias("m"), F.sum("n_label").alias("n_list"), F.count("*").alias("labels")).where("labels > 1")
         main = checkpointed(main.select("token", c("m.label").alias("main"), c("m.pivot.node").alias("p_node"), c("m.pivot.n").alias("p_n"), c("m.pivot.pos").alias("p_pos"), "n_list", c("m.n_label").alias("n_main")))
         total, apart = main.agg(F.sum("n_list"), F.sum((c("n_list") - c("n_main")) * c("n_list"))).first()
         if not apart:
             return parts
         # only lists with several components matter from here on
-        mixed = written(join_groups(labelled, main, ["token"], "n_list").drop("n_list", "n_main", "rank"), "mixed")
+        mixed = written(join_groups(labelled, main, ["token"], "n_list").drop("n_list", "n_main"), "mixed")
         outside = mixed.where("label <> main")
-        if i == ROUNDS or apart <= 4 * total or 20 * found.count() < sent:
+        if i == ROUNDS or apart <= WORTH * total or 20 * found.count() < sent:
             break
         fresh = ordered(best_pivots(outside.where(large & fits)))
         fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")

@@ -106,8 +106,9 @@ def test_templates_whose_pivot_is_no_link(documents, monkeypatch):
     rows = list(enumerate(rows))
     want = brute(rows)
     assert 20 < len({c for *_, c in want}) < 120
-    for rounds in (1, 6):
+    for rounds, worth in ((1, 64), (6, 0)):
         monkeypatch.setattr(shingle_join, "ROUNDS", rounds)
+        monkeypatch.setattr(shingle_join, "WORTH", worth)
         assert result(shingle_join.joined(documents(rows))) == want
 
 
