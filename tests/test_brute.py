@@ -238,7 +238,34 @@ def a10(spark):
         assert f_tail(low, n - 1, df) == pytest.approx(0.025, abs=5e-4) and f_tail(high, df, n - 1) == pytest.approx(0.025, abs=5e-4)
 
 
-BRUTE = {"m9_nested_loso": m9, "m10_model_ladder": m10, "m11_permutation_null": m11, "m17_blockwise_iaaft": m17, "m18_block_cv_pca_ols": m18, "m19_floating_forward_selection": m19, "a29_t_test": a29, "a30_wilcoxon_p_value": a30, "a10_icc_interval": a10}
+def m12_tree(spark):
+    """Mean and spread of the query's replicates against numpy's own resampling of the same lines."""
+    li = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_extendedprice", "l_quantity").toPandas()
+    y = li.l_extendedprice.to_numpy(float)
+    error, base = y - li.l_quantity.to_numpy(float) * 1500, y - 38000.0
+    rng = np.random.default_rng(0)
+    at = rng.integers(0, len(y), (400, len(y)))
+    want = {"q2": 1 - (error[at] ** 2).sum(1) / (base[at] ** 2).sum(1), "mae_skill": 1 - np.abs(error[at]).sum(1) / np.abs(base[at]).sum(1)}
+    for r in registry.QUERIES["m12_tree_bootstrap"](spark, DATA).collect():
+        own, sd = want[r.score], want[r.score].std()
+        assert r.b == 200 and r["mean"] == pytest.approx(own.mean(), abs=0.4 * sd)
+        assert r.lower == pytest.approx(np.quantile(own, 0.025), abs=0.9 * sd) and r.upper == pytest.approx(np.quantile(own, 0.975), abs=0.9 * sd)
+
+
+def m19_null(spark):
+    """The observed R of every participant is the mean over the folds of the selection itself; p is one of the four values that three surrogates allow."""
+    folds = registry.QUERIES["m19_floating_forward_selection"](spark, DATA).toPandas()
+    want = folds.assign(r=folds.r.astype(float)).groupby("key").r.mean()
+    got = {r.participant: r for r in registry.QUERIES["m19_surrogate_null"](spark, DATA).collect()}
+    assert {k for k in got if k is not None} == {str(k) for k, v in want.items() if v == v} and None in got
+    for k, r in got.items():
+        assert r.k == 3 and min(abs(4 * r.p - i) for i in (1, 2, 3, 4)) < 1e-9
+        if k is not None:
+            assert r.observed == pytest.approx(want[int(k)], abs=1e-6)
+    assert got[None].observed == pytest.approx(want.mean(), abs=1e-6)
+
+
+BRUTE = {"m12_tree_bootstrap": m12_tree, "m19_surrogate_null": m19_null, "m9_nested_loso": m9, "m10_model_ladder": m10, "m11_permutation_null": m11, "m17_blockwise_iaaft": m17, "m18_block_cv_pca_ols": m18, "m19_floating_forward_selection": m19, "a29_t_test": a29, "a30_wilcoxon_p_value": a30, "a10_icc_interval": a10}
 
 
 @pytest.mark.parametrize("name", sorted(BRUTE))
