@@ -86,6 +86,54 @@ def test_large_groups_are_sliced_and_lose_no_class(spark, documents):
     assert len(links) < 21 * len(rows)
 
 
+def template_corpus(seed, families=500, words=400, between=6, within=8):
+    """Texts of one template: families that differ in `between` words from it, each with two texts `within` words apart."""
+    rng = np.random.default_rng(seed)
+    template, rows = [f"w{i}" for i in range(words)], []
+
+    def changed(text, n):
+        out = list(text)
+        for at in rng.choice(words, n, replace=False):
+            out[at] = f"e{rng.integers(1 << 40)}"
+        return out
+
+    for _ in range(families):
+        one = changed(template, between)
+        rows += [one, changed(one, within)]
+    return [(i, " ".join(t)) for i, t in enumerate(rows)]
+
+
+def classes_of_all_pairs(rows, least=0.8):
+    """Classes by the Jaccard similarity of all pairs, shared shingles counted as a matrix product."""
+    sets = {i: shingles_of(t) for i, t in rows}
+    column = {}
+    held = np.zeros((len(rows), len(set().union(*sets.values()))), np.float32)
+    for at, (i, _) in enumerate(rows):
+        held[at, [column.setdefault(g, len(column)) for g in sets[i]]] = 1
+    size, shared = held.sum(axis=1), held @ held.T
+    x, y = np.nonzero(np.triu(shared >= least * (size[:, None] + size - shared), 1))
+    ids = [i for i, _ in rows]
+    return classes(ids, [(ids[a], ids[b]) for a, b in zip(x.tolist(), y.tolist(), strict=True)]), len(x)
+
+
+def test_a_template_corpus_loses_no_class(documents):
+    """The nearest links of its groups fail the exact test: only the join of what is in question finds the others."""
+    rows = template_corpus(11)
+    want, links = classes_of_all_pairs(rows)
+    assert links >= 300
+    assert {r.doc_id: r.component_id for r in similar.similar_documents(documents(rows)).collect()} == want
+
+
+def test_sliced_groups_lose_no_class(documents):
+    """Near copies of many texts of one template, in groups far beyond the limit of a slice, dealt by hash besides."""
+    rows = template_corpus(12, families=150, between=10, within=3) + [(1000 + i, t) for i, t in crowd(groups=10)]
+    want, links = classes_of_all_pairs(rows)
+    docs = documents(rows)
+    for large in (1, 8):
+        got = {r.doc_id: r.component_id for r in similar.similar_rows(docs, large=large).collect()}
+        assert got == want and links >= 150
+
+
 def test_recall_on_the_given_documents(spark):
     """Of all pairs at 0.8 or more with a document of an id divisible by 100, at least nine in ten fall into one class."""
     rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pylist()
