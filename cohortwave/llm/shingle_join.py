@@ -330,17 +330,24 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def linked_components(lists: DataFrame, first: DataFrame, verify: Callable[[DataFrame], DataFrame], boundary_: int, percent: int) -> DataFrame:
-    """(node, component) over all links between the sets of lists; first: pairs that span the enumerated ones; verify keeps the linked of pairs."""
+def linked_components(lists: DataFrame, first: DataFrame, verify: Callable[[DataFrame], DataFrame], boundary_: int, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """(node, component) over all links between the sets of lists; first: pairs that span the enumerated ones; verify keeps the linked of pairs.
+
+    With known links (a, b) the rounds start from these instead of from one pivot a set.
+    """
     c = F.col
     large = F.greatest("n", "p_n") > boundary_
     fits = possible(c("n"), c("pos"), c("p_n"), c("p_pos"), percent)
-    # a text with few edits shares most of its listed shingles with others, and is nearest to them all: the pivot of its lists
-    degree = checkpointed(lists.groupBy("node").agg(F.count("*").alias("degree")))
-    pivots = lists.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n", "pos")).alias("p"), F.count("*").alias("n_list"))
-    pivots = checkpointed(pivots.select("token", c("p.node").alias("p_node"), c("p.n").alias("p_n"), c("p.pos").alias("p_pos"), "n_list"))
-    pairs = written(best_pivots(join_groups(lists, pivots, ["token"], "n_list").where(large & fits)).unionByName(first).distinct(), "pairs")
-    links = found = verify(pairs)
+    if known is None:
+        # a text with few edits shares most of its listed shingles with others, and is nearest to them all: the pivot of its lists
+        degree = checkpointed(lists.groupBy("node").agg(F.count("*").alias("degree")))
+        pivots = lists.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n", "pos")).alias("p"), F.count("*").alias("n_list"))
+        pivots = checkpointed(pivots.select("token", c("p.node").alias("p_node"), c("p.n").alias("p_n"), c("p.pos").alias("p_pos"), "n_list"))
+        pairs = written(best_pivots(join_groups(lists, pivots, ["token"], "n_list").where(large & fits)).unionByName(first).distinct(), "pairs")
+        links = found = verify(pairs)
+    else:
+        pairs = written(first, "pairs")
+        links = found = checkpointed(known.unionByName(verify(pairs)))
     tested, sent, mixed = ordered(pairs), pairs.count(), lists
     for i in range(1, ROUNDS + 1):
         parts = checkpointed(connected_components(links))
@@ -368,12 +375,13 @@ def linked_components(lists: DataFrame, first: DataFrame, verify: Callable[[Data
     return connected_components(links.unionByName(verify(written(rest, "pairs"))))
 
 
-def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links).
 
     Two sets are linked at a Jaccard similarity of `percent` hundredths or more. Null, empty and blank texts have no
     shingle and no link, not even to each other; repeated rows get a row each; a null id is larger than any other;
-    long texts are read whole; an empty table gives an empty result; other columns are not read.
+    long texts are read whole; an empty table gives an empty result; other columns are not read. known: links (a, b) of
+    doc_ids found before, which are taken as they are; a and b must each be the least doc_id of its text.
     """
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     read = written(read_sets(rows, shingle), "sets-read")
@@ -389,7 +397,10 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_c
     small = boundary(sizes, {r["n"]: r["c"] for r in scans.collect()}, percent)
     first = enumerated_pairs(nodes.where(F.col("n") <= small).select("node", "small"), small, percent)
     large = lists.where(F.col("n") >= int(least_size(small + 1, percent)))
-    parts = linked_components(large, first, lambda pairs: verified(pairs, rows, nodes, shingle, percent), small, percent)
+    if known is not None:
+        end = lambda c: nodes.select(F.col("rep").alias(c), F.col("node").alias(f"node_{c}"))
+        known = known.join(end("a"), "a").join(end("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    parts = linked_components(large, first, lambda pairs: verified(pairs, rows, nodes, shingle, percent), small, percent, known)
     placed = written(nodes.join(parts, "node", "left").select("node", "rep", "copies", "component"), "components")
     least = placed.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     named = checkpointed(placed.join(least, "component", "left").select("node", "copies", F.coalesce("least", "rep").alias("component_id")))

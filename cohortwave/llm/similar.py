@@ -185,19 +185,25 @@ def in_question(classes: DataFrame, parts: DataFrame, candidates: DataFrame, cut
     ends = candidates.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("c_a", "a").alias("x"), F.coalesce("c_b", "b").alias("y"))
     open_labels = ends.where("x <> y").select(F.explode(F.array("x", "y")).alias("label"))
     if cut is not None:
-        members = cut.join(parts, "node", "left").select("t", "key", label("node")).distinct()
+        members = cut.join(parts, "node", "left").select("t", "key", label("node"))
         mixed = members.groupBy("t", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t", "key")
         open_labels = open_labels.unionByName(members.join(mixed, ["t", "key"], "left_semi").select("label"))
+    open_labels = checkpointed(open_labels.distinct())
+    wanted = F.broadcast(open_labels) if open_labels.count() <= BROADCAST_IDS else open_labels
     labelled = classes.join(parts, "node", "left").select(*classes.columns, label("node"))
-    return checkpointed(labelled.join(open_labels.distinct(), "label", "left_semi").drop("label"))
+    return checkpointed(labelled.join(wanted, "label", "left_semi").drop("label"))
 
 
-def joined_classes(rows: DataFrame, open_nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) that span all links between the open nodes (node, rep, row), by the exact join of their shingle sets."""
+def joined_classes(rows: DataFrame, open_nodes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that span all links between the open nodes (node, rep, row), by the exact join of their shingle sets.
+
+    The links found so far are handed on, so that sets of one class aren't compared again.
+    """
     ids = open_nodes.select("node", F.col("rep").alias("doc_id"), "row")
     read = rows.join(F.broadcast(ids) if open_nodes.count() <= BROADCAST_IDS else ids, ["doc_id", "row"])
     asked = written(read.select(F.col("node").alias("doc_id"), "text"), "in-question")
-    found = shingle_join.joined(asked, shingle, round(100 * similarity))
+    known = links.join(open_nodes.select(F.col("node").alias("a")), "a", "left_semi")
+    found = shingle_join.joined(asked, shingle, round(100 * similarity), known=known)
     return found.where("component_id <> doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
 
 
@@ -213,7 +219,7 @@ def similar_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     parts = checkpointed(connected_components(links))
     open_nodes = in_question(classes.select("node", "rep", "row"), parts, candidates, cut)
     if not open_nodes.isEmpty():
-        parts = connected_components(links.unionByName(joined_classes(rows, open_nodes, shingle, similarity)))
+        parts = connected_components(links.unionByName(joined_classes(rows, open_nodes, links, shingle, similarity)))
     placed = checkpointed(classes.join(parts, "node", "left").select("same", "rep", "n", "component"))
     least = placed.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     named = checkpointed(placed.join(least, "component", "left").select("same", "n", F.coalesce("least", "rep").alias("component_id")))
