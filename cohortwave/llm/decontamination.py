@@ -2,8 +2,8 @@
 
 Documents are read as blocks of words; a passage is two neighbouring blocks. Document frequencies of hashed terms are
 counted over all blocks of all documents. A randomised singular value decomposition of the TF-IDF matrix of passages
-gives the latent space: the product of the matrix's Gram matrix with a random sketch is summed over the partitions of
-a bounded sample of documents, and the benchmark's own items weigh as much as these. Then one pass over all documents
+gives the latent space: the product of the matrix's Gram matrix with a random sketch is summed over the passages of
+all documents, and the benchmark's own items weigh as much as these. Then one more pass over all documents
 projects every passage; items whose latent cosine is high enough are candidates, and are held against the windows of
 four blocks around by longest common subsequence of content words and by their closing words (the answer). Items of
 few content words, which no cosine can tell, are candidates wherever a window holds as many of their words as their
@@ -44,10 +44,10 @@ COLUMNS = 1 << 15
 COSINE = 0.3
 #: Items of fewer content words are looked up word by word.
 LATENT_CONTENT = 8
-#: About how many documents (those of the least hashes of their id) the latent space is fitted on.
-FIT_DOCS = 4_000
-#: Partitions that the sketch is summed in.
-FIT_PARTS = 8
+#: The most frequent columns are multiplied as a dense matrix of at most so many passages, the others entry by entry.
+DENSE, PASSAGES = 512, 2048
+#: A task sums its passages over about so many bytes of text for each byte of the sketch that it sends.
+TEXT_A_BYTE = 8
 #: Items whose words and vectors tasks receive at once; a larger benchmark takes a pass over the documents for each such block.
 ITEMS_AT_ONCE = 1_000
 #: Bytes of text that a task vectorises at once: its arrays take about 60 times as much.
@@ -76,7 +76,7 @@ def bucket(h: np.ndarray) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Over all blocks of all documents: in how many a hashed term occurs; and the numbers of blocks and of documents."""
+    """Over all blocks of all documents: in how many a hashed term occurs; and the numbers of blocks and of bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan, df = WordScanner(SPACE_AND_PUNCTUATION, lower=True), np.zeros(TERMS + SLICES)
@@ -85,7 +85,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
                 _, _, first, _, words = terms(scan, data, offsets)
                 df[:TERMS] += np.bincount(bucket(words), minlength=TERMS)
                 df[-1] += first[-1]
-                df[-2] += len(first) - 1
+                df[-2] += len(data)
         yield sliced(df)
 
     parts = summed(docs.mapInArrow(count, "slice int, data binary"), "f8")
@@ -227,13 +227,32 @@ class Postings:
             yield b, i + lo
 
 
-def ordered_sums(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """Sum of rows by ascending group number."""
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
+def add_runs(out: np.ndarray, rows: np.ndarray, group: np.ndarray) -> None:
+    """Add rows to those of out that ascending group numbers name."""
     if len(group):
         head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        out[group[head]] = np.add.reduceat(rows, head, axis=0)
-    return out
+        out[group[head]] += np.add.reduceat(rows, head, axis=0)
+
+
+@dataclass
+class Part:
+    """Rows of the TF-IDF matrix: the frequent columns as a dense matrix, the entries of the others by ascending row."""
+
+    dense: np.ndarray
+    row: np.ndarray
+    column: np.ndarray
+    weight: np.ndarray
+
+    def times(self, right: np.ndarray) -> np.ndarray:
+        out = self.dense @ right[: self.dense.shape[1]]
+        add_runs(out, self.weight * right[self.column], self.row)
+        return out
+
+    def add_transposed(self, right: np.ndarray, out: np.ndarray) -> None:
+        """Add the product of the transposed rows with right to out."""
+        out[: self.dense.shape[1]] += self.dense.T @ right
+        order = np.argsort(self.column, kind="stable")
+        add_runs(out, self.weight[order] * right[self.row[order]], self.column[order])
 
 
 class Space:
@@ -241,10 +260,13 @@ class Space:
 
     def __init__(self, items: list[Item], idf: np.ndarray) -> None:
         self.vocabulary = np.unique(np.asarray([w for i in items for w in i.words], np.uint64))
-        _, self.column = np.unique((self.vocabulary >> np.uint64(3)) % np.uint64(COLUMNS), return_inverse=True)
+        weight = idf[bucket(self.vocabulary)]
+        _, column = np.unique((self.vocabulary >> np.uint64(3)) % np.uint64(COLUMNS), return_inverse=True)
+        self.width = int(column.max(initial=-1)) + 1
+        frequent = np.argsort(-np.bincount(column, np.exp(-weight), self.width), kind="stable")
+        self.column = np.argsort(frequent)[column]  # the most frequent columns first
         sign = np.where(self.vocabulary >> np.uint64(30) & np.uint64(1), 1.0, -1.0)
-        self.weight = (idf[bucket(self.vocabulary)] * sign).astype(np.float32)
-        self.width = int(self.column.max(initial=-1)) + 1
+        self.weight = (weight * sign).astype(np.float32)
         self.vectors = np.zeros((len(items), self.width), np.float32)
         for i, item in enumerate(items):
             _, v = self.known(np.unique(np.asarray(item.words, np.uint64)))
@@ -256,8 +278,20 @@ class Space:
         there = np.flatnonzero(self.vocabulary[at] == words)
         return there, at[there]
 
-    def fit(self, sample: DataFrame, seed: int = 7) -> None:
-        """Randomised SVD of the sample's passages; items weigh as much as the sample does."""
+    def parts(self, row: np.ndarray, v: np.ndarray, n: int) -> Iterator[Part]:
+        """The n rows of the TF-IDF matrix in parts of PASSAGES; row (ascending) and v: where its entries are."""
+        bounds = np.searchsorted(row, np.arange(0, n + PASSAGES, PASSAGES))
+        dense = min(DENSE, self.width)
+        for k, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            size = min(PASSAGES, n - k * PASSAGES)
+            own, column, weight = row[lo:hi] - k * PASSAGES, self.column[v[lo:hi]], self.weight[v[lo:hi]]
+            rare = np.flatnonzero(column >= dense)
+            often = np.flatnonzero(column < dense)
+            left = np.bincount(own[often] * dense + column[often], weight[often], size * dense).astype(np.float32).reshape(size, dense)
+            yield Part(left, own[rare], column[rare], weight[rare, None])
+
+    def fit(self, docs: DataFrame, n_bytes: int, seed: int = 7) -> None:
+        """Randomised SVD of the passages of all docs (text; n_bytes in all); items weigh as much as these do."""
         width, size = self.width, RANK + EXTRA
         omega = np.random.default_rng(seed).standard_normal((width, size)).astype(np.float32)
 
@@ -269,16 +303,14 @@ class Space:
                     there, v = self.known(words)
                     if not len(there):
                         continue
-                    weight, column = self.weight[v][:, None], self.column[v]
                     inside = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
                     passage = np.cumsum(inside % 2 == 0) - 1  # pairs of blocks that don't overlap, within a row
-                    own = passage[block[there]]
-                    z = ordered_sums(weight * omega[column], own, int(passage[-1]) + 1)
-                    order = np.argsort(column, kind="stable")
-                    y += ordered_sums(weight[order] * z[own[order]], column[order], width)
+                    for part in self.parts(passage[block[there]], v, int(passage[-1]) + 1):
+                        part.add_transposed(part.times(omega), y)
             yield sliced(y)
 
-        parts = summed(sample.repartition(FIT_PARTS).mapInArrow(sketch, "slice int, data binary"), "f4")
+        tasks = max(docs.sparkSession.sparkContext.defaultParallelism, n_bytes // (TEXT_A_BYTE * width * size * 4))
+        parts = summed(docs.coalesce(tasks).mapInArrow(sketch, "slice int, data binary"), "f4")
         y = np.concatenate([parts[s].reshape(-1, size) for s in range(SLICES)]) if parts else np.zeros((width, size))
         # the trace of the Gram matrix, as the sketch estimates it, once more for the items: each has the same share of it
         length = np.maximum((self.vectors**2).sum(axis=1, keepdims=True), 1e-9)
@@ -298,7 +330,7 @@ class Space:
     def candidates(self, block: np.ndarray, words: np.ndarray, row: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(first block, item) of passages whose latent cosine with an item is at least `cosine`."""
         there, v = self.known(words)
-        latent = ordered_sums(self.weight[v][:, None] * self.basis[self.column[v]], block[there], len(row))
+        latent = np.concatenate([part.times(self.basis) for part in self.parts(block[there], v, len(row))])
         same = np.flatnonzero(row[1:] == row[:-1])
         latent[same] += latent[same + 1]
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
@@ -317,14 +349,14 @@ class Block:
     space: Space | None = None
 
     @classmethod
-    def of(cls, items: list[Item], idf: np.ndarray, content: np.ndarray, sample: DataFrame) -> Block:
+    def of(cls, items: list[Item], idf: np.ndarray, content: np.ndarray, docs: DataFrame, n_bytes: int) -> Block:
         for item in items:
             item.weigh(content)
         items = [i for i in items if i.size]
         found = cls([i for i in items if not i.together and i.size >= LATENT_CONTENT], [i for i in items if i.together or i.size < LATENT_CONTENT])
         if found.latent:
             found.space = Space(found.latent, idf)
-            found.space.fit(sample)
+            found.space.fit(docs, n_bytes)
         return found
 
     def candidates(self, block: np.ndarray, words: np.ndarray, row: np.ndarray, postings: Postings | None) -> Iterator[tuple[np.ndarray, list[Item], np.ndarray]]:
@@ -388,15 +420,13 @@ def benchmark_blocks(benchmark: DataFrame, at_once: int = ITEMS_AT_ONCE) -> Iter
 
 def weighed(docs: DataFrame, benchmark: DataFrame, at_once: int = ITEMS_AT_ONCE) -> Iterator[Block]:
     """The benchmark's blocks, with weights and content words as docs (doc_id, text) tell them."""
-    counted = None
+    idf = None
     for items in benchmark_blocks(benchmark, at_once):
-        if counted is None:
-            df, n_blocks, n_docs = frequencies(docs)
+        if idf is None:
+            df, n_blocks, n_bytes = frequencies(docs)
             content = df <= max(COMMON * n_blocks, 20)
             idf = np.log((n_blocks + 1) / (df + 0.5)).clip(0.05)
-            share = min(1.0, FIT_DOCS / max(1, n_docs))
-            counted = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("text")
-        yield Block.of(items, idf, content, counted)
+        yield Block.of(items, idf, content, docs.select("text"), n_bytes)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -181,3 +181,31 @@ def test_blocks_of_the_benchmark_and_repeated_rows(spark, documents, monkeypatch
     whole = d.weighed
     monkeypatch.setattr(d, "weighed", lambda docs, benchmark: whole(docs, benchmark, 20))
     assert want == sorted(map(str, d.contamination(documents([*rows, *rows[:20]]), table).select("doc_id", "item_ids").collect()))
+
+
+def test_the_space_is_fitted_on_all_documents(spark, documents, monkeypatch):
+    """The sketch is the product of the Gram matrix of every document's passages, by a dense matrix of them."""
+    rng = random.Random(12)
+    bench = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(30))) for i in range(20)]
+    rows = [(i, " ".join(f"w{int(1200 * rng.random() ** 2)}" for _ in range(rng.randrange(40)))) for i in range(8_000)]
+    rows += [(9_000, " ".join(f"w{rng.randrange(900)}" for _ in range(3_000))), (9_001, None)]
+    sums, whole = [], d.summed
+    monkeypatch.setattr(d, "summed", lambda parts, dtype: sums.append(whole(parts, dtype)) or sums[-1])
+    monkeypatch.setattr(d, "DENSE", 64)
+    monkeypatch.setattr(d, "PASSAGES", 10)
+    (part,) = d.weighed(d.texts(documents(rows)), spark.createDataFrame(bench, "item_id long, text string"))
+    space, size = part.space, d.RANK + d.EXTRA
+    got = np.concatenate([sums[1][s].reshape(-1, size) for s in range(d.SLICES)])
+    scan, passages = d.WordScanner(d.SPACE_AND_PUNCTUATION, lower=True), []
+    for _, text in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        h = scan.scan(raw, np.asarray([0, len(raw)]))[3] >> d.HASH_BITS
+        for at in range(0, len(h), 2 * d.BLOCK):
+            passages.append(np.zeros(space.width))
+            for lo in (at, at + d.BLOCK):
+                _, v = space.known(np.unique(h[lo : lo + d.BLOCK]))
+                np.add.at(passages[-1], space.column[v], space.weight[v])
+    a = np.asarray(passages)
+    omega = np.random.default_rng(7).standard_normal((space.width, size)).astype(np.float32)
+    assert space.width > 64 and len(a) > 7_000
+    assert np.abs(got - a.T @ (a @ omega)).max() < 1e-4 * np.abs(got).max()
