@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortwave.llm import decontamination, exact_dedup, packing, similar, toxicity
-from cohortwave.llm.base import table, written
+from cohortwave.llm.base import small_batches, table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage, with small Arrow batches: an executor runs all stages, and what one took outside the heap stays taken."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@in_small_batches
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects as toxic go."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@in_small_batches
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+@in_small_batches
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8), the document with the smallest id stays."""
     return similar.drop_similar(docs)
 
 
+@in_small_batches
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces of training sequences."""
     return packing.pack(docs)

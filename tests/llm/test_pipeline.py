@@ -5,7 +5,7 @@ from collections import defaultdict
 import pyarrow.parquet as pq
 
 import corpus_pipeline
-from cohortwave.llm import decontamination, toxicity
+from cohortwave.llm import base, decontamination, toxicity
 from cohortwave.llm.base import table
 from cohortwave.llm.tokens import Encoder
 from test_similar import classes, near_pairs, shingles_of
@@ -80,3 +80,21 @@ def test_stages_with_clashing_names(spark):
         wide = docs.selectExpr("*", *[f"'x' as {n}" for n in names])
         plain, got = stage(spark, docs, DATA), stage(spark, wide, DATA)
         assert got.columns == wide.columns and sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in plain.collect()), name
+
+
+def test_stages_send_texts_in_small_batches_unless_the_session_names_a_size(spark, documents):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["n"])
+
+    docs, before = documents([(i, "x" * 50_000) for i in range(400)]).coalesce(1), spark.conf.get(base.BATCH_SETTING)
+    try:
+        for named, most in ((base.SPARKS_OWN, 5 << 20), ("8388608b", 9 << 20)):
+            spark.conf.set(base.BATCH_SETTING, named)
+            corpus_pipeline.keep_one_copy(spark, docs, "")
+            got = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+            assert sum(got) > 20_000_000 and most / 2 < max(got) < most
+    finally:
+        spark.conf.set(base.BATCH_SETTING, before)
