@@ -131,3 +131,20 @@ def test_components_with_hubs(spark, monkeypatch):
         monkeypatch.setattr(components, "HUB", hub)
         got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
         assert got == {i: want[i] for i in {x for a, b in links if a != b for x in (a, b)}}
+
+
+def test_components_stop_at_stars_and_run_few_tasks(spark):
+    """A task for each partition and shuffle: links that are stars already need no round, a chain few stages a round."""
+    from cohortwave.llm import components
+
+    sc, status = spark.sparkContext, spark.sparkContext.statusTracker()
+    for name, links, most in (("stars", [(10 * i, 10 * i + j) for i in range(20) for j in range(1, 5)], 50), ("chain", [(i, i + 1) for i in range(200)], 300)):
+        edges = spark.createDataFrame(links, "a long, b long").repartition(4)
+        try:
+            sc.setJobGroup(f"components-{name}", name)
+            got = {r.node: r.component for r in components.connected_components(edges).collect()}
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert got == {i: 10 * (i // 10) if name == "stars" else 0 for i in {x for link in links for x in link}}
+        stages = {s for j in status.getJobIdsForGroup(f"components-{name}") for s in status.getJobInfo(j).stageIds}
+        assert sum(i.numCompletedTasks for s in stages if (i := status.getStageInfo(s))) <= most
