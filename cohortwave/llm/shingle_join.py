@@ -320,9 +320,11 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
     return written(met.where(F.lit(100) * shared >= F.lit(percent) * (F.size("left") + F.size("right") - shared)).select("a", "b"), "links")
 
 
-def best_pivots(entries: DataFrame) -> DataFrame:
-    """Of the pivots that each set meets in its lists, the one of most lists: pairs (a: pivot, b)."""
+def best_pivots(entries: DataFrame, tested: DataFrame | None = None) -> DataFrame:
+    """Of the pivots that each set meets in its lists, the one of most lists: pairs (a: pivot, b); those of tested (a < b) are passed over."""
     met = entries.where("p_node <> node").groupBy("node", "p_node").agg(F.count("*").alias("n"))
+    if tested is not None:
+        met = met.select("*", F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).join(tested, ["a", "b"], "left_anti")
     return met.groupBy("node").agg(F.max(F.struct("n", "p_node")).alias("best")).select(F.col("best.p_node").alias("a"), F.col("node").alias("b"))
 
 
@@ -333,26 +335,31 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def linked_components(lists: DataFrame, first: DataFrame, verify: Callable[[DataFrame], DataFrame], boundary_: int, percent: int, known: DataFrame | None = None) -> DataFrame:
     """(node, component) over all links between the sets of lists; first: pairs that span the enumerated ones; verify keeps the linked of pairs.
 
-    With known links (a, b) the rounds start from these instead of from one pivot a set.
+    Known links (a, b) are taken as they are, and sets that have one a in common with each other, or are it, aren't compared first.
     """
     c = F.col
     large = F.greatest("n", "p_n") > boundary_
     fits = possible(c("n"), c("pos"), c("p_n"), c("p_pos"), percent)
+    # a text with few edits shares most of its listed shingles with others, and is nearest to them all: the pivot of its lists
+    degree = checkpointed(lists.groupBy("node").agg(F.count("*").alias("degree")))
+    pivots = lists.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n", "pos")).alias("p"), F.count("*").alias("n_list"))
+    pivots = checkpointed(pivots.select("token", c("p.node").alias("p_node"), c("p.n").alias("p_n"), c("p.pos").alias("p_pos"), "n_list"))
+    pairs = best_pivots(join_groups(lists, pivots, ["token"], "n_list").where(large & fits)).unionByName(first).distinct()
     if known is None:
-        # a text with few edits shares most of its listed shingles with others, and is nearest to them all: the pivot of its lists
-        degree = checkpointed(lists.groupBy("node").agg(F.count("*").alias("degree")))
-        pivots = lists.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n", "pos")).alias("p"), F.count("*").alias("n_list"))
-        pivots = checkpointed(pivots.select("token", c("p.node").alias("p_node"), c("p.n").alias("p_n"), c("p.pos").alias("p_pos"), "n_list"))
-        pairs = written(best_pivots(join_groups(lists, pivots, ["token"], "n_list").where(large & fits)).unionByName(first).distinct(), "pairs")
+        pairs = written(pairs, "pairs")
         links = found = verify(pairs)
     else:
-        pairs = written(first, "pairs")
+        centres = checkpointed(known.groupBy("b").agg(F.min("a").alias("centre")))
+        of = lambda end: centres.select(c("b").alias(end), c("centre").alias(f"c_{end}"))
+        apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
+        pairs = written(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b"), "pairs")
         links = found = checkpointed(known.unionByName(verify(pairs)))
     tested, sent, mixed = ordered(pairs), pairs.count(), lists
     for i in range(1, ROUNDS + 1):
         parts = checkpointed(connected_components(links))
         labelled = mixed.join(parts, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("label"))
-        counts = labelled.groupBy("token", "label").agg(F.count("*").alias("n_label"), F.max(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "pos")).alias("pivot"))
+        # the pivot is the member with the fewest shingles before the list's: the least edited one is linked with most of the others
+        counts = labelled.groupBy("token", "label").agg(F.count("*").alias("n_label"), F.max(F.struct((-c("pos")).alias("late"), F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "pos")).alias("pivot"))
         main = counts.groupBy("token").agg(F.max(F.struct("n_label", "label", "pivot")).alias("m"), F.sum("n_label").alias("n_list"), F.count("*").alias("labels")).where("labels > 1")
         main = checkpointed(main.select("token", c("m.label").alias("main"), c("m.pivot.node").alias("p_node"), c("m.pivot.n").alias("p_n"), c("m.pivot.pos").alias("p_pos"), "n_list", c("m.n_label").alias("n_main")))
         total, apart = main.agg(F.sum("n_list"), F.sum((c("n_list") - c("n_main")) * c("n_list"))).first()
@@ -363,8 +370,7 @@ def linked_components(lists: DataFrame, first: DataFrame, verify: Callable[[Data
         outside = mixed.where("label <> main")
         if i == ROUNDS or apart <= WORTH * total or 20 * found.count() < sent:
             break
-        fresh = ordered(best_pivots(outside.where(large & fits)))
-        fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
+        fresh = written(ordered(best_pivots(outside.where(large & fits), tested)), "pairs")
         tested, sent = tested.unionByName(fresh), fresh.count()
         found = verify(fresh)
         links = links.unionByName(found)
@@ -381,7 +387,8 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_c
     Two sets are linked at a Jaccard similarity of `percent` hundredths or more. Null, empty and blank texts have no
     shingle and no link, not even to each other; repeated rows get a row each; a null id is larger than any other;
     long texts are read whole; an empty table gives an empty result; other columns are not read. known: links (a, b) of
-    doc_ids found before, which are taken as they are; a and b must each be the least doc_id of its text.
+    doc_ids found before, which are taken as they are, best as stars (a: the centre of a class, b: any other member); a and
+    b must each be the least doc_id of its text.
     """
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     read = written(read_sets(rows, shingle), "sets-read")

@@ -194,15 +194,15 @@ def in_question(classes: DataFrame, parts: DataFrame, candidates: DataFrame, cut
     return checkpointed(labelled.join(wanted, "label", "left_semi").drop("label"))
 
 
-def joined_classes(rows: DataFrame, open_nodes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def joined_classes(rows: DataFrame, open_nodes: DataFrame, parts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) that span all links between the open nodes (node, rep, row), by the exact join of their shingle sets.
 
-    The links found so far are handed on, so that sets of one class aren't compared again.
+    The classes found so far are handed on as stars, so that sets of one class aren't compared again.
     """
     ids = open_nodes.select("node", F.col("rep").alias("doc_id"), "row")
     read = rows.join(F.broadcast(ids) if open_nodes.count() <= BROADCAST_IDS else ids, ["doc_id", "row"])
     asked = written(read.select(F.col("node").alias("doc_id"), "text"), "in-question")
-    known = links.join(open_nodes.select(F.col("node").alias("a")), "a", "left_semi")
+    known = parts.where("component <> node").join(open_nodes.select("node"), "node", "left_semi").select(F.col("component").alias("a"), F.col("node").alias("b"))
     found = shingle_join.joined(asked, shingle, round(100 * similarity), known=known)
     return found.where("component_id <> doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
 
@@ -219,7 +219,7 @@ def similar_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     parts = checkpointed(connected_components(links))
     open_nodes = in_question(classes.select("node", "rep", "row"), parts, candidates, cut)
     if not open_nodes.isEmpty():
-        parts = connected_components(links.unionByName(joined_classes(rows, open_nodes, links, shingle, similarity)))
+        parts = connected_components(links.unionByName(joined_classes(rows, open_nodes, parts, shingle, similarity)))
     placed = checkpointed(classes.join(parts, "node", "left").select("same", "rep", "n", "component"))
     least = placed.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     named = checkpointed(placed.join(least, "component", "left").select("same", "n", F.coalesce("least", "rep").alias("component_id")))

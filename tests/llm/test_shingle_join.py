@@ -120,6 +120,34 @@ def test_large_family_of_near_copies(documents):
     assert result(shingle_join.joined(documents(rows).repartition(5))) == brute(rows)
 
 
+def test_known_classes_are_not_multiplied_by_sets_outside(documents, monkeypatch):
+    """90 texts one word from a base are one class; 30 texts three words from it are linked with the base alone.
+
+    Each of the 30 has a listed shingle in common with all 90: compared with the base first, none is left for all pairs.
+    """
+    words = [f"w{i}" for i in range(150)]
+    edited = lambda i, n: " ".join(f"e{i}" if at % 50 == i % 50 and at < 50 * n else w for at, w in enumerate(words))
+    rows = [(0, " ".join(words)), *((i, edited(i, 1)) for i in range(1, 91)), *((i, edited(i, 3)) for i in range(101, 131))]
+    known = documents([]).sparkSession.createDataFrame([(0, i) for i in range(1, 91)], "a long, b long")
+    compared, verified = [], shingle_join.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(shingle_join, "verified", counted)
+    got = {r.doc_id: r.component_id for r in shingle_join.joined(documents(rows), known=known).collect()}
+    assert got == {i: least for i, _, least in brute(rows)} and set(got.values()) == {0}
+    assert sum(compared) <= 2 * 30
+
+
+def test_pivots_that_were_compared_are_passed_over(spark):
+    met = spark.createDataFrame([(9, 1), (9, 1), (9, 1), (9, 2), (9, 2), (9, 3), (9, 9), (5, 1)], "node long, p_node long")
+    tested = spark.createDataFrame([(1, 9), (1, 5)], "a long, b long")
+    assert {tuple(r) for r in shingle_join.best_pivots(met).collect()} == {(1, 9), (1, 5)}
+    assert {tuple(r) for r in shingle_join.best_pivots(met, tested).collect()} == {(2, 9)}
+
+
 def test_boundary_follows_the_cost():
     assert shingle_join.boundary({}, {17: 5}, 80) == 0
     assert shingle_join.boundary({n: 10 for n in range(1, 17)}, dict.fromkeys(range(1, 17), 1), 80) == 4  # below five shingles, one subset stands for one entry
