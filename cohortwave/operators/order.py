@@ -50,9 +50,14 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
 
 
-def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
-    """Equal in all columns, nulls to nulls."""
-    return reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in columns], F.lit(True))
+def matched(a: DataFrame, b: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """a with the other columns of b, where all columns are equal, nulls to nulls.
+
+    b's columns get names of their own, as b is often made from a and a reference to either would then be ambiguous.
+    """
+    other = b.select(*[F.col(f"`{c}`").alias(f"_of_{i}") for i, c in enumerate(columns)], *[F.col(f"`{c}`") for c in b.columns if c not in columns])
+    on = reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(columns)], F.lit(True))
+    return a.join(other, on, how).drop(*[f"_of_{i}" for i in range(len(columns))])
 
 
 def sums_before(df: DataFrame, keys: list[str], x: str, weights: list[str], most: int | None = None) -> DataFrame:
@@ -68,8 +73,8 @@ def sums_before(df: DataFrame, keys: list[str], x: str, weights: list[str], most
     inside = dealt.withColumns({f"_in_{c}": over(Window.partitionBy(*keys, "_part").orderBy("_place"), c) for c in weights})
     parts = dealt.groupBy(*keys, "_part").agg(*[F.sum(c).alias(c) for c in weights])
     carried = parts.select(*keys, "_part", *[over(Window.partitionBy(*keys).orderBy("_part"), c).alias(f"_carry_{c}") for c in weights])
-    joined = inside.join(carried, same(inside, carried, [*keys, "_part"]))
-    return joined.select(*[inside[c] for c in df.columns], *[(F.col(f"_in_{c}") + F.col(f"_carry_{c}")).alias(f"_before_{c}") for c in weights])
+    joined = matched(inside, carried, [*keys, "_part"])
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"_in_{c}") + F.col(f"_carry_{c}")).alias(f"_before_{c}") for c in weights])
 
 
 def average_ranks(df: DataFrame, keys: list[str], x: str, name: str, most: int | None = None) -> DataFrame:
@@ -82,7 +87,7 @@ def average_ranks(df: DataFrame, keys: list[str], x: str, name: str, most: int |
         return df.withColumn(name, F.when(F.col(x).isNotNull(), F.rank().over(part.orderBy(x)) + (F.count("*").over(tie) - 1) / 2.0))
     counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_n"))
     ranks = sums_before(counts, keys, x, ["_n"], most).select(*keys, x, (F.col("_before__n") + (F.col("_n") + 1) / 2.0).alias(name))
-    return df.join(ranks, same(df, ranks, [*keys, x]), "left").select(*[df[c] for c in df.columns], ranks[name])
+    return matched(df, ranks, [*keys, x], "left")
 
 
 def with_quantiles(df: DataFrame, keys: list[str], x: str, at: list[float], aggs: tuple[Column, ...] | list[Column] = (), most: int | None = None) -> DataFrame:
@@ -100,13 +105,13 @@ def with_quantiles(df: DataFrame, keys: list[str], x: str, at: list[float], aggs
     wanted = sizes.select("*", place.alias("_p")).select("*", "_p._i", "_p._at")
     ranks = stored(wanted.select(*keys, "_lo", "_hi", "_i", "_at", "_n", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_k")), "ranks")
     found = selected(rows, ranks.select(*keys, "_k", "_lo", "_hi", "_n").distinct(), keys, most)
-    j = ranks.join(found, same(ranks, found, [*keys, "_k"])).select(*[ranks[c] for c in [*keys, "_i", "_at", "_k"]], found["_value"])
+    j = matched(ranks.select(*keys, "_i", "_at", "_k"), found, [*keys, "_k"])
     low, high = F.min(F.struct("_k", "_value"))["_value"], F.max(F.struct("_k", "_value"))["_value"]
     share = F.max("_at") - F.floor(F.max("_at"))
     each = j.groupBy(*keys, "_i").agg(((1 - share) * low + share * high).alias("_v"))
     values = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("q"))
     groups = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
-    return groups.join(values, same(groups, values, keys), "left").select(*[groups[c] for c in groups.columns], "q")
+    return matched(groups, values, keys, "left")
 
 
 def selected(rows: DataFrame, targets: DataFrame, keys: list[str], most: int) -> DataFrame:
