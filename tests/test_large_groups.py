@@ -35,3 +35,9 @@ def test_ranks_of_pairs_of_one_table(spark, monkeypatch):
 def test_protocol_audit_over_large_groups(spark, monkeypatch):
     monkeypatch.setattr(order, "GROUP_ROWS", 500)
     assert rows(registry.QUERIES["a41_protocol_grid_audit"](spark, DATA).toPandas()) == want("a41_protocol_grid_audit")
+
+
+def test_average_rank_of_large_groups(spark, monkeypatch):
+    """Few distinct values in a group of very many rows."""
+    monkeypatch.setattr(order, "GROUP_ROWS", 100)
+    assert rows(registry.QUERIES["w16_average_rank"](spark, DATA).toPandas()) == want("w16_average_rank")
