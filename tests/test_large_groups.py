@@ -57,3 +57,28 @@ def test_shares_are_those_of_the_written_ratio(spark):
         got = {r.role: r["count"] for r in split.groupBy("role").count().collect()}
         first, second = (n * round(r * 100) // 100 for r in (train, validation))
         assert (got["train"], got["validation"], got["test"]) == (first, second, n - first - second)
+
+
+def shuffled(plan: str) -> list[str]:
+    return [line for line in plan.splitlines() if "Exchange " in line and ("_k" in line or "replicate" in line)]
+
+
+def explained(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("target", ["rt", "speed"])
+def test_trials_are_drawn_without_a_shuffle_of_draws(spark, monkeypatch, target):
+    """Lists and, for sessions longer than a list may be, joins give the same draws."""
+    rng = np.random.default_rng(5)
+    data = [(u, s, float(v)) for u in range(5) for s in ("b", "p", "other") for v in rng.gamma(4.0, 100.0, 2 + 9 * u)] + [(9, "b", 1.0), (9, "p", 2.0), (None, "b", 1.0), (8, "p", -1.0)]
+    df = spark.createDataFrame(data, "u long, session string, rt double")
+    run = lambda: models.trial_bootstrap(df, "u", "b", "p", 40, 3, target)
+    lists = {r.subject: r for r in run().collect()}
+    assert sorted(lists) == [0, 1, 2, 3, 4] and not shuffled(explained(run()))
+    for limit in (0, 15):
+        monkeypatch.setattr(models, "DRAW_ROWS", limit)
+        joined = {r.subject: r for r in run().collect()}
+        assert sorted(joined) == sorted(lists)
+        for u, r in joined.items():
+            assert tuple(r)[1:] == pytest.approx(tuple(lists[u])[1:], rel=1e-9)
