@@ -82,3 +82,20 @@ def test_trials_are_drawn_without_a_shuffle_of_draws(spark, monkeypatch, target)
         assert sorted(joined) == sorted(lists)
         for u, r in joined.items():
             assert tuple(r)[1:] == pytest.approx(tuple(lists[u])[1:], rel=1e-9)
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_blocks_are_drawn_without_a_shuffle_of_draws(spark, monkeypatch, own):
+    rng = np.random.default_rng(6)
+    data = [(k, i, float(v)) for k in ("a", "b", "c") for i, v in enumerate(rng.normal(size=3 + 10 * (ord(k) - 97)))] + [("d", 0, None), ("a", 99, None)]
+    df = spark.createDataFrame(data, "k string, i long, x double")
+    lengths = spark.createDataFrame([("a", 2), ("b", 3), ("c", 90)], "key string, block int") if own else 4
+    run = lambda: models.moving_block_bootstrap(df, "k", "i", "x", lengths, 30, 2)
+    lists = {r["key"]: tuple(r)[1:] for r in run().collect()}
+    assert sorted(lists) == ["a", "b", "c"] and not shuffled(explained(run()))
+    for limit in (0, 5):
+        monkeypatch.setattr(models, "DRAW_ROWS", limit)
+        joined = {r["key"]: tuple(r)[1:] for r in run().collect()}
+        assert joined.keys() == lists.keys()
+        for k, v in joined.items():
+            assert v == pytest.approx(lists[k], rel=1e-9)
