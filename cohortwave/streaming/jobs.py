@@ -206,8 +206,20 @@ def replay_split(rows: DataFrame, part: Column, parts: int, job: Callable[[DataF
     return out
 
 
-def batch_monitor(stream: DataFrame, key: str, order: str, p: str, size: int) -> DataFrame:
-    """A row for every full batch of `size` predictions of a key, in order of arrival; state holds less than a batch."""
+def entropies(values: list[float], least: float) -> tuple[float, float, float]:
+    """(mean, conditional entropy, marginal entropy) of a batch's predictions, held `least` away from 0 and 1.
+
+    With least = 0 they are taken as they are: 0 has no logarithm, so an entropy that needs it is NaN, as in SQL.
+    """
+    batch = np.clip(np.asarray(values, float), least, 1 - least)
+    q = batch.mean()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        h = lambda x: -(x * np.log(x) + (1 - x) * np.log(1 - x))
+        return float(q), float(np.mean(h(batch))), float(h(q))
+
+
+def batch_monitor(stream: DataFrame, key: str, order: str, p: str, size: int, least: float = 1e-12) -> DataFrame:
+    """A row for every full batch of `size` predictions of a key, in order of arrival; state holds less than a batch. least: see entropies()."""
     kind = dict(stream.dtypes)[key]
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -216,9 +228,7 @@ def batch_monitor(stream: DataFrame, key: str, order: str, p: str, size: int) ->
         values = [*held, *rows[p].tolist()]
         out = []
         while len(values) >= size:
-            batch = np.clip(np.asarray(values[:size], float), 1e-12, 1 - 1e-12)
-            q = batch.mean()
-            out.append((k[0], index, size, q, float(np.mean(-(batch * np.log(batch) + (1 - batch) * np.log(1 - batch)))), float(-(q * np.log(q) + (1 - q) * np.log(1 - q)))))
+            out.append((k[0], index, size, *entropies(values[:size], least)))
             values, index = values[size:], index + 1
         state.update((index, values))
         yield pd.DataFrame(out, columns=[key, "batch_index", "n", "q1", "h_cond", "h_marg"])

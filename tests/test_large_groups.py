@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortwave.operators import aggregates, models, order, pairing
-from cohortwave.plans import registry
+from cohortwave.plans import registry, source_queries
+from cohortwave.streaming import jobs
 
 from .conftest import DATA
 from .test_queries import rows
@@ -99,3 +100,12 @@ def test_blocks_are_drawn_without_a_shuffle_of_draws(spark, monkeypatch, own):
         assert joined.keys() == lists.keys()
         for k, v in joined.items():
             assert v == pytest.approx(lists[k], rel=1e-9)
+
+
+def test_a_prediction_of_zero_has_no_logarithm(spark):
+    """Held away from 0 by default; taken as it is, as in SQL, where asked."""
+    kept, bare = jobs.entropies([0.0, 0.5], 1e-12), jobs.entropies([0.0, 0.5], 0.0)
+    assert kept[1] == pytest.approx(np.log(2) / 2) and np.isnan(bare[1]) and bare[2] == pytest.approx(kept[2])
+    rows = spark.createDataFrame([(None, None, None), (0.25, None, 0.5), (0.25, 0.1, 0.5)], "q1 double, h_cond double, h_marg double")
+    got = [tuple(r) for r in source_queries.not_a_number(rows, "h_cond", "h_marg").collect()]
+    assert got[0] == (None, None, None) and np.isnan(got[1][1]) and got[1][2] == 0.5 and got[2] == (0.25, 0.1, 0.5)
