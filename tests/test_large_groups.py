@@ -109,3 +109,48 @@ def test_a_prediction_of_zero_has_no_logarithm(spark):
     rows = spark.createDataFrame([(None, None, None), (0.25, None, 0.5), (0.25, 0.1, 0.5)], "q1 double, h_cond double, h_marg double")
     got = [tuple(r) for r in source_queries.not_a_number(rows, "h_cond", "h_marg").collect()]
     assert got[0] == (None, None, None) and np.isnan(got[1][1]) and got[1][2] == 0.5 and got[2] == (0.25, 0.1, 0.5)
+
+
+def test_folds_by_bits_are_those_of_the_window(spark):
+    """Members by list and by window alike, whatever the type; the checks see faults; no row of a fold is shuffled."""
+    for kind, n, fraction in (("long", 70, 0.2), ("string", 9, 0.29), ("long", 1, 0.2), ("long", 40, 0.0)):
+        s = spark.range(n).select((F.col("id") * 7).cast(kind).alias("s"))
+        folds = models.loso_folds(s.union(s), "s", 3, fraction)
+        got, by_window = ({tuple(r) for r in f.collect()} for f in (folds, models.loso_folds_by_window(s, "s", 3, fraction)))
+        assert len(got) == n * n and got == by_window
+        assert tuple(models.fold_partition_check(folds, "s").first()) == (0, 0, 0, 0)
+    plan = explained(models.loso_folds(spark.range(70).withColumnRenamed("id", "s"), "s", 3, 0.2))
+    assert "_words" in next(x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "fold_id" in x) or plan.count("Exchange hashpartitioning") == 1
+    assert models.loso_folds(spark.range(0).withColumnRenamed("id", "s"), "s", 3, 0.2).count() == 0
+
+
+def test_members_whose_digests_begin_alike(monkeypatch):
+    """A cut through equal first bytes is decided by the rest of the digests."""
+    import hashlib
+
+    class Digest:
+        def __init__(self, text):
+            self.text = text
+
+        def digest(self):
+            return b"\0" * 8 + hashlib.sha256(self.text).digest()
+
+    members = [b"%d" % i for i in range(50)]
+    want = sorted((hashlib.sha256(b"h:" + m).digest(), i) for i, m in enumerate(members) if i != 4)[:11]
+    monkeypatch.setattr(models, "hashlib", type("H", (), {"sha256": Digest}))
+    bits = np.unpackbits(models.validation_bits(b"h:", members, 4, 11).view(np.uint8), bitorder="little")
+    assert sorted(np.flatnonzero(bits)) == sorted(i for _, i in want)
+
+
+def test_fold_check_shuffles_no_row_and_scales_agree(spark):
+    s = spark.range(30).withColumnRenamed("id", "s")
+    folds = models.loso_folds(s, "s", 3, 0.2)
+    features = s.select("s", (F.col("s") * F.col("s")).cast("double").alias("x"), F.lit(2.0).alias("same"))
+    got = {(r.fold_id, r.s): (r.x, r.same) for r in models.standardise_by_fold(features, folds, "s", ["x", "same"]).collect()}
+    for f in (0, 17):
+        roles = {r.s: r.role for r in folds.where(F.col("fold_id") == f).collect()}
+        x = np.array([u * u for u, role in roles.items() if role == "train"], float)
+        for u in roles:
+            assert got[f, u] == (pytest.approx((u * u - x.mean()) / x.std()), 0.0)
+    plan = explained(models.fold_partition_check(folds, "s"))
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(fold_id" in x and "s#" in x.split("ENSURE")[0] and "ENSURE" in x]
