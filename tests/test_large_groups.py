@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortwave.operators import aggregates, models, order, pairing
+from cohortwave.operators import aggregates, models, order, pairing, windows
 from cohortwave.plans import registry, source_queries
 from cohortwave.streaming import jobs
 
@@ -25,8 +25,8 @@ def want(name):
 def test_ranks_of_pairs_of_one_table(spark, monkeypatch):
     """Pairs of a table with itself in a group larger than a task may hold: ranks have the same values, and no reference is ambiguous."""
     rng = np.random.default_rng(1)
-    windows = spark.createDataFrame([("p", u, w, float(rng.integers(0, 30))) for u in range(6) for w in range(12)], "label string, user int, window_index int, m double")
-    pairs = pairing.window_pairs(windows, ["label", "user"], "m")
+    table = spark.createDataFrame([("p", u, w, float(rng.integers(0, 30))) for u in range(6) for w in range(12)], "label string, user int, window_index int, m double")
+    pairs = pairing.window_pairs(table, ["label", "user"], "m")
     plain = aggregates.spearman(pairs, ["label"]).first()
     monkeypatch.setattr(order, "GROUP_ROWS", 50)
     cut = aggregates.spearman(pairs, ["label"]).first()
@@ -154,3 +154,10 @@ def test_fold_check_shuffles_no_row_and_scales_agree(spark):
             assert got[f, u] == (pytest.approx((u * u - x.mean()) / x.std()), 0.0)
     plan = explained(models.fold_partition_check(folds, "s"))
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(fold_id" in x and "s#" in x.split("ENSURE")[0] and "ENSURE" in x]
+
+
+def test_missing_epochs_take_one_shuffle(spark):
+    df = spark.createDataFrame([("a", e) for e in (3, 3, 7, 4, 7, 9)] + [("b", 5), ("b", 5), (None, 1), (None, 3)], "k string, e long")
+    found = windows.missing_list(df, ["k"], "e")
+    assert sorted(found.collect(), key=str) == sorted([("a", 5), ("a", 6), ("a", 8), (None, 2)], key=str)
+    assert explained(found).count("Exchange hashpartitioning") == 1
