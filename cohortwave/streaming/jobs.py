@@ -96,42 +96,80 @@ def first_response(perturbations: DataFrame, responses: DataFrame, key: str, bou
     return g.select(F.col("pk").alias(key), "p_id", "p_ts", F.col("f.r_id").alias("r_id"), F.col("f.r_ts").alias("r_ts"), "n_responses", F.col("f").isNull().alias("censored"))
 
 
-def visit_monitor(stream: DataFrame, keys: list[str], order: str, p: str, size: int, gap_ms: int, delay: str) -> DataFrame:
-    """A row for every batch of `size` predictions of a visit (keys, such as arm, subject, visit), in order of arrival.
+def visit_monitor(stream: DataFrame, keys: list[str], order: str, p: str, size: int, gap_ms: int, delay: str, least: float = 1e-12, buckets: int = 512) -> DataFrame:
+    """A row for every batch of `size` predictions of a visit (keys, such as arm, subject, visit), in order of arrival. least: see entropies().
 
-    A visit ends when the watermark is gap_ms past its last row: then its short last batch leaves and its state is
-    freed. Rows behind the watermark are dropped, so a visit can't start anew; order_check() tells them.
+    A visit ends when the watermark is gap_ms past its last row; then its short last batch leaves. Rows behind the watermark are
+    taken as well: as in order_check() a row travels as a tick that moves the watermark and as data that is never late. A row of an
+    ended visit goes on with its short batch, which then leaves anew: longer, or with last = false if it is open again. settled() keeps
+    what holds in the end. So that late rows find their place, a visit's counters are kept for good: less than a batch each.
+
+    Visits share the state of one of `buckets` hash buckets (fixed for the life of a checkpoint), as a call a visit takes far longer than its work.
     """
     kinds = dict(stream.dtypes)
 
-    def row(values: list[float], key: tuple, index: int, last: bool) -> tuple:
-        batch = np.clip(np.asarray(values, float), 1e-12, 1 - 1e-12)
-        q = batch.mean()
-        return (*key, index, len(values), last, float(q), float(np.mean(-(batch * np.log(batch) + (1 - batch) * np.log(1 - batch)))), float(-(q * np.log(q) + (1 - q) * np.log(1 - q))))
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        index, held, end = state.get if state.exists else (0, [], 0)
-        out = []
-        if state.hasTimedOut:
-            if held:
-                out.append(row(held, key, index, True))
-            state.remove()
-        else:
-            rows = pd.concat(parts).sort_values(order)
-            values = [*held, *rows[p].tolist()]
-            while len(values) >= size:
-                out.append(row(values[:size], key, index, False))
-                values, index = values[size:], index + 1
-            end = max(end, int(rows["_us"].max()) // 1000)
-            state.update((index, values, end))
-            # the watermark may be past the end already, when much time lies in one trigger; the timer then fires next
-            state.setTimeoutTimestamp(max(end + gap_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        visits: dict[tuple, list] = {}  # index, held, end, whether the short batch is out
+        if state.exists:
+            *known, index, end, out, n, flat = state.get
+            at = 0
+            for key, i, e, o, m in zip(zip(*known, strict=True), index, end, out, n, strict=True):
+                visits[key] = [i, list(flat[at : at + m]), e, o]
+                at += m
+        left: list[tuple] = []  # key, index, values, last
+        recalled = set()
+        if not state.hasTimedOut:
+            rows = pd.concat(parts)
+            rows = rows[rows["_tick"].isna()].sort_values(order)
+            for key, value, ms in zip(zip(*[rows[k].tolist() for k in keys], strict=True), rows[p].tolist(), (rows["_us"] // 1000).tolist(), strict=True):
+                visit = visits.setdefault(key, [0, [], 0, False])
+                visit[1].append(value)
+                visit[2] = max(visit[2], ms)
+                if visit[3]:
+                    visit[3] = False
+                    recalled.add(key)
+                if len(visit[1]) == size:
+                    left.append((key, visit[0], visit[1], False))
+                    visit[0], visit[1] = visit[0] + 1, []
+                    recalled.discard(key)
+        timer = None
+        for key, visit in visits.items():
+            if visit[1] and not visit[3]:
+                if visit[2] + gap_ms <= now:
+                    left.append((key, visit[0], list(visit[1]), True))
+                    visit[3] = True
+                else:
+                    timer = min(timer or visit[2] + gap_ms, visit[2] + gap_ms)
+                    if key in recalled:
+                        left.append((key, visit[0], list(visit[1]), False))
+        if visits:
+            index, held, end, out = zip(*visits.values(), strict=True)
+            state.update((*map(list, zip(*visits, strict=True)), list(index), list(end), list(out), list(map(len, held)), [x for h in held for x in h]))
+            if timer:
+                state.setTimeoutTimestamp(timer)
+        if left:
+            n = np.array([len(x[2]) for x in left])
+            scores = np.empty((3, len(left)))
+            for m in np.unique(n):
+                scores[:, n == m] = entropies([x[2] for x in left if len(x[2]) == m], least)
+            columns = [*zip(*[x[0] for x in left], strict=True), [x[1] for x in left], n, [x[3] for x in left], *scores]
+            yield pd.DataFrame(dict(zip(names, columns, strict=True)))
 
     names = [*keys, "batch_index", "n", "last", "q1", "h_cond", "h_marg"]
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", batch_index long, n long, last boolean, q1 double, h_cond double, h_marg double"
-    timed = stream.withColumn("_us", F.unix_micros("ts")).withWatermark("ts", delay).groupBy(*keys)
-    return timed.applyInPandasWithState(step, schema, "index long, held array<double>, end long", "append", GroupStateTimeout.EventTimeTimeout)
+    held = ", ".join(f"{k} array<{kinds[k]}>" for k in keys) + ", index array<long>, end array<long>, released array<boolean>, n array<long>, held array<double>"
+    ticks = F.explode(F.array(F.col("ts").cast("timestamp"), F.lit(None).cast("timestamp")))
+    both = stream.select(*keys, order, p, F.unix_micros("ts").alias("_us"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), ticks.alias("_tick"))
+    return both.withWatermark("_tick", delay).groupBy("_bucket").applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def settled(batches: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """What holds in the end of visit_monitor()'s rows: each batch's last form, without short ones that are open again."""
+    by = [*keys, "batch_index"]
+    rest = [c for c in batches.columns if c not in by]
+    latest = batches.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("n", "last")).alias("_r"))
+    return latest.select(*by, *[F.col(f"_r.{c}").alias(c) for c in rest]).where(F.col("last") | (F.col("n") == size))
 
 
 def order_check(stream: DataFrame, keys: list[str], epoch: str, arrival: list[str], delay: str, idle_ms: int) -> DataFrame:
@@ -206,16 +244,16 @@ def replay_split(rows: DataFrame, part: Column, parts: int, job: Callable[[DataF
     return out
 
 
-def entropies(values: list[float], least: float) -> tuple[float, float, float]:
-    """(mean, conditional entropy, marginal entropy) of a batch's predictions, held `least` away from 0 and 1.
+def entropies(values: list, least: float) -> tuple:
+    """(mean, conditional entropy, marginal entropy) of a batch's predictions, or of each of several batches of one length, held `least` away from 0 and 1.
 
     With least = 0 they are taken as they are: 0 has no logarithm, so an entropy that needs it is NaN, as in SQL.
     """
     batch = np.clip(np.asarray(values, float), least, 1 - least)
-    q = batch.mean()
+    q = batch.mean(axis=-1)
     with np.errstate(divide="ignore", invalid="ignore"):
         h = lambda x: -(x * np.log(x) + (1 - x) * np.log(1 - x))
-        return float(q), float(np.mean(h(batch))), float(h(q))
+        return q, h(batch).mean(axis=-1), h(q)
 
 
 def batch_monitor(stream: DataFrame, key: str, order: str, p: str, size: int, least: float = 1e-12) -> DataFrame:
